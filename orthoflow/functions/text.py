@@ -40,8 +40,7 @@ def has_control(col: Column) -> Column:
 
 def valid_label(col: Column) -> Column:
     """Trimmed, non-blank, free of control characters and at most 256 characters."""
-    label = strip(col)
-    return (label != "") & ~has_control(label) & (F.length(label) <= MAX_LABEL_CHARACTERS)
+    return strip(col).rlike(r"^[^\x00-\x1F\x7F]{1,%d}$" % MAX_LABEL_CHARACTERS)
 
 
 def escape_formula(col: Column) -> Column:

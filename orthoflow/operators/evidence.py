@@ -40,18 +40,17 @@ def records_by_sequence(numbered: DataFrame) -> DataFrame:
     return record_lists(numbered.filter("sequence_id is not null"), "sample_id", "sequence_id")
 
 
-def analysis_view_summary(rows: DataFrame, records: DataFrame, skipped: DataFrame,
-                          diagnostics: DataFrame) -> DataFrame:
+def analysis_view_summary(parsed: DataFrame, records: DataFrame) -> DataFrame:
     """Compact per-dataset facts kept after row evidence is dropped."""
     parts = (
         records.groupBy("dataset_id").agg(
             F.count("*").alias("assignment_count"),
             F.count_if(F.col("status") == "accepted").alias("accepted_records")),
         accepted_kos(records).groupBy("dataset_id").agg(F.count("*").alias("accepted_unique_kos")),
-        skipped.groupBy("dataset_id").agg(F.count("*").alias("skipped_rows")),
-        diagnostics.groupBy("dataset_id").agg(F.count("*").alias("diagnostic_count")),
     )
-    summary = rows.groupBy("dataset_id").agg(F.count("*").alias("input_rows"))
+    summary = parsed.groupBy("dataset_id").agg(
+        F.count("*").alias("input_rows"), F.count_if("skipped").alias("skipped_rows"),
+        F.sum(F.bit_count("diagnostic_bits")).alias("diagnostic_count"))
     for part in parts:
         summary = summary.join(part, "dataset_id", "left")
     return summary.na.fill(0)

@@ -101,20 +101,12 @@ def require_columns(columns: list[str], required: tuple[str, ...]) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
-def _diagnostic(condition: Column, code: str, field_name: str | None) -> Column:
-    return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(field_name).cast("string").alias("field")))
-
-
 def row_evidence(rows: DataFrame) -> Column:
     """The source cells of a row as ordered name/value pairs."""
     cells = [name for name in rows.columns if name not in KEYS]
     return F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("value")) for name in cells])
 
 
-def _compact(*items: Column) -> Column:
-    return F.filter(F.array(*items), lambda item: item.isNotNull())
-
-
 def split_composite(col: Column) -> Column:
     """Array of labels: an exact ``Kn + Kn`` label splits, anything else stays one raw label."""
     label = strip(col)
@@ -136,27 +128,57 @@ def _numeric_cells(cells: DataFrame) -> DataFrame:
     }).withColumns({"score_n": N.finite(F.col("score_n")), "threshold_n": N.finite(F.col("threshold_n"))})
 
 
-def _numeric_diagnostics(kept: Column, names: dict[str, str | None], probability: bool) -> list[Column]:
+BOTH_ENDS = "domain_start,domain_end"
+
+
+def detailed_legend() -> list[tuple[str, str | None]]:
+    """Code and field of each bit of ``diagnostic_bits`` for the detailed format."""
+    return [
+        ("ROW_SKIPPED", "name"),
+        *_numeric_legend("probability", "threshold", None),
+        ("INVALID_KO_IDENTIFIER", "predict_label"),
+        ("UNRECOGNIZED_SOURCE_DECISION", "annotate"),
+        ("SOURCE_DECISION_CONFLICT", "annotate,probability,threshold"),
+    ]
+
+
+def generic_legend(binding: Binding) -> list[tuple[str, str | None]]:
+    named = binding.columns.get
+    skips = [("ROW_SKIPPED", named(name)) for name in ("sequence_id", "protein_name", "sample_id")]
+    return [
+        *skips,
+        *_numeric_legend(named("score"), named("threshold"), named("rank")),
+        ("INVALID_KO_IDENTIFIER", named("ko_id")),
+        ("UNRECOGNIZED_SOURCE_DECISION", named("raw_decision")),
+    ]
+
+
+def _numeric_legend(score: str | None, threshold: str | None, rank: str | None) -> list[tuple[str, str | None]]:
+    fields = (score, threshold, score, threshold, rank, "domain_start", "domain_end", BOTH_ENDS, BOTH_ENDS)
+    return [("INVALID_FIELD_VALUE", name) for name in fields]
+
+
+def _numeric_checks(kept: Column, probability: bool) -> list[Column]:
+    """Conditions in the order of ``_numeric_legend``."""
+
     def malformed(text: str, value: str) -> Column:
         return kept & (F.col(text) != "") & F.col(value).isNull()
 
+    def outside(value: str) -> Column:
+        return kept & ~F.col(value).between(0.0, 1.0) if probability else F.lit(False)
+
     start, end = F.col("start_n"), F.col("end_n")
-    both = "domain_start,domain_end"
-    items = [
-        _diagnostic(malformed("score_text", "score_n"), "INVALID_FIELD_VALUE", names["score"]),
-        _diagnostic(malformed("threshold_text", "threshold_n"), "INVALID_FIELD_VALUE", names["threshold"]),
-        _diagnostic(malformed("rank_text", "rank"), "INVALID_FIELD_VALUE", names.get("rank")),
-        _diagnostic(malformed("start_text", "start_n"), "INVALID_FIELD_VALUE", "domain_start"),
-        _diagnostic(malformed("end_text", "end_n"), "INVALID_FIELD_VALUE", "domain_end"),
-        _diagnostic(kept & (start.isNull() != end.isNull()), "INVALID_FIELD_VALUE", both),
-        _diagnostic(kept & (end < start), "INVALID_FIELD_VALUE", both),
+    return [
+        malformed("score_text", "score_n"), malformed("threshold_text", "threshold_n"),
+        outside("score_n"), outside("threshold_n"), malformed("rank_text", "rank"),
+        malformed("start_text", "start_n"), malformed("end_text", "end_n"),
+        kept & (start.isNull() != end.isNull()), kept & (end < start),
     ]
-    if probability:
-        items[2:2] = [
-            _diagnostic(kept & ~F.col("score_n").between(0.0, 1.0), "INVALID_FIELD_VALUE", names["score"]),
-            _diagnostic(kept & ~F.col("threshold_n").between(0.0, 1.0), "INVALID_FIELD_VALUE", names["threshold"]),
-        ]
-    return items
+
+
+def _bits(conditions: list[Column]) -> Column:
+    """One bit per true condition. A row's diagnostics stay one integer until they are listed."""
+    return sum((F.when(condition, F.lit(1 << i)).otherwise(F.lit(0)) for i, condition in enumerate(conditions)), F.lit(0))
 
 
 def parse_detailed(rows: DataFrame) -> DataFrame:
@@ -192,23 +214,21 @@ def parse_detailed(rows: DataFrame) -> DataFrame:
     })
     kept = ~F.col("skipped")
     unrecognized = F.col("first_ko").isNotNull() & ~F.coalesce(F.col("raw_decision"), empty).isin("", "*")
-    diagnostics = _compact(
-        _diagnostic(F.col("skipped"), "ROW_SKIPPED", "name"),
-        *_numeric_diagnostics(kept, {"score": "probability", "threshold": "threshold"}, True),
-        _diagnostic(kept & F.col("first_ko").isNull() & ~is_blank(F.col("raw_label")),
-                    "INVALID_KO_IDENTIFIER", "predict_label"),
-        _diagnostic(kept & unrecognized, "UNRECOGNIZED_SOURCE_DECISION", "annotate"),
-        _diagnostic(kept & P.marker_threshold_conflict(F.col("raw_decision"), F.col("score"), F.col("threshold")),
-                    "SOURCE_DECISION_CONFLICT", "annotate,probability,threshold"),
-    )
+    bits = _bits([
+        F.col("skipped"),
+        *_numeric_checks(kept, True),
+        kept & F.col("first_ko").isNull() & ~is_blank(F.col("raw_label")),
+        kept & unrecognized,
+        kept & P.marker_threshold_conflict(F.col("raw_decision"), F.col("score"), F.col("threshold")),
+    ])
     return parsed.select(*KEYS, "sequence_id", "skipped", "labels", "raw_decision", "score", "threshold", "domain",
-                         "evidence", diagnostics.alias("diagnostics"))
+                         "evidence", bits.alias("diagnostic_bits"))
 
 
 def detailed_records(parsed: DataFrame, policy: P.Policy = P.POLICIES["marker_threshold"]) -> DataFrame:
     """One classified record per label of every kept row, in label order."""
     exploded = parsed.filter(~F.col("skipped")).select(
-        *KEYS, "sequence_id", F.posexplode("labels").alias("pos", "raw_ko"), "raw_decision", "score", "threshold",
+        *KEYS, "sequence_id", F.posexplode_outer("labels").alias("pos", "raw_ko"), "raw_decision", "score", "threshold",
         "domain.domain_start", "domain.domain_end", "evidence",
     ).withColumn("ko_id", normalize_ko(F.col("raw_ko")))
     evidence = P.Evidence(
@@ -229,11 +249,10 @@ def parse_generic(rows: DataFrame, binding: Binding, policy: P.Policy) -> DataFr
     probability = binding.score_type == "probability"
     sample = F.col(binding.columns["sample_id"]) if "sample_id" in binding.columns else F.lit(binding.default_sample_id)
     protein = blank_to_null(src("protein_name"))
-    named = binding.columns.get
     skipped = (
-        F.when(~valid_label(src("sequence_id")), F.lit(named("sequence_id")))
-        .when(F.length(protein) > MAX_PROTEIN_NAME_CHARACTERS, F.lit(named("protein_name")).cast("string"))
-        .when(~valid_label(sample), F.lit(named("sample_id")).cast("string"))
+        F.when(~valid_label(src("sequence_id")), F.lit("sequence_id"))
+        .when(F.length(protein) > MAX_PROTEIN_NAME_CHARACTERS, F.lit("protein_name"))
+        .when(~valid_label(sample), F.lit("sample_id"))
     )
 
     def cell(name: str) -> Column:
@@ -258,28 +277,38 @@ def parse_generic(rows: DataFrame, binding: Binding, policy: P.Policy) -> DataFr
         F.when(F.col("threshold").isNotNull(), F.lit(binding.threshold_rule).cast("string")),
     )
     kept = F.col("skipped_field").isNull()
-    names = {"score": named("score"), "threshold": named("threshold"), "rank": named("rank")}
-    diagnostics = _compact(
-        F.when(~kept, F.struct(F.lit("ROW_SKIPPED").alias("code"), F.col("skipped_field").alias("field"))),
-        *_numeric_diagnostics(kept, names, probability),
-        _diagnostic(kept & F.col("ko_id").isNull() & ~is_blank(F.col("raw_ko")), "INVALID_KO_IDENTIFIER", named("ko_id")),
-        _diagnostic(kept & (F.col("outcome.reason") == "unrecognized_source_decision"),
-                    "UNRECOGNIZED_SOURCE_DECISION", named("raw_decision")),
-    )
+    bits = _bits([
+        *[F.col("skipped_field") == name for name in ("sequence_id", "protein_name", "sample_id")],
+        *_numeric_checks(kept, probability),
+        kept & F.col("ko_id").isNull() & ~is_blank(F.col("raw_ko")),
+        kept & (F.col("outcome.reason") == "unrecognized_source_decision"),
+    ])
     return numbered.withColumn("outcome", policy.classify(evidence)).select(
         *KEYS, F.lit(0).alias("pos"), "sequence_id", "protein_name", "ko_id", "raw_ko", "raw_decision",
         F.col("outcome.status").alias("status"), F.col("outcome.reason").alias("reason"),
         "score", "threshold", "rank", "domain.domain_start", "domain.domain_end", "evidence", "skipped_field",
-        diagnostics.alias("diagnostics"),
+        bits.alias("diagnostic_bits"),
     )
 
 
 def generic_records(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("skipped_field").isNull()).drop("skipped_field", "diagnostics")
+    return parsed.filter(F.col("skipped_field").isNull()).drop("skipped_field", "diagnostic_bits")
+
+
+def row_diagnostics(parsed: DataFrame, legend: list[tuple[str, str | None]]) -> DataFrame:
+    """One row per diagnostic of the flagged source rows."""
+    entries = F.array(*[
+        F.struct(F.lit(1 << i).alias("bit"), F.lit(code).alias("code"), F.lit(name).cast("string").alias("field"))
+        for i, (code, name) in enumerate(legend)])
+    flagged = parsed.select("dataset_id", "row_number", "diagnostic_bits",
+                            F.inline_outer(F.when(F.col("diagnostic_bits") > 0, entries)))
+    return flagged.filter(F.col("diagnostic_bits").bitwiseAND(F.col("bit")) != 0).select(
+        "dataset_id", "row_number", "code", "field")
 
 
-def row_diagnostics(parsed: DataFrame) -> DataFrame:
-    return parsed.select("dataset_id", "row_number", F.inline("diagnostics"))
+def diagnostic_counts(parsed: DataFrame) -> DataFrame:
+    """Number of row diagnostics per dataset, without listing them."""
+    return parsed.groupBy("dataset_id").agg(F.sum(F.bit_count("diagnostic_bits")).alias("diagnostic_count"))
 
 
 # --- cross-row checks -------------------------------------------------------------------------

@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Intake classifies many cells per row. Generated methods beyond 8,000 bytes of bytecode are never
+# compiled by the JVM's JIT; with this limit Spark plans such stages as several smaller ones.
+HUGE_METHOD_SETTING = "spark.sql.codegen.hugeMethodLimit"
+HUGE_METHOD_LIMIT = "8000"
 
 
 def local_session(name: str, cores: str | None = None) -> SparkSession:
@@ -19,6 +23,7 @@ def local_session(name: str, cores: str | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config(HUGE_METHOD_SETTING, HUGE_METHOD_LIMIT)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

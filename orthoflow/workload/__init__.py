@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from orthoflow.workload import intake_queries  # noqa: F401
+from orthoflow.workload import card_queries, intake_queries, relation_queries  # noqa: F401
 from orthoflow.workload.registry import ORACLES, QUERIES  # noqa: F401

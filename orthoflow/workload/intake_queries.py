@@ -138,7 +138,7 @@ SELECT dataset_id, row_number, code, field, count(*) AS n FROM (
     split_part(d, '|', 1) AS code, split_part(d, '|', 2) AS field
   FROM v_parsed) AS t WHERE d IS NOT NULL GROUP BY ALL""")
 def row_diagnostics(spark, sf):
-    return K.row_diagnostics(Inputs(spark, sf).parsed()).groupBy("dataset_id", "row_number", "code", "field").agg(
+    return K.row_diagnostics(Inputs(spark, sf).parsed(), K.detailed_legend()).groupBy("dataset_id", "row_number", "code", "field").agg(
         F.count("*").alias("n"))
 
 
@@ -357,7 +357,7 @@ SELECT dataset_id, CAST(skipped AS INT) + CASE WHEN skipped THEN 0 ELSE
 def analysis_view_summary(spark, sf):
     data = Inputs(spark, sf)
     parsed = data.parsed()
-    return E.analysis_view_summary(data.rows(), K.detailed_records(parsed), parsed.filter("skipped"), K.row_diagnostics(parsed))
+    return E.analysis_view_summary(parsed, K.detailed_records(parsed))
 
 
 @query("evidence_audit", """

@@ -31,11 +31,11 @@ def with_views(body: str, local: dict[str, str] | None = None) -> str:
 
     visit(body)
     parts = [f"{name} AS ({known[name]})" for name in ordered]
-    recursive = body.lstrip().startswith("WITH RECURSIVE")
-    if recursive:
-        head = "WITH RECURSIVE " + ",\n".join(parts + [""]) if parts else "WITH RECURSIVE "
-        return head + body.lstrip()[len("WITH RECURSIVE"):]
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    text = body.strip()
+    head = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
+    if text.startswith("WITH "):
+        return head + ",\n".join([*parts, text[len(head):]])
+    return (head + ",\n".join(parts) + "\n" + text) if parts else text
 
 
 def query(name: str, sql: str | None = None, local: dict[str, str] | None = None):

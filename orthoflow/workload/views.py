@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orthoflow.session import HUGE_METHOD_LIMIT, HUGE_METHOD_SETTING
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -312,6 +314,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        spark.conf.set(HUGE_METHOD_SETTING, HUGE_METHOD_LIMIT)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
