@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.functions import entries as E
+from orthoflow.functions.staging import computed
 from orthoflow.functions.text import strip, unique_items
 
 KO, MODULE, REACTION = r"^K[0-9]{5}$", r"^M[0-9]{5}$", r"^R[0-9]{5}$"
@@ -93,13 +94,13 @@ def build_cards(entries: DataFrame, kind: str, *keys: str) -> DataFrame:
     pairs = [item for name, column in lists.items() for item in (F.lit(name), column)]
     text_pairs = [item for name, column in texts.items() for item in (F.lit(name), column)]
     text_map = F.create_map(*text_pairs) if text_pairs else F.create_map().cast("map<string,string>")
-    return entries.select(
-        *keys, F.lit(kind).alias("kind"), "identifier", E.names().alias("names"),
-        E.joined_field("DEFINITION").alias("definition"), E.field_lines("CLASS").alias("classes"),
-        E.cross_references().alias("dblinks"), E.pubmed_ids().alias("pubmed_ids"),
-        F.array_except(field_names, F.array(*[F.lit(name) for name in known])).alias("unparsed_fields"),
-        F.create_map(*pairs).alias("lists"), text_map.alias("texts"),
-    )
+    base = entries.select(*keys, F.lit(kind).alias("kind"), "identifier", "fields")
+    return computed(
+        base, names=E.names(), definition=E.joined_field("DEFINITION"), classes=E.field_lines("CLASS"),
+        dblinks=E.cross_references(), pubmed_ids=E.pubmed_ids(),
+        unparsed_fields=F.array_except(field_names, F.array(*[F.lit(name) for name in known])),
+        lists=F.create_map(*pairs), texts=text_map,
+    ).drop("fields")
 
 
 def all_cards(entries: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthoflow.functions.staging import computed
 from orthoflow.functions.text import strip
 
 # Label width, field names, entry ids.
@@ -48,10 +49,10 @@ def parse_entries(records: DataFrame) -> DataFrame:
     Continuation lines attach to the last label before them: a line's field is the number of labels
     up to it.
     """
-    with_lines = records.withColumn("record_lines", record_lines(F.col("text")))
-    labelled = with_lines.withColumn("fault", line_fault(F.col("record_lines"))).withColumn(
-        "starts", F.filter(F.sequence(F.lit(1), F.greatest(F.size("record_lines"), F.lit(1))), lambda i: F.substring(
-            F.get(F.col("record_lines"), i - 1), 1, LABEL_WIDTH) != " " * LABEL_WIDTH))
+    with_lines = computed(records, record_lines=record_lines(F.col("text")))
+    is_label = F.transform("record_lines", lambda line: F.substring(line, 1, LABEL_WIDTH) != " " * LABEL_WIDTH)
+    numbers = F.transform(is_label, lambda flag, i: F.when(flag, i + 1))
+    labelled = computed(with_lines, fault=line_fault(F.col("record_lines")), starts=F.array_compact(numbers))
 
     def field(start: Column, k: Column) -> Column:
         head = F.get(F.col("record_lines"), start - 1)
@@ -63,16 +64,17 @@ def parse_entries(records: DataFrame) -> DataFrame:
             F.transform(body, lambda line: F.substr(line, F.lit(LABEL_WIDTH + 1))).alias("lines"),
             start.alias("start_line"), (stop - 1).alias("end_line"))
 
-    parsed = labelled.withColumn("fields", F.when(F.col("fault").isNull(), F.transform("starts", field)))
-    entries = F.filter(F.col("fields"), lambda f: (f["name"] == "ENTRY") & (f["indent"] == 0))
-    tokens = F.split(strip(F.get(F.get(entries, F.lit(0))["lines"], F.lit(0))), r"\s+")
-    identifier = F.when((F.size(tokens) >= 2) & (tokens[0] == "EC"), F.get(tokens, F.lit(1))).otherwise(F.get(tokens, F.lit(0)))
-    checked = parsed.withColumn("entry_count", F.size(entries)).withColumn("identifier", identifier)
-    return checked.withColumn("fault", F.coalesce(
+    parsed = computed(labelled, fields=F.when(F.col("fault").isNull(), F.transform("starts", field)))
+    found = computed(parsed, entries=F.filter(F.col("fields"), lambda f: (f["name"] == "ENTRY") & (f["indent"] == 0)))
+    tokens = F.split(strip(F.get(F.get("entries", F.lit(0))["lines"], F.lit(0))), r"\s+")
+    first = computed(found, tokens=tokens)
+    identifier = F.when((F.size("tokens") >= 2) & (F.col("tokens")[0] == "EC"), F.get("tokens", F.lit(1))).otherwise(F.get("tokens", F.lit(0)))
+    named = computed(first, identifier=identifier)
+    return computed(named, fault=F.coalesce(
         F.col("fault"),
-        F.when(F.col("entry_count") == 0, F.lit("missing_entry_field")).when(F.col("entry_count") > 1, F.lit("duplicate_entry_field")),
+        F.when(F.size("entries") == 0, F.lit("missing_entry_field")).when(F.size("entries") > 1, F.lit("duplicate_entry_field")),
         F.when(~F.col("identifier").rlike(ENTRY_IDENTIFIER), F.lit("invalid_entry_identifier")),
-    )).drop("record_lines", "starts", "entry_count")
+    )).drop("record_lines", "starts", "entries", "tokens")
 
 
 def entry_fields(entries: DataFrame, *keys: str) -> DataFrame:
@@ -94,9 +96,8 @@ def module_definitions(entries: DataFrame) -> DataFrame:
             usable = usable & (F.size(lines) == 1)
         return F.when(usable, F.array_join(lines, " "))
 
-    parts = entries.filter("fault is null").select(
-        F.col("identifier").alias("module_id"), one("ENTRY").alias("entry"), one("NAME").alias("module_name"),
-        one("DEFINITION").alias("definition"))
+    parts = computed(entries.filter("fault is null").select(F.col("identifier").alias("module_id"), "fields"),
+                     entry=one("ENTRY"), module_name=one("NAME"), definition=one("DEFINITION")).drop("fields")
     first_token = F.regexp_extract(F.col("entry"), r"^(\S+)", 1)
     return parts.withColumn("fault", F.when(F.col("entry").isNull() | (first_token != F.col("module_id")), F.lit("ENTRY"))
                             .when(F.col("module_name").isNull(), F.lit("NAME"))

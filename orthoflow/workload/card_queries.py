@@ -60,7 +60,7 @@ LOCAL = {"v_card_lists": LONG}
 
 
 @query("scan_flat_file", """
-SELECT identifier, position, CAST(26 AS BIGINT) AS fields, CAST(NULL AS VARCHAR) AS fault FROM v_flat_text""")
+SELECT identifier, position, CAST(25 AS BIGINT) AS fields, CAST(NULL AS VARCHAR) AS fault FROM v_flat_text""")
 def scan_flat_file(spark, sf):
     return entries_of(Inputs(spark, sf)).select("identifier", "position", F.size("fields").cast("bigint").alias("fields"), "fault")
 
