@@ -138,7 +138,22 @@ def _cross_union(items: Column, cap: int) -> Column:
     return F.aggregate(items, start.cast(_SETS), combine)
 
 
-def leaf_truth(nodes: DataFrame, requests: DataFrame, accepted: DataFrame, key: str = "sample_id") -> DataFrame:
+# Values folded per node. Completion needs the short list only; KO sets are carried on request.
+TRUTH_VALUES = ("truth", "required", "any_matched")
+SET_VALUES = ("truth", "required", "any_matched", "matched", "missing", "truncated")
+
+
+def _values(sets: bool) -> tuple[str, ...]:
+    return SET_VALUES if sets else TRUTH_VALUES
+
+
+def _neutral() -> dict[str, Column]:
+    """What an optional part gives to its parent: true, nothing required, nothing matched or missing."""
+    return {"truth": F.lit(TRUE), "required": F.lit(0).cast("bigint"), "any_matched": F.lit(False),
+            "matched": F.array().cast("array<string>"), "missing": F.array().cast(_SETS), "truncated": F.lit(False)}
+
+
+def leaf_truth(nodes: DataFrame, requests: DataFrame, accepted: DataFrame, key: str = "sample_id", sets: bool = False) -> DataFrame:
     """Leaves of every requested module with their truth: accepted KO, missing KO, or unknown.
 
     ``requests`` has (key, root_id, module_id); references stay unknown until ``reference_truth``.
@@ -149,48 +164,56 @@ def leaf_truth(nodes: DataFrame, requests: DataFrame, accepted: DataFrame, key:
     hits = accepted.select(key, F.col("ko_id").alias("value"), F.lit(True).alias("present"))
     joined = rows.join(hits, [key, "value"], "left")
     is_ko, present = F.col("kind") == "ko", F.coalesce("present", F.lit(False))
-    none = F.array().cast(_SETS)
-    return joined.select(
-        key, "root_id", "module_id", "node_id", "block_index", "kind", "value", "path", "kinds",
-        F.when(is_ko & present, TRUE).when(is_ko, FALSE).otherwise(UNKNOWN).alias("truth"),
-        F.when(is_ko & present, F.array("value")).otherwise(F.array().cast("array<string>")).alias("matched"),
-        F.when(is_ko & ~present, F.array(F.array("value"))).otherwise(none).alias("missing"),
-        F.lit(False).alias("truncated"), F.lit(1).cast("bigint").alias("required"))
+    values = {
+        "truth": F.when(is_ko & present, TRUE).when(is_ko, FALSE).otherwise(UNKNOWN),
+        "required": F.lit(1).cast("bigint"),
+        "any_matched": is_ko & present,
+        "matched": F.when(is_ko & present, F.array("value")).otherwise(F.array().cast("array<string>")),
+        "missing": F.when(is_ko & ~present, F.array(F.array("value"))).otherwise(F.array().cast(_SETS)),
+        "truncated": F.lit(False),
+    }
+    return joined.select(key, "root_id", "module_id", "node_id", "block_index", "kind", "value", "path", "kinds",
+                         *[values[name].alias(name) for name in _values(sets)])
 
 
-def reference_truth(leaves: DataFrame, issues: DataFrame, results: DataFrame, key: str = "sample_id") -> DataFrame:
+def reference_truth(leaves: DataFrame, issues: DataFrame, results: DataFrame, key: str = "sample_id", sets: bool = False) -> DataFrame:
     """Give reference leaves the result of their target, unless the reference has an issue."""
     blocked = issues.select("root_id", "module_id", "node_id", F.lit(True).alias("blocked")).distinct()
-    targets = results.select(key, "root_id", F.col("module_id").alias("value"),
-                             *[F.col(c).alias(f"t_{c}") for c in ("truth", "matched", "missing", "truncated", "required")])
-    refs = leaves.join(blocked, ["root_id", "module_id", "node_id"], "left").join(
-        targets, [key, "root_id", "value"], "left")
+    names = _values(sets)
+    targets = results.select(key, "root_id", F.col("module_id").alias("value"), *[F.col(c).alias(f"t_{c}") for c in names])
+    refs = leaves.join(blocked, ["root_id", "module_id", "node_id"], "left").join(targets, [key, "root_id", "value"], "left")
     use = (F.col("kind") == "module_reference") & F.col("blocked").isNull() & F.col("t_truth").isNotNull()
-    return refs.select(*[F.when(use, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) if c in ("truth", "matched", "missing", "truncated", "required")
-                         else F.col(c) for c in leaves.columns])
+    return refs.select(*[F.when(use, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in leaves.columns])
+
 
+def _aggregate(grouped, kind: Column, child: Column, cap: int, sets: bool) -> DataFrame:
+    """Combine children: ``min`` for all-of, ``max`` for one-of, plus the KO sets when asked for."""
+    plain = [F.min("truth").alias("lowest"), F.max("truth").alias("highest"), F.sum("required").alias("required"),
+             F.bool_or("any_matched").alias("any_matched")]
+    if not sets:
+        return grouped.agg(*plain).withColumn("truth", F.when(kind == "or", F.col("highest")).otherwise(F.col("lowest")))
+    lacking = F.when(F.col("truth") == FALSE, F.struct(child.alias("child"), "missing", "truncated"))
+    collected = grouped.agg(
+        *plain, F.bool_or(F.col("truth") == UNKNOWN).alias("unknown"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"),
+        F.sort_array(F.collect_list(lacking)).alias("lacking"))
+    return _merge(collected, kind, cap)
 
-def fold_level(rows: DataFrame, level: int, key: str = "sample_id", cap: int = MAX_COMBINATIONS) -> DataFrame:
+
+def fold_level(rows: DataFrame, level: int, key: str = "sample_id", cap: int = MAX_COMBINATIONS, sets: bool = False) -> DataFrame:
     """Fold the rows at ``level`` into their parents; shallower rows pass through unchanged."""
     deep = F.size("path") == level
     optional = deep & (F.element_at("kinds", -1) == "optional")
-    none, no_sets = F.array().cast("array<string>"), F.array().cast(_SETS)
-    neutral = rows.select(
+    neutral, names = _neutral(), _values(sets)
+    lifted = rows.select(
         key, "root_id", "module_id", "block_index",
         F.when(deep, F.slice("path", 1, level - 1)).otherwise(F.col("path")).alias("path"),
         F.when(deep, F.slice("kinds", 1, level - 1)).otherwise(F.col("kinds")).alias("kinds"),
         F.element_at("path", -1).alias("child"),
-        F.when(optional, TRUE).otherwise(F.col("truth")).alias("truth"),
-        F.when(optional, none).otherwise(F.col("matched")).alias("matched"),
-        F.when(optional, no_sets).otherwise(F.col("missing")).alias("missing"),
-        F.when(optional, F.lit(False)).otherwise(F.col("truncated")).alias("truncated"),
-        F.when(optional, F.lit(0)).otherwise(F.col("required")).alias("required"))
-    grouped = neutral.groupBy(key, "root_id", "module_id", "block_index", "path", "kinds").agg(
-        F.min("truth").alias("lowest"), F.max("truth").alias("highest"), F.bool_or(F.col("truth") == UNKNOWN).alias("unknown"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"), F.sum("required").alias("required"),
-        F.sort_array(F.collect_list(F.when(F.col("truth") == FALSE, F.struct("child", "missing", "truncated")))).alias("lacking"))
-    return _merge(grouped, F.element_at("kinds", -1), cap).select(
-        key, "root_id", "module_id", "block_index", "path", "kinds", "truth", "matched", "missing", "truncated", "required")
+        *[F.when(optional, neutral[name]).otherwise(F.col(name)).alias(name) for name in names])
+    parents = ["root_id", "module_id", "block_index", "path", "kinds"]
+    folded = _aggregate(lifted.groupBy(key, *parents), F.element_at("kinds", -1), F.col("child"), cap, sets)
+    return folded.select(key, *parents, *names)
 
 
 def _merge(grouped: DataFrame, kind: Column, cap: int) -> DataFrame:
@@ -212,25 +235,22 @@ def _merge(grouped: DataFrame, kind: Column, cap: int) -> DataFrame:
     return computed(staged, missing=missing, truncated=truncated)
 
 
-def fold_blocks(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int = MAX_COMBINATIONS) -> tuple[DataFrame, DataFrame]:
+def fold_blocks(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int = MAX_COMBINATIONS,
+                sets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(blocks, optional parts). One shuffle places a module's leaves together; the levels reuse it."""
     rows = leaves.drop("node_id", "kind", "value").repartition(key, "root_id", "module_id")
     optionals = []
     for level in range(max_level, 1, -1):
-        rows = fold_level(rows, level, key, cap)
+        rows = fold_level(rows, level, key, cap, sets)
         optionals.append(rows.filter((F.size("path") == level - 1) & (F.element_at("kinds", -1) == "optional")))
-    return rows, reduce(DataFrame.unionByName, optionals) if optionals else rows.limit(0)
+    return rows, reduce(DataFrame.unionByName, optionals) if optionals else rows.filter(F.lit(False))
 
 
-def fold_modules(blocks: DataFrame, key: str = "sample_id", cap: int = MAX_COMBINATIONS) -> DataFrame:
+def fold_modules(blocks: DataFrame, key: str = "sample_id", cap: int = MAX_COMBINATIONS, sets: bool = False) -> DataFrame:
     """A referenced module is all of its blocks; without a required part it is unknown."""
-    grouped = blocks.groupBy(key, "root_id", "module_id").agg(
-        F.min("truth").alias("lowest"), F.max("truth").alias("highest"), F.bool_or(F.col("truth") == UNKNOWN).alias("unknown"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"), F.sum("required").alias("required"),
-        F.sort_array(F.collect_list(F.when(F.col("truth") == FALSE, F.struct(F.col("block_index").alias("child"), "missing", "truncated")))).alias("lacking"))
-    merged = _merge(grouped, F.lit("and"), cap)
-    return merged.withColumn("truth", F.when(F.col("required") == 0, UNKNOWN).otherwise(F.col("truth"))).select(
-        key, "root_id", "module_id", "truth", "matched", "missing", "truncated", "required")
+    folded = _aggregate(blocks.groupBy(key, "root_id", "module_id"), F.lit("and"), F.col("block_index"), cap, sets)
+    return folded.withColumn("truth", F.when(F.col("required") == 0, UNKNOWN).otherwise(F.col("truth"))).select(
+        key, "root_id", "module_id", *_values(sets))
 
 
 def heights(reachable: DataFrame, edges: DataFrame, issues: DataFrame, max_depth: int = MAX_REFERENCE_DEPTH) -> DataFrame:
@@ -252,9 +272,11 @@ def heights(reachable: DataFrame, edges: DataFrame, issues: DataFrame, max_depth
 
 
 def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, key: str = "sample_id",
-             cap: int = MAX_COMBINATIONS) -> dict[str, DataFrame]:
+             cap: int = MAX_COMBINATIONS, sets: bool = True) -> dict[str, DataFrame]:
     """Evaluate every requested (set, module): blocks, optional parts, issues and facts per root.
 
+    ``sets=False`` leaves out matched and missing KO sets, which completion does not need.
+
     The parsed definitions are written once (checkpoint) and reused. Modules are evaluated in order of
     their reference height; each (set, root, module) is computed once and joined where it is referenced.
     """
@@ -272,52 +294,52 @@ def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, k
     results, root_blocks, root_optional = None, [], []
     for height in range(max_height + 1):
         now = pairs.filter(F.col("height") == height).drop("height")
-        leaves = leaf_truth(nodes, now, accepted, key)
+        leaves = leaf_truth(nodes, now, accepted, key, sets)
         if results is not None:
-            leaves = reference_truth(leaves, issues, results, key)
-        blocks, optional = fold_blocks(leaves, max_level, key, cap)
+            leaves = reference_truth(leaves, issues, results, key, sets)
+        blocks, optional = fold_blocks(leaves, max_level, key, cap, sets)
         root_blocks.append(blocks.filter("root_id = module_id"))
         root_optional.append(optional)
         if height < max_height:
-            folded = cut_lineage(fold_modules(blocks, key, cap))
+            folded = cut_lineage(fold_modules(blocks, key, cap, sets))
             results = folded if results is None else results.unionByName(folded)
     tainted = reachable.join(validity.select("module_id", "unsupported"), "module_id").groupBy("root_id").agg(
         F.bool_or("unsupported").alias("unsupported"))
     facts = roots.select(F.col("module_id").alias("root_id")).join(
         validity.select(F.col("module_id").alias("root_id"), "is_valid"), "root_id").join(tainted, "root_id", "left")
     return {
-        "blocks": block_states(reduce(DataFrame.unionByName, root_blocks), facts, key),
-        "optional": optional_states(reduce(DataFrame.unionByName, root_optional), facts, key),
+        "blocks": block_states(reduce(DataFrame.unionByName, root_blocks), facts, key, sets),
+        "optional": optional_states(reduce(DataFrame.unionByName, root_optional), facts, key, sets),
         "issues": issues, "facts": facts, "nodes": nodes, "parsed": parsed, "reachable": reachable,
     }
 
 
 # --- results -----------------------------------------------------------------------------------
 
-def block_states(blocks: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def block_states(blocks: DataFrame, facts: DataFrame, key: str, sets: bool = True) -> DataFrame:
     """State of each required block. Unsupported content anywhere below the root makes all unknown."""
     joined = blocks.join(facts, "root_id")
-    empty = (F.col("required") == 0) & ~F.col("unsupported")
-    truth = F.when(F.col("unsupported") | (F.col("required") == 0), UNKNOWN).otherwise(F.col("truth"))
     hidden = F.col("unsupported") | (F.col("required") == 0)
+    truth = F.when(hidden, UNKNOWN).otherwise(F.col("truth"))
+    neutral = _neutral()
+    members = [F.when(hidden, neutral[name]).otherwise(F.col(name)).alias(name) for name in ("matched", "missing", "truncated")] if sets else []
     return joined.select(
-        key, F.col("root_id").alias("module_id"), "block_index", truth.alias("truth"), empty.alias("no_required"),
+        key, F.col("root_id").alias("module_id"), "block_index", truth.alias("truth"),
+        ((F.col("required") == 0) & ~F.col("unsupported")).alias("no_required"),
         F.when(truth == TRUE, F.lit("complete")).when(truth == FALSE, F.lit("incomplete")).otherwise(F.lit("not_evaluable")).alias("state"),
-        F.when(hidden, F.array().cast("array<string>")).otherwise(F.col("matched")).alias("matched"),
-        F.when(hidden, F.array().cast(_SETS)).otherwise(F.col("missing")).alias("missing"),
-        (F.col("truncated") & ~hidden).alias("truncated"), "required")
+        "required", *members)
 
 
-def optional_states(optional: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def optional_states(optional: DataFrame, facts: DataFrame, key: str, sets: bool = True) -> DataFrame:
     """Optional parts of the root and of referenced modules."""
     joined = optional.join(facts, "root_id")
     state = (
         F.when(F.col("unsupported") | (F.col("truth") == UNKNOWN), F.lit("not_evaluable"))
         .when(F.col("truth") == TRUE, F.lit("present"))
-        .when(F.size("matched") > 0, F.lit("partially_present")).otherwise(F.lit("absent")))
+        .when(F.col("any_matched"), F.lit("partially_present")).otherwise(F.lit("absent")))
+    matched = [F.when(F.col("unsupported"), _neutral()["matched"]).otherwise(F.col("matched")).alias("matched")] if sets else []
     return joined.select(key, F.col("root_id").alias("module_id"), F.col("module_id").alias("source_module_id"),
-                         F.element_at("path", -1).alias("node_id"), state.alias("state"),
-                         F.when(F.col("unsupported"), F.array().cast("array<string>")).otherwise(F.col("matched")).alias("matched"))
+                         F.element_at("path", -1).alias("node_id"), state.alias("state"), *matched)
 
 
 def module_completion(requests: DataFrame, blocks: DataFrame, key: str = "sample_id") -> DataFrame:

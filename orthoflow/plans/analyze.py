@@ -27,7 +27,7 @@ def analyze_targets(records: DataFrame, relations: DataFrame, pathways: DataFram
     targets = V.link_targets(links)
     coverage = V.coverage(top_pathways, accepted, V.pathway_kos(targets), V.build_reference(pathways, targets), key)
     requests = top_modules.join(modules.select("module_id", "module_name"), "module_id")
-    evaluated = M.evaluate(requests, modules, accepted, key)
+    evaluated = M.evaluate(requests, modules, accepted, key, sets=False)
     return {
         "accepted": accepted, "pathway_ranking": rankings["ko_to_pathway"], "module_ranking": rankings["ko_to_module"],
         "coverage": coverage, "completion": M.module_completion(requests, evaluated["blocks"], key), "blocks": evaluated["blocks"],

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.operators import compare as C
 from orthoflow.operators import modules as M
+from orthoflow.session import cut_lineage
 from orthoflow.workload.registry import query
 from orthoflow.workload.views import Inputs, digits, ko, union
 
@@ -14,10 +15,11 @@ def parsed_of(data: Inputs):
     return M.parsed_definitions(data.view("v_modules"))
 
 
-def evaluated(data: Inputs, key: str = "sample_id"):
+def evaluated(data: Inputs, key: str = "sample_id", sets: bool = False):
     requests = data.view("v_module_requests" if key == "sample_id" else "v_set_module_requests").join(
         data.view("v_modules").select("module_id", "module_name"), "module_id")
-    return requests, M.evaluate(requests, data.view("v_modules"), data.accepted(key), key)
+    # Each height of the reference graph reads the accepted pairs again, so they are written once.
+    return requests, M.evaluate(requests, data.view("v_modules"), cut_lineage(data.accepted(key)), key, sets=sets)
 
 
 _KINDS = """
@@ -181,7 +183,7 @@ UNION ALL SELECT sample_id, module_id, array_to_string(list_filter([CASE WHEN u5
 def matched_kos(spark, sf):
     """Second blocks of one template, and blocks matched inside a referenced module."""
     data = Inputs(spark, sf)
-    _, result = evaluated(data)
+    _, result = evaluated(data, sets=True)
     wanted = data.view("v_modules").selectExpr("module_id", "case n % 10 when 1 then 2 when 2 then 1 end as block_index").filter("block_index is not null")
     return result["blocks"].join(wanted, ["module_id", "block_index"], "left_semi").select("sample_id", "module_id", F.array_join("matched", ";").alias("matched"))
 
@@ -201,7 +203,7 @@ UNION ALL SELECT sample_id, module_id, 1, {ko('(n + 1) * 31 + 5')} || '|' || {ko
 def missing_alternatives(spark, sf):
     """Blocks of three templates: conjunction, alternatives with a conjunction, and a reference."""
     data = Inputs(spark, sf)
-    _, result = evaluated(data)
+    _, result = evaluated(data, sets=True)
     wanted = data.view("v_modules").selectExpr("module_id", "case n % 10 when 1 then 2 when 2 then 1 when 9 then 1 end as block_index").filter("block_index is not null")
     rows = M.missing_alternatives(result["blocks"].join(wanted, ["module_id", "block_index"], "left_semi"), 64)
     return rows.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: F.array_join(a, "+")), "|"))
@@ -210,7 +212,7 @@ def missing_alternatives(spark, sf):
 @query("module_warnings", """
 SELECT sample_id, module_id, CASE n % 10 WHEN 5 THEN 'REFERENCE_CYCLE;PARTIAL_EVALUATION' WHEN 6 THEN 'UNSUPPORTED_CONTENT' WHEN 7 THEN 'UNSUPPORTED_CONTENT' WHEN 8 THEN CASE WHEN a4 THEN 'UNRESOLVED_REFERENCE' ELSE 'UNRESOLVED_REFERENCE;PARTIAL_EVALUATION' END ELSE '' END AS warnings FROM v_truth""", _EVAL)
 def module_warnings(spark, sf):
-    requests, result = evaluated(Inputs(spark, sf))
+    requests, result = evaluated(Inputs(spark, sf), sets=True)
     completion = M.module_completion(requests, result["blocks"])
     return M.module_warnings(completion, result["blocks"], result["issues"], result["facts"], 64).withColumn("warnings", F.array_join("warnings", ";"))
 
