@@ -61,11 +61,11 @@ def module_components(spark, sf):
 
 
 @query("module_tree", """
-SELECT module_id, CASE n % 10 WHEN 0 THEN 3 WHEN 9 THEN 5 ELSE 3 END AS depth, CASE n % 10 WHEN 0 THEN 2 WHEN 9 THEN 5 ELSE 0 END AS optional_nodes, n % 10 = 6 AS has_unsupported FROM v_modules WHERE n % 10 IN (0, 9)""")
+SELECT module_id, CASE n % 10 WHEN 0 THEN 3 WHEN 2 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 9 THEN 5 WHEN 1 THEN 4 ELSE 3 END AS depth, CASE n % 10 WHEN 0 THEN 2 WHEN 9 THEN 5 ELSE 0 END AS optional_nodes, n % 10 = 6 AS has_unsupported FROM v_modules WHERE n % 10 <> 7""")
 def module_tree(spark, sf):
     tree = M.module_tree(M.module_nodes(parsed_of(Inputs(spark, sf))))
-    grouped = tree.groupBy("module_id").agg(F.max("depth").alias("depth"), F.count_if("optional").cast("int").alias("optional_nodes"), F.bool_or("unsupported").alias("has_unsupported"))
-    return grouped.filter("optional_nodes > 0")
+    return tree.groupBy("module_id").agg(
+        F.max("depth").alias("depth"), F.count_if("optional").cast("int").alias("optional_nodes"), F.bool_or("unsupported").alias("has_unsupported"))
 
 
 _REFS = f"""SELECT module_id, CASE n % 10 WHEN 2 THEN 'M' || {digits('n + 1')} WHEN 4 THEN 'M' || {digits('n - 1')} WHEN 5 THEN module_id ELSE 'M' || {digits('n + 900')} END AS target_id, n FROM v_modules WHERE n % 10 IN (2, 4, 5, 8)"""
@@ -98,7 +98,7 @@ def _flags(accepted: str, key: str) -> str:
 def _truth(accepted: str, requests: str, key: str) -> str:
     t = lambda c: f"CASE WHEN {c} THEN 2 ELSE 0 END"
     return f"""
-SELECT {key}, module_id, module_name, n, a1, a4, a5, a6, a7, a8, a9, u5, u6, d5, d6, CASE n % 10 WHEN 0 THEN [{t('a0')}, {t('a4')}] WHEN 1 THEN [{t('a4')}, {t('(a5 OR a6) AND a7')}] WHEN 2 THEN [{t('u5 OR u6')}, {t('a4')}] WHEN 3 THEN [{t('a5 OR a6')}]
+SELECT {key}, module_id, module_name, n, a0, a1, a4, a5, a6, a7, a8, a9, u5, u6, d5, d6, CASE n % 10 WHEN 0 THEN [{t('a0')}, {t('a4')}] WHEN 1 THEN [{t('a4')}, {t('(a5 OR a6) AND a7')}] WHEN 2 THEN [{t('u5 OR u6')}, {t('a4')}] WHEN 3 THEN [{t('a5 OR a6')}]
   WHEN 4 THEN [{t('d5 OR d6 OR a8')}, {t('a9')}] WHEN 5 THEN [1, {t('a4')}] WHEN 6 THEN [1, 1, 1] WHEN 7 THEN []::INTEGER[] WHEN 8 THEN [CASE WHEN a4 THEN 2 ELSE 1 END, {t('a5')}] ELSE [{t('(a4 AND a5) OR a6')}, {t('a7')}] END AS truth
 FROM (SELECT {key}, module_id, module_name, n, {_flags(accepted, key)} FROM {requests} JOIN v_modules USING (module_id)) AS f"""
 
@@ -116,17 +116,19 @@ _EVAL = {"v_truth": _truth("v_accepted", "v_module_requests", "sample_id"), "v_s
 COMPLETION = ("module_id", "module_name", "required_block_count", "completed_required_blocks", "evaluable_required_blocks", "module_status", "is_complete", "block_coverage")
 
 
+_LEAVES = {0: "014", 1: "4567", 2: "4", 3: "56", 4: "89", 5: "4", 6: "45", 7: "", 8: "45", 9: "456789"}
+_PRESENT = "CASE n % 10 " + " ".join(f"WHEN {t} THEN " + (" + ".join(f"CAST(a{d} AS INT)" for d in ds) or "0") for t, ds in _LEAVES.items()) + " END"
+_LEAF_KOS = "CASE n % 10 " + " ".join(f"WHEN {t} THEN {len(ds)}" for t, ds in _LEAVES.items()) + " END"
+
+
 @query("leaf_truth", f"""
-SELECT sample_id, n % 10 AS template, v.offset_no AS offset_no, count(*) FILTER (WHERE ok) AS present, count(*) AS leaves FROM (SELECT * FROM v_truth WHERE n % 10 IN (1, 3)) t, LATERAL (VALUES (4, a4), (5, a5), (6, a6), (7, a7)) AS v(offset_no, ok)
-WHERE n % 10 = 1 OR v.offset_no IN (5, 6) GROUP BY ALL""", _EVAL)
+SELECT sample_id, CAST(sum({_PRESENT}) AS BIGINT) AS present, CAST(sum({_LEAF_KOS}) - sum({_PRESENT}) AS BIGINT) AS absent, CAST(sum(CASE WHEN n % 10 IN (2, 4, 5, 6, 8) THEN 1 ELSE 0 END) AS BIGINT) AS unknown FROM v_truth GROUP BY 1""", _EVAL)
 def leaf_truth(spark, sf):
     data = Inputs(spark, sf)
-    modules = data.view("v_modules").filter("n % 10 in (1, 3)")
     requests = data.view("v_module_requests").select("sample_id", "module_id", F.col("module_id").alias("root_id"))
-    leaves = M.leaf_truth(M.module_nodes(M.parsed_definitions(modules)), requests, data.accepted())
-    labelled = leaves.join(modules.select("module_id", "n"), "module_id").withColumn("offset_no", (F.substring("value", 2, 5).cast("int") - F.col("n") * 31).cast("int"))
-    return labelled.groupBy("sample_id", (F.col("n") % 10).cast("int").alias("template"), "offset_no").agg(
-        F.count_if(F.col("truth") == M.TRUE).alias("present"), F.count("*").alias("leaves"))
+    leaves = M.leaf_truth(M.module_nodes(parsed_of(data)), requests, data.accepted())
+    count = lambda truth: F.count_if(F.col("truth") == truth)
+    return leaves.groupBy("sample_id").agg(count(M.TRUE).alias("present"), count(M.FALSE).alias("absent"), count(M.UNKNOWN).alias("unknown"))
 
 
 @query("module_completion", "SELECT * FROM v_completion", _EVAL)
@@ -141,11 +143,13 @@ def batch_modules(spark, sf):
     return M.module_completion(requests, result["blocks"], "dataset_id").select("dataset_id", "module_id", "module_status", "completed_required_blocks", "block_coverage")
 
 
-@query("fold_truth", "SELECT sample_id, module_id, unnest(truth) AS truth, generate_subscripts(truth, 1) AS block_index FROM v_truth WHERE n % 10 IN (0, 1, 3, 9)", _EVAL)
+@query("fold_truth", """
+SELECT sample_id, module_id, unnest(t) AS truth, generate_subscripts(t, 1) AS block_index FROM (SELECT sample_id, module_id, CASE n % 10 WHEN 2 THEN [1, CASE WHEN a4 THEN 2 ELSE 0 END]
+  WHEN 4 THEN [CASE WHEN a8 THEN 2 ELSE 1 END, CASE WHEN a9 THEN 2 ELSE 0 END] WHEN 6 THEN [CASE WHEN a4 THEN 2 ELSE 0 END, 1, CASE WHEN a5 THEN 2 ELSE 0 END] ELSE truth END AS t FROM v_truth) AS f""", _EVAL)
 def fold_truth(spark, sf):
-    """Definitions without references, folded directly."""
+    """The fold alone: references and unsupported leaves stay unknown."""
     data = Inputs(spark, sf)
-    nodes = M.module_nodes(M.parsed_definitions(data.view("v_modules").filter("n % 10 in (0, 1, 3, 9)")))
+    nodes = M.module_nodes(parsed_of(data))
     requests = data.view("v_module_requests").select("sample_id", "module_id", F.col("module_id").alias("root_id"))
     blocks, _ = M.fold_blocks(M.leaf_truth(nodes, requests, data.accepted()), max_level=5)
     return blocks.select("sample_id", "module_id", "truth", F.col("block_index").cast("bigint").alias("block_index"))
@@ -153,11 +157,11 @@ def fold_truth(spark, sf):
 
 @query("reference_truth", "SELECT sample_id, module_id, truth[1] AS truth FROM v_truth WHERE n % 10 IN (2, 4, 5, 8)", _EVAL)
 def reference_truth(spark, sf):
-    """First blocks of the modules that refer to others."""
+    """Blocks that hold a reference to another module."""
     data = Inputs(spark, sf)
     _, result = evaluated(data)
-    referring = data.view("v_modules").filter("n % 10 in (2, 4, 5, 8)").select("module_id")
-    return result["blocks"].filter("block_index = 1").join(referring, "module_id", "left_semi").select("sample_id", "module_id", "truth")
+    referring = result["nodes"].filter("kind = 'module_reference'").select("module_id", "block_index")
+    return result["blocks"].join(referring, ["module_id", "block_index"], "left_semi").select("sample_id", "module_id", "truth")
 
 
 @query("block_states", """
@@ -177,15 +181,24 @@ def optional_states(spark, sf):
     return result["optional"].select("sample_id", "module_id", "state")
 
 
-@query("matched_kos", f"""
-SELECT sample_id, module_id, array_to_string(list_filter([CASE WHEN a5 THEN {_k(5)} END, CASE WHEN a6 THEN {_k(6)} END, CASE WHEN a7 THEN {_k(7)} END], lambda x: x IS NOT NULL), ';') AS matched FROM v_truth WHERE n % 10 = 1
-UNION ALL SELECT sample_id, module_id, array_to_string(list_filter([CASE WHEN u5 THEN {ko('(n + 1) * 31 + 5')} END, CASE WHEN u6 THEN {ko('(n + 1) * 31 + 6')} END], lambda x: x IS NOT NULL), ';') FROM v_truth WHERE n % 10 = 2""", _EVAL)
+def _member(flag: str) -> str:
+    """KO text behind a flag: ``a`` of the module itself, ``u`` of the next one, ``d`` of the one before."""
+    shift = {"a": "n", "u": "(n + 1)", "d": "(n - 1)"}[flag[0]]
+    return ko(f"{shift} * 31 + {flag[1]}")
+
+
+_BLOCK_MEMBERS = {0: ("a0", "a4"), 1: ("a4", "a5 a6 a7"), 2: ("u5 u6", "a4"), 3: ("a5 a6",), 4: ("d5 d6 a8", "a9"), 5: ("", "a4"), 6: ("", "", ""), 8: ("a4", "a5"), 9: ("a4 a5 a6", "a7")}
+_MATCHED = " UNION ALL ".join(
+    f"SELECT sample_id, module_id, {i} AS block_index, " + (
+        "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {f} THEN {_member(f)} END" for f in flags.split()) + "], lambda x: x IS NOT NULL), ';')" if flags else "''")
+    + f" AS matched FROM v_truth WHERE n % 10 = {t}" for t, blocks in _BLOCK_MEMBERS.items() for i, flags in enumerate(blocks, 1))
+
+
+@query("matched_kos", _MATCHED, _EVAL)
 def matched_kos(spark, sf):
-    """Second blocks of one template, and blocks matched inside a referenced module."""
-    data = Inputs(spark, sf)
-    _, result = evaluated(data, sets=True)
-    wanted = data.view("v_modules").selectExpr("module_id", "case n % 10 when 1 then 2 when 2 then 1 end as block_index").filter("block_index is not null")
-    return result["blocks"].join(wanted, ["module_id", "block_index"], "left_semi").select("sample_id", "module_id", F.array_join("matched", ";").alias("matched"))
+    """KOs found in each block, also inside referenced modules; optional parts do not count."""
+    _, result = evaluated(Inputs(spark, sf), sets=True)
+    return result["blocks"].select("sample_id", "module_id", "block_index", F.array_join("matched", ";").alias("matched"))
 
 
 @query("required_component_count", """
@@ -195,17 +208,19 @@ def required_component_count(spark, sf):
     return result["blocks"].groupBy("sample_id", "module_id").agg(F.sum("required").alias("required"))
 
 
-@query("missing_alternatives", f"""
-SELECT sample_id, module_id, 2 AS block_index, CASE WHEN NOT (a5 OR a6) AND NOT a7 THEN {_k(5)} || '+' || {_k(7)} || '|' || {_k(6)} || '+' || {_k(7)} WHEN NOT a7 THEN {_k(7)} ELSE {_k(5)} || '|' || {_k(6)} END AS alternatives, false AS truncated FROM v_truth WHERE n % 10 = 1 AND truth[2] = 0
-UNION ALL SELECT sample_id, module_id, 1, {_k(6)} || '|' || CASE WHEN NOT a4 AND NOT a5 THEN {_k(4)} || '+' || {_k(5)} WHEN a4 THEN {_k(5)} ELSE {_k(4)} END, false FROM v_truth WHERE n % 10 = 9 AND truth[1] = 0 AND NOT a4 AND NOT a5
-UNION ALL SELECT sample_id, module_id, 1, CASE WHEN a4 THEN {_k(5)} || '|' || {_k(6)} ELSE {_k(4)} || '|' || {_k(6)} END, false FROM v_truth WHERE n % 10 = 9 AND truth[1] = 0 AND (a4 OR a5)
-UNION ALL SELECT sample_id, module_id, 1, {ko('(n + 1) * 31 + 5')} || '|' || {ko('(n + 1) * 31 + 6')}, false FROM v_truth WHERE n % 10 = 2 AND truth[1] = 0""", _EVAL)
+_ONE_OF = {(0, 1): "a0", (0, 2): "a4", (1, 1): "a4", (2, 1): "u5 u6", (2, 2): "a4", (3, 1): "a5 a6", (4, 1): "d5 d6 a8", (4, 2): "a9", (5, 2): "a4", (8, 2): "a5", (9, 2): "a7"}
+_MISSING = " UNION ALL ".join(
+    f"SELECT sample_id, module_id, {i} AS block_index, " + " || '|' || ".join(_member(f) for f in flags.split()) + f" AS alternatives, false AS truncated FROM v_truth WHERE n % 10 = {t} AND truth[{i}] = 0"
+    for (t, i), flags in _ONE_OF.items())
+
+
+@query("missing_alternatives", _MISSING + f"""
+UNION ALL SELECT sample_id, module_id, 2, CASE WHEN NOT (a5 OR a6) AND NOT a7 THEN {_k(5)} || '+' || {_k(7)} || '|' || {_k(6)} || '+' || {_k(7)} WHEN NOT a7 THEN {_k(7)} ELSE {_k(5)} || '|' || {_k(6)} END, false FROM v_truth WHERE n % 10 = 1 AND truth[2] = 0
+UNION ALL SELECT sample_id, module_id, 1, CASE WHEN NOT a4 AND NOT a5 THEN {_k(6)} || '|' || {_k(4)} || '+' || {_k(5)} WHEN a4 THEN {_k(5)} || '|' || {_k(6)} ELSE {_k(4)} || '|' || {_k(6)} END, false FROM v_truth WHERE n % 10 = 9 AND truth[1] = 0""", _EVAL)
 def missing_alternatives(spark, sf):
-    """Blocks of three templates: conjunction, alternatives with a conjunction, and a reference."""
-    data = Inputs(spark, sf)
-    _, result = evaluated(data, sets=True)
-    wanted = data.view("v_modules").selectExpr("module_id", "case n % 10 when 1 then 2 when 2 then 1 when 9 then 1 end as block_index").filter("block_index is not null")
-    rows = M.missing_alternatives(result["blocks"].join(wanted, ["module_id", "block_index"], "left_semi"), 64)
+    """Every incomplete block of every requested module."""
+    _, result = evaluated(Inputs(spark, sf), sets=True)
+    rows = M.missing_alternatives(result["blocks"], 64)
     return rows.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: F.array_join(a, "+")), "|"))
 
 
