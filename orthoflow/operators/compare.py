@@ -93,11 +93,15 @@ def sample_labels(records: DataFrame) -> DataFrame:
 
 
 def source_signatures(sources: DataFrame) -> DataFrame:
-    """Ordered source identities of each dataset as one fingerprint."""
-    one = F.struct("source_no", *SOURCE_IDENTITY)
-    listed = F.sort_array(F.collect_list(one))
-    bare = F.transform(listed, lambda s: F.struct(*[s[name].alias(name) for name in SOURCE_IDENTITY]))
-    return sources.groupBy("dataset_id").agg(F.sha2(F.to_json(bare), 256).alias("signature"))
+    """Fingerprint of each dataset's source identities as a multiset.
+
+    Count, sum and xor of two hashes combine map-side, so a dataset with very many sources is never
+    listed in one place.
+    """
+    identity = [F.coalesce(F.col(name), F.lit("\0")) for name in SOURCE_IDENTITY]
+    hashed = sources.withColumns({"h": F.xxhash64(*identity), "g": F.xxhash64(F.lit("second"), *identity)})
+    return hashed.groupBy("dataset_id").agg(
+        F.concat_ws(":", F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("g")).alias("signature"))
 
 
 def comparison_warnings(inputs: DataFrame, sources: DataFrame, records: DataFrame) -> DataFrame:

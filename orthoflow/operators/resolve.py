@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orthoflow.functions import identifiers as I
@@ -186,8 +187,11 @@ def taxonomy_rank_match(requests: DataFrame, taxonomy: DataFrame, genomes: DataF
 
 
 def organism_pathway_summary(directory: DataFrame, preview: int) -> DataFrame:
-    """Pathways per organism with the first few in directory order (one organism has a few hundred)."""
-    listed = directory.groupBy("organism").agg(
-        F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("line_no", "pathway_id"))).alias("rows"))
-    return listed.select("organism", "total", F.transform(F.slice("rows", 1, preview), lambda r: r["pathway_id"]).alias("preview"),
-                         (F.col("total") > preview).alias("truncated"))
+    """Pathways per organism with the first few in directory order.
+
+    Only the first ``preview`` rows of an organism are kept for the list; the count is separate.
+    """
+    first = directory.withColumn("no", F.row_number().over(W.partitionBy("organism").orderBy("line_no"))).filter(F.col("no") <= preview)
+    shown = first.groupBy("organism").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "pathway_id"))), lambda r: r["pathway_id"]).alias("preview"))
+    totals = directory.groupBy("organism").agg(F.count("*").alias("total"))
+    return totals.join(shown, "organism").select("organism", "total", "preview", (F.col("total") > preview).alias("truncated"))
