@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup
+from orthoflow.llm import exact_dedup, line_dedup, near_dedup, quality
 from orthoflow.llm.common import read_table
 from orthoflow.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -18,3 +19,54 @@ FROM texts WINDOW same AS (PARTITION BY norm)
 """)
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op7_near_dedup", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+rows_of AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+firsts AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY 2),
+node_rows AS (SELECT r.doc_id, r.n, hash(r.g) AS g FROM rows_of r JOIN firsts f USING (doc_id)),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM node_rows a JOIN node_rows b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM firsts UNION SELECT l.v, r.seen FROM reach r JOIN links l ON l.u = r.node WHERE r.seen < l.v),
+labels AS (SELECT node, min(seen) AS label FROM reach GROUP BY node),
+named AS (SELECT s.doc_id, len(s.s) AS n, l.label FROM sets s LEFT JOIN firsts f ON f.s = list_sort(s.s) LEFT JOIN labels l ON l.node = f.doc_id)
+SELECT doc_id, n AS n_shingles, coalesce(label, doc_id) AS component_id, coalesce(label, doc_id) = doc_id AS kept FROM named
+""")
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_components(read_table(spark, folder, "documents", "doc_id", "text"), width=3, num=85, den=100)
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "labels"))
+
+
+@query("op6_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM lines),
+keyed AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each),
+shared AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (
+  SELECT e.*, coalesce(e.doc_id > s.first_doc, false) AS gone FROM keyed e LEFT JOIN shared s USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, line_dedup.insert(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
