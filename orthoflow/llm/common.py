@@ -168,3 +168,11 @@ def shingle_sets(array: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield short_shingle(hashes[a:b], width)
             else:
                 yield np.zeros(0, _U64)
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``frame`` has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -7,15 +7,14 @@ Documents are linked when the Jaccard similarity of their word-shingle sets is a
    Texts with equal sets are one *node* from here on, so exact copies cost one row.
 2. *Bands*: nodes that share a band of the signature meet in a bucket. The number of bands follows from
    the threshold so that a pair at the threshold misses all bands with probability ``miss`` at most.
-3. *Proposals*: in a bucket, signatures are compared batch by batch; after each batch the pairs whose
-   posterior probability of reaching the threshold is below ``miss`` are pruned. First every node
-   proposes the bucket's smallest node; later it proposes its most similar untried nodes of other
-   components, four times as many each round, until no untried pair is left. So the number of proposals
-   follows the number of nodes, not the pairs in a group, and every link between components is found.
-4. *Confirmation*: proposals are decided on full shingle sets. Links are contracted into components with
-   star operations; the links stay distributed.
+3. *Verification* inside a bucket: signatures are compared batch by batch; after each batch the pairs whose
+   posterior probability of reaching the threshold is below ``miss`` are pruned. Survivors are decided on
+   full shingle sets. Pairs that are already connected in the bucket are skipped, so a bucket yields a
+   spanning forest of its links: at most one row per node, however many pairs a group has.
+4. *Components*: the forests' links are contracted with star operations; they stay distributed.
 
-Buckets beyond ``tile`` nodes are dealt out by pairs of tiles, so no task holds a whole hot bucket.
+Buckets with the same nodes (a group of copies shares most bands) are verified once. A bucket of more than
+``tile`` shingles is dealt out by pairs of tiles, so no task holds a whole hot bucket.
 
 Null and blank texts have no shingles, component_id = doc_id and no links; a text with fewer words than
 a shingle is one shingle. Rows with a null id are linked with nothing and get a null component_id.
@@ -40,8 +39,8 @@ HASHES = 128
 BAND_ROWS = 4
 BATCH = 16
 MISS = 1e-6
-TILE = 2048
-TRIES = 8
+TILE = 4_000_000
+BITS = 1 << 29
 SKETCH = "doc_id long, n_shingles long, _key binary, _sign binary"
 _A = (_series(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_series(102, HASHES) >> np.uint64(32)).astype(np.uint32)
@@ -129,58 +128,60 @@ def _passing(signs: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.n
     return left, right, matches
 
 
-def _propose(num: int, den: int, steps, tries: int):
-    """Per bucket (or pair of tiles): each node's best ``tries`` partners in other components."""
+class Sets:
+    """Exact intersections of a bucket's shingle sets, as bit rows over the shingles that two or more have."""
+
+    def __init__(self, ids: list[np.ndarray]):
+        self.ids, self.bits = ids, None
+        known, place, n = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+        width = int((n > 1).sum())
+        if width * len(ids) <= BITS:
+            column = np.cumsum(n > 1) - 1
+            row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            both = n[place] > 1
+            self.bits = np.zeros((len(ids), max(1, -(-width // 64)) * 8), np.uint8)
+            np.bitwise_or.at(self.bits, (row[both], column[place[both]] >> 3), np.uint8(1) << (column[place[both]] & 7).astype(np.uint8))
+            self.bits = self.bits.view(np.uint64)
+
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[one] & self.bits[others]).sum(axis=1, dtype=np.int64)
+        return np.array([len(np.intersect1d(self.ids[one], self.ids[k], assume_unique=True)) for k in others], np.int64)
+
+
+def _verify(num: int, den: int, steps):
+    """Per bucket (or pair of tiles): a spanning forest of the links."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), rows in _grouped(batches, ("_band", "_low", "_high")):
-            nodes, parts = np.array(rows["node"], np.int64), np.array(rows["part"], np.int64)
-            tiles, sizes = np.array(rows["_tile"], np.int64), np.array(rows["n_shingles"], np.int64)
-            signs = np.frombuffer(b"".join(rows["_sign"]), np.uint32).reshape(-1, HASHES)
+            nodes, tiles = np.array(rows["node"], np.int64), np.array(rows["_tile"], np.int64)
+            ids = [np.frombuffer(x, np.uint64) for x in rows["_ids"]]
+            sizes = np.array([len(x) for x in ids], np.int64)
             order = np.lexsort((nodes, sizes))
-            nodes, parts, tiles, sizes, signs = nodes[order], parts[order], tiles[order], sizes[order], signs[order]
-            found: list[tuple] = []
+            nodes, tiles, sizes, ids = nodes[order], tiles[order], sizes[order], [ids[k] for k in order]
+            signs = np.frombuffer(b"".join(rows["_sign"]), np.uint32).reshape(-1, HASHES)[order]
+            sets, root, u, v = None, np.arange(len(nodes)), [], []
             for i in range(len(nodes)):  # rows are in order of size: partners end where sizes cannot fit
                 end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))
                 other = np.arange(i + 1, end)
-                other = other[parts[other] != parts[i]]
+                other = other[root[other] != root[i]]
                 if low != high:
                     other = other[tiles[other] != tiles[i]]
-                if len(other):
-                    found.append(_passing(signs, np.full(len(other), i), other, sizes, num, den, steps))
-            if not found:
-                continue
-            left, right, matches = (np.concatenate(c) for c in zip(*found))
-            ends = np.concatenate([left, right])
-            partner, score = np.concatenate([right, left]), np.concatenate([matches, matches])
-            best = np.lexsort((nodes[partner], -score, ends))
-            ends, partner = ends[best], partner[best]
-            rank = np.arange(len(ends)) - np.searchsorted(ends, ends, "left")
-            chosen = rank < tries
-            a, b = nodes[ends[chosen]], nodes[partner[chosen]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
-            if not chosen.all():  # a row of nulls: some node has more partners
-                yield pa.RecordBatch.from_pylist([{"u": None, "v": None}], schema=schema)
-
-    return run
-
-
-def _stars(num: int, den: int, steps):
-    """Pairs (smallest node of the bucket, node) that no batch prunes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            signs = np.concatenate([
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("_sign_u", "_sign_v")])
-            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("_size_u", "_size_v")])
-            left = np.arange(n)
-            left, _, _ = _passing(signs, left, left + n, sizes, num, den, steps)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("u").take(pa.array(left)), batch.column("v").take(pa.array(left))], ["u", "v"])
+                if not len(other):
+                    continue
+                _, other, _ = _passing(signs, np.full(len(other), i), other, sizes, num, den, steps)
+                if not len(other):
+                    continue
+                sets = sets or Sets(ids)
+                both = sets.common(i, other)
+                for j in other[both * den >= num * (sizes[i] + sizes[other] - both)]:
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        u.append(nodes[i])
+                        v.append(nodes[j])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
 
     return run
 
@@ -188,7 +189,6 @@ def _stars(num: int, den: int, steps):
 def connected(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (u, v); label: the smallest node it reaches."""
     edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -198,27 +198,17 @@ def connected(links: DataFrame) -> DataFrame:
         edges = materialise(
             joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when all are stars: every node has one label, and no label has one itself
+        centres = edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi")
+        if centres.isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = now
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v, linked) on full sets."""
-    left = sets.select(F.col("node").alias("u"), F.col("ids").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("ids").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long")
-    union = F.size("a").cast("long") + F.size("b") - both
-    return pairs.join(left, "u").join(right, "v").select("u", "v", (both * den >= union * num).alias("linked")).groupBy("u", "v").agg(
-        F.max("linked").alias("linked"))
 
 
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [s.view(np.int64) for s in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(ids, pa.list_(pa.int64()))], ["node", "ids"])
+            ids = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(ids, pa.binary())], ["node", "_ids"])
 
     return run
 
@@ -233,43 +223,29 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     signed = full.withColumnRenamed("doc_id", "node").join(named, ["_key", "node"], "left_semi").select("node", "n_shingles", "_sign")
 
     step = BAND_ROWS * 4
-    bands = materialise(signed.select("node", F.posexplode(F.transform(
+    bands = materialise(signed.select("node", "n_shingles", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(n_bands - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("_sign"), (b * step + 1).cast("int"), F.lit(step)))))).select(
-        F.xxhash64("pos", "col").alias("_band"), "node"))
-    shared = bands.groupBy("_band").agg(F.min("node").alias("_first"), F.count("*").alias("_many")).filter("_many > 1")
-    members = materialise(bands.join(shared, "_band").select("_band", "node", "_first", "_many"))
+        F.xxhash64("pos", "col").alias("_band"), "node", "n_shingles"))
+    shared = bands.groupBy("_band").agg(
+        F.count("*").alias("many"), F.sum("n_shingles").alias("_mass"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("many > 1")
+    distinct = shared.groupBy("many", "x", "y").agg(F.min("_band").alias("_band"), F.max("_mass").alias("_mass"))
+    members = materialise(bands.join(distinct.select("_band", "_mass"), "_band").select("_band", "node", "_mass"))
     involved = members.select("node").distinct()
-    signed = materialise(signed.join(involved, "node").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), empty_text().alias("text")).join(involved, "node", "left_semi")
-    sets = materialise(texts.mapInArrow(_set_rows(width), "node long, ids array<long>"))
-
-    # round 0: every node beside the smallest node of its buckets
-    side = lambda c: signed.select(F.col("node").alias(c), F.col("n_shingles").alias(f"_size_{c}"), F.col("_sign").alias(f"_sign_{c}"))
-    stars = members.filter("node <> _first").select(F.col("_first").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = stars.join(side("u"), "u").join(side("v"), "v").mapInArrow(_stars(num, den, steps), "u long, v long").distinct()
-    tried = materialise(_confirmed(pairs, sets, num, den))
-    label = materialise(connected(tried.filter("linked")))
-
-    tries = TRIES
-    while True:
-        parts = involved.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("part"))
-        placed = members.join(parts, "node")
-        mixed = placed.groupBy("_band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("_band")
-        tiles = F.ceil(F.col("_many") / tile).cast("int")
-        open_rows = (
-            placed.join(mixed, "_band", "left_semi").withColumn("_tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-            .withColumn("_with", F.explode(F.sequence(F.lit(0), tiles - 1)))
-            .select("_band", F.least("_tile", "_with").alias("_low"), F.greatest("_tile", "_with").alias("_high"), "_tile", "node", "part"))
-        proposed = materialise(
-            open_rows.join(signed, "node").repartition("_band", "_low", "_high").sortWithinPartitions("_band", "_low", "_high")
-            .mapInArrow(_propose(num, den, steps, tries), "u long, v long").distinct())
-        fresh = proposed.filter("u IS NOT NULL").join(tried, ["u", "v"], "left_anti")
-        tried = materialise(tried.unionByName(_confirmed(fresh, sets, num, den)))
-        label = materialise(connected(tried.filter("linked")))
-        if not proposed.filter("u IS NULL").limit(1).count():  # every node could name all its partners
-            break
-        tries *= TRIES
+    sets = texts.mapInArrow(_set_rows(width), "node long, _ids binary")
+    known = materialise(sets.join(signed.select("node", "_sign").distinct(), "node"))
+
+    tiles = F.ceil(F.col("_mass") / tile).cast("int")
+    placed = (
+        members.withColumn("_tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+        .withColumn("_with", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .select("_band", F.least("_tile", "_with").alias("_low"), F.greatest("_tile", "_with").alias("_high"), "_tile", "node"))
+    links = (
+        placed.join(known, "node").repartition("_band", "_low", "_high").sortWithinPartitions("_band", "_low", "_high")
+        .mapInArrow(_verify(num, den, steps), "u long, v long"))
+    label = materialise(connected(links))
     component = named.join(label, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label"))
     rows = sketch.join(component, "_key", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))

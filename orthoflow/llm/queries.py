@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup, line_dedup, near_dedup, quality
+from orthoflow.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, recurrent_lm, secrets, token_counts
 from orthoflow.llm.common import read_table
 from orthoflow.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -70,3 +70,114 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", "doc_id", "text")
     kept = line_dedup.dedup_lines(docs, line_dedup.insert(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op8_mix_sources", r"""
+WITH RECURSIVE counts AS (
+  SELECT source AS key, CAST(ceil(count(*) / 8) AS BIGINT) AS b, sqrt(count(*)) AS w FROM documents GROUP BY source),
+parts AS (
+  SELECT key, b, greatest(1, CAST(floor(400 * w / sum(w) OVER () + 0.5) AS BIGINT)) AS p,
+         row_number() OVER (ORDER BY key) - 1 AS s FROM counts),
+sources AS (SELECT *, b // p AS c, b % p AS r FROM parts),
+firsts AS (SELECT DISTINCT unnest([0, c, c + 1]) AS f FROM sources),
+spans AS (SELECT f, lead(f) OVER (ORDER BY f) - f AS cycles FROM firsts),
+quotas AS (
+  SELECT f, cycles, list(CASE WHEN f < c THEN p WHEN f = c THEN r ELSE 0 END ORDER BY s) AS q
+  FROM spans, sources WHERE cycles IS NOT NULL GROUP BY f, cycles),
+kinds AS (SELECT f, cycles, q, CAST(list_sum(q) AS BIGINT) AS size, len(q) AS n FROM quotas WHERE list_sum(q) > 0),
+starts AS (
+  SELECT *, CAST(coalesce(sum(cycles * size) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM kinds),
+edf(f, q, size, n, t, taken, s) AS (
+  SELECT f, q, size, n, CAST(-1 AS BIGINT), list_transform(q, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM starts
+  UNION ALL
+  SELECT f, q, size, n, t, list_transform(range(n), lambda k: taken[k + 1] + CASE WHEN k = s THEN 1 ELSE 0 END), s
+  FROM (SELECT f, q, size, n, t + 1 AS t, taken, list_min(list_transform(range(n), lambda k:
+          CASE WHEN taken[k + 1] < q[k + 1] AND taken[k + 1] * size // greatest(q[k + 1], 1) <= t + 1
+               THEN ((taken[k + 1] + 1) * size + q[k + 1] - 1) // greatest(q[k + 1], 1) * n + k END)) % n AS s
+        FROM edf WHERE t + 1 < size)),
+turns AS (SELECT f, s, t, row_number() OVER (PARTITION BY f, s ORDER BY t) - 1 AS turn FROM edf WHERE s IS NOT NULL),
+ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents),
+blocks AS (
+  SELECT d.doc_id, d.source, d.k // 8 AS block, d.k % 8 AS place, x.s, x.p, least(d.k // 8 // x.p, x.c) AS cycle
+  FROM ranked d JOIN sources x ON d.source = x.key),
+cycles AS (SELECT *, block - cycle * p AS turn FROM blocks)
+SELECT c.doc_id, c.source, st.start + (c.cycle - st.f) * st.size + t.t AS slot, c.block, c.place
+FROM cycles c JOIN starts st ON c.cycle >= st.f AND c.cycle < st.f + st.cycles
+JOIN turns t ON t.f = st.f AND t.s = c.s AND t.turn = c.turn
+""")
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, folder, "documents", "doc_id", "source"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(
+        read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, folder, "documents", "doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op2_chat_format", r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+written AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+    + len(regexp_extract_all(text, '<</?SYS>>|\[/?INST\]|</?s>|<<TURN |<</TURN>>'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 18 + length(role) + len(regexp_extract_all(role, '[\\>]')) END AS chars FROM turns),
+spoken AS (SELECT * FROM turns WHERE role = 'assistant'),
+learned AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS t FROM spoken GROUP BY conv_id)
+SELECT w.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(length(any_value(t)), 0) AS BIGINT) AS loss_chars, sha256(coalesce(any_value(t), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM written w LEFT JOIN learned l USING (conv_id) GROUP BY w.conv_id
+""")
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    segments = chat.format_turns(turns.unionByName(probe))
+    return chat.read_back(segments).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def _edit_log(docs: DataFrame) -> DataFrame:
+    """Three edits for every document, from hashes: a replacement, a removal and an insertion."""
+    def at(seed):
+        return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.length("text").cast("long") + 1)
+
+    def edit(start, length, insert):
+        return F.struct(start.alias("start"), (start + length).alias("stop"), insert.alias("insert"))
+
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("edits", F.array(
+        edit(at(1), F.lit(9).cast("long"), F.concat(F.lit(" edit "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        edit(at(2), F.lit(40).cast("long"), F.lit("")),
+        edit(at(3), F.lit(0).cast("long"), F.lit("A new line.\n"))))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    trees = token_counts.build_trees(_edit_log(read_table(spark, folder, "documents", "doc_id", "text")))
+    edited = token_counts.apply_edits(trees.withColumn("n_tokens_before", F.col("n_tokens")))
+    return edited.select(
+        "doc_id", "n_tokens_before", F.size("edits").cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"),
+        F.length("text").cast("long").alias("n_chars_after"), "n_encoded", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op10_lm_scores")
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return recurrent_lm.lm_scores(read_table(spark, folder, "documents", "doc_id", "text"))
