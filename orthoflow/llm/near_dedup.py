@@ -233,7 +233,7 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     distinct = shared.groupBy("many", "x", "y").agg(F.min("_band").alias("_band"), F.max("_mass").alias("_mass"))
     members = materialise(bands.join(distinct.select("_band", "_mass"), "_band").select("_band", "node", "_mass"))
     involved = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), empty_text().alias("text")).join(involved, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), empty_text().alias("text")).join(involved.hint("merge"), "node", "left_semi")
     sets = texts.mapInArrow(_set_rows(width), "node long, _ids binary")
     known = materialise(sets.join(signed.select("node", "_sign").distinct(), "node"))
 
@@ -253,7 +253,6 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with all their columns."""
-    docs = materialise(docs)
+    """The rows of ``docs`` (a stored table: it is read more than once) whose document is the smallest of its component."""
     gone = near_components(docs.select("doc_id", "text"), width, num, den).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
