@@ -207,7 +207,6 @@ def matches(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that match no item, with all their columns. Rows with a null id stay."""
-    docs = materialise(docs)
+    """The rows of ``docs`` (a stored table: it is read more than once) that match no item. Rows with a null id stay."""
     hit = materialise(matches(docs, benchmark, **options).select("doc_id").distinct())
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)

@@ -32,7 +32,6 @@ from orthoflow.llm.common import empty_text, materialise
 
 BUCKET_ROWS = 8192
 MAX_DEPTH = 16
-ENTRY = "_key long, _sha string, _row long, _entry long, doc_id long, _text string"
 
 
 def normalised(column: str = "text"):
@@ -40,16 +39,17 @@ def normalised(column: str = "text"):
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One entry per distinct text of this map task; later copies name it and drop their text."""
+    """Adds the entry of each row: the first row of this map task with its text. Later copies drop ``_text``."""
     first: dict[str, int] = {}
     for batch in batches:
         rows, shas = batch.column("_row").to_pylist(), batch.column("_sha").to_pylist()
         entries = [first.setdefault(sha, row) for sha, row in zip(shas, rows)]
-        own = pa.array([e == r for e, r in zip(entries, rows)], pa.bool_())
-        text = pc.if_else(own, batch.column("_text"), pa.scalar(None, batch.column("_text").type))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_key"), batch.column("_sha"), batch.column("_row"), pa.array(entries, pa.int64()),
-             batch.column("doc_id"), text], ["_key", "_sha", "_row", "_entry", "doc_id", "_text"])
+        columns, names = list(batch.columns), list(batch.schema.names)
+        if "_text" in names:
+            own = pa.array([e == r for e, r in zip(entries, rows)], pa.bool_())
+            place = names.index("_text")
+            columns[place] = pc.if_else(own, columns[place], pa.scalar(None, columns[place].type))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(entries, pa.int64())], [*names, "_entry"])
 
 
 def directory(counts: dict[int, int], bucket_rows: int, max_depth: int) -> tuple[int, dict[int, int]]:
@@ -102,14 +102,18 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_entry"), pa.array(classes, pa.int64())], ["_entry", "_class"])
 
 
-def _resolved(docs: DataFrame, bucket_rows: int, max_depth: int, at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with their entry, entries with their group)."""
+def _resolved(docs: DataFrame, bucket_rows: int, max_depth: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with their entry, entries with their group); ``whole`` keeps the given rows in ``_doc``."""
     spark = docs.sparkSession
-    hashed = docs.withColumn("_text", normalised()).select(
-        F.xxhash64("_text").alias("_key"), F.sha2("_text", 256).alias("_sha"), (F.col(at) if at else F.monotonically_increasing_id()).alias("_row"),
-        F.col("doc_id").cast("long").alias("doc_id"), "_text")
-    rows = materialise(hashed.mapInArrow(_combine, ENTRY))
+    text = normalised()
+    kept = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc") if whole else text.alias("_text")
+    hashed = docs.select(
+        F.xxhash64(text).alias("_key"), F.sha2(text, 256).alias("_sha"), F.monotonically_increasing_id().alias("_row"),
+        F.col("doc_id").cast("long").alias("doc_id"), kept)
+    rows = materialise(hashed.mapInArrow(_combine, hashed.withColumn("_entry", F.lit(None).cast("long")).schema))
     entries = rows.filter("_row = _entry")
+    if whole:
+        entries = entries.withColumn("text", F.col("_doc.text")).withColumn("_text", normalised())
     counts = {r[0]: r[1] for r in entries.groupBy(
         F.shiftrightunsigned("_key", 64 - max_depth).alias("prefix")).count().collect()}  # 2 ** max_depth rows at most
     depth, table = directory(counts, bucket_rows, max_depth)
@@ -136,7 +140,6 @@ def exact_groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_depth: int
 
 def keep_first(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = materialise(docs.withColumn("_at", F.monotonically_increasing_id()))
-    rows, index = _resolved(numbered.withColumn("doc_id", F.col("doc_id").cast("long")), bucket_rows, max_depth, "_at")
-    kept = rows.select("_entry", "_row").join(index, "_entry").filter("_row = _keep_row").select(F.col("_row").alias("_at"))
-    return numbered.join(kept, "_at", "left_semi").drop("_at")
+    rows, index = _resolved(docs, bucket_rows, max_depth, whole=True)
+    kept = rows.select("_entry", "_row").join(index, "_entry").filter("_row = _keep_row").select("_row")
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")
