@@ -5,7 +5,7 @@ cover all training documents (crc32 of the id modulo ``FOLDS`` is not 0).
 
 The model reads a document word by word and predicts the next token from its state:
 
-* The ``CLASSES * CLASS_SIZE - 1`` most frequent words and the end are *named*; they are dealt into classes by
+* The ``CLASSES * CLASS_SIZE - 1`` (511) most frequent words and the end are *named*; they are dealt into classes by
   frequency. The output is factored: a softmax over classes times a softmax inside the class.
 * All other words are one further class. Inside it a word has its smoothed share of that class's
   training tokens, so every token gets a probability and the tail needs no weights.
@@ -39,7 +39,7 @@ from orthoflow.llm.common import empty_text, fold_of, materialise
 
 FOLDS = 10
 SMOOTH = 0.1
-CLASSES, CLASS_SIZE = 32, 32
+CLASSES, CLASS_SIZE = 16, 32
 NAMED = CLASSES * CLASS_SIZE  # the end is token 0; token NAMED stands for all other words
 STATE = 16
 LANES = 256
@@ -51,7 +51,7 @@ HEAD = 1 << 17
 HEAD_BYTES = 64
 FLUSH = 200_000
 PART = 4096
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 22
 
 
 def doc_words(text: pa.Scalar) -> list[bytes]:
@@ -178,75 +178,90 @@ class Network:
             states[t] = h = new
         return states, h
 
-    def output(self, states: np.ndarray, targets: np.ndarray, grads: Network | None = None, scale: float = 1.0):
+    @staticmethod
+    def _softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, target: np.ndarray, scale: float | None):
+        """(log probability of each target, its gradient by the logits times ``scale``); one column per token."""
+        e = w.T @ h
+        e += b[:, None]
+        place = np.arange(len(target))
+        chosen = e[target, place]
+        np.minimum(e, 60, out=e)  # logits are far below; a bound in place of a row maximum
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        out = chosen - np.log(total)
+        if scale is None:
+            return out, None
+        e *= -scale / total
+        e[target, place] += scale
+        return out, e
+
+    def output(self, states: np.ndarray, targets: np.ndarray, grads: Network | None = None, scale: float | None = None):
         """Natural-log probability of each target; with ``grads`` also adds gradients and returns those of the states."""
         group = np.minimum(targets // CLASS_SIZE, CLASSES)
-        logits = states @ self.class_w + self.class_b
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
-        rows = np.arange(len(targets))
-        out = logits[rows, group] - np.log(total[:, 0])
+        order = np.argsort(group, kind="stable")
+        h, group, targets = np.ascontiguousarray(states[order].T), group[order], targets[order]
+        logs, d = self._softmax(self.class_w, self.class_b, h, group, scale)
         back = None
         if grads is not None:
-            d = e / total * -scale
-            d[rows, group] += scale
-            grads.class_w += states.T @ d
-            grads.class_b += d.sum(axis=0)
-            back = d @ self.class_w.T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+            grads.class_w += h @ d.T
+            grads.class_b += d.sum(axis=1)
+            back = self.class_w @ d
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            own = order[cuts[c]:cuts[c + 1]]
-            if not len(own):
+            a, b = cuts[c], cuts[c + 1]
+            if a == b:
                 continue
-            h, word = states[own], targets[own] - c * CLASS_SIZE
-            logits = h @ self.word_w[c] + self.word_b[c]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1, keepdims=True)
-            place = np.arange(len(own))
-            out[own] += logits[place, word] - np.log(total[:, 0])
+            own, d = self._softmax(self.word_w[c], self.word_b[c], h[:, a:b], targets[a:b] - c * CLASS_SIZE, scale)
+            logs[a:b] += own
             if grads is not None:
-                d = e / total * -scale
-                d[place, word] += scale
-                grads.word_w[c] += h.T @ d
-                grads.word_b[c] += d.sum(axis=0)
-                back[own] += d @ self.word_w[c].T
-        return out if grads is None else (out, back)
+                grads.word_w[c] += h[:, a:b] @ d.T
+                grads.word_b[c] += d.sum(axis=1)
+                back[:, a:b] += self.word_w[c] @ d
+        out = np.empty(len(order), logs.dtype)
+        out[order] = logs
+        if grads is None:
+            return out
+        d_states = np.empty(states.shape, states.dtype)
+        d_states[order] = back.T
+        return out, d_states
 
     def learn(self, tokens: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """One window of truncated backpropagation and an AdaGrad step; returns the state to carry on."""
         s, tape = STATE, []
         states, last = self.run(tokens, keep, h, tape)
-        grads = Network(np.zeros(len(self.vector), np.float32))
         flat = np.flatnonzero(real.ravel())
         if not len(flat):
             return last
+        grads = Network(np.zeros(len(self.vector), self.vector.dtype))
         _, back = self.output(states.reshape(-1, s)[flat], targets.ravel()[flat], grads, 1.0 / len(flat))
-        d_states = np.zeros((states.shape[0] * states.shape[1], s), np.float32)
+        d_states = np.zeros((states.shape[0] * states.shape[1], s), states.dtype)
         d_states[flat] = back
         d_states = d_states.reshape(states.shape)
-        d_x = np.empty((*states.shape[:2], 3 * s), np.float32)
-        d_a = np.empty_like(d_x)
-        carried = np.zeros_like(last)
+        before, z, r, n, a_n = (np.stack([x[k] for x in tape]) for k in range(5))
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (before - n) * z * (1 - z)
+        by_r = by_n * a_n * r * (1 - r)
+        by_a = by_n * r
+        d_a = np.empty((*states.shape[:2], 3 * s), states.dtype)
+        d_all = np.empty_like(states)
+        carried, back_u = np.zeros_like(last), np.ascontiguousarray(self.u.T)
         for t in range(len(tokens) - 1, -1, -1):
-            before, z, r, n, a_n = tape[t]
-            d = d_states[t] + carried
-            d_n = d * (1 - z) * (1 - n * n)
-            d_x[t, :, :s] = d * (before - n) * z * (1 - z)
-            d_x[t, :, s:2 * s] = d_n * a_n * r * (1 - r)
-            d_x[t, :, 2 * s:] = d_n
-            d_a[t] = d_x[t]
-            d_a[t, :, 2 * s:] *= r
-            carried = (d * z + d_a[t] @ self.u.T) * keep[t][:, None]
-        held = np.stack([x[0] for x in tape]).reshape(-1, s)
-        grads.u += held.T @ d_a.reshape(-1, 3 * s)
-        d_x = d_x.reshape(-1, 3 * s)
-        grads.bias += d_x.sum(axis=0)
-        order = np.argsort(tokens.ravel(), kind="stable")
-        ids, first = np.unique(tokens.ravel()[order], return_index=True)
-        grads.table[ids] += np.add.reduceat(d_x[order], first, axis=0)
+            d = np.add(d_states[t], carried, out=d_all[t])
+            np.multiply(d, by_z[t], out=d_a[t, :, :s])
+            np.multiply(d, by_r[t], out=d_a[t, :, s:2 * s])
+            np.multiply(d, by_a[t], out=d_a[t, :, 2 * s:])
+            carried = d_a[t] @ back_u
+            carried += d * z[t]
+            carried *= keep[t][:, None]
+        d_a = d_a.reshape(-1, 3 * s)
+        grads.u += before.reshape(-1, s).T @ d_a
+        d_a[:, 2 * s:] = (d_all * by_n).reshape(-1, s)  # from here on: by the inputs
+        grads.bias += d_a.sum(axis=0)
+        ids = tokens.ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        grads.table[ids[first]] += np.add.reduceat(d_a[order], first, axis=0)
         norm = float(np.sqrt(grads.vector @ grads.vector))
         if norm > 1:
             grads.vector /= norm
@@ -271,8 +286,12 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
 
 
 def packed(tokens: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, keep, document or -1), each steps x lanes; a document's first input is the end token."""
-    dealt = lanes_of(np.array([len(t) for t in tokens]), lanes)
+    """(inputs, targets, keep, document or -1), each steps x lanes; a document's first input is the end token.
+
+    There are fewer lanes where one document is longer than an even share, so that few lanes run empty.
+    """
+    lengths = np.array([len(t) for t in tokens])
+    dealt = lanes_of(lengths, int(min(lanes, max(16, lengths.sum() // lengths.max()))))
     steps = max(sum(len(tokens[d]) for d in lane) for lane in dealt)
     shape = (len(dealt), steps)
     inputs, targets, keep, doc = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.ones(shape, np.float32), np.full(shape, -1, np.int32)
@@ -368,33 +387,35 @@ def _score(state):
         lookup, base = vocabulary.lookup(), vocabulary.base()
         net, norm = Network(vector), vocabulary.rest_norm()
         rest = base + vocabulary.base_norm() - norm  # listed words inside the class of the others
-        pair = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         known = np.concatenate([[vocabulary.ends], vocabulary.counts]) > 0
         for cells, ids, words in _token_batches(batches, lookup):
-            for lo in range(0, len(ids), 2048):
-                some, tails = ids[lo:lo + 2048], words[lo:lo + 2048]
-                inputs, targets, keep, doc = packed([_named(x) for x in some], LANES)
-                scores, h = np.zeros(len(some)), np.zeros((inputs.shape[1], STATE), np.float32)
-                for a in range(0, len(inputs), SCORE_STEPS):
-                    b = a + SCORE_STEPS
-                    live = (doc[a:b] >= 0).any(axis=0)
-                    states, h[live] = net.run(inputs[a:b, live], keep[a:b, live], h[live])
-                    where = doc[a:b, live].ravel()
-                    real = np.flatnonzero(where >= 0)
-                    logs = net.output(states.reshape(-1, STATE)[real], targets[a:b, live].ravel()[real])
-                    scores += np.bincount(where[real], logs, len(some))
-                scores /= math.log(10)
-                plain, n_known, listed = np.empty(len(some)), np.empty(len(some), np.int64), []
-                for k, own in enumerate(some):
-                    hit = own[own >= 0]
-                    plain[k] = base[hit].sum() + base[0]
-                    scores[k] += rest[hit[hit >= NAMED]].sum()
-                    n_known[k] = len(hit) + bool(known[0])
-                    listed.append([{"word": w, "n": n} for w, n in Counter(tails[k]).items()])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[0] for c in cells[lo:lo + 2048]], pa.int64()), pa.array([c[1] for c in cells[lo:lo + 2048]], pa.int64()),
-                     pa.array([len(x) + 1 for x in some], pa.int64()), pa.array(n_known), pa.array(plain), pa.array(scores), pa.array(listed, pair)],
-                    ["_row", "doc_id", "n_tokens", "n_known", "base", "model", "rest"])
+            inputs, targets, keep, doc = packed([_named(x) for x in ids], LANES)
+            scores, h = np.zeros(len(ids)), np.zeros((inputs.shape[1], STATE), np.float32)
+            for a in range(0, len(inputs), SCORE_STEPS):
+                b = a + SCORE_STEPS
+                live = (doc[a:b] >= 0).any(axis=0)
+                states, h[live] = net.run(inputs[a:b, live], keep[a:b, live], h[live])
+                where = doc[a:b, live].ravel()
+                real = np.flatnonzero(where >= 0)
+                logs = net.output(states.reshape(-1, STATE)[real], targets[a:b, live].ravel()[real])
+                scores += np.bincount(where[real], logs, len(ids))
+            scores /= math.log(10)
+            plain, n_known = np.empty(len(ids)), np.empty(len(ids), np.int64)
+            tails, cuts = [], [0]
+            for k, own in enumerate(ids):
+                hit = own[own >= 0]
+                plain[k] = base[hit].sum() + base[0]
+                scores[k] += rest[hit[hit >= NAMED]].sum()
+                n_known[k] = len(hit) + bool(known[0])
+                tails += Counter(words[k]).items()
+                cuts.append(len(tails))
+            pairs = pa.StructArray.from_arrays(
+                [pa.array([w for w, _ in tails], pa.binary()), pa.array([n for _, n in tails], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c[0] for c in cells], pa.int64()), pa.array([c[1] for c in cells], pa.int64()),
+                 pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(n_known), pa.array(plain), pa.array(scores),
+                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)],
+                ["_row", "doc_id", "n_tokens", "n_known", "base", "model", "rest"])
 
     return run
 
