@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orthoflow.llm.common import empty_text, materialise
 
@@ -110,7 +111,8 @@ def _resolved(docs: DataFrame, bucket_rows: int, max_depth: int, whole: bool = F
     hashed = docs.select(
         F.xxhash64(text).alias("_key"), F.sha2(text, 256).alias("_sha"), F.monotonically_increasing_id().alias("_row"),
         F.col("doc_id").cast("long").alias("doc_id"), kept)
-    rows = materialise(hashed.mapInArrow(_combine, hashed.withColumn("_entry", F.lit(None).cast("long")).schema))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in hashed.schema]).add("_entry", "long")
+    rows = materialise(hashed.mapInArrow(_combine, schema))
     entries = rows.filter("_row = _entry")
     if whole:
         entries = entries.withColumn("text", F.col("_doc.text")).withColumn("_text", normalised())
