@@ -35,10 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, prunes columns."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, prunes columns.
+
+    The shuffle files of the plan just written are not needed again; Spark removes them once the driver's
+    JVM has collected the plan, so it is asked to.
+    """
     spark = frame.sparkSession
     folder = shared_folder(spark)
     frame.write.parquet(folder)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(folder)
 
 
