@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.common import _series, empty_text, materialise, shingle_sets
+from orthoflow.llm.common import _series, empty_text, materialise, mix, shingle_sets
 
 HASHES = 128
 BAND_ROWS = 4
@@ -41,6 +41,7 @@ BATCH = 16
 MISS = 1e-6
 TILE = 4_000_000
 BITS = 1 << 29
+SEGMENTS, SEGMENT_BITS = 64, 1 << 20  # of the Bloom filter: 8 MB
 SKETCH = "doc_id long, n_shingles long, _key binary, _sign binary"
 _A = (_series(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_series(102, HASHES) >> np.uint64(32)).astype(np.uint32)
@@ -204,11 +205,47 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _set_rows(width: int):
+def _bit_places(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, two bits in it) of every node."""
+    h = mix(nodes.astype(np.int64).view(np.uint64))
+    part = (h % np.uint64(SEGMENTS)).astype(np.int64)
+    return part, np.stack([(h >> np.uint64(k)) % np.uint64(SEGMENT_BITS) for k in (8, 34)]).astype(np.int64)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mine: dict[int, np.ndarray] = {}
+    for batch in batches:
+        part, bits = _bit_places(batch.column("node").to_numpy())
+        for k in np.unique(part).tolist():
+            mine.setdefault(k, np.zeros(SEGMENT_BITS, bool))[bits[:, part == k].ravel()] = True
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(mine), pa.int64()), pa.array([np.packbits(x).tobytes() for x in mine.values()], pa.binary())], ["part", "bits"])
+
+
+def bloom(nodes: DataFrame) -> dict[int, bytes]:
+    """A Bloom filter of fixed size over ``nodes`` (node), made in pieces on the executors. Full, it lets all pass."""
+    made = nodes.repartition(SEGMENTS, F.pmod(F.xxhash64("node"), F.lit(SEGMENTS))).mapInArrow(_segments, "part long, bits binary")
+    out: dict[int, np.ndarray] = {}
+    for row in made.toLocalIterator():  # pieces of a fixed size, one after the other
+        piece = np.frombuffer(row["bits"], np.uint8)
+        out[row["part"]] = piece if row["part"] not in out else out[row["part"]] | piece
+    return {k: v.tobytes() for k, v in out.items()}
+
+
+def _set_rows(width: int, wanted):
+    """Shingle sets of the texts whose node may be in the filter ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in wanted.value.items()}
         for batch in batches:
-            ids = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(ids, pa.binary())], ["node", "_ids"])
+            part, at = _bit_places(batch.column("node").to_numpy())
+            hit = np.zeros(len(part), bool)
+            for k in np.unique(part).tolist():
+                if k in bits:
+                    own = part == k
+                    hit[own] = bits[k][at[0, own]] & bits[k][at[1, own]]
+            chosen = batch.take(pa.array(np.flatnonzero(hit)))
+            ids = [s.tobytes() for s in shingle_sets(chosen.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([chosen.column("node"), pa.array(ids, pa.binary())], ["node", "_ids"])
 
     return run
 
@@ -219,8 +256,9 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     sketch = materialise(sketches(docs, width))
     full = sketch.filter("_key IS NOT NULL AND doc_id IS NOT NULL")
     # a node is a distinct set, named by the smallest doc_id that has it
-    named = full.groupBy("_key").agg(F.min("doc_id").alias("node"))
-    signed = full.withColumnRenamed("doc_id", "node").join(named, ["_key", "node"], "left_semi").select("node", "n_shingles", "_sign")
+    named = materialise(full.groupBy("_key").agg(F.min(F.struct("doc_id", "n_shingles", "_sign")).alias("one")).select(
+        "_key", F.col("one.doc_id").alias("node"), "one.n_shingles", "one._sign"))
+    signed = named.select("node", "n_shingles", "_sign")
 
     step = BAND_ROWS * 4
     bands = materialise(signed.select("node", "n_shingles", F.posexplode(F.transform(
@@ -233,8 +271,9 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     distinct = shared.groupBy("many", "x", "y").agg(F.min("_band").alias("_band"), F.max("_mass").alias("_mass"))
     members = materialise(bands.join(distinct.select("_band", "_mass"), "_band").select("_band", "node", "_mass"))
     involved = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), empty_text().alias("text")).join(involved.hint("merge"), "node", "left_semi")
-    sets = texts.mapInArrow(_set_rows(width), "node long, _ids binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), empty_text().alias("text")).filter("node IS NOT NULL")
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(involved))
+    sets = texts.mapInArrow(_set_rows(width, wanted), "node long, _ids binary").join(involved, "node", "left_semi")
     known = materialise(sets.join(signed.select("node", "_sign").distinct(), "node"))
 
     tiles = F.ceil(F.col("_mass") / tile).cast("int")
@@ -246,7 +285,7 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
         placed.join(known, "node").repartition("_band", "_low", "_high").sortWithinPartitions("_band", "_low", "_high")
         .mapInArrow(_verify(num, den, steps), "u long, v long"))
     label = materialise(connected(links))
-    component = named.join(label, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label"))
+    component = named.select("_key", "node").join(label, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label"))
     rows = sketch.join(component, "_key", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return rows.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -255,4 +294,4 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` (a stored table: it is read more than once) whose document is the smallest of its component."""
     gone = near_components(docs.select("doc_id", "text"), width, num, den).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
