@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time the headline queries and print one JSON line, with the file scans and shuffles of each final plan.
 
     BENCH_SF_DIR=/root/testdata/sf0.01 BENCH_CPUS=8 python bench.py
 """
@@ -27,15 +27,18 @@ def main() -> int:
     spark = local_session("bench")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/lineitem.parquet").count()
-    seconds = {}
+    seconds, plans = {}, {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        frame = QUERIES[name](spark, folder)
+        frame.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        plans[name] = {"file_scans": plan.count("FileScan "), "shuffles": len(re.findall(r"\bExchange ", plan))}
     match = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({
         "metric": "total wall time of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": float(match.group(1)) if match else folder}))
+        "queries": seconds, "plans": plans, "sf": float(match.group(1)) if match else folder}))
     spark.stop()
     return 0
 

@@ -38,9 +38,9 @@ def has_control(col: Column) -> Column:
     return col.rlike(r"[\x00-\x1F\x7F]")
 
 
-def valid_label(col: Column) -> Column:
-    """Trimmed, non-blank, free of control characters and at most 256 characters."""
-    return strip(col).rlike(r"^[^\x00-\x1F\x7F]{1,%d}$" % MAX_LABEL_CHARACTERS)
+def valid_label(col: Column, limit: int | None = MAX_LABEL_CHARACTERS) -> Column:
+    """Trimmed, non-blank, free of control characters and at most ``limit`` characters (None: any length)."""
+    return strip(col).rlike(r"^[^\x00-\x1F\x7F]{1,%s}$" % ("" if limit is None else limit))
 
 
 def escape_formula(col: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,15 @@ def build_cards(entries: DataFrame, kind: str, *keys: str) -> DataFrame:
 
     ``entries`` holds parsed entries of this kind (``fields``, ``identifier``).
     """
-    lists = _list_columns(kind)
+    known = F.array(*[F.lit(name) for name in (*E.COMMON_FIELDS, *E.KIND_FIELDS[kind])])
+    return _cards(entries, F.lit(kind), _lists(kind), _texts(kind), known, *keys)
+
+
+def _lists(kind: str) -> Column:
+    return F.create_map(*[item for name, column in _list_columns(kind).items() for item in (F.lit(name), column)])
+
+
+def _texts(kind: str) -> Column:
     texts = {name: E.joined_field(source) for name, source in TEXT_FIELDS.get(kind, {}).items()}
     if kind == "gene":
         organism = E.joined_field("ORGANISM")
@@ -89,26 +99,29 @@ def build_cards(entries: DataFrame, kind: str, *keys: str) -> DataFrame:
         number = F.regexp_extract(E.joined_field("TAXONOMY"), E.TAXONOMY_ID, 1)
         texts["organism_code"] = F.nullif(F.regexp_extract(E.joined_field("ORG_CODE"), r"^(\S+)", 1), F.lit(""))
         texts["taxonomy_id"] = F.when(number != "", F.concat(F.lit("taxid:"), number))
-    known = (*E.COMMON_FIELDS, *E.KIND_FIELDS[kind])
-    field_names = F.array_distinct(F.transform(F.col("fields"), lambda f: f["name"]))
-    pairs = [item for name, column in lists.items() for item in (F.lit(name), column)]
     text_pairs = [item for name, column in texts.items() for item in (F.lit(name), column)]
-    text_map = F.create_map(*text_pairs) if text_pairs else F.create_map().cast("map<string,string>")
-    base = entries.select(*keys, F.lit(kind).alias("kind"), "identifier", "fields")
+    return F.create_map(*text_pairs) if text_pairs else F.create_map().cast("map<string,string>")
+
+
+def _cards(entries: DataFrame, kind: Column, lists: Column, texts: Column, known: Column, *keys: str) -> DataFrame:
+    field_names = F.array_distinct(F.transform(F.col("fields"), lambda f: f["name"]))
+    base = entries.select(*keys, kind.alias("kind"), "identifier", "fields")
     return computed(
         base, names=E.names(), definition=E.joined_field("DEFINITION"), classes=E.field_lines("CLASS"),
         dblinks=E.cross_references(), pubmed_ids=E.pubmed_ids(),
-        unparsed_fields=F.array_except(field_names, F.array(*[F.lit(name) for name in known])),
-        lists=F.create_map(*pairs), texts=text_map,
+        unparsed_fields=F.array_except(field_names, known), lists=lists, texts=texts,
     ).drop("fields")
 
 
 def all_cards(entries: DataFrame, *keys: str) -> DataFrame:
-    """Cards of all nine kinds from entries that carry a ``kind`` column."""
-    from functools import reduce
-
-    parts = [build_cards(entries.filter(F.col("kind") == kind), kind, *keys) for kind in E.KINDS]
-    return reduce(DataFrame.unionByName, parts)
+    """Cards of all nine kinds from entries that carry a ``kind`` column, in one pass over the entries."""
+    def by_kind(pick) -> Column:
+        first, *others = E.KINDS
+        return reduce(lambda acc, kind: acc.when(F.col("kind") == kind, pick(kind)), others, F.when(F.col("kind") == first, pick(first)))
+
+    known = by_kind(lambda kind: F.array(*[F.lit(name) for name in (*E.COMMON_FIELDS, *E.KIND_FIELDS[kind])]))
+    usable = entries.filter(F.col("kind").isin(*E.KINDS))
+    return _cards(usable, F.col("kind"), by_kind(_lists), by_kind(_texts), known, *keys)
 
 
 def card_field_counts(cards: DataFrame) -> DataFrame:

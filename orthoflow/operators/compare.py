@@ -26,6 +26,14 @@ def check_one_policy(inputs: DataFrame) -> DataFrame:
     ).withColumn("comparable", (F.col("policy_count") == 1) & (F.col("input_count") >= 2))
 
 
+def require_one_policy(inputs: DataFrame) -> int:
+    """The number of policies (1); raises when inputs differ in policy or are fewer than two. One row is fetched."""
+    found = check_one_policy(inputs).first()
+    if not found["comparable"]:
+        raise ValueError(f"a comparison needs two or more inputs of one policy: {found['input_count']} inputs, {found['policy_count']} policies")
+    return found["policy_count"]
+
+
 def membership(sets: DataFrame) -> DataFrame:
     """(ko_id, members): the sorted input indexes that hold each KO. Inputs are few (2 to 100)."""
     return sets.groupBy("ko_id").agg(F.sort_array(F.collect_set("input_index")).alias("members"))

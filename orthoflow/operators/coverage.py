@@ -85,9 +85,10 @@ def missing_kos(requests: DataFrame, accepted: DataFrame, kos: DataFrame, key: s
 def coverage(requests: DataFrame, accepted: DataFrame, kos: DataFrame, reference: DataFrame, key: str = "sample_id") -> DataFrame:
     """Coverage of every requested pair; an empty denominator gives a NULL ratio, never 0.
 
-    Only requested pairs are computed, so no product of all sets and all pathways is formed.
+    Hits start from the requests, so no pair of set and pathway that nobody asked for is formed.
     """
-    hits = accepted.join(kos, "ko_id").groupBy(key, "pathway_id").agg(F.count("*").alias("detected_kos"))
+    asked = requests.select(key, "pathway_id").distinct()
+    hits = detected_kos(asked, accepted, kos, key).groupBy(key, "pathway_id").agg(F.count("*").alias("detected_kos"))
     return (
         requests.join(reference, "pathway_id").join(hits, [key, "pathway_id"], "left")
         .na.fill(0, ["detected_kos"])

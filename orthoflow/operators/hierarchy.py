@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from orthoflow.functions.staging import computed
 from orthoflow.functions.text import strip
 
-# Data lines, ids that look official, deepest level (A to Z).
+# Data lines, ids that look official.
 DATA_LINE = r"^[A-Z]"
 OFFICIAL_ID = r"^(?:[A-Z][0-9]{5}|[0-9]{5}|[1-7](?:\.(?:[0-9]+|-)){3})$"
 CLASSIC_ROOT = r"^A(?:\s|[0-9<])"
 COMPACT_ROOT = r"^A\S"
 METADATA_HEADER = r"^\+[A-Z]\t"
-MAX_DEPTH = 26
 PATH_CHUNK = 1 << 16
 
 
@@ -63,14 +62,17 @@ def level_gaps(nodes: DataFrame, chunk: int = PATH_CHUNK) -> DataFrame:
         "depth > previous_depth + 1").drop("chunk", "carry")
 
 
-def hierarchy_paths(nodes: DataFrame, levels: int = MAX_DEPTH, chunk: int = PATH_CHUNK) -> DataFrame:
+def hierarchy_paths(nodes: DataFrame, levels: int | None = None, chunk: int = PATH_CHUNK) -> DataFrame:
     """Root-to-node path of every node, as array<struct<depth, level, node_id, name>>.
 
     The ancestor at a level is the last node of that level before the line. One document may be far
     larger than a task should hold, so each chunk of lines finds its own ancestors and takes the ones
     from earlier chunks out of a table with at most one row per chunk and level. Run ``level_gaps``
-    first: paths assume that a level grows by at most one.
+    first: paths assume that a level grows by at most one. Without ``levels`` the deepest node says how
+    many there are (26 at most, one row to the driver).
     """
+    if levels is None:
+        levels = (nodes.agg(F.max("depth").alias("d")).first()["d"] or 0) + 1
     node = F.struct("depth", "level", "node_id", "name")
     parts = _chunked(nodes, chunk).withColumn("node", node)
     lasts = parts.groupBy("hierarchy_id", "chunk", "depth").agg(F.max_by("node", "line_no").alias("last"))

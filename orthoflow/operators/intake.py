@@ -17,6 +17,7 @@ from orthoflow.functions import numbers as N
 from orthoflow.functions import policies as P
 from orthoflow.functions.identifiers import normalize_ko
 from orthoflow.functions.text import blank_to_null, is_blank, strip, valid_label
+from orthoflow.session import cut_lineage
 
 # Composite label, diagnostic codes, columns of the detailed format, header aliases.
 COMPOSITE_PATTERN = r"^K[0-9]{5}(?:[ \t]*\+[ \t]*K[0-9]{5})+$"
@@ -42,7 +43,6 @@ HEADER_ALIASES = {
     "threshold": ("threshold",),
 }
 MAX_PROTEIN_NAME_CHARACTERS = 1000
-NUMBERING_CHUNK = 1 << 16
 
 KEYS = ("dataset_id", "sample_id", "row_number")
 
@@ -319,25 +319,22 @@ RECORD_KEY = (
 )
 
 
-def number_records(records: DataFrame, order: tuple[str, ...] = ("row_number", "pos"),
-                   chunk: int = NUMBERING_CHUNK) -> DataFrame:
+def number_records(records: DataFrame, order: tuple[str, ...] = ("row_number", "pos")) -> DataFrame:
     """``record_no`` 1..n per dataset in source order.
 
-    A dataset may hold most of all rows, so the ordinal is built from two small pieces: the count
-    of records in earlier chunks of source rows, plus the position inside the chunk. Only a table
-    with one row per chunk is ordered per dataset.
+    Records are range-partitioned and sorted by dataset and source order and checkpointed, so a dataset of
+    any size is spread and places are fixed. A record's number is its place among its dataset's records of
+    the partition plus those of earlier partitions; only that table, with one row per (partition,
+    dataset), is ordered per dataset. Row numbers may be sparse or dense.
     """
-    chunked = records.withColumn("chunk", F.floor(F.col("row_number") / chunk))
-    sizes = chunked.groupBy("dataset_id", "chunk").agg(F.count("*").alias("chunk_size"))
-    before = W.partitionBy("dataset_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("dataset_id", "chunk", F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("dataset_id", "chunk").orderBy(*order)
-    return (
-        chunked.withColumn("in_chunk", F.row_number().over(inside))
-        .join(offsets, ["dataset_id", "chunk"])
-        .withColumn("record_no", F.col("offset") + F.col("in_chunk"))
-        .drop("chunk", "in_chunk", "offset")
-    )
+    placed = cut_lineage(
+        records.repartitionByRange("dataset_id", *order).sortWithinPartitions("dataset_id", *order)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
+    parts = placed.groupBy("dataset_id", "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy("dataset_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select("dataset_id", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, ["dataset_id", "_part"]).withColumn(
+        "record_no", F.col("_offset") + F.col("_seq") - F.col("_first") + 1).drop("_part", "_seq", "_first", "_offset")
 
 
 def record_id(number: Column) -> Column:
@@ -444,7 +441,10 @@ def skipped_duplicates(skipped: DataFrame) -> DataFrame:
 
 def import_report(rows: DataFrame, records: DataFrame, skipped: DataFrame, slot: Column,
                   key: tuple[str, ...] = RECORD_KEY) -> DataFrame:
-    """One row per dataset: input, emitted, skipped, duplicate, conflict and status counts."""
+    """One row per dataset: input, emitted, skipped, duplicate, conflict and status counts.
+
+    The parts read ``records`` several times: derive them from one checkpointed parse.
+    """
     inputs = rows.groupBy("dataset_id").agg(F.count("*").alias("input_rows"))
     emitted = records.groupBy("dataset_id").agg(
         F.count("*").alias("emitted_records"),

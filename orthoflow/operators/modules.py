@@ -10,18 +10,17 @@ is then a plain aggregate on (set, root, module, path prefix): after one reparti
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.functions.definitions import NODE_SCHEMA, parse_batches
+from orthoflow.functions.definitions import NODE_SCHEMA, Limits, parser
 from orthoflow.functions.staging import computed
 from orthoflow.session import cut_lineage
 
 FALSE, UNKNOWN, TRUE = 0, 1, 2
-# Bounds of the missing-alternative search, reference depth, warning codes in order.
-MAX_COMBINATIONS = 10_000
-MAX_REFERENCE_DEPTH = 32
+# Warning codes in order.
 WARNING_CODES = (
     "UNSUPPORTED_CONTENT", "UNRESOLVED_REFERENCE", "REFERENCE_CYCLE", "REFERENCE_LIMIT", "PARTIAL_EVALUATION",
     "NO_REQUIRED_COMPONENT", "MISSING_ALTERNATIVES_TRUNCATED",
@@ -31,9 +30,9 @@ _SETS = "array<array<string>>"
 
 # --- definitions -------------------------------------------------------------------------------
 
-def parsed_definitions(definitions: DataFrame) -> DataFrame:
-    """Node and diagnostic rows of every definition."""
-    return definitions.select("module_id", "definition").mapInArrow(parse_batches, NODE_SCHEMA)
+def parsed_definitions(definitions: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Node and diagnostic rows of every definition; ``limits`` bounds definitions where a caller wants that."""
+    return definitions.select("module_id", "definition").mapInArrow(parser(limits), NODE_SCHEMA)
 
 
 def module_nodes(parsed: DataFrame) -> DataFrame:
@@ -82,13 +81,13 @@ def reference_edges(nodes: DataFrame) -> DataFrame:
 
 
 def resolve_references(roots: DataFrame, edges: DataFrame, validity: DataFrame,
-                       max_depth: int = MAX_REFERENCE_DEPTH) -> tuple[DataFrame, DataFrame]:
+                       max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(reachable, issues) per root.
 
     ``reachable`` has the depth-first path of each module below a root: among all paths, the one whose
     reference positions come first. It is found by rounds of joins that keep the best path per
     (root, module), so a module shared by many paths stays one row. An edge is a cycle when its
-    target is on the source's own path.
+    target is on the source's own path. Rounds end when no path is new, or at ``max_depth`` if given.
     """
     known = validity.select(F.col("module_id").alias("target_id"), "is_valid")
     best = roots.select(F.col("module_id").alias("root_id")).distinct().select(
@@ -96,7 +95,7 @@ def resolve_references(roots: DataFrame, edges: DataFrame, validity: DataFrame,
     usable = edges.join(known.filter("is_valid"), "target_id").select("module_id", "target_id", "node_id")
     valid_roots = validity.filter("is_valid").select(F.col("module_id").alias("root_id"))
     frontier = best.join(valid_roots, "root_id", "left_semi")
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         step = frontier.join(usable, "module_id").filter(~F.array_contains("path", F.col("target_id"))).select(
             "root_id", F.col("target_id").alias("module_id"), F.concat("path", F.array("target_id")).alias("path"),
             F.concat("order", F.array("node_id")).alias("order"))
@@ -110,7 +109,7 @@ def resolve_references(roots: DataFrame, edges: DataFrame, validity: DataFrame,
     checked = reachable.join(edges, "module_id").join(known, "target_id", "left")
     kind = (
         F.when(F.array_contains("path", F.col("target_id")), F.lit("cycle"))
-        .when(F.col("depth") + 1 > max_depth, F.lit("depth_limit"))
+        .when(F.col("depth") + 1 > max_depth if max_depth is not None else F.lit(False), F.lit("depth_limit"))
         .when(F.col("is_valid").isNull(), F.lit("unresolved"))
         .when(~F.col("is_valid"), F.lit("invalid_definition"))
     )
@@ -126,13 +125,15 @@ def _antichain(sets: Column) -> Column:
     return F.filter(unique, lambda x: ~F.exists(unique, lambda y: (y != x) & (F.size(F.array_except(y, x)) == 0)))
 
 
-def _cross_union(items: Column, cap: int) -> Column:
-    """Smallest unions taking one set from every item; NULL when an item is open or the cap is passed."""
+def _cross_union(items: Column, cap: int | None) -> Column:
+    """Smallest unions taking one set from every item; NULL when an item is open or a given cap is passed."""
     start = F.array(F.array().cast("array<string>"))
 
     def combine(acc: Column, item: Column) -> Column:
         pairs = F.flatten(F.transform(acc, lambda a: F.transform(item["missing"], lambda b: F.array_sort(F.array_union(a, b)))))
-        closed = ~item["truncated"] & (F.size(item["missing"]) > 0) & (F.size(acc) * F.size(item["missing"]) <= cap)
+        closed = ~item["truncated"] & (F.size(item["missing"]) > 0)
+        if cap is not None:
+            closed = closed & (F.size(acc).cast("long") * F.size(item["missing"]) <= cap)
         return F.when(closed, _antichain(pairs))
 
     return F.aggregate(items, start.cast(_SETS), combine)
@@ -186,7 +187,7 @@ def reference_truth(leaves: DataFrame, issues: DataFrame, results: DataFrame, ke
     return refs.select(*[F.when(use, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in leaves.columns])
 
 
-def _aggregate(grouped, kind: Column, child: Column, cap: int, sets: bool) -> DataFrame:
+def _aggregate(grouped, kind: Column, child: Column, cap: int | None, sets: bool) -> DataFrame:
     """Combine children: ``min`` for all-of, ``max`` for one-of, plus the KO sets when asked for."""
     plain = [F.min("truth").alias("lowest"), F.max("truth").alias("highest"), F.sum("required").alias("required"),
              F.bool_or("any_matched").alias("any_matched")]
@@ -200,23 +201,28 @@ def _aggregate(grouped, kind: Column, child: Column, cap: int, sets: bool) -> Da
     return _merge(collected, kind, cap)
 
 
-def fold_level(rows: DataFrame, level: int, key: str = "sample_id", cap: int = MAX_COMBINATIONS, sets: bool = False) -> DataFrame:
-    """Fold the rows at ``level`` into their parents; shallower rows pass through unchanged."""
-    deep = F.size("path") == level
+def fold_level(rows: DataFrame, level: int, key: str = "sample_id", cap: int | None = None, sets: bool = False) -> DataFrame:
+    """Fold the rows at ``level`` into their parents; shallower rows pass through unchanged.
+
+    A folded optional part goes on as a neutral child and stays as a row of its own with ``done``.
+    """
+    deep = (F.size("path") == level) & ~F.col("done")
     optional = deep & (F.element_at("kinds", -1) == "optional")
     neutral, names = _neutral(), _values(sets)
     lifted = rows.select(
-        key, "root_id", "module_id", "block_index",
+        key, "root_id", "module_id", "block_index", "done",
         F.when(deep, F.slice("path", 1, level - 1)).otherwise(F.col("path")).alias("path"),
         F.when(deep, F.slice("kinds", 1, level - 1)).otherwise(F.col("kinds")).alias("kinds"),
         F.element_at("path", -1).alias("child"),
         *[F.when(optional, neutral[name]).otherwise(F.col(name)).alias(name) for name in names])
     parents = ["root_id", "module_id", "block_index", "path", "kinds"]
-    folded = _aggregate(lifted.groupBy(key, *parents), F.element_at("kinds", -1), F.col("child"), cap, sets)
-    return folded.select(key, *parents, *names)
+    folded = _aggregate(lifted.groupBy(key, *parents, "done"), F.element_at("kinds", -1), F.col("child"), cap, sets)
+    part = ~F.col("done") & (F.size("path") == level - 1) & (F.element_at("kinds", -1) == "optional")
+    copies = F.explode(F.when(part, F.array(F.lit(False), F.lit(True))).otherwise(F.array("done")))
+    return folded.select(key, *parents, *names, copies.alias("done"))
 
 
-def _merge(grouped: DataFrame, kind: Column, cap: int) -> DataFrame:
+def _merge(grouped: DataFrame, kind: Column, cap: int | None) -> DataFrame:
     """Truth and missing sets of a parent from the collected children."""
     one_of = kind == "or"
     truth = F.when(one_of, F.col("highest")).otherwise(F.col("lowest"))
@@ -235,31 +241,44 @@ def _merge(grouped: DataFrame, kind: Column, cap: int) -> DataFrame:
     return computed(staged, missing=missing, truncated=truncated)
 
 
-def fold_blocks(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int = MAX_COMBINATIONS,
-                sets: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(blocks, optional parts). One shuffle places a module's leaves together; the levels reuse it."""
-    rows = leaves.drop("node_id", "kind", "value").repartition(key, "root_id", "module_id")
-    optionals = []
+def deepest(nodes: DataFrame) -> int:
+    """The deepest level of the nodes: one row to the driver."""
+    return nodes.agg(F.max("level").alias("level")).collect()[0]["level"] or 1
+
+
+def folded_rows(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int | None = None, sets: bool = False) -> DataFrame:
+    """Blocks, and optional parts (``done``). One shuffle places a module's leaves together; the levels reuse it."""
+    rows = leaves.drop("node_id", "kind", "value").repartition(key, "root_id", "module_id").withColumn("done", F.lit(False))
     for level in range(max_level, 1, -1):
         rows = fold_level(rows, level, key, cap, sets)
-        optionals.append(rows.filter((F.size("path") == level - 1) & (F.element_at("kinds", -1) == "optional")))
-    return rows, reduce(DataFrame.unionByName, optionals) if optionals else rows.filter(F.lit(False))
+    return rows
 
 
-def fold_modules(blocks: DataFrame, key: str = "sample_id", cap: int = MAX_COMBINATIONS, sets: bool = False) -> DataFrame:
+def fold_blocks(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int | None = None,
+                sets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(blocks, optional parts)."""
+    rows = folded_rows(leaves, max_level, key, cap, sets)
+    return rows.filter(~F.col("done")).drop("done"), rows.filter("done").drop("done")
+
+
+def fold_modules(blocks: DataFrame, key: str = "sample_id", cap: int | None = None, sets: bool = False) -> DataFrame:
     """A referenced module is all of its blocks; without a required part it is unknown."""
     folded = _aggregate(blocks.groupBy(key, "root_id", "module_id"), F.lit("and"), F.col("block_index"), cap, sets)
     return folded.withColumn("truth", F.when(F.col("required") == 0, UNKNOWN).otherwise(F.col("truth"))).select(
         key, "root_id", "module_id", *_values(sets))
 
 
-def heights(reachable: DataFrame, edges: DataFrame, issues: DataFrame, max_depth: int = MAX_REFERENCE_DEPTH) -> DataFrame:
-    """Rounds a module waits for its referenced modules (0 when it has none), per root."""
+def heights(reachable: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
+    """Rounds a module waits for its referenced modules (0 when it has none), per root.
+
+    References with an issue (a cycle above all) do not count.
+    """
     open_edges = reachable.select("root_id", "module_id").join(edges, "module_id").join(
         issues.select("root_id", "module_id", "node_id"), ["root_id", "module_id", "node_id"], "left_anti").select(
         "root_id", "module_id", "target_id").distinct()
     level = reachable.select("root_id", "module_id", F.lit(0).alias("height"))
-    for _ in range(max_depth):
+    longest = reachable.groupBy("root_id").count().agg(F.max("count")).first()[0] or 0  # no path has more modules
+    for _ in range(longest):
         raised = open_edges.join(level.select("root_id", F.col("module_id").alias("target_id"), "height"), ["root_id", "target_id"]).groupBy(
             "root_id", "module_id").agg((F.max("height") + 1).alias("new"))
         updated = cut_lineage(level.join(raised, ["root_id", "module_id"], "left").select(
@@ -272,7 +291,7 @@ def heights(reachable: DataFrame, edges: DataFrame, issues: DataFrame, max_depth
 
 
 def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, key: str = "sample_id",
-             cap: int = MAX_COMBINATIONS, sets: bool = True) -> dict[str, DataFrame]:
+             cap: int | None = None, sets: bool = True) -> dict[str, DataFrame]:
     """Evaluate every requested (set, module): blocks, optional parts, issues and facts per root.
 
     ``sets=False`` leaves out matched and missing KO sets, which completion does not need.
@@ -287,9 +306,8 @@ def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, k
     roots = requests.select("module_id").distinct()
     reachable, issues = resolve_references(roots, edges, validity)
     by_height = heights(reachable, edges, issues)
-    bounds = nodes.agg(F.max("level").alias("level")).collect()[0]
     top = by_height.agg(F.max("height").alias("height")).collect()[0]
-    max_level, max_height = bounds["level"] or 1, top["height"] or 0
+    max_level, max_height = deepest(nodes), top["height"] or 0
     pairs = requests.select(key, F.col("module_id").alias("root_id")).join(by_height, "root_id")
     results, root_blocks, root_optional = None, [], []
     for height in range(max_height + 1):
@@ -297,11 +315,12 @@ def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, k
         leaves = leaf_truth(nodes, now, accepted, key, sets)
         if results is not None:
             leaves = reference_truth(leaves, issues, results, key, sets)
-        blocks, optional = fold_blocks(leaves, max_level, key, cap, sets)
+        rows = cut_lineage(folded_rows(leaves, max_level, key, cap, sets))  # folded once, read below
+        blocks, optional = rows.filter(~F.col("done")).drop("done"), rows.filter("done").drop("done")
         root_blocks.append(blocks.filter("root_id = module_id"))
         root_optional.append(optional)
         if height < max_height:
-            folded = cut_lineage(fold_modules(blocks, key, cap, sets))
+            folded = fold_modules(blocks, key, cap, sets)
             results = folded if results is None else results.unionByName(folded)
     tainted = reachable.join(validity.select("module_id", "unsupported"), "module_id").groupBy("root_id").agg(
         F.bool_or("unsupported").alias("unsupported"))

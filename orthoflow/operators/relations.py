@@ -20,7 +20,6 @@ BROAD_PATHWAYS = (
     "ko01230", "ko01232", "ko01240", "ko01250", "ko01310", "ko01320",
 )
 DEFAULT_TOP_N = 5
-MAX_TOP_N = 25
 
 TargetNormalizer = Callable[[Column], Column]
 
@@ -89,10 +88,11 @@ def rank_targets(overlap: DataFrame, key: str = "sample_id") -> DataFrame:
     return overlap.withColumn("rank", F.row_number().over(order))
 
 
-def top_targets(ranked: DataFrame, n: int = DEFAULT_TOP_N, excluded: tuple[str, ...] = (), key: str = "sample_id") -> DataFrame:
-    """First ``n`` ranked targets after leaving out ``excluded``; the original rank is kept."""
-    if not 1 <= n <= MAX_TOP_N:
-        raise ValueError(f"n must be between 1 and {MAX_TOP_N}")
+def top_targets(ranked: DataFrame, n: int = DEFAULT_TOP_N, excluded: tuple[str, ...] = (), key: str = "sample_id",
+                limit: int | None = None) -> DataFrame:
+    """First ``n`` ranked targets after leaving out ``excluded``; the original rank is kept. ``limit`` bounds ``n`` where a caller wants that."""
+    if n < 1 or (limit is not None and n > limit):
+        raise ValueError(f"n must be at least 1 and at most {limit}")
     kept = ranked.filter(~F.col("target_id").isin(*excluded)) if excluded else ranked
     order = W.partitionBy(key).orderBy("rank")
     return kept.withColumn("selection", F.row_number().over(order)).filter(F.col("selection") <= n)

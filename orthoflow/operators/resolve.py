@@ -35,9 +35,9 @@ def organism_prefixes(genomes: DataFrame, organism: str) -> DataFrame:
 
 
 def organism_filter(candidates: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept candidates, dropped count per input). ``prefixes`` has two rows for one organism."""
+    """(kept candidates, dropped count per input). The planner picks the join by the size of ``prefixes``."""
     prefixed = candidates.withColumn("prefix", F.substring_index("candidate_id", ":", 1))
-    marked = prefixed.join(F.broadcast(prefixes.withColumn("own", F.lit(True))), "prefix", "left")
+    marked = prefixed.join(prefixes.withColumn("own", F.lit(True)), "prefix", "left")
     dropped = marked.filter("candidate_id is not null").groupBy("input_identifier").agg(
         F.count_if(F.col("own").isNull()).alias("dropped"))
     return marked.filter("own").drop("own", "prefix"), dropped

@@ -92,29 +92,29 @@ def release_status(batches: DataFrame) -> DataFrame:
     """same, different, mixed, partial or unavailable for the left and right snapshot."""
     side = lambda name: F.when(F.col("snapshot_id") == name, F.col("database_release"))
     unlabelled = lambda name: F.count_if((F.col("snapshot_id") == name) & F.col("database_release").isNull())
-    sets = batches.agg(F.array_sort(F.collect_set(side("left"))).alias("l"), F.array_sort(F.collect_set(side("right"))).alias("r"),
-                       unlabelled("left").alias("lm"), unlabelled("right").alias("rm"))
-    none_l, none_r = F.size("l") == 0, F.size("r") == 0
+    facts = batches.agg(F.min(side("left")).alias("l"), F.max(side("left")).alias("l2"), F.min(side("right")).alias("r"),
+                        F.max(side("right")).alias("r2"), unlabelled("left").alias("lm"), unlabelled("right").alias("rm"))
+    none_l, none_r = F.col("l").isNull(), F.col("r").isNull()
     status = (
         F.when(none_l & none_r, F.lit("unavailable"))
         .when((F.col("lm") > 0) | (F.col("rm") > 0) | none_l | none_r, F.lit("partial"))
-        .when((F.size("l") > 1) | (F.size("r") > 1), F.lit("mixed"))
+        .when((F.col("l") < F.col("l2")) | (F.col("r") < F.col("r2")), F.lit("mixed"))
         .when(F.col("l") == F.col("r"), F.lit("same")).otherwise(F.lit("different"))
     )
-    return sets.select(status.alias("release_status"))
+    return facts.select(status.alias("release_status"))
 
 
 def context_compatible(batches: DataFrame) -> DataFrame:
     """Whether both snapshots have equal sets of endpoint and retrieval contexts."""
-    def contexts(name: str, *columns: str) -> Column:
-        pair = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
-        return F.array_sort(F.collect_set(F.when(F.col("snapshot_id") == name, pair)))
-
-    endpoint = ("endpoint_class", "endpoint_label")
-    retrieval = ("origin", "cache_state", "is_stale")
-    return batches.agg(
-        (contexts("left", *endpoint) == contexts("right", *endpoint)).alias("endpoint_compatible"),
-        (contexts("left", *retrieval) == contexts("right", *retrieval)).alias("retrieval_compatible"))
+    def one_sided(*columns: str) -> DataFrame:
+        """Number of distinct contexts that only one snapshot has."""
+        held = batches.groupBy(*[F.col(c).cast("string").alias(c) for c in columns]).agg(
+            F.bool_or(F.col("snapshot_id") == "left").alias("l"), F.bool_or(F.col("snapshot_id") == "right").alias("r"))
+        return held.agg(F.count_if(F.coalesce("l", F.lit(False)) != F.coalesce("r", F.lit(False))).alias("n"))
+
+    endpoint = one_sided("endpoint_class", "endpoint_label").select((F.col("n") == 0).alias("endpoint_compatible"), F.lit(1).alias("one"))
+    retrieval = one_sided("origin", "cache_state", "is_stale").select((F.col("n") == 0).alias("retrieval_compatible"), F.lit(1).alias("one"))
+    return endpoint.join(retrieval, "one").drop("one")  # one row each
 
 
 def select_bundle(cards: DataFrame, selection: DataFrame) -> tuple[DataFrame, DataFrame]:

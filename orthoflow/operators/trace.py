@@ -58,8 +58,10 @@ def trace(seeds: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame
 
     Every level joins only the nodes first reached on the level before, so a node is expanded once
     and each edge has exactly one depth. The visited nodes are checkpointed per level: the lineage
-    stays short and a lost executor costs one level.
+    stays short and a lost executor costs one level. The edges are checkpointed once, placed by their
+    source, so no level builds them again. Levels end early when nothing new is reached.
     """
+    edges = cut_lineage(edges.repartition("source_kind", "source_identifier"))
     visited = seeds.select(*NODE).distinct().withColumn("depth", F.lit(0))
     frontier = visited
     found = []
@@ -71,6 +73,8 @@ def trace(seeds: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame
         reached = step.select(F.col("target_kind").alias("kind"), F.col("target_identifier").alias("identifier")).distinct()
         frontier = cut_lineage(reached.join(visited, NODE, "left_anti").withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return visited, reduce(DataFrame.unionByName, found)
 
 

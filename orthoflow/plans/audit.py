@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from orthoflow.operators import audit as A
 from orthoflow.operators import relations as R
 from orthoflow.operators.evidence import accepted_kos
+from orthoflow.session import cut_lineage
 
 
 def audit_annotation(records: DataFrame, relations: DataFrame, sources: DataFrame, audited: tuple[str, ...]) -> DataFrame:
-    """(section, dataset_id, item, n). The accepted sets are reduced once and reused by every part."""
-    accepted = accepted_kos(records, "dataset_id")
+    """(section, dataset_id, item, n). The accepted sets are reduced and checkpointed once, the audited relations too."""
+    accepted = cut_lineage(accepted_kos(records, "dataset_id"))
+    relations = cut_lineage(relations.filter(F.col("relationship").isin(*audited)))
     parts = [accepted.groupBy("dataset_id").agg(F.count("*").alias("n")).select(
         F.lit("evidence").alias("section"), "dataset_id", F.lit("accepted_unique_kos").alias("item"), "n")]
     for name in audited:

@@ -8,7 +8,7 @@ from orthoflow.operators import hierarchy as H
 
 
 def map_entities(entities: DataFrame, lines: DataFrame, scope: DataFrame | None = None, all_paths: bool = True,
-                 levels: int = H.MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 levels: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(paths, unmatched, counts). ``scope`` restricts each entity to discovered hierarchies."""
     paths = H.entity_paths(entities, H.hierarchy_paths(H.hierarchy_nodes(lines), levels), scope)
     if not all_paths:

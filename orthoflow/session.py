@@ -12,6 +12,8 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 # compiled by the JVM's JIT; with this limit Spark plans such stages as several smaller ones.
 HUGE_METHOD_SETTING = "spark.sql.codegen.hugeMethodLimit"
 HUGE_METHOD_LIMIT = "8000"
+# Number of partitions over which parsed tables are dealt first; unset: as Spark splits the files.
+SPREAD_SETTING = "spark.orthoflow.spreadInputs"
 
 
 def local_session(name: str, cores: str | None = None) -> SparkSession:
@@ -24,6 +26,8 @@ def local_session(name: str, cores: str | None = None) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config(HUGE_METHOD_SETTING, HUGE_METHOD_LIMIT)
+        .config(SPREAD_SETTING, cores)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

@@ -29,9 +29,10 @@ DUPLICATE_RULES = {
 }
 
 
-def cell_violation(col: Column, limit: int = MAX_TOKEN) -> Column:
+def cell_violation(col: Column, limit: int | None = MAX_TOKEN) -> Column:
+    """Rule a cell breaks, or NULL; ``limit`` is the longest cell a target takes (None: any)."""
     return (F.when(is_blank(col), F.lit("blank")).when(col.rlike(FORBIDDEN_CELL), F.lit("control_character"))
-            .when(F.length(col) > limit, F.lit("too_long")))
+            .when(F.length(col) > limit if limit is not None else F.lit(False), F.lit("too_long")))
 
 
 def token_violation(col: Column) -> Column:
@@ -101,9 +102,10 @@ def mwsearch(rows: DataFrame, mode: str) -> DataFrame:
     return _checked(rows, F.coalesce(token_violation(col), F.when(~F.coalesce(fits, F.lit(False)), F.lit("mode_mismatch"))), col, ("value",))
 
 
-def ko_composition(rows: DataFrame) -> DataFrame:
+def ko_composition(rows: DataFrame, unique: tuple[str, ...] = ("ko_id",)) -> DataFrame:
+    """KO ids; ``unique`` names what may not repeat (with a sample's name for many samples at once)."""
     col = F.col("ko_id")
-    return _checked(rows, F.when(~col.rlike(I.KO_PATTERN), F.lit("invalid_ko")), col, ("ko_id",))
+    return _checked(rows, F.when(~col.rlike(I.KO_PATTERN), F.lit("invalid_ko")), col, unique)
 
 
 def ko_sequence(rows: DataFrame) -> DataFrame:
@@ -117,18 +119,22 @@ def violations(checked: DataFrame, target: str, *keys: str) -> DataFrame:
     return checked.filter("violation is not null").select(F.lit(target).alias("target"), *keys, "violation")
 
 
-def manifest(checked: DataFrame, target: str, delimiter: str) -> DataFrame:
-    """One row of facts about an export."""
+def manifest(checked: DataFrame, target: str, delimiter: str, ordered: bool = False) -> DataFrame:
+    """One row of facts about an export; ``ordered`` is what ``write_lines`` was told (it returns that)."""
     return checked.agg(F.count_if(F.col("violation").isNull()).alias("item_count"), F.count_if(F.col("violation").isNotNull()).alias("rejected")).select(
         F.lit(target).alias("target"), "item_count", "rejected", F.lit(False).alias("header"), F.lit(delimiter).alias("delimiter"),
-        F.lit(True).alias("order_preserved"), F.lit(DUPLICATE_RULES.get(target, "duplicates_rejected")).alias("duplicate_semantics"))
+        F.lit(ordered).alias("order_preserved"), F.lit(DUPLICATE_RULES.get(target, "duplicates_rejected")).alias("duplicate_semantics"))
 
 
-def write_lines(checked: DataFrame, path: str, partition_by: str | None = None, order: str | None = None) -> None:
-    """Text files of the valid lines; with ``partition_by`` one folder per genome, in order within it."""
+def write_lines(checked: DataFrame, path: str, partition_by: str | None = None, order: str | None = None) -> bool:
+    """Text files of the valid lines, with ``partition_by`` one folder per genome; returns whether they are in order.
+
+    With ``order`` (a position column) rows are range-partitioned by it, so the files in name order hold the
+    caller's order and a large genome is split over tasks. Without it no order is promised.
+    """
     valid = checked.filter("violation is null")
-    if partition_by is None:
-        valid.select("line").write.mode("errorifexists").text(path)
-        return
-    placed = valid.repartition(partition_by).sortWithinPartitions(partition_by, order)
-    placed.select(partition_by, "line").write.mode("errorifexists").partitionBy(partition_by).text(path)
+    keys = [c for c in (partition_by, order) if c is not None]
+    placed = valid.repartitionByRange(*keys).sortWithinPartitions(*keys) if order else valid
+    writer = placed.select(*([partition_by] if partition_by else []), "line").write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).text(path)
+    return order is not None

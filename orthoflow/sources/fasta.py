@@ -16,8 +16,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("value", r"^>", "").alias("record"))
 
 
-def sequences(records: DataFrame) -> DataFrame:
-    """(sequence_id, residues, length, fault) of record texts (header line, then residue lines)."""
+def sequences(records: DataFrame, max_identifier: int | None = MAX_IDENTIFIER) -> DataFrame:
+    """(sequence_id, residues, length, fault) of record texts (header line, then residue lines).
+
+    Identifiers beyond ``max_identifier`` characters are a fault; None allows any length.
+    """
     header = F.substring_index("record", "\n", 1)
     body = F.regexp_replace(F.col("record"), r"^[^\n]*\n?", "")
     residues = F.upper(F.replace(F.replace(body, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")))
@@ -27,7 +30,7 @@ def sequences(records: DataFrame) -> DataFrame:
     fault = (
         F.when((F.col("header") == "") | F.col("header").rlike(r"[\x00-\x08\x0A-\x1F\x7F]"), F.lit("invalid_header"))
         .when(F.col("sequence_id") == "", F.lit("missing_identifier"))
-        .when(F.length("sequence_id") > MAX_IDENTIFIER, F.lit("identifier_too_long"))
+        .when(F.length("sequence_id") > max_identifier if max_identifier is not None else F.lit(False), F.lit("identifier_too_long"))
         .when(F.col("residues") == "", F.lit("no_residues"))
         .when(F.translate("residues", PROTEIN_ALPHABET, "") != "", F.lit("invalid_residue")))
     return parsed.withColumn("fault", fault).withColumn("length", F.length("residues").cast("bigint"))

@@ -1,32 +1,55 @@
 """Flat-file records: 12-column labels, continuation lines, ``///`` terminators.
 
-Each record is one row, read with the terminator as the line separator, so a file splits between
-tasks and a record is parsed where it is read.
+Files are read by lines, however they split between tasks; each record becomes one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orthoflow.functions.staging import computed
 from orthoflow.functions.text import strip
 
-# Label width, field names, entry ids.
+# Terminator, label width, field names, entry ids.
+TERMINATOR = r"^///[ \t]*$"
 LABEL_WIDTH = 12
 FIELD_LABEL = r"^(?:|  )([A-Z][A-Z0-9_]*) *$"
 ENTRY_IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9:._-]{0,99}$"
 
 
 def read_flat_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record text. A record's own lines stay together whatever the file size."""
-    return spark.read.option("lineSep", "///\n").text(path).filter(strip(F.col("value")) != "").select(
-        F.col("value").alias("text"))
+    """One row per record text: source_id, record_no (from 1), text, terminated.
+
+    Files are read by line, so LF, CRLF and blanks after a terminator make no difference and a data line
+    that ends in ``///`` stays whole. A record's number is one more than the terminators before it: those of
+    its split, counted in the split, plus those of earlier splits from a table with one row per split.
+    Text after the last terminator is a record of its own with ``terminated = false``.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    lines = lines.withColumn("ends", F.col("line").rlike(TERMINATOR))
+    splits = lines.groupBy("source_id", "block").agg(F.count_if("ends").alias("n"))
+    before = W.partitionBy("source_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("source_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inside = W.partitionBy("source_id", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    numbered = lines.withColumn("own", F.coalesce(F.count_if("ends").over(inside), F.lit(0))).join(offsets, ["source_id", "block"])
+    records = numbered.groupBy("source_id", (F.col("own") + F.col("earlier") + 1).alias("record_no")).agg(
+        F.array_sort(F.collect_list(F.when(~F.col("ends"), F.struct("block", "seq", "line")))).alias("parts"), F.bool_or("ends").alias("terminated"))
+    texts = records.withColumn("text", F.array_join(F.transform("parts", lambda p: p["line"]), "\n"))
+    return texts.filter((strip(F.col("text")) != "") | F.col("terminated")).select("source_id", "record_no", "text", "terminated")
+
+
+def unterminated(records: DataFrame) -> DataFrame:
+    """Entries without a terminator, as faults."""
+    return records.filter(~F.col("terminated")).select("source_id", "record_no", F.lit("unterminated_entry").alias("fault"))
 
 
 def record_lines(text: Column) -> Column:
     """Lines before the terminator, without leading blank lines."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?m)^///[ \t]*$[\s\S]*", ""), r"^(?:[ \t]*\r?\n)+", "")
+    body = F.regexp_replace(F.regexp_replace(text, r"(?m)^///[ \t]*\r?$[\s\S]*", ""), r"^(?:[ \t]*\r?\n)+", "")
     return F.filter(F.split(body, r"\r?\n"), lambda line: line != "")
 
 

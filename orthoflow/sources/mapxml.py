@@ -44,7 +44,7 @@ def graphics(entries: DataFrame) -> DataFrame:
     points = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("values") / 2) - 1, F.lit(0)).cast("int")),
                          lambda i: F.struct(F.get("values", i * 2).alias("x"), F.get("values", i * 2 + 1).alias("y")))
     listed = computed(computed(shapes, values=values), points=points)
-    steps = F.transform(F.slice("points", 2, 1_000_000), lambda p, i: F.hypot(
+    steps = F.transform(F.slice("points", F.lit(2), F.size("points")), lambda p, i: F.hypot(
         p["x"] - F.get("points", i)["x"], p["y"] - F.get("points", i)["y"]))
     length = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + F.coalesce(s, F.lit(0.0)))
     line = F.col("kind") == "polyline"
@@ -62,10 +62,17 @@ def graphics(entries: DataFrame) -> DataFrame:
                          F.when(line, F.col("points")).alias("points"), fault.alias("fault"))
 
 
-def overlay(shapes: DataFrame, accepted: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Shapes that carry at least one accepted KO, per requested (set, pathway) with accepted KOs."""
+def overlay(shapes: DataFrame, accepted: DataFrame, key: str = "sample_id", requests: DataFrame | None = None) -> DataFrame:
+    """Shapes that carry at least one accepted KO, per set and pathway with their accepted KOs.
+
+    With ``requests`` (key, pathway_id) only the requested pairs are formed.
+    """
     kos = shapes.filter("fault is null").select("pathway_id", "entry_id", "kind", F.explode("ko_ids").alias("ko_id")).distinct()
-    return kos.join(accepted, "ko_id").groupBy(key, "pathway_id", "entry_id", "kind").agg(
+    if requests is None:
+        pairs = kos.join(accepted, "ko_id")
+    else:
+        pairs = requests.select(key, "pathway_id").distinct().join(kos, "pathway_id").join(accepted, [key, "ko_id"])
+    return pairs.groupBy(key, "pathway_id", "entry_id", "kind").agg(
         F.array_sort(F.collect_set("ko_id")).alias("accepted_kos"))
 
 

@@ -6,6 +6,8 @@ line``) and split them into rows and a quarantine with a reason, so bad input st
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,12 +20,11 @@ from orthoflow.functions.text import is_blank, split_lines, strip
 # Bounds and patterns of the text forms.
 MAX_PAIR_CHARACTERS = 256
 MAX_MATCH_CHARACTERS = 10_000
-PAIR_TOKEN = r"^[\x21-\x7E]{1,256}$"
 INFO_RELEASE = r"(?:^|\s)Release\s+(\S.*?)\s*$"
 INFO_COUNT = r"^(?:([a-z][a-z0-9_-]{0,31})\s+)?([0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)\s+entries$"
 INFO_LINKED_START = r"^linked db\s+([a-z][a-z0-9_-]{0,31}|<org>)\s*$"
 INFO_LINKED_MORE = r"^\s+([a-z][a-z0-9_-]{0,31}|<org>)\s*$"
-CSV_CELL = {",": r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)', "\t": r'(?:^|\t)("(?:[^"]|"")*"|[^\t"]*)'}
+END_CELL = "\x02end\x03"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,18 +78,57 @@ def plain_duplicate_key(records: DataFrame) -> DataFrame:
 
 # --- delimited tables --------------------------------------------------------------------------
 
+def strict_line(sep: str) -> str:
+    """Lines whose quoted cells are closed and end where the cell ends."""
+    cell = rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sep}][^{sep}]*+|)'
+    return rf"^{cell}(?:{sep}{cell})*+$"
+
+
 def table_cells(lines: DataFrame, sep: str) -> DataFrame:
-    """Cells of each line; quoted cells may hold separators and doubled quotes."""
-    raw = F.regexp_extract_all("line", F.lit(CSV_CELL[sep]), F.lit(1))
-    unquoted = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.btrim(c, F.lit('"')), F.lit('""'), F.lit('"'))).otherwise(c))
+    """Cells of each line through Spark's CSV parser; NULL for a line with malformed quoting.
+
+    Only lines with a quote need the parser. It wants a number of columns: that of the line with the
+    most separators among them (one row to the driver). A marker after the last cell tells where the
+    cells end.
+    """
+    quoted = F.col("line").contains('"')
+    widest = lines.filter(quoted).agg(F.max(F.length("line") - F.length(F.replace("line", F.lit(sep), F.lit(""))))).first()[0]
     simple = F.split("line", sep)
-    return computed(lines, cells=F.when(F.col("line").contains('"'), unquoted).otherwise(simple))
+    if widest is None:
+        return computed(lines, cells=simple)
+    names = [f"c{i}" for i in range(widest + 2)]
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(len(names) + 1)}
+    row = F.from_csv(F.concat("line", F.lit(sep + END_CELL)), ", ".join(f"{n} string" for n in names), options)
+    staged = computed(lines, row=F.when(quoted & F.col("line").rlike(strict_line(sep)), row))
+    parsed = computed(staged, parsed=F.array(*[F.coalesce(F.col("row")[n], F.lit("")) for n in names]))
+    cells = F.slice("parsed", F.lit(1), F.greatest(F.array_position("parsed", END_CELL).cast("int") - 1, F.lit(0)))
+    return computed(parsed, cells=F.when(~quoted, simple).when(F.col("row").isNotNull(), cells)).drop("row", "parsed")
+
+
+def malformed_rows(cells: DataFrame) -> DataFrame:
+    """Lines with malformed quoting, whole, for the quarantine."""
+    return cells.filter("cells is null").drop("cells").withColumn("fault", F.lit("malformed_quoting"))
 
 
 def ragged_rows(cells: DataFrame, header: list[str]) -> DataFrame:
-    """Rows whose cell count differs from the header, as named evidence; surplus cells are ``_extra_n``."""
+    """Rows whose cell count differs from the header, as named evidence.
+
+    Surplus cells are ``_extra_n``; where the header has that name, ``_extra_n_m`` with the first free m.
+    """
     names = F.array(*[F.lit(name) for name in header])
-    name = lambda i: F.coalesce(F.get(names, i), F.concat(F.lit("_extra_"), (i - len(header) + 1).cast("string")))
+    used, renamed = set(header), {}
+    for taken in header:
+        number = taken.removeprefix("_extra_")
+        if taken.startswith("_extra_") and number.isdigit() and str(int(number)) == number:
+            m = next(k for k in count(1) if f"{taken}_{k}" not in used)
+            renamed[taken] = f"{taken}_{m}"
+            used.add(renamed[taken])
+    other = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair]) if renamed else None
+
+    def name(i: Column) -> Column:
+        extra = F.concat(F.lit("_extra_"), (i - len(header) + 1).cast("string"))
+        return F.coalesce(F.get(names, i), extra if other is None else F.coalesce(F.element_at(other, extra), extra))
+
     evidence = F.transform("cells", lambda value, i: F.struct(name(i).alias("name"), value.alias("value")))
     return cells.filter(F.size("cells") != len(header)).select(
         *[c for c in cells.columns if c != "cells"], F.size("cells").alias("actual_columns"), evidence.alias("evidence"))
@@ -103,10 +143,13 @@ def table_rows(cells: DataFrame, header: list[str]) -> DataFrame:
         *[c for c in cells.columns if c not in ("cells", "line")], *[F.col("cells")[i].alias(n) for i, n in enumerate(header)])
 
 
-def read_table(spark: SparkSession, path: str, sep: str, columns: list[str]) -> DataFrame:
-    """A delimited file with a header through the CSV reader, all cells as text, splittable."""
+def read_table(spark: SparkSession, path: str, sep: str, columns: list[str], line_breaks: bool = False) -> DataFrame:
+    """A delimited file with a header through the CSV reader, all cells as text.
+
+    Files split between tasks, unless ``line_breaks`` says that quoted cells may hold line breaks.
+    """
     schema = ", ".join(f"`{name}` string" for name in columns)
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", line_breaks).csv(path)
 
 
 # --- two-column forms --------------------------------------------------------------------------
@@ -116,20 +159,25 @@ def _two_columns(lines: DataFrame) -> DataFrame:
         *lines.columns, F.size("parts").alias("n"), F.get("parts", F.lit(0)).alias("first"), F.get("parts", F.lit(1)).alias("second"))
 
 
-def pairs(lines: DataFrame) -> DataFrame:
-    """source/target rows in order with repeats; ``fault`` marks the unusable ones."""
+def pairs(lines: DataFrame, limit: int | None = MAX_PAIR_CHARACTERS) -> DataFrame:
+    """source/target rows in order with repeats; ``fault`` marks the unusable ones.
+
+    A token has at most ``limit`` characters (None: any number).
+    """
+    token = r"^[\x21-\x7E]{1,%s}$" % ("" if limit is None else limit)
     fault = F.when(F.col("n") != 2, F.lit("expected_two_columns")).when(
-        ~F.col("first").rlike(PAIR_TOKEN) | ~F.col("second").rlike(PAIR_TOKEN), F.lit("invalid_identifier"))
+        ~F.col("first").rlike(token) | ~F.col("second").rlike(token), F.lit("invalid_identifier"))
     return _two_columns(lines).select("source_id", "line_no", F.col("first").alias("pair_source"), F.col("second").alias("pair_target"), fault.alias("fault"))
 
 
-def candidate_rows(lines: DataFrame, database: str | Column) -> DataFrame:
-    """identifier/text rows whose identifier fits the database."""
+def candidate_rows(lines: DataFrame, database: str | Column, limit: int | None = MAX_MATCH_CHARACTERS) -> DataFrame:
+    """identifier/text rows whose identifier fits the database and whose text has at most ``limit`` characters (None: any)."""
+    long = F.length("second") > limit if limit is not None else F.lit(False)
     kind = F.lit(database) if isinstance(database, str) else database
     fault = (
         F.when(F.col("n") != 2, F.lit("expected_two_columns"))
         .when(~I.valid_identifier(kind, F.col("first")), F.lit("unexpected_identifier"))
-        .when(is_blank(F.col("second")) | (F.length("second") > MAX_MATCH_CHARACTERS), F.lit("invalid_matched_text")))
+        .when(is_blank(F.col("second")) | long, F.lit("invalid_matched_text")))
     return _two_columns(lines).select("source_id", "line_no", F.col("first").alias("identifier"), F.col("second").alias("matched_text"), fault.alias("fault"))
 
 
@@ -156,11 +204,15 @@ def database_info(texts: DataFrame) -> DataFrame:
     count_lines = F.filter(F.transform("lines", strip), lambda l: l.rlike(INFO_COUNT) & F.regexp_extract(l, INFO_COUNT, 1).isin("") | (
         l.rlike(INFO_COUNT) & (F.regexp_extract(l, INFO_COUNT, 1) == F.col("source_id"))))
     counts = F.array_distinct(F.transform(count_lines, lambda l: F.replace(F.regexp_extract(l, INFO_COUNT, 2), F.lit(","), F.lit("")).cast("bigint")))
-    opened = F.transform("lines", lambda l: F.when(l.rlike(INFO_LINKED_START), F.lit("s")).when(l.rlike(INFO_LINKED_MORE), F.lit("m")).otherwise(F.lit("x")))
-    marks = F.array_join(opened, "")
-    in_block = lambda i: F.substring(marks, 1, 1_000_000).substr(F.lit(1), i + 1).rlike("sm*$")
-    linked = F.filter(F.transform("lines", lambda l, i: F.when(in_block(i), F.regexp_extract(
-        F.regexp_replace(l, r"^linked db", "  "), INFO_LINKED_MORE, 1))), lambda d: d.isNotNull() & (d != ""))
+    nothing = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, line: Column) -> Column:
+        starts = line.rlike(INFO_LINKED_START)
+        inside = starts | (state["open"] & line.rlike(INFO_LINKED_MORE))
+        name = F.regexp_extract(F.regexp_replace(line, r"^linked db", "  "), INFO_LINKED_MORE, 1)
+        return F.struct(inside.alias("open"), F.when(inside & (name != ""), F.array_append(state["found"], name)).otherwise(state["found"]).alias("found"))
+
+    linked = F.aggregate("lines", nothing, step)["found"]
     named = computed(staged, releases=releases, counts=counts, linked=F.array_distinct(linked))
     header = F.regexp_extract(F.get("lines", F.lit(0)), r"^(\S+)", 1) == F.col("source_id")
     return named.select(

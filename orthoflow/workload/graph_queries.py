@@ -37,7 +37,7 @@ _LOCAL = {"v_tree": _TREE}
 
 
 def paths_of(data: Inputs):
-    return H.hierarchy_paths(H.hierarchy_nodes(data.view("v_hierarchy_lines")), levels=4)
+    return H.hierarchy_paths(H.hierarchy_nodes(data.view("v_hierarchy_lines")))
 
 
 def entity_paths_of(data: Inputs):
@@ -118,7 +118,7 @@ def map_hierarchy(spark, sf):
     from orthoflow.plans.hierarchy import map_entities
 
     data = Inputs(spark, sf)
-    paths, unmatched, counts = map_entities(data.view("v_entities"), data.view("v_hierarchy_lines"), levels=4)
+    paths, unmatched, counts = map_entities(data.view("v_entities"), data.view("v_hierarchy_lines"))
     item = F.concat_ws(":", "kind", "identifier").alias("item")
     return union(paths.select(F.lit("path").alias("section"), item, path_text().alias("value")),
                  unmatched.select(F.lit("unmatched").alias("section"), item, F.lit("").alias("value")),

@@ -11,6 +11,7 @@ from orthoflow.functions import provenance as V
 from orthoflow.functions import text as T
 from orthoflow.operators import evidence as E
 from orthoflow.operators import intake as K
+from orthoflow.session import cut_lineage
 from orthoflow.workload.registry import query
 from orthoflow.workload.views import Inputs, sql_ko, sql_number, sql_positive, sql_strip
 
@@ -120,8 +121,7 @@ def marker_threshold_conflict(spark, sf):
 _FIRST = sql_ko("labels[1]")
 
 
-@query("row_diagnostics", f"""
-SELECT dataset_id, row_number, code, field, count(*) AS n FROM (
+DIAGNOSTICS = f"""
   SELECT dataset_id, row_number, unnest([
     CASE WHEN skipped THEN 'ROW_SKIPPED|name' END,
     CASE WHEN NOT skipped AND trim(score_text) <> '' AND score_n IS NULL THEN 'INVALID_FIELD_VALUE|probability' END,
@@ -136,7 +136,10 @@ SELECT dataset_id, row_number, code, field, count(*) AS n FROM (
     CASE WHEN NOT skipped AND {_FIRST} IS NOT NULL AND mark = 'x' THEN 'UNRECOGNIZED_SOURCE_DECISION|annotate' END,
     CASE WHEN NOT skipped AND mark = '*' AND score < threshold THEN 'SOURCE_DECISION_CONFLICT|annotate,probability,threshold' END]) AS d,
     split_part(d, '|', 1) AS code, split_part(d, '|', 2) AS field
-  FROM v_parsed) AS t WHERE d IS NOT NULL GROUP BY ALL""")
+  FROM v_parsed"""
+
+
+@query("row_diagnostics", f"SELECT dataset_id, row_number, code, field, count(*) AS n FROM ({DIAGNOSTICS}) AS t WHERE d IS NOT NULL GROUP BY ALL")
 def row_diagnostics(spark, sf):
     return K.row_diagnostics(Inputs(spark, sf).parsed(), K.detailed_legend()).groupBy("dataset_id", "row_number", "code", "field").agg(
         F.count("*").alias("n"))
@@ -336,8 +339,8 @@ LEFT JOIN (SELECT dataset_id, count(*) AS conflicts FROM (
 
 
 def report_of(data: Inputs):
-    parsed = data.parsed()
-    return K.import_report(data.rows(), K.detailed_records(parsed), parsed.filter("skipped"), K.sequence_or_domain_slot())
+    parsed = cut_lineage(data.parsed())
+    return K.import_report(parsed, K.detailed_records(parsed), parsed.filter("skipped"), K.sequence_or_domain_slot())
 
 
 @query("import_report", "SELECT * FROM v_report", {"v_report": _REPORT})

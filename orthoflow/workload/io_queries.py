@@ -20,6 +20,7 @@ from orthoflow.sources import fasta as FA
 from orthoflow.sources import mapxml as G
 from orthoflow.sources import text_tables as L
 from orthoflow.streaming import intake as ST
+from orthoflow.workload.intake_queries import DIAGNOSTICS
 from orthoflow.workload.module_queries import _EVAL
 from orthoflow.workload.registry import query
 from orthoflow.workload.relation_queries import _COVER, _RANK_VIEWS, coverage_of, overlap_of
@@ -311,7 +312,7 @@ def export_mwsearch(spark, sf):
 @query("export_ko_composition", "SELECT sample_id, ko_id AS line FROM v_accepted")
 def export_ko_composition(spark, sf):
     accepted = Inputs(spark, sf).accepted()
-    checked = X._checked(accepted, F.when(~F.col("ko_id").rlike(I.KO_PATTERN), F.lit("invalid_ko")), F.col("ko_id"), ("sample_id", "ko_id"))
+    checked = X.ko_composition(accepted, ("sample_id", "ko_id"))
     return checked.filter("violation is null").select("sample_id", "line")
 
 
@@ -336,36 +337,21 @@ def export_violations(spark, sf):
 SELECT 'color' AS target, count(*) FILTER (WHERE NOT (background_color IS NOT DISTINCT FROM 'x' OR (background_color IS NULL AND foreground_color IS NULL))) AS item_count, count(*) FILTER (WHERE background_color IS NOT DISTINCT FROM 'x' OR (background_color IS NULL AND foreground_color IS NULL)) AS rejected,
  false AS header, chr(9) AS delimiter, true AS order_preserved, 'exact_rows_rejected_repeated_identifier_colors_preserved' AS duplicate_semantics FROM v_x""", {"v_x": _COLOR})
 def export_manifest(spark, sf):
-    return X.manifest(X.color(sql_frame(spark, sf, _COLOR, "part")), "color", "\t")
+    return X.manifest(X.color(sql_frame(spark, sf, _COLOR, "part")), "color", "\t", ordered=True)
 
 
 # --- streams -----------------------------------------------------------------------------------
 
 def stream_rows(spark, sf):
-    """The detailed rows as a stream over the lineitem file (first copies only)."""
+    """The detailed rows as a stream over the lineitem file, repeated rows included."""
     schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     Inputs(spark, sf)
-    shaped = INPUT_SQL["v_rows"].split(" UNION ALL ")[0].split("FROM {lineitem}")[0].removeprefix("SELECT")
-    return raw.selectExpr(*split_columns(shaped)).selectExpr(
+    return spark.sql(INPUT_SQL["v_rows"], lineitem=raw).selectExpr(
         "dataset_id", "sample_id", "row_number", "seq_name as name", "label as predict_label", "score_text as probability",
         "threshold_text as threshold", "mark as annotate", "start_text as start", "end_text as end", "note")
 
 
-def split_columns(text: str) -> list[str]:
-    """Top-level comma-separated expressions of a select list."""
-    parts, depth, quoted, current = [], 0, False, ""
-    for char in text:
-        quoted ^= char == "'"
-        depth += (char == "(") - (char == ")") if not quoted else 0
-        if char == "," and depth == 0 and not quoted:
-            parts.append(current)
-            current = ""
-        else:
-            current += char
-    return [*parts, current]
-
-
 def work_folder(spark, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -373,10 +359,7 @@ def work_folder(spark, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-_ONCE = "v_assign WHERE row_number % 2 = 0"
-
-
-@query("stream_intake", f"SELECT dataset_id, row_number, CAST(pos AS BIGINT) AS pos, ko_id, status FROM {_ONCE}")
+@query("stream_intake", "SELECT dataset_id, row_number, CAST(pos AS BIGINT) AS pos, ko_id, status FROM v_assign")
 def stream_intake(spark, sf):
     folder = work_folder(spark, "stream_intake")
     records = ST.stream_records(stream_rows(spark, sf)).select("dataset_id", "row_number", F.col("pos").cast("bigint").alias("pos"), "ko_id", "status")
@@ -384,21 +367,23 @@ def stream_intake(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("stream_accepted_set", f"SELECT DISTINCT sample_id, ko_id FROM {_ONCE} AND status = 'accepted'")
+@query("stream_accepted_set", "SELECT DISTINCT sample_id, ko_id FROM v_assign WHERE status = 'accepted'")
 def stream_accepted_set(spark, sf):
     folder = work_folder(spark, "stream_accepted_set")
     ST.append_to(ST.accepted_set(ST.stream_records(stream_rows(spark, sf))), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("stream_status_counts", f"SELECT sample_id, status, count(*) AS n FROM {_ONCE} GROUP BY 1, 2")
+@query("stream_status_counts", "SELECT sample_id, status, count(*) AS n FROM v_assign GROUP BY 1, 2")
 def stream_status_counts(spark, sf):
     folder = work_folder(spark, "stream_status_counts")
     ST.keep_latest(ST.status_counts(ST.stream_records(stream_rows(spark, sf))), f"{folder}/out", f"{folder}/state").awaitTermination()
     return ST.latest(spark.read.parquet(f"{folder}/out"))
 
 
-@query("stream_diagnostic_preview")
+@query("stream_diagnostic_preview", f"""
+SELECT dataset_id, row_number, code, field, count(*) OVER () AS total FROM ({DIAGNOSTICS}) AS t WHERE d IS NOT NULL
+ORDER BY dataset_id NULLS FIRST, row_number, code, field LIMIT 25""")
 def stream_diagnostic_preview(spark, sf):
     folder = work_folder(spark, "stream_diagnostics")
     ST.store_diagnostics(stream_rows(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -151,7 +151,7 @@ def fold_truth(spark, sf):
     data = Inputs(spark, sf)
     nodes = M.module_nodes(parsed_of(data))
     requests = data.view("v_module_requests").select("sample_id", "module_id", F.col("module_id").alias("root_id"))
-    blocks, _ = M.fold_blocks(M.leaf_truth(nodes, requests, data.accepted()), max_level=5)
+    blocks, _ = M.fold_blocks(M.leaf_truth(nodes, requests, data.accepted()), max_level=M.deepest(nodes))
     return blocks.select("sample_id", "module_id", "truth", F.col("block_index").cast("bigint").alias("block_index"))
 
 

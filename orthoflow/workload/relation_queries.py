@@ -386,9 +386,8 @@ def ko_partial_patterns(spark, sf):
 @query("compare_ko_sets", f"SELECT ko_id, {_PART} AS part, members, 1 AS policy_count FROM v_members", _MEM)
 def compare_ko_sets(spark, sf):
     sets, inputs = sets_of(Inputs(spark, sf))
-    policies = C.check_one_policy(inputs).filter("comparable").select("policy_count", F.lit(1).alias("one"))
-    partition = C.compare_ko_sets(sets, inputs).withColumn("one", F.lit(1))
-    return partition.join(F.broadcast(policies), "one").select("ko_id", "part", joined("members"), F.col("policy_count").cast("int").alias("policy_count"))
+    policies = C.require_one_policy(inputs)
+    return C.compare_ko_sets(sets, inputs).select("ko_id", "part", joined("members"), F.lit(policies).alias("policy_count"))
 
 
 @query("summarize_comparison", f"""

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoflow.session import HUGE_METHOD_LIMIT, HUGE_METHOD_SETTING
+from orthoflow.session import HUGE_METHOD_LIMIT, HUGE_METHOD_SETTING, SPREAD_SETTING
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -321,16 +321,15 @@ class Inputs:
         spark.conf.set(HUGE_METHOD_SETTING, HUGE_METHOD_LIMIT)
 
     def table(self, name: str) -> DataFrame:
-        """A given table. One written as a single small file is spread over the cores first.
+        """A given table, as Spark splits it.
 
-        Parsing costs far more than moving such a file. A table with at least as many splits as there
-        are cores is left as it is, so large inputs see no extra shuffle.
+        A session may set ``SPREAD_SETTING`` to a number of partitions over which the parsed tables are
+        dealt first; that suits tables written as one row group, which Spark reads in one task. The
+        setting alone decides, not the size of the input.
         """
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in PARSED_TABLES and frame.rdd.getNumPartitions() < cores:
-            return frame.repartition(cores)
-        return frame
+        spread = self.spark.conf.get(SPREAD_SETTING, None)
+        return frame.repartition(int(spread)) if spread and name in PARSED_TABLES else frame
 
     def view(self, name: str) -> DataFrame:
         body = INPUT_SQL[name]

@@ -4,11 +4,15 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from orthoflow.functions.definitions import definition_rows
+from orthoflow.functions.definitions import Limits, definition_rows
 from orthoflow.operators import modules as M
 
 
+LIMITS = Limits(bytes=65_536, tokens=4_096, nodes=4_096, nesting=64)
+
+
 def evaluate(spark, definitions, accepted, limit=64):
     defs = spark.createDataFrame(list(definitions.items()), "module_id string, definition string")
     requests = spark.createDataFrame([("s", next(iter(definitions)))], "sample_id string, module_id string")
@@ -66,7 +70,7 @@ def test_cycles_follow_the_path_from_the_root(spark):
     ("()", "MISSING_OPERAND"), ("+K00001", "MISSING_OPERAND"), ("(K00001)(K00002)", "UNEXPECTED_TOKEN"), ("  ", "EMPTY_DEFINITION"),
     ("(" * 70 + "K00001" + ")" * 70, "NESTING_LIMIT_EXCEEDED"), ("K00001 " * 3000, "TOKEN_LIMIT_EXCEEDED"), ("K" * 70000, "DEFINITION_LIMIT_EXCEEDED")])
 def test_diagnostics(text, code):
-    assert [r["code"] for r in definition_rows("M1", text) if r["row_type"] == "diagnostic" and r["severity"] == "error"] == [code]
+    assert [r["code"] for r in definition_rows("M1", text, LIMITS) if r["row_type"] == "diagnostic" and r["severity"] == "error"] == [code]
 
 
 def test_spaces_around_operators_are_formatting():
@@ -110,3 +114,23 @@ def test_fold_and_missing_sets_match_brute_force(spark):
             absent = [k for k in universe if k not in kos]
             completing = [frozenset(c) for n in range(1, 7) for c in itertools.combinations(absent, n) if holds(node, kos | set(c))]
             assert found[sample, module] == {c for c in completing if not any(o < c for o in completing)}
+
+
+def test_long_definitions_have_no_limit_unless_asked_for():
+    text = "+".join(f"K{k:05d}" for k in range(5000))
+    rows = list(definition_rows("M00001", text))
+    assert sum(r["row_type"] == "node" for r in rows) == 5001
+    assert [r["code"] for r in definition_rows("M00001", text, Limits(tokens=4096))] == ["TOKEN_LIMIT_EXCEEDED"]
+
+
+def test_references_deeper_than_32_are_followed(spark):
+    depth = 34
+    definitions = spark.createDataFrame(
+        [(f"M{k:05d}", f"M{k + 1:05d}+K00001") for k in range(1, depth)] + [(f"M{depth:05d}", "K00001")], "module_id string, definition string")
+    parsed = M.parsed_definitions(definitions).cache()
+    nodes = M.module_nodes(parsed)
+    roots = spark.createDataFrame([("M00001",)], "module_id string")
+    reachable, issues = M.resolve_references(roots, M.reference_edges(nodes), M.definition_validity(definitions, parsed))
+    assert reachable.agg(F.max("depth")).first()[0] == depth - 1 and issues.isEmpty()
+    _, limited = M.resolve_references(roots, M.reference_edges(nodes), M.definition_validity(definitions, parsed), max_depth=3)
+    assert [r.issue for r in limited.collect()] == ["depth_limit"]

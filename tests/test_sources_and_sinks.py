@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import tempfile
 from pathlib import Path
 
@@ -48,6 +49,52 @@ def test_flat_file_reader(spark):
     assert [r.fault for r in entries.filter("fault is not null").collect()] == ["invalid_field_columns"]
 
 
+def test_flat_file_terminators(spark):
+    body = lambda k, end: f"ENTRY       {k}   KO{end}NAME        x///{end}"
+    want = [("K00001", True), ("K00002", True), ("K00003", False)]
+    for end, mark in (("\n", "///"), ("\r\n", "///"), ("\n", "/// "), ("\r\n", "///\t")):
+        path = folder() / "entries.txt"
+        path.write_text(body("K00001", end) + mark + end + body("K00002", end) + mark + end + body("K00003", end), newline="")
+        records = flatfile.read_flat_files(spark, str(path))
+        entries = flatfile.parse_entries(records).orderBy("record_no").collect()
+        assert [(r.identifier, r.terminated) for r in entries] == want and all(r.fields[1].lines == ["x///"] for r in entries)
+        assert [(r.record_no, r.fault) for r in flatfile.unterminated(records).collect()] == [(3, "unterminated_entry")]
+
+
+def test_strict_quoting(spark):
+    lines = ['x,"a ""q""",z', '"""k""",b,c', 'ab"c,d,e', '"abc,d,e', '"a"b,c,d', "a,,", '"x,y","",', "1,2,3,4"]
+    frame = spark.createDataFrame([("f", i, line) for i, line in enumerate(lines)], "source_id string, line_no long, line string")
+    cells = L.table_cells(frame, ",")
+    assert [r.cells for r in cells.orderBy("line_no").collect()] == [
+        ["x", 'a "q"', "z"], ['"k"', "b", "c"], ['ab"c', "d", "e"], None, None, ["a", "", ""], ["x,y", "", ""], ["1", "2", "3", "4"]]
+    assert sorted((r.line_no, r.fault) for r in L.malformed_rows(cells).collect()) == [(3, "malformed_quoting"), (4, "malformed_quoting")]
+    named = lambda header: [e.name for e in L.ragged_rows(cells.filter("line_no = 7"), header).first().evidence]
+    assert named(["a", "b", "c"]) == ["a", "b", "c", "_extra_1"]
+    assert named(["a", "b", "_extra_1"]) == ["a", "b", "_extra_1", "_extra_1_1"]
+    path = folder() / "t.csv"
+    path.write_text('a,b\n"one\ntwo",x\n')
+    assert [tuple(r) for r in L.read_table(spark, str(path), ",", ["a", "b"], line_breaks=True).collect()] == [("one\ntwo", "x")]
+
+
+def test_lines_are_written_in_the_callers_order(spark):
+    rows = [("g1" if i % 3 else "g2", i, f"gene{i}", "K00001") for i in range(2000)]
+    random.Random(4).shuffle(rows)
+    frame = spark.createDataFrame(rows, "genome_id string, position int, gene_id string, ko_id string").repartition(6)
+    checked = X.ko_sequence(frame)
+    path = folder() / "all"
+    assert X.write_lines(checked, str(path), order="position") and not X.write_lines(checked, str(path) + "_any")
+    text = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+    assert text.split() == [x for i in range(2000) for x in (f"gene{i}", "K00001")]
+    assert X.manifest(checked, "ko_sequence", "\t").first().order_preserved is False
+
+
+def test_hierarchy_paths_of_any_depth(spark):
+    text = "\n".join(f"{chr(65 + d)}{' ' * d} node {d}" for d in range(9))
+    lines = spark.createDataFrame([("h", i + 1, line) for i, line in enumerate(text.split("\n"))], "hierarchy_id string, line_no long, line string")
+    paths = H.hierarchy_paths(H.hierarchy_nodes(lines)).collect()
+    assert all(len(r.path) == r.depth + 1 and r.path[-1].depth == r.depth for r in paths) and len(paths) == 9
+
+
 def test_fasta_reader(spark):
     path = folder() / "p.fasta"
     path.write_text(">a first\nacd\nEF*\n>b\nMK1\n>a\nM\n")
