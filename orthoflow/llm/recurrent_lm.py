@@ -5,8 +5,9 @@ cover all training documents (crc32 of the id modulo ``FOLDS`` is not 0).
 
 The model reads a document word by word and predicts the next token from its state:
 
-* The ``CLASSES * CLASS_SIZE - 1`` (511) most frequent words and the end are *named*; they are dealt into classes by
-  frequency. The output is factored: a softmax over classes times a softmax inside the class.
+* The most frequent words and the end are *named*: ``NAMED - 1`` (1,023) words, and as many more as it takes to hold
+  ``COVER`` of the training tokens, so the vocabulary grows with the corpus (up to the ``HEAD`` counts). They are dealt
+  into classes by frequency. The output is factored: a softmax over classes times a softmax inside the class.
 * All other words are one further class. Inside it a word has its smoothed share of that class's
   training tokens, so every token gets a probability and the tail needs no weights.
 * Training is one pass over all training documents by truncated backpropagation (windows of ``STEPS`` words,
@@ -39,8 +40,9 @@ from orthoflow.llm.common import empty_text, fold_of, materialise
 
 FOLDS = 10
 SMOOTH = 0.1
-CLASSES, CLASS_SIZE = 16, 32
-NAMED = CLASSES * CLASS_SIZE  # the end is token 0; token NAMED stands for all other words
+CLASSES, CLASS_SIZE = 32, 32
+NAMED = CLASSES * CLASS_SIZE  # named tokens at least; the end is token 0, the token after the named ones stands for all others
+COVER = 0.475
 STATE = 16
 LANES = 256
 STEPS = 16
@@ -90,6 +92,15 @@ class Vocabulary:
     total: int
     distinct: int
 
+    def classes(self) -> int:
+        """Classes that hold COVER of the training tokens, CLASSES at least."""
+        covered = self.ends + np.cumsum(self.counts)
+        words = min(int(np.searchsorted(covered, COVER * self.total)) + 1, len(self.counts))
+        return max(CLASSES, -(-(words + 1) // CLASS_SIZE))
+
+    def named(self) -> int:
+        return self.classes() * CLASS_SIZE
+
     def lookup(self) -> dict[bytes, int]:
         return {w: i + 1 for i, w in enumerate(self.words)}  # 0 is the end
 
@@ -103,8 +114,9 @@ class Vocabulary:
 
     def rest_norm(self) -> float:
         """log10 of the smoothed number of tokens outside the named ones."""
-        named = int(self.counts[:NAMED - 1].sum()) + self.ends
-        kinds = self.distinct - min(len(self.words), NAMED - 1) - (self.ends > 0)
+        listed = self.named() - 1
+        named = int(self.counts[:listed].sum()) + self.ends
+        kinds = self.distinct - min(len(self.words), listed) - (self.ends > 0)
         return math.log10(self.total - named + SMOOTH * (kinds + 1))
 
 
@@ -120,35 +132,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """A GRU with class-factored output. All weights live in one vector so that they can be averaged."""
 
-    SHAPES = {
-        "table": (NAMED + 1, 3 * STATE), "u": (STATE, 3 * STATE), "bias": (3 * STATE,),
-        "class_w": (STATE, CLASSES + 1), "class_b": (CLASSES + 1,), "word_w": (CLASSES, STATE, CLASS_SIZE), "word_b": (CLASSES, CLASS_SIZE)}
-
-    def __init__(self, vector: np.ndarray):
-        self.vector, at = vector, 0
-        for name, shape in self.SHAPES.items():
+    @staticmethod
+    def shapes(classes: int) -> dict[str, tuple]:
+        return {
+            "table": (classes * CLASS_SIZE + 1, 3 * STATE), "u": (STATE, 3 * STATE), "bias": (3 * STATE,),
+            "class_w": (STATE, classes + 1), "class_b": (classes + 1,), "word_w": (classes, STATE, CLASS_SIZE), "word_b": (classes, CLASS_SIZE)}
+
+    def __init__(self, vector: np.ndarray, classes: int):
+        self.vector, self.classes, at = vector, classes, 0
+        for name, shape in self.shapes(classes).items():
             size = int(np.prod(shape))
             setattr(self, name, vector[at:at + size].reshape(shape))
             at += size
 
     @classmethod
-    def size(cls) -> int:
-        return sum(int(np.prod(s)) for s in cls.SHAPES.values())
+    def size(cls, classes: int) -> int:
+        return sum(int(np.prod(s)) for s in cls.shapes(classes).values())
 
     @classmethod
     def start(cls, vocabulary: Vocabulary, seed: int = 3) -> Network:
         """Small random weights; output biases start at the unigram distribution."""
-        net = cls(np.zeros(cls.size(), np.float32))
+        classes, named = vocabulary.classes(), vocabulary.named()
+        net = cls(np.zeros(cls.size(classes), np.float32), classes)
         random = np.random.default_rng(seed)
         net.table[:] = random.normal(0, 0.3, net.table.shape)
         net.u[:] = random.normal(0, 1 / math.sqrt(STATE), net.u.shape)
         net.class_w[:] = random.normal(0, 0.05, net.class_w.shape)
         net.word_w[:] = random.normal(0, 0.05, net.word_w.shape)
-        own = np.full(NAMED, SMOOTH)
+        own = np.full(named, SMOOTH)
         own[0] += vocabulary.ends
-        listed = vocabulary.counts[:NAMED - 1]
+        listed = vocabulary.counts[:named - 1]
         own[1:len(listed) + 1] += listed
-        groups = own.reshape(CLASSES, CLASS_SIZE)
+        groups = own.reshape(classes, CLASS_SIZE)
         net.word_b[:] = np.log(groups / groups.sum(axis=1, keepdims=True))
         rest = max(vocabulary.total - own.sum(), 0) + SMOOTH
         shares = np.append(groups.sum(axis=1), rest)
@@ -197,7 +212,7 @@ class Network:
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: Network | None = None, scale: float | None = None):
         """Natural-log probability of each target; with ``grads`` also adds gradients and returns those of the states."""
-        group = np.minimum(targets // CLASS_SIZE, CLASSES)
+        group = np.minimum(targets // CLASS_SIZE, self.classes)
         order = np.argsort(group, kind="stable")
         h, group, targets = np.ascontiguousarray(states[order].T), group[order], targets[order]
         logs, d = self._softmax(self.class_w, self.class_b, h, group, scale)
@@ -206,8 +221,8 @@ class Network:
             grads.class_w += h @ d.T
             grads.class_b += d.sum(axis=1)
             back = self.class_w @ d
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(group, np.arange(self.classes + 1))
+        for c in range(self.classes):
             a, b = cuts[c], cuts[c + 1]
             if a == b:
                 continue
@@ -232,7 +247,7 @@ class Network:
         flat = np.flatnonzero(real.ravel())
         if not len(flat):
             return last
-        grads = Network(np.zeros(len(self.vector), self.vector.dtype))
+        grads = Network(np.zeros(len(self.vector), self.vector.dtype), self.classes)
         _, back = self.output(states.reshape(-1, s)[flat], targets.ravel()[flat], grads, 1.0 / len(flat))
         d_states = np.zeros((states.shape[0] * states.shape[1], s), states.dtype)
         d_states[flat] = back
@@ -325,19 +340,19 @@ def _token_batches(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int])
         yield cells, ids, words
 
 
-def _named(ids: np.ndarray) -> np.ndarray:
+def _named(ids: np.ndarray, named: int) -> np.ndarray:
     """Model tokens of a document, the end included."""
-    return np.append(np.where((ids < 0) | (ids >= NAMED), NAMED, ids), 0).astype(np.int32)
+    return np.append(np.where((ids < 0) | (ids >= named), named, ids), 0).astype(np.int32)
 
 
 def _train(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, vector = state.value
+        words, vector, classes = state.value
         lookup = {w: i + 1 for i, w in enumerate(words)}
-        net, seen = Network(vector.copy()), 0
+        net, seen = Network(vector.copy(), classes), 0
         sums = np.full(len(vector), 1e-3, np.float32)
         for _, ids, _ in _token_batches(batches, lookup):
-            inputs, targets, keep, doc = packed([_named(x) for x in ids], LANES)
+            inputs, targets, keep, doc = packed([_named(x, classes * CLASS_SIZE) for x in ids], LANES)
             h = np.zeros((inputs.shape[1], STATE), np.float32)
             for a in range(0, len(inputs), STEPS):
                 b = a + STEPS
@@ -372,24 +387,24 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
     net, kind = Network.start(vocabulary), "part long, seen long, values binary"
     spark = texts.sparkSession
     for k in range(rounds):
-        state = spark.sparkContext.broadcast((vocabulary.words[:NAMED - 1], net.vector))
+        state = spark.sparkContext.broadcast((vocabulary.words[:vocabulary.named() - 1], net.vector, net.classes))
         own = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
         sums = own.select("text").mapInArrow(_train(state), kind).repartition("part").mapInArrow(_added, kind).collect()  # one set of weights
         if sums:
             rows = sorted(sums, key=lambda r: r["part"])
-            net = Network(np.concatenate([np.frombuffer(r["values"], np.float64) / r["seen"] for r in rows]).astype(np.float32))
+            net = Network(np.concatenate([np.frombuffer(r["values"], np.float64) / r["seen"] for r in rows]).astype(np.float32), net.classes)
     return net
 
 
 def _score(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, vector = state.value
-        lookup, base = vocabulary.lookup(), vocabulary.base()
-        net, norm = Network(vector), vocabulary.rest_norm()
+        lookup, base, named = vocabulary.lookup(), vocabulary.base(), vocabulary.named()
+        net, norm = Network(vector, vocabulary.classes()), vocabulary.rest_norm()
         rest = base + vocabulary.base_norm() - norm  # listed words inside the class of the others
         known = np.concatenate([[vocabulary.ends], vocabulary.counts]) > 0
         for cells, ids, words in _token_batches(batches, lookup):
-            inputs, targets, keep, doc = packed([_named(x) for x in ids], LANES)
+            inputs, targets, keep, doc = packed([_named(x, named) for x in ids], LANES)
             scores, h = np.zeros(len(ids)), np.zeros((inputs.shape[1], STATE), np.float32)
             for a in range(0, len(inputs), SCORE_STEPS):
                 b = a + SCORE_STEPS
@@ -405,7 +420,7 @@ def _score(state):
             for k, own in enumerate(ids):
                 hit = own[own >= 0]
                 plain[k] = base[hit].sum() + base[0]
-                scores[k] += rest[hit[hit >= NAMED]].sum()
+                scores[k] += rest[hit[hit >= named]].sum()
                 n_known[k] = len(hit) + bool(known[0])
                 tails += Counter(words[k]).items()
                 cuts.append(len(tails))

@@ -195,6 +195,20 @@ def test_class_factored_output_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_named_words_grow_with_the_corpus():
+    def vocabulary(distinct):  # all words equally frequent
+        return recurrent_lm.Vocabulary([b"%d" % k for k in range(distinct)], np.full(distinct, 3), 5, 3 * distinct + 5, distinct + 1)
+
+    small, large = vocabulary(2000), vocabulary(20_000)
+    assert small.named() >= 1024 and recurrent_lm.Vocabulary([], np.array([], np.int64), 0, 0, 0).named() >= 1024
+    assert 3 * (large.named() - 1) + 5 >= recurrent_lm.COVER * large.total and large.named() < 20_000
+    net = recurrent_lm.Network.start(large)
+    assert len(net.table) == large.named() + 1 and net.word_w.shape[0] * recurrent_lm.CLASS_SIZE == large.named()
+    every = np.arange(large.named() + 1)
+    states = np.random.default_rng(0).normal(size=(1, recurrent_lm.STATE)).astype(np.float32)
+    assert abs(np.exp(net.output(np.repeat(states, len(every), axis=0), every)).sum() - 1) < 1e-3
+
+
 def test_state_is_carried_across_windows():
     vocabulary = recurrent_lm.Vocabulary([b"a", b"b", b"c"], np.array([5, 3, 2]), 2, 14, 7)
     net = recurrent_lm.Network.start(vocabulary)
