@@ -9,6 +9,10 @@ error below one block.
 * Target weights become integer parts of a *cycle* (``parts`` slots or a little more). A source fills its
   parts while it lasts and gives what is left in its last cycle. Cycles with the same quotas have the same
   order, which is computed once by folding over the slots (at most two kinds of cycles per source).
+* Parts are rounded: over many cycles a source drifts from its weight. ``mix_by_weight`` has no parts and no cycles:
+  block i of a source with weight w has the virtual time (i + phase) / w, and the slots follow the virtual times. A source
+  is then less than 1 + share * sources blocks off its exact weight at every slot, however many there are (near 1 in
+  practice, as phases are hashes); its bound within a cycle is wider than that of the parts.
 * No row is left out or repeated: when a source runs dry, the others share the slots by their weights.
 * A document's rank in its source comes from counts of small hash ranges plus a rank inside the range, so
   a source with a third of all rows is spread over 4,096 groups.
@@ -64,16 +68,19 @@ def schedule(quotas: Column) -> Column:
     return F.aggregate(F.sequence(zero, slots - 1), start, step)["order"]
 
 
+def _weight(weights: dict | None) -> Column:
+    if not weights:
+        return F.sqrt("_n")
+    pairs = [x for k, v in weights.items() for x in (F.lit("" if k is None else f"={k}"), F.lit(float(v)))]
+    return F.coalesce(F.create_map(*pairs)[F.col("_key")], F.lit(0.0))
+
+
 def _plan(counts: DataFrame, weights: dict | None, parts: int, block_docs: int) -> tuple[DataFrame, DataFrame]:
     """(per source: key, parts p, full cycles c, first cycles of all kinds; per source, kind and turn: slot).
 
     All sources are one row of arrays here: their number is bounded by ``parts``.
     """
-    if weights:
-        pairs = [x for k, v in weights.items() for x in (F.lit("" if k is None else f"={k}"), F.lit(float(v)))]
-        weight = F.coalesce(F.create_map(*pairs)[F.col("_key")], F.lit(0.0))
-    else:
-        weight = F.sqrt("_n")
+    weight = _weight(weights)
     blocks = F.ceil(F.col("_n") / block_docs).cast("long")
     one = counts.select(F.struct(F.col("_key").alias("key"), blocks.alias("b"), weight.alias("w")).alias("s")).agg(
         F.array_sort(F.collect_list("s")).alias("listed"))
@@ -100,7 +107,36 @@ def _plan(counts: DataFrame, weights: dict | None, parts: int, block_docs: int)
     return sources, turns.withColumn("_turn", turn)
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, parts: int = PARTS) -> DataFrame:
+def _weighted_slots(offsets: DataFrame, counts: DataFrame, weights: dict | None, parts: int, block_docs: int) -> DataFrame:
+    """(_key, _block, _slot) of every block, by virtual time; blocks are listed per hash range and stay distributed.
+
+    ``offsets``: _key, _n rows and _first rank of every range. Sources without a positive weight get 1 / ``parts`` of the others' sum.
+    """
+    sources = counts.select("_key", _weight(weights).alias("_w"))
+    total = sources.agg(F.coalesce(F.sum(F.greatest("_w", F.lit(0.0))), F.lit(0.0)).alias("_total"))
+    least = F.when(F.col("_total") > 0, F.col("_total") / parts).otherwise(1.0)
+    sources = sources.crossJoin(F.broadcast(total)).select("_key", F.when(F.col("_w") > 0, F.col("_w")).otherwise(least).alias("_w"))
+    low, high = _floor_div(F.col("_first") + block_docs - 1, F.lit(block_docs)), _floor_div(F.col("_first") + F.col("_n") - 1, F.lit(block_docs))
+    blocks = offsets.filter(low <= high).select("_key", F.explode(F.sequence(low, high)).alias("_block")).join(sources, "_key")
+    phase = F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) / (1 << 20)
+    order = ["_time", "_key", "_block"]
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = blocks.select(((F.col("_block") + phase) / F.col("_w")).alias("_time"), "_key", "_block").repartitionByRange(n, *order)
+    numbered = materialise(sorted_.sortWithinPartitions(*order).select("_key", "_block", F.monotonically_increasing_id().alias("_id")))
+    numbered = numbered.select("_key", "_block", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    starts = numbered.groupBy("_part").agg(F.count("*").alias("_many")).select(
+        "_part", F.coalesce(F.sum("_many").over(before), F.lit(0)).cast("long").alias("_start"))
+    return numbered.join(F.broadcast(starts), "_part").select("_key", "_block", (F.col("_start") + F.col("_at")).alias("_slot"))
+
+
+def mix_by_weight(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, parts: int = PARTS) -> DataFrame:
+    """As ``mix_sources``, by the exact weights: no rounding adds up, and no array holds all sources."""
+    return mix_sources(docs, weights, block_docs, parts, exact=True)
+
+
+def mix_sources(
+        docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, parts: int = PARTS, exact: bool = False) -> DataFrame:
     """``docs`` (doc_id, source, any others) with slot, block and place in the mix."""
     columns = [c for c in docs.columns if c.lower() not in ("slot", "block", "place")]
     taken = {c: unused(docs, c) for c in ("_key", "_hash", "_range", "_rank", "_first", "_block", "_cycle", "_turn")}
@@ -110,7 +146,6 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
         ranged, F.substring(hashed, 1, RANGES))
     ranges = materialise(rows.groupBy(F.col(key).alias("_key"), F.col(ranged).alias("_range")).agg(F.count("*").alias("_n")))
     counts = ranges.groupBy("_key").agg(F.sum("_n").alias("_n"))
-    sources, turns = (materialise(x) for x in _plan(counts, weights, parts, block_docs))
     below = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # 16 ** RANGES rows at most
     offsets = ranges.select(
         F.col("_key").alias(key), F.col("_range").alias(ranged), F.coalesce(F.sum("_n").over(below), F.lit(0)).cast("long").alias(first))
@@ -118,11 +153,19 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
     ties = [F.col(c) for c in columns if c not in ("doc_id", "source") and "map<" not in kinds[c] and "variant" not in kinds[c]]
     inside = W.partitionBy(key, ranged).orderBy(hashed, F.col("doc_id").asc_nulls_first(), *ties)
     ranked = rows.withColumn(rank, F.row_number().over(inside) - 1).join(offsets, [key, ranged]).withColumn(rank, F.col(rank) + F.col(first))
+    number = _floor_div(F.col(rank), F.lit(block_docs))
+    place = (F.col(rank) - F.col(block) * block_docs).cast("long").alias("place")
+    if exact:
+        firsts = ranges.select("_key", "_n", F.coalesce(F.sum("_n").over(below), F.lit(0)).cast("long").alias("_first"))
+        slots = _weighted_slots(firsts, counts, weights, parts, block_docs)
+        slots = slots.select(F.col("_key").alias(key), F.col("_block").alias(block), F.col("_slot").alias(turn))
+        return ranked.withColumn(block, number).join(slots, [key, block]).select(
+            *columns, F.col(turn).alias("slot"), F.col(block).alias("block"), place)
+    sources, turns = (materialise(x) for x in _plan(counts, weights, parts, block_docs))
     n_sources = sources.count()
     small = n_sources * parts * 2 <= BROADCAST_ROWS  # turns has at most two kinds of cycles per source
     hint = F.broadcast if small else (lambda frame: frame)
     sources = hint(sources.select(F.col("_key").alias(key), "_p", "_c", "_firsts"))
-    number = _floor_div(F.col(rank), F.lit(block_docs))
     placed = ranked.withColumn(block, number).join(sources.select(key, *(F.col(c).alias(f"{turn}{c}") for c in ("_p", "_c", "_firsts"))), key)
     p, c, firsts = (F.col(f"{turn}{x}") for x in ("_p", "_c", "_firsts"))
     placed = placed.withColumn(cycle, F.least(_floor_div(F.col(block), p), c))
@@ -132,5 +175,4 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
                               *(F.col(x).alias(f"{turn}{x}") for x in ("_size", "_start", "_at"))))
     size, start, at = (F.col(f"{turn}{x}") for x in ("_size", "_start", "_at"))
     return placed.join(turns, [key, first, turn]).select(
-        *columns, (start + (F.col(cycle) - F.col(first)) * size + at).alias("slot"), F.col(block).alias("block"),
-        (F.col(rank) - F.col(block) * block_docs).cast("long").alias("place"))
+        *columns, (start + (F.col(cycle) - F.col(first)) * size + at).alias("slot"), F.col(block).alias("block"), place)

@@ -136,6 +136,51 @@ def test_mix_follows_the_weights(spark, weights):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def deals(rows):
+    """Sources by slot, after checks that slots, blocks and places have no gaps."""
+    slots = sorted({(r["slot"], r["source"], r["block"]) for r in rows}, key=lambda s: s[0])
+    assert [s[0] for s in slots] == list(range(len(slots)))
+    taken, places = defaultdict(int), defaultdict(list)
+    for _, source, block in slots:
+        assert block == taken[source]
+        taken[source] += 1
+    for r in rows:
+        places[r["slot"]].append(r["place"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    return [s[1] for s in slots]
+
+
+def most_off(deal, w):
+    used, worst = defaultdict(int), 0
+    for t, source in enumerate(deal, 1):
+        used[source] += 1
+        worst = max(worst, *(abs(used[k] - t * x / sum(w.values())) for k, x in w.items()))
+    return worst
+
+
+def test_pipeline_mix_does_not_drift_from_the_weights(spark):
+    sizes = {"hot": 64_000} | {f"s{k}": 6_400 for k in range(20)}
+    rows = corpus_pipeline.mix_to_weights(spark, sources(spark, sizes), "").select("doc_id", "source", "slot", "block", "place").collect()
+    assert len(rows) == sum(sizes.values()) == len({r["doc_id"] for r in rows})
+    deal = deals(rows)
+    w = {k: math.sqrt(n) for k, n in sizes.items()}
+    assert most_off(deal[:int(800 / w["s0"] * sum(w.values())) - 50], w) < 3  # before a source runs dry
+
+
+def test_mix_by_weight_keeps_small_weights_and_shares_what_is_left(spark):
+    sizes, w = {"a": 1000, "b": 3000, None: 5000, "e": 3}, {"a": 2, "b": 1, None: 3, "e": 0.0005}
+    rows = mixing.mix_by_weight(sources(spark, sizes), w, block_docs=1).collect()
+    deal = deals(rows)
+    assert len(rows) == sum(sizes.values()) == len(deal)
+    assert deal[:2900].count("e") <= 1  # 2,900 slots have a quarter of a block for it
+    end = max(t for t, s in enumerate(deal) if s == "a") + 1
+    assert most_off(deal[:end - 10], w) < 4
+    left = [s for s in deal[end:] if s != "e"]
+    assert most_off(left[:3900], {"b": 1, None: 3}) < 3
+    assert mixing.mix_by_weight(sources(spark, {"a": 9}).limit(0)).count() == 0
+    assert [r["slot"] for r in mixing.mix_by_weight(sources(spark, {"a": 9, None: 1}), {"q": 1}, block_docs=4).orderBy("slot").collect()].count(0) >= 1
+
+
 def test_mix_edges(spark):
     rows = [(None, "a", "x"), (1, None, "y"), (1, "a", "z"), (1, "a", "z"), (1, "a", "w")]
     frame = spark.createDataFrame(rows, "doc_id long, source string, _key string")
