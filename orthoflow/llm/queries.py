@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, recurrent_lm, secrets, token_counts
-from orthoflow.llm.common import read_table
+from orthoflow.llm import (
+    chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, recurrent_lm, secrets, token_alignment, token_counts, vector_codes, warc)
+from orthoflow.llm.common import read_table, shared_folder
 from orthoflow.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -181,3 +182,64 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_scores")
 def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return recurrent_lm.lm_scores(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
+def _codes_sql() -> str:
+    """Integer k-means per part, one pair of steps for each round."""
+    steps = ["""
+kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT r, vec_id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, range(8) t(p)),
+books0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM parts
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16)"""]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min(d * 16 + e) % 16 AS e, min(d) AS d
+  FROM (SELECT r, p, e, x, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS BIGINT) AS d
+        FROM parts JOIN books{k} USING (p)) GROUP BY r, p)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""
+books{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM books{k} b LEFT JOIN (
+    SELECT p, e, list(y ORDER BY i) AS y FROM (
+      SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS y FROM near{k}, unnest(range(1, len(x) + 1)) t(i) GROUP BY p, e, i)
+    GROUP BY p, e) m USING (p, e))""")
+    return f"""
+WITH {",".join(steps)},
+codes AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS h FROM books{vector_codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN codes USING (r), digest
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op13_warc", r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages),
+k AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS keep FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to,
+       CASE WHEN page_id IS NOT DISTINCT FROM keep THEN true END AS payload_matches
+FROM k
+""")
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = f"{shared_folder(spark)}/archive"
+    warc.write_archive(read_table(spark, folder, "pages", "page_id", "url", "html"), archive)
+    return warc.archived_pages(spark, archive)
