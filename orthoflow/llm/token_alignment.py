@@ -14,6 +14,9 @@ linked is counted over the whole corpus. Of two linked tokens one is a suffix of
 listed from the two vocabularies alone (at most one per byte of all tokens, and one more per byte piece): the counts are
 an array of fixed size, whatever the corpus. It is what the driver gets and what is broadcast.
 
+Texts are cut into segments where both tokenizers part them anyway, and a worker tokenises each segment it
+meets once (:class:`Segments`); the ids are those of the whole text, which tests compare.
+
 The tokenised documents are written once to the shared folder with their links as pair numbers (4 bytes a
 link); counting and scoring read that table, so texts are tokenised once and lost executors cost no more
 than their tasks.
@@ -27,7 +30,9 @@ executor must have them at that path.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +46,11 @@ from orthoflow.llm.common import materialise
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 20
+#: Between a sign that is no white space and a blank.
+CUT = re.compile(r"(?<=\S)(?= )")
+#: Beyond these the remembered segments of a worker are forgotten.
+KNOWN_SEGMENTS = 600_000
+KNOWN_IDS = 6_000_000
 COUNTS = ("n_a", "n_b", "n_groups")
 
 
@@ -51,19 +61,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printing} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _longest(vocabulary: dict[str, int]) -> int:
-    return max(vocabulary.values(), default=-1) + 1
-
-
 @dataclass
 class Side:
-    """Bytes and lengths by token id, and the decimal id followed by the two signs a group may need."""
+    """Bytes and lengths by token id."""
 
     tokens: list[bytes]
 
     def __post_init__(self):
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.inner = np.array([f"{i}," for i in range(len(self.tokens))], object)
+
+    def join(self, ids) -> bytes:
+        return b"".join([self.tokens[i] for i in ids])
 
 
 class Pairs:
@@ -89,9 +97,58 @@ class Pairs:
         self.keys = np.array(sorted(keys), np.int64)
         self.b_ids = self.keys % max(1, len(b.tokens))
         self.n_b = len(b.tokens)
+        # An open-addressed table: a pair's number lies in the first slot from its hash on that holds its key.
+        self.bits = max(4, (4 * len(self.keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        pending, step = np.arange(len(self.keys), dtype=np.int32), 0
+        while len(pending):
+            at = self._slot(self.keys[pending], step)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = pending[free]
+            pending, step = pending[self.slots[at] != pending], step + 1
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (mixed.astype(np.int64) + step) & ((1 << self.bits) - 1)
 
     def number(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, a_ids * self.n_b + b_ids).astype(np.int32)
+        """Numbers of pairs that are listed."""
+        keys = a_ids * self.n_b + b_ids
+        out = self.slots[self._slot(keys, 0)]
+        open_, step = np.flatnonzero(self.keys[out] != keys), 1
+        while len(open_):
+            out[open_] = self.slots[self._slot(keys[open_], step)]
+            open_, step = open_[self.keys[out[open_]] != keys[open_]], step + 1
+        return out
+
+
+class Segments:
+    """Token ids of text segments met before, as one array a side with the segments' places in it.
+
+    Both tokenizers always part a text between a sign that is no white space and a blank, and what follows is
+    tokenised alike whatever stands before; so segments cut there are tokenised once and looked up again.
+    """
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.places = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.whole = np.zeros(0, bool)
+
+    def add(self, segments: list[str], sides: tuple[list[list[int]], list[list[int]]], whole: list[bool]) -> None:
+        first = len(self.numbers)
+        self.numbers.update(zip(segments, range(first, first + len(segments))))
+        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
+        for k, ids in enumerate(sides):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.ids[k] = np.concatenate([self.ids[k], np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))])
+            self.places[k] = np.concatenate([self.places[k], self.places[k][-1] + np.cumsum(sizes)])
+
+    def gather(self, k: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the segments one after the other, and the number of ids of each."""
+        starts, stops = self.places[k][found], self.places[k][found + 1]
+        return self.ids[k][_flat(starts, stops)[0]], stops - starts
 
 
 class Vocabularies:
@@ -108,13 +165,20 @@ class Vocabularies:
         self.a_model.encode_special_tokens = True
         letters = byte_letters()
         vocabulary = self.a_model.get_vocab(with_added_tokens=True)
-        tokens = [b""] * _longest(vocabulary)
+        tokens = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.a = Side(tokens)
         self.b_model = sentencepiece.SentencePieceProcessor(model_file=b_file)
         pieces = [(i, self.b_model.id_to_piece(i)) for i in range(self.b_model.get_piece_size())]
         self.b = Side([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces])
+        shape = json.loads(self.a_model.to_str())
+        splits = shape["pre_tokenizer"] or {}
+        #: Whether both sides part texts at the places segments are cut at; else a text is one segment.
+        self.cuts = (
+            shape["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", False)
+            and not any("▁" in p.lstrip("▁") for _, p in pieces) and "".join(self.b_model.encode("a  b ", out_type=str)) == "▁a▁▁b▁")
+        self.segments = Segments()
         self._pairs: Pairs | None = None
 
     @classmethod
@@ -130,13 +194,38 @@ class Vocabularies:
         return self._pairs
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a_model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        return a, self.b_model.encode(texts, num_threads=1)
-
-    def whole(self, text: str, a: list[int], b: list[int]) -> bool:
-        """Whether both sides' tokens join to space + text."""
-        wanted = b" " + text.encode()
-        return b"".join([self.a.tokens[i] for i in a]) == wanted and b"".join([self.b.tokens[i] for i in b]) == wanted
+        """Ids of texts that start with a blank, on both sides."""
+        a = [e.ids for e in self.a_model.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b_model.encode([t[1:] for t in texts], num_threads=1)
+        # A lone blank is the end of a text, where B has a piece for it; by itself B sees nothing.
+        return a, [[self.b_model.piece_to_id("▁")] if t == " " else x for t, x in zip(texts, b)]
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(ids one text after the other and the number of ids of each text) for A and B, and whether each text's tokens join to it."""
+        cut = [CUT.split(t) if self.cuts else [t] for t in (f" {t}" for t in texts)]
+        if len(self.segments.numbers) > KNOWN_SEGMENTS or len(self.segments.ids[0]) > KNOWN_IDS:
+            self.segments = Segments()
+        known = self.segments.numbers
+        fresh = list(dict.fromkeys(s for parts in cut for s in parts if s not in known))
+        if fresh:
+            sides = self.encode(fresh)
+            whole = [self.a.join(a) == s.encode() == self.b.join(b) for s, a, b in zip(fresh, *sides)]
+            self.segments.add(fresh, sides, whole)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        found = np.fromiter((known[s] for parts in cut for s in parts), np.int64, int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        ids, counts = [], []
+        for k in (0, 1):
+            flat, each = self.segments.gather(k, found)
+            ids.append(flat)
+            counts.append(np.add.reduceat(each, first))
+        whole = np.logical_and.reduceat(self.segments.whole[found], first)
+        for k in np.flatnonzero(~whole):
+            # Segments that differ may still join to the text, so the text itself decides.
+            wanted = f" {texts[k]}".encode()
+            stops = [int(c[:k + 1].sum()) for c in counts]
+            whole[k] = all(side.join(x[stop - c[k]:stop]) == wanted for side, x, c, stop in zip((self.a, self.b), ids, counts, stops))
+        return ids, counts, whole
 
 
 def _flat(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,42 +277,51 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, firsts: np.ndarray, last
         lo, hi = np.concatenate([lo[split], cut + 1]), np.concatenate([cut, hi[split]])
 
 
+def shown(ids: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal ids, each followed by its sign, as rows of bytes, and which bytes count."""
+    width = len(str(int(ids.max())))
+    powers = 10 ** np.arange(width - 1, -1, -1)
+    digits = (ids[:, None] // powers % 10 + ord("0")).astype(np.uint8)
+    used = ids[:, None] >= powers
+    used[:, -1] = True
+    return np.hstack([digits, sign[:, None]]), np.hstack([used, np.ones((len(ids), 1), bool)])
+
+
 def align(vocabularies: Vocabularies, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes]]:
     """Per text (A tokens, B tokens, groups, digest of the groups, pair numbers of the links as int32)."""
     given = [k for k, t in enumerate(texts) if t]
-    a_all, b_all = vocabularies.encode([texts[k] for k in given]) if given else ([], [])
-    rows = {k: (a, b) for k, a, b in zip(given, a_all, b_all) if vocabularies.whole(texts[k], a, b)}
-    if not rows:
+    ids, counts, whole = vocabularies.tokens([texts[k] for k in given]) if given else ([], [], np.zeros(0, bool))
+    if not whole.any():
         yield from [(0, 0, 0, "", b"")] * len(texts)
         return
-    a_ids = np.concatenate([np.array(a, np.int64) for a, _ in rows.values()])
-    b_ids = np.concatenate([np.array(b, np.int64) for _, b in rows.values()])
-    a_stops, b_stops = np.cumsum([len(a) for a, _ in rows.values()]), np.cumsum([len(b) for _, b in rows.values()])
+    a_ids, b_ids = (x[np.repeat(whole, c)] for x, c in zip(ids, counts))
+    n_a, n_b = (c[whole] for c in counts)
+    a_stops, b_stops = np.cumsum(n_a), np.cumsum(n_b)
     a_ends, b_ends = np.cumsum(vocabularies.a.lengths[a_ids]), np.cumsum(vocabularies.b.lengths[b_ids])
-    cuts = shared_cuts(a_ends, b_ends, np.concatenate([[0], a_stops[:-1]]), a_stops - 1)
+    cuts = shared_cuts(a_ends, b_ends, a_stops - n_a, a_stops - 1)
     partners = np.searchsorted(b_ends, a_ends[cuts])
     links = vocabularies.pairs.number(a_ids[cuts], b_ids[partners])
     # Each group is its A tokens, then its B tokens: a token's place in that order is its own number plus the other side's before it.
-    a_group = np.searchsorted(cuts, np.arange(len(a_ids)))
-    b_group = np.searchsorted(partners, np.arange(len(b_ids)))
-    shown = np.empty(len(a_ids) + len(b_ids), object)
-    a_place = np.arange(len(a_ids)) + np.concatenate([[0], partners + 1])[a_group]
-    b_place = np.arange(len(b_ids)) + (cuts + 1)[b_group]
-    shown[a_place] = vocabularies.a.inner[a_ids]
-    shown[b_place] = vocabularies.b.inner[b_ids]
-    shown[a_place[cuts]] = [f"{i}|" for i in a_ids[cuts].tolist()]
-    shown[b_place[partners]] = [f"{i};" for i in b_ids[partners].tolist()]
-    groups = np.searchsorted(cuts, a_stops - 1) + 1
+    signs = [np.full(len(x), ord(","), np.uint8) for x in (a_ids, b_ids)]
+    signs[0][cuts], signs[1][partners] = ord("|"), ord(";")
+    groups_before = [np.cumsum(s != ord(",")) - (s != ord(",")) for s in signs]
+    a_place = np.arange(len(a_ids)) + np.concatenate([[0], partners + 1])[groups_before[0]]
+    b_place = np.arange(len(b_ids)) + (cuts + 1)[groups_before[1]]
+    both, sign = np.empty(len(a_ids) + len(b_ids), np.int64), np.empty(len(a_ids) + len(b_ids), np.uint8)
+    both[a_place], both[b_place] = a_ids, b_ids
+    sign[a_place], sign[b_place] = signs
+    letters, used = shown(both, sign)
+    text = letters[used].tobytes()
+    stops = np.cumsum(used.sum(axis=1))[a_stops + b_stops - 1].tolist()
+    group_stops = (np.searchsorted(cuts, a_stops - 1) + 1).tolist()
+    kept = dict(zip([given[k] for k in np.flatnonzero(whole)], zip(n_a.tolist(), n_b.tolist(), stops, group_stops)))
     at = at_link = 0
-    done = iter(zip(a_stops + b_stops, groups))
     for k in range(len(texts)):
-        if k not in rows:
+        if k not in kept:
             yield 0, 0, 0, "", b""
             continue
-        stop, link_stop = next(done)
-        text = "".join(shown[at:stop].tolist())
-        n_a, n_b = len(rows[k][0]), len(rows[k][1])
-        yield n_a, n_b, int(link_stop - at_link), hashlib.sha256(text[:-1].encode()).hexdigest(), links[at_link:link_stop].tobytes()
+        a, b, stop, link_stop = kept[k]
+        yield a, b, link_stop - at_link, hashlib.sha256(text[at:stop - 1]).hexdigest(), links[at_link:link_stop].tobytes()
         at, at_link = stop, link_stop
 
 
