@@ -6,6 +6,7 @@ line``) and split them into rows and a quarantine with a reason, so bad input st
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,6 @@ INFO_RELEASE = r"(?:^|\s)Release\s+(\S.*?)\s*$"
 INFO_COUNT = r"^(?:([a-z][a-z0-9_-]{0,31})\s+)?([0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)\s+entries$"
 INFO_LINKED_START = r"^linked db\s+([a-z][a-z0-9_-]{0,31}|<org>)\s*$"
 INFO_LINKED_MORE = r"^\s+([a-z][a-z0-9_-]{0,31}|<org>)\s*$"
-END_CELL = "\x02end\x03"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,31 +78,27 @@ def plain_duplicate_key(records: DataFrame) -> DataFrame:
 
 # --- delimited tables --------------------------------------------------------------------------
 
+def _cell(sep: str) -> str:
+    """A quoted cell that is closed, or a cell that does not start with a quote, or an empty one."""
+    sep = re.escape(sep)
+    return rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sep}][^{sep}]*+|)'
+
+
 def strict_line(sep: str) -> str:
     """Lines whose quoted cells are closed and end where the cell ends."""
-    cell = rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sep}][^{sep}]*+|)'
-    return rf"^{cell}(?:{sep}{cell})*+$"
+    return rf"^{_cell(sep)}(?:{re.escape(sep)}{_cell(sep)})*+\z"
 
 
 def table_cells(lines: DataFrame, sep: str) -> DataFrame:
-    """Cells of each line through Spark's CSV parser; NULL for a line with malformed quoting.
+    """Cells of each line as an array; NULL for a line with malformed quoting.
 
-    Only lines with a quote need the parser. It wants a number of columns: that of the line with the
-    most separators among them (one row to the driver). A marker after the last cell tells where the
-    cells end.
+    A line costs by its own length: cells are cut by one pattern, so no line sets a width for the others.
     """
-    quoted = F.col("line").contains('"')
-    widest = lines.filter(quoted).agg(F.max(F.length("line") - F.length(F.replace("line", F.lit(sep), F.lit(""))))).first()[0]
-    simple = F.split("line", sep)
-    if widest is None:
-        return computed(lines, cells=simple)
-    names = [f"c{i}" for i in range(widest + 2)]
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(len(names) + 1)}
-    row = F.from_csv(F.concat("line", F.lit(sep + END_CELL)), ", ".join(f"{n} string" for n in names), options)
-    staged = computed(lines, row=F.when(quoted & F.col("line").rlike(strict_line(sep)), row))
-    parsed = computed(staged, parsed=F.array(*[F.coalesce(F.col("row")[n], F.lit("")) for n in names]))
-    cells = F.slice("parsed", F.lit(1), F.greatest(F.array_position("parsed", END_CELL).cast("int") - 1, F.lit(0)))
-    return computed(parsed, cells=F.when(~quoted, simple).when(F.col("row").isNotNull(), cells)).drop("row", "parsed")
+    line = F.col("line")
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f"{re.escape(sep)}({_cell(sep)})"), F.lit(1))
+    opened = F.transform(raw, lambda c: F.when(
+        c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return computed(lines, cells=F.when(~line.contains('"'), F.split("line", re.escape(sep))).when(line.rlike(strict_line(sep)), opened))
 
 
 def malformed_rows(cells: DataFrame) -> DataFrame:
