@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orthoflow.session import cut_lineage
+
 # Change dimensions, list fields that state relations.
 DIMENSIONS = ("entry_fields", "relationships", "module_definitions", "pathway_denominators")
 RELATION_FIELDS = (
@@ -14,11 +16,55 @@ RELATION_FIELDS = (
 ENTRY = ["database", "identifier"]
 
 
+def sided(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)))
+
+
+def _change_type() -> Column:
+    return F.when(~F.col("in_left"), F.lit("entry_added")).otherwise(F.lit("entry_removed"))
+
+
 def entry_added_removed(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Entries on one side only: two anti joins."""
-    added = right.select(*ENTRY).distinct().join(left.select(*ENTRY).distinct(), ENTRY, "left_anti").withColumn("change_type", F.lit("entry_added"))
-    removed = left.select(*ENTRY).distinct().join(right.select(*ENTRY).distinct(), ENTRY, "left_anti").withColumn("change_type", F.lit("entry_removed"))
-    return added.unionByName(removed)
+    """Entries on one side only, by one aggregate over both sides."""
+    held = sided(left.select(*ENTRY), right.select(*ENTRY)).groupBy(*ENTRY).agg(
+        F.bool_or("is_left").alias("in_left"), F.bool_or(~F.col("is_left")).alias("in_right"))
+    return held.filter("in_left <> in_right").select(*ENTRY, _change_type().alias("change_type"))
+
+
+def compared_fields(side: DataFrame) -> Column:
+    """Whether a field takes part in the comparison: a module's definition text does not, its parsed form does."""
+    return ~((F.col("database") == "module") & (F.col("field") == "definition"))
+
+
+def differing_entries(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(entry, in_left, in_right) of entries on one side only or with different digests.
+
+    A digest is the number of fields, the xor of one hash of every (field, items) and the sum of another: 128
+    bits that do not depend on the order of the fields. Only these leave the tasks, combined by entry.
+    """
+    used = compared_fields(left)
+    one, two = (F.xxhash64(F.lit(seed), "field", "items") for seed in (1, 2))
+    both = sided(left, right).select(*ENTRY, "is_left", F.when(used, one).alias("one"), F.when(used, F.pmod(two, F.lit(1 << 40))).alias("two"))
+
+    def digest(is_left: bool) -> list[Column]:
+        mine = F.col("is_left") == is_left
+        return [F.count_if(mine), F.count(F.when(mine, F.col("one"))), F.bit_xor(F.when(mine, F.col("one"))), F.sum(F.when(mine, F.col("two")))]
+
+    parts = [part.alias(f"{side}{k}") for side, flag in (("l", True), ("r", False)) for k, part in enumerate(digest(flag))]
+    equal = F.col("l1") == F.col("r1")
+    for k in (2, 3):
+        equal = equal & F.col(f"l{k}").eqNullSafe(F.col(f"r{k}"))
+    in_left, in_right = F.col("l0") > 0, F.col("r0") > 0
+    return both.groupBy(*ENTRY).agg(*parts).filter(~(in_left & in_right & equal)).select(*ENTRY, in_left.alias("in_left"), in_right.alias("in_right"))
+
+
+def check_scopes(left: DataFrame, right: DataFrame) -> None:
+    """Refuse snapshots that were asked for different entries: a missing entry would look like a removed one."""
+    counts = sided(left.select(*ENTRY).distinct(), right.select(*ENTRY).distinct()).groupBy(*ENTRY).agg(
+        F.bool_or("is_left").alias("l"), F.bool_or(~F.col("is_left")).alias("r")).agg(
+        F.count_if("l").alias("l"), F.count_if("r").alias("r"), F.count_if(F.col("l") != F.col("r")).alias("n")).first()
+    if counts["n"]:
+        raise ValueError(f"the snapshots cover different requested entries ({counts['l']} and {counts['r']}, {counts['n']} on one side only)")
 
 
 def field_category(database: Column, field: Column) -> Column:
@@ -38,27 +84,33 @@ def array_added_removed(left: Column, right: Column) -> tuple[Column, Column]:
 
 
 def snapshot_diff(left: DataFrame, right: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS,
-                  parser_compatible: bool = True) -> DataFrame:
+                  parser_compatible: bool = True, scopes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Changes between two long card tables (database, identifier, field, items).
 
     Membership changes always; field changes of shared entries only for the chosen dimensions and
-    only when both snapshots come from the same parser version.
+    only when both snapshots come from the same parser version. With ``scopes``, the requested entries of each
+    side, snapshots of different scopes are refused.
+
+    Entries are compared by digests first (one scan a side); the items of entries that differ are read in a second one.
     """
+    if scopes is not None:
+        check_scopes(*scopes)
     empty = F.array().cast("array<string>")
-    membership = entry_added_removed(left, right).select(
-        *ENTRY, F.lit(None).cast("string").alias("field"), F.lit("entry_membership").alias("category"), "change_type",
+    differing = cut_lineage(differing_entries(left, right))
+    membership = differing.filter("in_left <> in_right").select(
+        *ENTRY, F.lit(None).cast("string").alias("field"), F.lit("entry_membership").alias("category"), _change_type().alias("change_type"),
         empty.alias("added"), empty.alias("removed"))
     if not parser_compatible:
         return membership
-    usable = lambda side: side.filter(~((F.col("database") == "module") & (F.col("field") == "definition")))
-    l, r = usable(left).withColumnRenamed("items", "left_items"), usable(right).withColumnRenamed("items", "right_items")
+    changed = differing.filter("in_left AND in_right").select(*ENTRY)
+    l, r = (side.filter(compared_fields(side)).join(changed, ENTRY, "left_semi").withColumnRenamed("items", name)
+            for side, name in ((left, "left_items"), (right, "right_items")))
     both = l.join(r, [*ENTRY, "field"], "full").filter(~F.col("left_items").eqNullSafe(F.col("right_items")))
-    shared = both.join(entry_added_removed(left, right).select(*ENTRY), ENTRY, "left_anti")
     added, removed = array_added_removed(F.col("left_items"), F.col("right_items"))
     change = F.when(F.col("left_items").isNull(), F.lit("field_added")).when(
         F.col("right_items").isNull(), F.lit("field_removed")).otherwise(F.lit("field_modified"))
-    fields = shared.select(*ENTRY, "field", field_category(F.col("database"), F.col("field")).alias("category"),
-                           change.alias("change_type"), added.alias("added"), removed.alias("removed"))
+    fields = both.select(*ENTRY, "field", field_category(F.col("database"), F.col("field")).alias("category"),
+                         change.alias("change_type"), added.alias("added"), removed.alias("removed"))
     return membership.unionByName(fields.filter(F.col("category").isin(*dimensions)))
 
 
@@ -70,22 +122,32 @@ def dimension_counts(diff: DataFrame) -> DataFrame:
     return dims.join(counts, "category", "left").na.fill(0)
 
 
+def source_labels(batches: DataFrame) -> DataFrame:
+    """(snapshot_id, kind, label): each distinct label of a snapshot as a row."""
+    kinds = ("endpoint_class", "endpoint_label", "database_release")
+    stacked = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("label")) for kind in kinds]))
+    return batches.select("snapshot_id", stacked).filter("label IS NOT NULL").distinct()
+
+
 def source_summary(entries: DataFrame, missing: DataFrame, batches: DataFrame) -> DataFrame:
-    """Facts about each snapshot (all inputs carry ``snapshot_id``)."""
+    """Counts and times of each snapshot (all inputs carry ``snapshot_id``); its labels are rows of :func:`source_labels`.
+
+    Labels appear here as counts and as the first and last of each kind, so no cell grows with them.
+    """
     facts = batches.groupBy("snapshot_id").agg(
-        F.count("*").alias("batches"),
-        F.array_sort(F.collect_set("endpoint_class")).alias("endpoint_classes"),
-        F.array_sort(F.collect_set("endpoint_label")).alias("endpoint_labels"),
-        F.array_sort(F.collect_set("database_release")).alias("releases"),
-        F.count("database_release").alias("labelled_batches"),
+        F.count("*").alias("batches"), F.count("database_release").alias("labelled_batches"),
         F.sum(F.when(F.col("origin") == "network", F.col("attempt_count")).otherwise(0)).alias("network_requests"),
         F.count_if(F.col("origin") == "cache").alias("cache_hits"),
         F.count_if("is_stale").alias("stale_batches"),
         F.min("retrieved_at").alias("first_retrieved"), F.max("retrieved_at").alias("last_retrieved"))
-    entry_counts = entries.groupBy("snapshot_id").agg(F.count_distinct(*ENTRY).alias("entries"))
+    labels = source_labels(batches).groupBy("snapshot_id").agg(*[
+        made for kind, plural in (("endpoint_class", "endpoint_classes"), ("endpoint_label", "endpoint_labels"), ("database_release", "releases"))
+        for mine in (F.when(F.col("kind") == kind, F.col("label")),)
+        for made in (F.count(mine).alias(plural), F.min(mine).alias(f"first_{kind}"), F.max(mine).alias(f"last_{kind}"))])
+    entry_counts = entries.select("snapshot_id", *ENTRY).distinct().groupBy("snapshot_id").agg(F.count("*").alias("entries"))
     missing_counts = missing.groupBy("snapshot_id").agg(F.count("*").alias("missing_entries"))
-    return facts.join(entry_counts, "snapshot_id", "left").join(missing_counts, "snapshot_id", "left").na.fill(
-        0, ["entries", "missing_entries"])
+    return facts.join(labels, "snapshot_id", "left").join(entry_counts, "snapshot_id", "left").join(missing_counts, "snapshot_id", "left").na.fill(
+        0, ["entries", "missing_entries", "endpoint_classes", "endpoint_labels", "releases"])
 
 
 def release_status(batches: DataFrame) -> DataFrame:

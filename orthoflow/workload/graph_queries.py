@@ -183,11 +183,11 @@ def genome_relations(data: Inputs):
 
 
 @query("trace_genome_taxonomy", """
-SELECT 'forward' AS direction, t_number, taxonomy_id, 0 AS batch_index FROM v_genomes UNION ALL SELECT 'back', t_number, taxonomy_id, 1 FROM v_genomes WHERE nation_name <> 'NATION_3'""")
+SELECT 'forward' AS direction, t_number, taxonomy_id, 0 AS batch_index FROM v_genomes UNION ALL SELECT 'back', t_number, taxonomy_id, 1 FROM v_genomes""")
 def trace_genome_taxonomy(spark, sf):
     data = Inputs(spark, sf)
     genomes, relations = data.view("v_genomes"), genome_relations(data)
-    wanted = genomes.filter("nation_name <> 'NATION_3'").select("taxonomy_id").distinct()
+    wanted = genomes.select("taxonomy_id").distinct()
     both = T.genome_to_taxonomy(genomes, relations).withColumn("direction", F.lit("forward")).unionByName(
         T.taxonomy_to_genome(wanted, genomes, relations).withColumn("direction", F.lit("back")))
     return both.select("direction", "t_number", "taxonomy_id", F.col("batch_index").cast("int").alias("batch_index"))
@@ -476,11 +476,23 @@ _SNAP = {"v_items": _ITEMS, "v_diff": _DIFF}
 
 
 def snapshot_fields(data: Inputs):
+    """Both snapshots' fields: one scan of the entries a side, one row per field by one explode."""
+    right, size = F.col("snapshot_id") == "right", F.col("p_size")
+    modules = F.when(right & (size % 5 == 0), F.array(F.lit("M1"), F.lit("M3"), F.concat(F.lit("M"), size))).otherwise(
+        F.array(F.lit("M1"), F.lit("M2"), F.concat(F.lit("M"), size)))
+    definition = F.concat(F.when(right & (size % 7 == 0), F.lit("new ")).otherwise(F.lit("")), "p_name")
+    kos = F.when(right & (size % 3 == 0), F.array(F.lit("K1"), F.lit("K2"))).otherwise(F.array(F.lit("K1")))
+
+    def field(name, items, given=None):
+        row = F.struct(F.lit(name).alias("field"), F.transform(items, lambda x: x.cast("string")).alias("items"))
+        return row if given is None else F.when(given, row)
+
+    rows = F.array_compact(F.array(
+        field("modules", modules), field("definition", F.array(definition)), field("ko_identifiers", kos),
+        field("module_definition", F.array(F.concat("p_type", "snapshot_id")), F.col("database") == "module"),
+        field("extra", F.array(F.lit("x")), ~right & (size == 1))))
     entries = data.view("v_snapshot_entries")
-    items = data.spark.sql(_ITEMS.replace("v_snapshot_entries", "{v}"), v=entries)
-    long = items.withColumn("items", F.split("items", r"\|"))
-    side = lambda name: long.filter(F.col("snapshot_id") == name).drop("snapshot_id")
-    return side("left"), side("right")
+    return tuple(entries.filter(F.col("snapshot_id") == name).select("database", "identifier", F.inline(rows)) for name in ("left", "right"))
 
 
 @query("snapshot_diff", "SELECT * FROM v_diff", _SNAP)
@@ -494,13 +506,11 @@ def entry_added_removed(spark, sf):
     return D.entry_added_removed(*snapshot_fields(Inputs(spark, sf)))
 
 
-@query("array_added_removed", "SELECT database, identifier, field, added, removed FROM v_diff WHERE field = 'modules'", _SNAP)
+@query("array_added_removed", "SELECT database, identifier, field, added, removed FROM v_diff WHERE change_type = 'field_modified'", _SNAP)
 def array_added_removed(spark, sf):
-    left, right = (side.filter("field = 'modules'") for side in snapshot_fields(Inputs(spark, sf)))
-    both = left.withColumnRenamed("items", "l").join(right.withColumnRenamed("items", "r"), ["database", "identifier", "field"])
-    added, removed = D.array_added_removed(F.col("l"), F.col("r"))
-    changed = both.select("database", "identifier", "field", added.alias("added"), removed.alias("removed"))
-    return changed.filter("size(added) + size(removed) > 0").withColumns({"added": joined("added", "|"), "removed": joined("removed", "|")})
+    """Members of every array field that both snapshots of an entry hold and that differ."""
+    changed = D.snapshot_diff(*snapshot_fields(Inputs(spark, sf))).filter("change_type = 'field_modified'")
+    return changed.select("database", "identifier", "field", joined("added", "|").alias("added"), joined("removed", "|").alias("removed"))
 
 
 @query("snapshot_dimension_counts", """
@@ -511,7 +521,8 @@ def snapshot_dimension_counts(spark, sf):
 
 
 @query("snapshot_source_summary", """
-SELECT snapshot_id, count(*) AS batches, string_agg(DISTINCT endpoint_class, ';' ORDER BY endpoint_class) AS endpoint_classes, string_agg(DISTINCT database_release, ';' ORDER BY database_release) AS releases, count(database_release) AS labelled_batches,
+SELECT snapshot_id, count(*) AS batches, count(DISTINCT endpoint_class) AS endpoint_classes, min(endpoint_class) AS first_endpoint_class, count(DISTINCT endpoint_label) AS endpoint_labels,
+  count(DISTINCT database_release) AS releases, min(database_release) AS first_database_release, max(database_release) AS last_database_release, count(database_release) AS labelled_batches,
   CAST(sum(CASE WHEN origin = 'network' THEN attempt_count ELSE 0 END) AS BIGINT) AS network_requests, count(*) FILTER (WHERE origin = 'cache') AS cache_hits, count(*) FILTER (WHERE is_stale) AS stale_batches,
   strftime(min(retrieved_at), '%Y-%m-%d %H:%M:%S') AS first_retrieved, (SELECT count(*) FROM v_snapshot_entries e WHERE e.snapshot_id = b.snapshot_id) AS entries,
   (SELECT count(*) FROM part WHERE CASE b.snapshot_id WHEN 'left' THEN p_type = 'PROMO' ELSE p_type = 'SMALL' END) AS missing_entries FROM v_batches b GROUP BY snapshot_id""")
@@ -519,10 +530,20 @@ def snapshot_source_summary(spark, sf):
     data = Inputs(spark, sf)
     missing = data.table("part").selectExpr("case p_type when 'PROMO' then 'left' when 'SMALL' then 'right' end as snapshot_id").filter("snapshot_id is not null")
     summary = D.source_summary(data.view("v_snapshot_entries"), missing, data.view("v_batches"))
-    return summary.select("snapshot_id", "batches", joined("endpoint_classes"), joined("releases"), "labelled_batches", "network_requests", "cache_hits", "stale_batches",
+    return summary.select("snapshot_id", "batches", "endpoint_classes", "first_endpoint_class", "endpoint_labels", "releases", "first_database_release", "last_database_release",
+                          "labelled_batches", "network_requests", "cache_hits", "stale_batches",
                           F.date_format("first_retrieved", "yyyy-MM-dd HH:mm:ss").alias("first_retrieved"), "entries", "missing_entries")
 
 
+@query("snapshot_source_labels", """
+SELECT DISTINCT snapshot_id, kind, label FROM (
+  SELECT snapshot_id, 'endpoint_class' AS kind, CAST(endpoint_class AS VARCHAR) AS label FROM v_batches UNION ALL SELECT snapshot_id, 'endpoint_label', CAST(endpoint_label AS VARCHAR) FROM v_batches
+  UNION ALL SELECT snapshot_id, 'database_release', CAST(database_release AS VARCHAR) FROM v_batches) AS t WHERE label IS NOT NULL""")
+def snapshot_source_labels(spark, sf):
+    """Every label of a snapshot's sources as a row."""
+    return D.source_labels(Inputs(spark, sf).view("v_batches"))
+
+
 @query("release_status", """
 WITH s AS (SELECT list_sort(list(DISTINCT database_release) FILTER (WHERE snapshot_id = 'left' AND database_release IS NOT NULL)) AS l, list_sort(list(DISTINCT database_release) FILTER (WHERE snapshot_id = 'right' AND database_release IS NOT NULL)) AS r,
  count(*) FILTER (WHERE database_release IS NULL) AS m FROM v_batches) SELECT CASE WHEN m > 0 THEN 'partial' WHEN len(l) > 1 OR len(r) > 1 THEN 'mixed' WHEN l = r THEN 'same' ELSE 'different' END AS release_status FROM s""")
