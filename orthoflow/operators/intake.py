@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.functions import numbers as N
 from orthoflow.functions import policies as P
+from orthoflow.functions.bitmaps import FILTER_BITS, hash_filter, passing
 from orthoflow.functions.identifiers import normalize_ko
 from orthoflow.functions.text import blank_to_null, is_blank, strip, valid_label
 from orthoflow.session import cut_lineage
@@ -343,11 +344,36 @@ def record_id(number: Column) -> Column:
     return F.concat(F.lit("record-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
 
 
+def _cells(key: tuple[str, ...]) -> Column:
+    return F.struct(*[F.col(name) for name in key])
+
+
+def twin_candidates(records: DataFrame, key: tuple[str, ...], bits: int = FILTER_BITS) -> DataFrame:
+    """Records whose key hash occurs more than once, written (checkpoint); the others never leave their task.
+
+    Two passes: hashes alone are counted, then a filter of fixed size over the repeated ones, built by an
+    aggregate and broadcast, lets their records through, and a few more that the join with the repeated hashes drops.
+    ``_salts`` deals a very frequent hash to several tasks: at most 1,000 hashes have over a thousandth of the records.
+    """
+    hashed = records.withColumn("_hash", F.xxhash64(_cells(key)))
+    repeated = cut_lineage(hashed.groupBy("_hash").agg(F.count("*").alias("_copies")).filter("_copies > 1"))
+    share = (repeated.agg(F.sum("_copies")).first()[0] or 0) / 1000
+    salts = F.when(F.col("_copies") > share, F.ceil(F.col("_copies") / max(share, 1.0))).otherwise(1).cast("int")
+    hot = repeated.filter(F.col("_copies") > share).select(F.col("_hash").alias("_hot"), salts.alias("_salts"))
+    through = passing(hashed, "_hash", hash_filter(repeated, "_hash", bits), bits)
+    marked = through.join(F.broadcast(hot), F.col("_hash") == F.col("_hot"), "left").drop("_hot")
+    return cut_lineage(marked.withColumn("_salts", F.coalesce("_salts", F.lit(1))))
+
+
 def duplicate_groups(records: DataFrame, key: tuple[str, ...] = RECORD_KEY,
                      order: tuple[str, ...] = ("row_number", "pos")) -> DataFrame:
     """First record and size of every key that occurs more than once (NULLs compare equal)."""
+    return _groups(twin_candidates(records, key), key, order)
+
+
+def _groups(candidates: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     return (
-        records.groupBy(*key)
+        candidates.groupBy("_hash", "_salts", *key)
         .agg(F.count("*").alias("copies"), F.min(F.struct(*order)).alias("first"))
         .filter("copies > 1")
     )
@@ -357,20 +383,18 @@ def duplicate_records(records: DataFrame, key: tuple[str, ...] = RECORD_KEY,
                       order: tuple[str, ...] = ("row_number", "pos")) -> DataFrame:
     """Second and later records of a key with the first record of that key.
 
-    The join back may meet a key that holds a large share of the rows; it is an ordinary equi-join
-    against one row per key, so adaptive execution can split the hot side.
+    Only records whose hash has a twin are shuffled with their cells; cells are compared, so a hash that two
+    keys share does no harm. Keys with a large share of the rows are dealt to several tasks.
     """
-    groups = duplicate_groups(records, key, order).select(
-        F.struct(*[F.col(name) for name in key]).alias("key"),
-        *[F.col(f"first.{name}").alias(f"first_{name}") for name in order])
-    keyed = records.withColumn("key", F.struct(*[F.col(name) for name in key]))
-    hashed = [F.xxhash64("key").alias("key_hash")]
-    left = keyed.select("*", *hashed)
-    right = groups.select(F.col("key").alias("group_key"), *[f"first_{name}" for name in order],
-                          F.xxhash64("key").alias("key_hash"))
-    same = F.col("key").eqNullSafe(F.col("group_key"))
+    candidates = twin_candidates(records, key)
+    groups = _groups(candidates, key, order).select(
+        _cells(key).alias("_group"), *[F.col(f"first.{name}").alias(f"first_{name}") for name in order],
+        F.col("_hash").alias("_group_hash"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_group_salt"))
+    left = candidates.withColumns({"_key": _cells(key), "_salt": F.pmod(F.xxhash64(*order), F.col("_salts")).cast("int")})
+    met = left.join(groups, (F.col("_hash") == F.col("_group_hash")) & (F.col("_salt") == F.col("_group_salt")))
     later = F.struct(*[F.col(name) for name in order]) > F.struct(*[F.col(f"first_{name}") for name in order])
-    return left.join(right, "key_hash").filter(same & later).drop("key", "group_key", "key_hash")
+    return met.filter(F.col("_key").eqNullSafe(F.col("_group")) & later).drop(
+        "_key", "_group", "_hash", "_group_hash", "_salt", "_group_salt", "_salts")
 
 
 def sequence_or_domain_slot() -> Column:
@@ -439,23 +463,31 @@ def skipped_duplicates(skipped: DataFrame) -> DataFrame:
     return duplicate_records(skipped, ("dataset_id", "evidence"), ("row_number",))
 
 
-def import_report(rows: DataFrame, records: DataFrame, skipped: DataFrame, slot: Column,
-                  key: tuple[str, ...] = RECORD_KEY) -> DataFrame:
+def row_counts(parsed: DataFrame, policy: P.Policy = P.POLICIES["marker_threshold"]) -> DataFrame:
+    """Input, skipped and emitted rows and statuses of each dataset in one aggregate over the parsed rows.
+
+    Records are counted where they are exploded; the first record of a row, or its skip, also counts the row.
+    """
+    skipped = parsed.filter("skipped").select("dataset_id", F.lit(None).cast("string").alias("status"), F.lit(True).alias("first"))
+    emitted = detailed_records(parsed, policy).select("dataset_id", "status", (F.col("pos") <= 0).alias("first"))
+    return emitted.unionByName(skipped).groupBy("dataset_id").agg(
+        F.count_if(F.coalesce("first", F.lit(True))).alias("input_rows"), F.count("status").alias("emitted_records"),
+        *[F.count_if(F.col("status") == status).alias(f"{status}_records") for status in P.STATUSES],
+        F.count_if(F.col("status").isNull()).alias("skipped_rows"))
+
+
+def import_report(parsed: DataFrame, slot: Column, key: tuple[str, ...] = RECORD_KEY) -> DataFrame:
     """One row per dataset: input, emitted, skipped, duplicate, conflict and status counts.
 
-    The parts read ``records`` several times: derive them from one checkpointed parse.
+    ``parsed`` is read several times: give a written (checkpointed) parse.
     """
-    inputs = rows.groupBy("dataset_id").agg(F.count("*").alias("input_rows"))
-    emitted = records.groupBy("dataset_id").agg(
-        F.count("*").alias("emitted_records"),
-        *[F.count_if(F.col("status") == status).alias(f"{status}_records") for status in P.STATUSES])
-    skips = skipped.groupBy("dataset_id").agg(F.count("*").alias("skipped_rows"))
+    records, skipped = detailed_records(parsed), parsed.filter("skipped")
     copies = duplicate_groups(records, key).select("dataset_id", "copies").unionByName(
         duplicate_groups(skipped, ("dataset_id", "evidence"), ("row_number",)).select("dataset_id", "copies"))
     duplicates = copies.groupBy("dataset_id").agg(F.sum(F.col("copies") - 1).alias("duplicate_count"))
     conflicts = conflict_keys(records, slot).groupBy("dataset_id").agg(
         F.sum("conflict_records").alias("conflict_count"))
-    report = inputs
-    for part in (emitted, skips, duplicates, conflicts):
+    report = row_counts(parsed)
+    for part in (duplicates, conflicts):
         report = report.join(part, "dataset_id", "left")
     return report.na.fill(0)

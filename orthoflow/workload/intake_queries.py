@@ -340,7 +340,7 @@ LEFT JOIN (SELECT dataset_id, count(*) AS conflicts FROM (
 
 def report_of(data: Inputs):
     parsed = cut_lineage(data.parsed())
-    return K.import_report(parsed, K.detailed_records(parsed), parsed.filter("skipped"), K.sequence_or_domain_slot())
+    return K.import_report(parsed, K.sequence_or_domain_slot())
 
 
 @query("import_report", "SELECT * FROM v_report", {"v_report": _REPORT})
