@@ -2,30 +2,41 @@
 
 Truth is 0 (false), 1 (unknown), 2 (true), so "all of" is ``min`` and "one of" is ``max``.
 
-Every node row carries the ids and kinds of its ancestors. Folding the deepest level into its parents
-is then a plain aggregate on (set, root, module, path prefix): after one repartition by
-(set, root, module) the levels need no further shuffle, and no join.
+Definitions are compiled first: a root and all it refers to become one program of array levels. A set's
+accepted KOs are a bitmap by KO number. A (set, module) is then one row whose leaf bits come from the bitmap and whose
+levels are folded inside one expression, so neither nesting nor references add joins, shuffles or jobs per set.
+
+Minimal missing sets are rows. They are walked as bit masks by a stream per block, large blocks in
+several tasks, so no cell and no task holds all of them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
+from collections.abc import Iterator
+from itertools import count, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from orthoflow.functions.bitmaps import PIECE, bit_is_set, piece_of
 from orthoflow.functions.definitions import NODE_SCHEMA, Limits, parser
+from orthoflow.functions.programs import FALSE, ONE_OF, PROGRAM, TRUE, UNKNOWN, Alternatives, TooMany, bits_of, compile_root
 from orthoflow.functions.staging import computed
 from orthoflow.session import cut_lineage
 
-FALSE, UNKNOWN, TRUE = 0, 1, 2
 # Warning codes in order.
 WARNING_CODES = (
     "UNSUPPORTED_CONTENT", "UNRESOLVED_REFERENCE", "REFERENCE_CYCLE", "REFERENCE_LIMIT", "PARTIAL_EVALUATION",
     "NO_REQUIRED_COMPONENT", "MISSING_ALTERNATIVES_TRUNCATED",
 )
-_SETS = "array<array<string>>"
+#: KO numbers have five digits.
+PIECES = -(-100_000 // PIECE)
+#: Candidates that one task walks through, about.
+SHARD_ROWS = 100_000
+_BATCH = 10_000
 
 
 # --- definitions -------------------------------------------------------------------------------
@@ -118,247 +129,122 @@ def resolve_references(roots: DataFrame, edges: DataFrame, validity: DataFrame,
     return reachable, issues
 
 
-# --- folding -----------------------------------------------------------------------------------
+# --- evaluation --------------------------------------------------------------------------------
 
-def _antichain(sets: Column) -> Column:
-    unique = F.array_distinct(sets)
-    return F.filter(unique, lambda x: ~F.exists(unique, lambda y: (y != x) & (F.size(F.array_except(y, x)) == 0)))
+def compiled(nodes: DataFrame, reachable: DataFrame, issues: DataFrame) -> DataFrame:
+    """One program per root, from the nodes of the modules it reaches. References with an issue are unknown.
 
+    The work and the groups grow with the definitions, not with the sets.
+    """
+    blocked = issues.select("root_id", "module_id", "node_id", F.lit(True).alias("blocked")).distinct()
+    rows = reachable.select("root_id", "module_id").join(
+        nodes.select("module_id", "node_id", "parent_id", "block_index", "kind", "value"), "module_id").join(
+        blocked, ["root_id", "module_id", "node_id"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    return rows.groupBy("root_id").applyInArrow(compile_root, PROGRAM)
 
-def _cross_union(items: Column, cap: int | None) -> Column:
-    """Smallest unions taking one set from every item; NULL when an item is open or a given cap is passed."""
-    start = F.array(F.array().cast("array<string>"))
 
-    def combine(acc: Column, item: Column) -> Column:
-        pairs = F.flatten(F.transform(acc, lambda a: F.transform(item["missing"], lambda b: F.array_sort(F.array_union(a, b)))))
-        closed = ~item["truncated"] & (F.size(item["missing"]) > 0)
-        if cap is not None:
-            closed = closed & (F.size(acc).cast("long") * F.size(item["missing"]) <= cap)
-        return F.when(closed, _antichain(pairs))
+def ko_bitmaps(accepted: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Each set's KO numbers as bitmap pieces: one shuffle of the pairs, and 16 KB a set at most."""
+    number = F.substring("ko_id", 2, 5).cast("int")
+    numbers = accepted.select(key, number.alias("number")).repartition(key)
+    pieces = [F.bitmap_construct_agg(F.when(piece_of(F.col("number")) == k, (F.col("number") % PIECE).cast("long"))) for k in range(PIECES)]
+    return numbers.groupBy(key).agg(F.array(*pieces).alias("bitmap"))
 
-    return F.aggregate(items, start.cast(_SETS), combine)
 
+def _present(number: Column) -> Column:
+    return bit_is_set(F.element_at("bitmap", piece_of(number) + 1), number % PIECE)
 
-# Values folded per node. Completion needs the short list only; KO sets are carried on request.
-TRUTH_VALUES = ("truth", "required", "any_matched")
-SET_VALUES = ("truth", "required", "any_matched", "matched", "missing", "truncated")
 
+def node_truth(requests: DataFrame, programs: DataFrame, accepted: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Per requested (set, root): the program, which of its KOs are present, and the truth of all its values."""
+    numbers = programs.select("root_id", F.transform("kos", lambda k: F.substring(k, 2, 5).cast("int")).alias("numbers"))
+    asked = requests.select(key, F.col("module_id").alias("root_id")).join(numbers, "root_id")
+    tested = computed(asked.join(ko_bitmaps(accepted, key), key, "left"), present=F.transform("numbers", _present)).drop("numbers", "bitmap")
+    leaves = F.concat(F.transform("present", lambda x: F.when(x, TRUE).otherwise(FALSE)), F.array(F.lit(UNKNOWN), F.lit(TRUE)))
 
-def _values(sets: bool) -> tuple[str, ...]:
-    return SET_VALUES if sets else TRUTH_VALUES
+    def fold(values: Column, level: Column) -> Column:
+        def value(node: Column) -> Column:
+            below = F.transform(node["kids"], lambda k: values[k])
+            return F.when(node["op"] == ONE_OF, F.array_max(below)).otherwise(F.array_min(below))
 
+        return F.concat(values, F.transform(level, value))
 
-def _neutral() -> dict[str, Column]:
-    """What an optional part gives to its parent: true, nothing required, nothing matched or missing."""
-    return {"truth": F.lit(TRUE), "required": F.lit(0).cast("bigint"), "any_matched": F.lit(False),
-            "matched": F.array().cast("array<string>"), "missing": F.array().cast(_SETS), "truncated": F.lit(False)}
+    return computed(tested.join(programs, "root_id"), truth=F.aggregate("levels", leaves, fold))
 
 
-def leaf_truth(nodes: DataFrame, requests: DataFrame, accepted: DataFrame, key: str = "sample_id", sets: bool = False) -> DataFrame:
-    """Leaves of every requested module with their truth: accepted KO, missing KO, or unknown.
+def folded_blocks(truths: DataFrame, key: str = "sample_id") -> DataFrame:
+    """One row per required block: truth, number of required parts, KOs found in it, also inside referenced modules."""
+    rows = truths.select(key, "root_id", "kos", "present", "truth", "levels", F.explode("blocks").alias("b"))
+    found = F.filter(F.col("b.leaves"), lambda k: F.col("present")[k])
+    return rows.select(
+        key, "root_id", "b.block_index", F.col("truth")[F.col("b.node")].alias("truth"), F.col("b.required").alias("required"),
+        F.array_sort(F.transform(found, lambda k: F.col("kos")[k])).alias("matched"),
+        F.struct("kos", "levels", F.col("truth").alias("values"), F.col("b.node").alias("node")).alias("logic"))
 
-    ``requests`` has (key, root_id, module_id); references stay unknown until ``reference_truth``.
-    """
-    leaves = nodes.filter("kind in ('ko', 'module_reference', 'unsupported')").select(
-        "module_id", "node_id", "block_index", "kind", "value", "path", "kinds")
-    rows = requests.join(leaves, "module_id")
-    hits = accepted.select(key, F.col("ko_id").alias("value"), F.lit(True).alias("present"))
-    joined = rows.join(hits, [key, "value"], "left")
-    is_ko, present = F.col("kind") == "ko", F.coalesce("present", F.lit(False))
-    values = {
-        "truth": F.when(is_ko & present, TRUE).when(is_ko, FALSE).otherwise(UNKNOWN),
-        "required": F.lit(1).cast("bigint"),
-        "any_matched": is_ko & present,
-        "matched": F.when(is_ko & present, F.array("value")).otherwise(F.array().cast("array<string>")),
-        "missing": F.when(is_ko & ~present, F.array(F.array("value"))).otherwise(F.array().cast(_SETS)),
-        "truncated": F.lit(False),
-    }
-    return joined.select(key, "root_id", "module_id", "node_id", "block_index", "kind", "value", "path", "kinds",
-                         *[values[name].alias(name) for name in _values(sets)])
 
+def folded_optional(truths: DataFrame, key: str = "sample_id") -> DataFrame:
+    """One row per optional part of the root and of the modules it refers to."""
+    rows = truths.select(key, "root_id", "kos", "present", "truth", F.explode("optional").alias("o"))
+    found = F.filter(F.col("o.leaves"), lambda k: F.col("present")[k])
+    return rows.select(
+        key, "root_id", "o.module_id", "o.node_id", F.col("truth")[F.col("o.node")].alias("truth"), (F.size(found) > 0).alias("any_matched"),
+        F.array_sort(F.transform(found, lambda k: F.col("kos")[k])).alias("matched"))
 
-def reference_truth(leaves: DataFrame, issues: DataFrame, results: DataFrame, key: str = "sample_id", sets: bool = False) -> DataFrame:
-    """Give reference leaves the result of their target, unless the reference has an issue."""
-    blocked = issues.select("root_id", "module_id", "node_id", F.lit(True).alias("blocked")).distinct()
-    names = _values(sets)
-    targets = results.select(key, "root_id", F.col("module_id").alias("value"), *[F.col(c).alias(f"t_{c}") for c in names])
-    refs = leaves.join(blocked, ["root_id", "module_id", "node_id"], "left").join(targets, [key, "root_id", "value"], "left")
-    use = (F.col("kind") == "module_reference") & F.col("blocked").isNull() & F.col("t_truth").isNotNull()
-    return refs.select(*[F.when(use, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in leaves.columns])
-
-
-def _aggregate(grouped, kind: Column, child: Column, cap: int | None, sets: bool) -> DataFrame:
-    """Combine children: ``min`` for all-of, ``max`` for one-of, plus the KO sets when asked for."""
-    plain = [F.min("truth").alias("lowest"), F.max("truth").alias("highest"), F.sum("required").alias("required"),
-             F.bool_or("any_matched").alias("any_matched")]
-    if not sets:
-        return grouped.agg(*plain).withColumn("truth", F.when(kind == "or", F.col("highest")).otherwise(F.col("lowest")))
-    lacking = F.when(F.col("truth") == FALSE, F.struct(child.alias("child"), "missing", "truncated"))
-    collected = grouped.agg(
-        *plain, F.bool_or(F.col("truth") == UNKNOWN).alias("unknown"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"),
-        F.sort_array(F.collect_list(lacking)).alias("lacking"))
-    return _merge(collected, kind, cap)
-
-
-def fold_level(rows: DataFrame, level: int, key: str = "sample_id", cap: int | None = None, sets: bool = False) -> DataFrame:
-    """Fold the rows at ``level`` into their parents; shallower rows pass through unchanged.
-
-    A folded optional part goes on as a neutral child and stays as a row of its own with ``done``.
-    """
-    deep = (F.size("path") == level) & ~F.col("done")
-    optional = deep & (F.element_at("kinds", -1) == "optional")
-    neutral, names = _neutral(), _values(sets)
-    lifted = rows.select(
-        key, "root_id", "module_id", "block_index", "done",
-        F.when(deep, F.slice("path", 1, level - 1)).otherwise(F.col("path")).alias("path"),
-        F.when(deep, F.slice("kinds", 1, level - 1)).otherwise(F.col("kinds")).alias("kinds"),
-        F.element_at("path", -1).alias("child"),
-        *[F.when(optional, neutral[name]).otherwise(F.col(name)).alias(name) for name in names])
-    parents = ["root_id", "module_id", "block_index", "path", "kinds"]
-    folded = _aggregate(lifted.groupBy(key, *parents, "done"), F.element_at("kinds", -1), F.col("child"), cap, sets)
-    part = ~F.col("done") & (F.size("path") == level - 1) & (F.element_at("kinds", -1) == "optional")
-    copies = F.explode(F.when(part, F.array(F.lit(False), F.lit(True))).otherwise(F.array("done")))
-    return folded.select(key, *parents, *names, copies.alias("done"))
-
-
-def _merge(grouped: DataFrame, kind: Column, cap: int | None) -> DataFrame:
-    """Truth and missing sets of a parent from the collected children."""
-    one_of = kind == "or"
-    truth = F.when(one_of, F.col("highest")).otherwise(F.col("lowest"))
-    staged = computed(grouped, truth=truth, any_open=F.exists("lacking", lambda c: c["truncated"]),
-                      crossed=F.when(~one_of & (F.size("lacking") > 1) & ~F.col("unknown"), _cross_union(F.col("lacking"), cap)),
-                      joined=F.flatten(F.transform("lacking", lambda c: c["missing"])))
-    nothing = F.array().cast(_SETS)
-    missing = (
-        F.when(F.col("truth") != FALSE, nothing)
-        .when(one_of, F.when(F.col("any_open"), nothing).otherwise(_antichain(F.col("joined"))))
-        .when(F.col("unknown"), nothing)
-        .when(F.size("lacking") == 1, F.col("lacking")[0]["missing"])
-        .otherwise(F.coalesce("crossed", nothing)))
-    truncated = F.when(F.col("truth") != FALSE, F.lit(False)).when(one_of, F.col("any_open")).when(F.col("unknown"), F.lit(True)).when(
-        F.size("lacking") == 1, F.col("lacking")[0]["truncated"]).otherwise(F.col("crossed").isNull())
-    return computed(staged, missing=missing, truncated=truncated)
-
-
-def deepest(nodes: DataFrame) -> int:
-    """The deepest level of the nodes: one row to the driver."""
-    return nodes.agg(F.max("level").alias("level")).collect()[0]["level"] or 1
-
-
-def folded_rows(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int | None = None, sets: bool = False) -> DataFrame:
-    """Blocks, and optional parts (``done``). One shuffle places a module's leaves together; the levels reuse it."""
-    rows = leaves.drop("node_id", "kind", "value").repartition(key, "root_id", "module_id").withColumn("done", F.lit(False))
-    for level in range(max_level, 1, -1):
-        rows = fold_level(rows, level, key, cap, sets)
-    return rows
-
-
-def fold_blocks(leaves: DataFrame, max_level: int, key: str = "sample_id", cap: int | None = None,
-                sets: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(blocks, optional parts)."""
-    rows = folded_rows(leaves, max_level, key, cap, sets)
-    return rows.filter(~F.col("done")).drop("done"), rows.filter("done").drop("done")
-
-
-def fold_modules(blocks: DataFrame, key: str = "sample_id", cap: int | None = None, sets: bool = False) -> DataFrame:
-    """A referenced module is all of its blocks; without a required part it is unknown."""
-    folded = _aggregate(blocks.groupBy(key, "root_id", "module_id"), F.lit("and"), F.col("block_index"), cap, sets)
-    return folded.withColumn("truth", F.when(F.col("required") == 0, UNKNOWN).otherwise(F.col("truth"))).select(
-        key, "root_id", "module_id", *_values(sets))
-
-
-def heights(reachable: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
-    """Rounds a module waits for its referenced modules (0 when it has none), per root.
-
-    References with an issue (a cycle above all) do not count.
-    """
-    open_edges = reachable.select("root_id", "module_id").join(edges, "module_id").join(
-        issues.select("root_id", "module_id", "node_id"), ["root_id", "module_id", "node_id"], "left_anti").select(
-        "root_id", "module_id", "target_id").distinct()
-    level = reachable.select("root_id", "module_id", F.lit(0).alias("height"))
-    longest = reachable.groupBy("root_id").count().agg(F.max("count")).first()[0] or 0  # no path has more modules
-    for _ in range(longest):
-        raised = open_edges.join(level.select("root_id", F.col("module_id").alias("target_id"), "height"), ["root_id", "target_id"]).groupBy(
-            "root_id", "module_id").agg((F.max("height") + 1).alias("new"))
-        updated = cut_lineage(level.join(raised, ["root_id", "module_id"], "left").select(
-            "root_id", "module_id", F.greatest("height", F.coalesce("new", F.lit(0))).alias("height"),
-            (F.coalesce("new", F.lit(0)) > F.col("height")).alias("changed")))
-        level = updated.drop("changed")
-        if updated.filter("changed").isEmpty():
-            break
-    return level
+
+def leaf_truth(nodes: DataFrame, requests: DataFrame, accepted: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Leaves of every requested module as rows with their truth: accepted KO, missing KO, or unknown."""
+    leaves = nodes.filter("kind in ('ko', 'module_reference', 'unsupported')").select("module_id", "node_id", "block_index", "kind", "value")
+    hits = accepted.select(key, F.col("ko_id").alias("value"), F.lit(True).alias("present"))
+    joined = requests.select(key, "module_id").join(leaves, "module_id").join(hits, [key, "value"], "left")
+    truth = F.when(F.col("kind") != "ko", UNKNOWN).when(F.col("present"), TRUE).otherwise(FALSE)
+    return joined.select(key, "module_id", "node_id", "block_index", "kind", "value", truth.alias("truth"))
 
 
-def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, key: str = "sample_id",
-             cap: int | None = None, sets: bool = True) -> dict[str, DataFrame]:
+def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, key: str = "sample_id") -> dict[str, DataFrame]:
     """Evaluate every requested (set, module): blocks, optional parts, issues and facts per root.
 
-    ``sets=False`` leaves out matched and missing KO sets, which completion does not need.
-
-    The parsed definitions are written once (checkpoint) and reused. Modules are evaluated in order of
-    their reference height; each (set, root, module) is computed once and joined where it is referenced.
+    The parsed definitions and the programs are written once (checkpoints); ``accepted`` is read once.
     """
     parsed = cut_lineage(parsed_definitions(definitions))
     nodes = module_nodes(parsed)
     validity = definition_validity(definitions, parsed)
-    edges = reference_edges(nodes)
     roots = requests.select("module_id").distinct()
-    reachable, issues = resolve_references(roots, edges, validity)
-    by_height = heights(reachable, edges, issues)
-    top = by_height.agg(F.max("height").alias("height")).collect()[0]
-    max_level, max_height = deepest(nodes), top["height"] or 0
-    pairs = requests.select(key, F.col("module_id").alias("root_id")).join(by_height, "root_id")
-    results, root_blocks, root_optional = None, [], []
-    for height in range(max_height + 1):
-        now = pairs.filter(F.col("height") == height).drop("height")
-        leaves = leaf_truth(nodes, now, accepted, key, sets)
-        if results is not None:
-            leaves = reference_truth(leaves, issues, results, key, sets)
-        rows = cut_lineage(folded_rows(leaves, max_level, key, cap, sets))  # folded once, read below
-        blocks, optional = rows.filter(~F.col("done")).drop("done"), rows.filter("done").drop("done")
-        root_blocks.append(blocks.filter("root_id = module_id"))
-        root_optional.append(optional)
-        if height < max_height:
-            folded = fold_modules(blocks, key, cap, sets)
-            results = folded if results is None else results.unionByName(folded)
+    reachable, issues = resolve_references(roots, reference_edges(nodes), validity)
+    programs = cut_lineage(compiled(nodes, reachable, issues))
+    truths = node_truth(requests, programs, accepted, key)
     tainted = reachable.join(validity.select("module_id", "unsupported"), "module_id").groupBy("root_id").agg(
         F.bool_or("unsupported").alias("unsupported"))
     facts = roots.select(F.col("module_id").alias("root_id")).join(
         validity.select(F.col("module_id").alias("root_id"), "is_valid"), "root_id").join(tainted, "root_id", "left")
     return {
-        "blocks": block_states(reduce(DataFrame.unionByName, root_blocks), facts, key, sets),
-        "optional": optional_states(reduce(DataFrame.unionByName, root_optional), facts, key, sets),
-        "issues": issues, "facts": facts, "nodes": nodes, "parsed": parsed, "reachable": reachable,
+        "blocks": block_states(folded_blocks(truths, key), facts, key), "optional": optional_states(folded_optional(truths, key), facts, key),
+        "issues": issues, "facts": facts, "nodes": nodes, "parsed": parsed, "reachable": reachable, "programs": programs,
     }
 
 
 # --- results -----------------------------------------------------------------------------------
 
-def block_states(blocks: DataFrame, facts: DataFrame, key: str, sets: bool = True) -> DataFrame:
+def block_states(blocks: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """State of each required block. Unsupported content anywhere below the root makes all unknown."""
     joined = blocks.join(facts, "root_id")
     hidden = F.col("unsupported") | (F.col("required") == 0)
     truth = F.when(hidden, UNKNOWN).otherwise(F.col("truth"))
-    neutral = _neutral()
-    members = [F.when(hidden, neutral[name]).otherwise(F.col(name)).alias(name) for name in ("matched", "missing", "truncated")] if sets else []
     return joined.select(
         key, F.col("root_id").alias("module_id"), "block_index", truth.alias("truth"),
         ((F.col("required") == 0) & ~F.col("unsupported")).alias("no_required"),
         F.when(truth == TRUE, F.lit("complete")).when(truth == FALSE, F.lit("incomplete")).otherwise(F.lit("not_evaluable")).alias("state"),
-        "required", *members)
+        "required", F.when(hidden, F.array().cast("array<string>")).otherwise(F.col("matched")).alias("matched"), "logic")
 
 
-def optional_states(optional: DataFrame, facts: DataFrame, key: str, sets: bool = True) -> DataFrame:
+def optional_states(optional: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Optional parts of the root and of referenced modules."""
     joined = optional.join(facts, "root_id")
     state = (
         F.when(F.col("unsupported") | (F.col("truth") == UNKNOWN), F.lit("not_evaluable"))
         .when(F.col("truth") == TRUE, F.lit("present"))
         .when(F.col("any_matched"), F.lit("partially_present")).otherwise(F.lit("absent")))
-    matched = [F.when(F.col("unsupported"), _neutral()["matched"]).otherwise(F.col("matched")).alias("matched")] if sets else []
-    return joined.select(key, F.col("root_id").alias("module_id"), F.col("module_id").alias("source_module_id"),
-                         F.element_at("path", -1).alias("node_id"), state.alias("state"), *matched)
+    matched = F.when(F.col("unsupported"), F.array().cast("array<string>")).otherwise(F.col("matched")).alias("matched")
+    return joined.select(key, F.col("root_id").alias("module_id"), F.col("module_id").alias("source_module_id"), "node_id", state.alias("state"), matched)
 
 
 def module_completion(requests: DataFrame, blocks: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -377,24 +263,81 @@ def module_completion(requests: DataFrame, blocks: DataFrame, key: str = "sample
         .withColumn("block_coverage", F.when((total > 0) & (usable == total), done / total)))
 
 
-def missing_alternatives(blocks: DataFrame, limit: int, key: str = "sample_id") -> DataFrame:
-    """Minimal KO sets that would complete each incomplete block, smallest first."""
-    ordered = F.transform(F.array_sort(F.transform("missing", lambda m: F.struct(F.size(m).alias("n"), m.alias("m")))), lambda s: s["m"])
-    rows = computed(blocks.filter("state = 'incomplete'"), ordered=ordered)
-    return rows.select(key, "module_id", "block_index", F.slice("ordered", 1, limit).alias("alternatives"),
-                       (F.col("truncated") | (F.size("ordered") > limit)).alias("truncated"))
+_WALK = "module_id string, block_index int, kos array<string>, open boolean"
 
 
-def module_warnings(completion: DataFrame, blocks: DataFrame, issues: DataFrame, facts: DataFrame, limit: int, key: str = "sample_id") -> DataFrame:
-    """Warning codes per (set, module) in reporting order."""
+def _walks(batches: Iterator[pa.RecordBatch], cap: int | None) -> Iterator[tuple[dict, Alternatives | None]]:
+    """Rows with their alternatives, None where a part is open or the bound is passed."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            logic = row["logic"]
+            found = Alternatives(len(logic["kos"]), logic["levels"], logic["values"], cap)
+            try:
+                found.check(logic["node"])
+            except TooMany:
+                found = None
+            yield row, found
+
+
+def missing_rows(blocks: DataFrame, key: str = "sample_id", cap: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per minimal KO set that would complete an incomplete block: (key, module_id, block_index, kos, open).
+
+    A block with an unknown part, or with more combinations than ``cap`` where one is given, gives one row with ``open``
+    and no KOs: it fails closed. Blocks are walked in several tasks from about ``shard_rows`` candidates on; sets that
+    several walks meet are made distinct by Spark.
+    """
+    kind = blocks.schema[key].dataType.simpleString()
+    work = blocks.filter("state = 'incomplete'").select(key, "module_id", "block_index", "logic")
+
+    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [0 if found is None else found.shards(row["logic"]["node"], shard_rows) for row, found in _walks(iter([batch]), cap)]
+            yield batch.append_column("shards", pa.array(counts, pa.int32()))
+
+    cut = work.mapInArrow(sharded, work.withColumn("shards", F.lit(0)).schema)
+    each = cut.withColumn("shard", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shards") - 1, F.lit(0)))))
+    dealt = each.repartition(key, "module_id", "block_index", "shard")
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for row, found in _walks(batches, cap):
+                base = (row[key], row["module_id"], row["block_index"])
+                if found is None:
+                    yield (*base, None, True)
+                    continue
+                kos = row["logic"]["kos"]
+                for mask in found.minimal(row["logic"]["node"], row["shard"], max(1, row["shards"])):
+                    yield (*base, sorted(kos[bit] for bit in bits_of(mask)), False)
+
+        stream = rows()
+        while part := list(islice(stream, _BATCH)):
+            columns = list(zip(*part))
+            types = [dealt_type, pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [key, "module_id", "block_index", "kos", "open"])
+
+    dealt_type = to_arrow_type(blocks.schema[key].dataType)
+    return dealt.mapInArrow(walked, f"`{key}` {kind}, {_WALK}").distinct()
+
+
+def missing_alternatives(blocks: DataFrame, limit: int, key: str = "sample_id", cap: int | None = None) -> DataFrame:
+    """The ``limit`` smallest minimal KO sets of each incomplete block, and whether that is not all of them."""
+    group = [key, "module_id", "block_index"]
+    order = W.partitionBy(*group).orderBy(F.size("kos"), "kos")
+    ranked = missing_rows(blocks, key, cap).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit + 1)
+    listed = F.array_sort(F.collect_list(F.when(~F.col("open") & (F.col("rank") <= limit), F.struct("rank", "kos"))))
+    return ranked.groupBy(*group).agg(
+        F.transform(listed, lambda s: s["kos"]).alias("alternatives"), F.bool_or(F.col("open") | (F.col("rank") > limit)).alias("truncated"))
+
+
+def module_warnings(completion: DataFrame, blocks: DataFrame, issues: DataFrame, facts: DataFrame, alternatives: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Warning codes per (set, module) in reporting order; ``alternatives`` tells which blocks' lists are cut."""
     kinds = issues.groupBy("root_id").agg(
         F.bool_or(F.col("issue").isin("unresolved", "invalid_definition")).alias("unresolved"),
         F.bool_or(F.col("issue") == "cycle").alias("cycle"), F.bool_or(F.col("issue") == "depth_limit").alias("depth"))
     roots = facts.join(kinds, "root_id", "left").withColumnRenamed("root_id", "module_id")
-    per = blocks.groupBy(key, "module_id").agg(
-        F.bool_or("no_required").alias("no_required"),
-        F.bool_or((F.col("state") == "incomplete") & (F.col("truncated") | (F.size("missing") > limit))).alias("cut"))
-    joined = completion.join(roots, "module_id", "left").join(per, [key, "module_id"], "left")
+    per = blocks.groupBy(key, "module_id").agg(F.bool_or("no_required").alias("no_required"))
+    cut = alternatives.groupBy(key, "module_id").agg(F.bool_or("truncated").alias("cut"))
+    joined = completion.join(roots, "module_id", "left").join(per, [key, "module_id"], "left").join(cut, [key, "module_id"], "left")
     flags = (F.col("unsupported") | ~F.col("is_valid"), F.col("unresolved"), F.col("cycle"), F.col("depth"),
              F.col("module_status") == "partially_evaluable", F.col("no_required"), F.col("cut"))
     codes = F.array_compact(F.array(*[F.when(flag, F.lit(code)) for flag, code in zip(flags, WARNING_CODES)]))

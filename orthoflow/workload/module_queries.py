@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from orthoflow.operators import compare as C
 from orthoflow.operators import modules as M
-from orthoflow.session import cut_lineage
 from orthoflow.workload.registry import query
 from orthoflow.workload.views import Inputs, digits, ko, union
 
@@ -15,11 +14,10 @@ def parsed_of(data: Inputs):
     return M.parsed_definitions(data.view("v_modules"))
 
 
-def evaluated(data: Inputs, key: str = "sample_id", sets: bool = False):
+def evaluated(data: Inputs, key: str = "sample_id"):
     requests = data.view("v_module_requests" if key == "sample_id" else "v_set_module_requests").join(
         data.view("v_modules").select("module_id", "module_name"), "module_id")
-    # Each height of the reference graph reads the accepted pairs again, so they are written once.
-    return requests, M.evaluate(requests, data.view("v_modules"), cut_lineage(data.accepted(key)), key, sets=sets)
+    return requests, M.evaluate(requests, data.view("v_modules"), data.accepted(key), key)
 
 
 _KINDS = """
@@ -125,7 +123,7 @@ _LEAF_KOS = "CASE n % 10 " + " ".join(f"WHEN {t} THEN {len(ds)}" for t, ds in _L
 SELECT sample_id, CAST(sum({_PRESENT}) AS BIGINT) AS present, CAST(sum({_LEAF_KOS}) - sum({_PRESENT}) AS BIGINT) AS absent, CAST(sum(CASE WHEN n % 10 IN (2, 4, 5, 6, 8) THEN 1 ELSE 0 END) AS BIGINT) AS unknown FROM v_truth GROUP BY 1""", _EVAL)
 def leaf_truth(spark, sf):
     data = Inputs(spark, sf)
-    requests = data.view("v_module_requests").select("sample_id", "module_id", F.col("module_id").alias("root_id"))
+    requests = data.view("v_module_requests")
     leaves = M.leaf_truth(M.module_nodes(parsed_of(data)), requests, data.accepted())
     count = lambda truth: F.count_if(F.col("truth") == truth)
     return leaves.groupBy("sample_id").agg(count(M.TRUE).alias("present"), count(M.FALSE).alias("absent"), count(M.UNKNOWN).alias("unknown"))
@@ -150,9 +148,10 @@ def fold_truth(spark, sf):
     """The fold alone: references and unsupported leaves stay unknown."""
     data = Inputs(spark, sf)
     nodes = M.module_nodes(parsed_of(data))
-    requests = data.view("v_module_requests").select("sample_id", "module_id", F.col("module_id").alias("root_id"))
-    blocks, _ = M.fold_blocks(M.leaf_truth(nodes, requests, data.accepted()), max_level=M.deepest(nodes))
-    return blocks.select("sample_id", "module_id", "truth", F.col("block_index").cast("bigint").alias("block_index"))
+    alone = nodes.select("module_id").distinct().withColumn("root_id", F.col("module_id"))
+    unknown = M.reference_edges(nodes).withColumn("root_id", F.col("module_id"))
+    truths = M.node_truth(data.view("v_module_requests"), M.compiled(nodes, alone, unknown), data.accepted())
+    return M.folded_blocks(truths).select("sample_id", F.col("root_id").alias("module_id"), "truth", F.col("block_index").cast("bigint").alias("block_index"))
 
 
 @query("reference_truth", "SELECT sample_id, module_id, truth[1] AS truth FROM v_truth WHERE n % 10 IN (2, 4, 5, 8)", _EVAL)
@@ -197,7 +196,7 @@ _MATCHED = " UNION ALL ".join(
 @query("matched_kos", _MATCHED, _EVAL)
 def matched_kos(spark, sf):
     """KOs found in each block, also inside referenced modules; optional parts do not count."""
-    _, result = evaluated(Inputs(spark, sf), sets=True)
+    _, result = evaluated(Inputs(spark, sf))
     return result["blocks"].select("sample_id", "module_id", "block_index", F.array_join("matched", ";").alias("matched"))
 
 
@@ -219,7 +218,7 @@ UNION ALL SELECT sample_id, module_id, 2, CASE WHEN NOT (a5 OR a6) AND NOT a7 TH
 UNION ALL SELECT sample_id, module_id, 1, CASE WHEN NOT a4 AND NOT a5 THEN {_k(6)} || '|' || {_k(4)} || '+' || {_k(5)} WHEN a4 THEN {_k(5)} || '|' || {_k(6)} ELSE {_k(4)} || '|' || {_k(6)} END, false FROM v_truth WHERE n % 10 = 9 AND truth[1] = 0""", _EVAL)
 def missing_alternatives(spark, sf):
     """Every incomplete block of every requested module."""
-    _, result = evaluated(Inputs(spark, sf), sets=True)
+    _, result = evaluated(Inputs(spark, sf))
     rows = M.missing_alternatives(result["blocks"], 64)
     return rows.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: F.array_join(a, "+")), "|"))
 
@@ -227,9 +226,10 @@ def missing_alternatives(spark, sf):
 @query("module_warnings", """
 SELECT sample_id, module_id, CASE n % 10 WHEN 5 THEN 'REFERENCE_CYCLE;PARTIAL_EVALUATION' WHEN 6 THEN 'UNSUPPORTED_CONTENT' WHEN 7 THEN 'UNSUPPORTED_CONTENT' WHEN 8 THEN CASE WHEN a4 THEN 'UNRESOLVED_REFERENCE' ELSE 'UNRESOLVED_REFERENCE;PARTIAL_EVALUATION' END ELSE '' END AS warnings FROM v_truth""", _EVAL)
 def module_warnings(spark, sf):
-    requests, result = evaluated(Inputs(spark, sf), sets=True)
+    requests, result = evaluated(Inputs(spark, sf))
     completion = M.module_completion(requests, result["blocks"])
-    return M.module_warnings(completion, result["blocks"], result["issues"], result["facts"], 64).withColumn("warnings", F.array_join("warnings", ";"))
+    cut = M.missing_alternatives(result["blocks"], 64)
+    return M.module_warnings(completion, result["blocks"], result["issues"], result["facts"], cut).withColumn("warnings", F.array_join("warnings", ";"))
 
 
 _COMPARED = """

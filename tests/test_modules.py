@@ -19,9 +19,10 @@ def evaluate(spark, definitions, accepted, limit=64):
     kos = spark.createDataFrame([("s", k) for k in accepted], "sample_id string, ko_id string")
     result = M.evaluate(requests, defs, kos)
     row = M.module_completion(requests, result["blocks"]).first()
-    missing = M.missing_alternatives(result["blocks"], limit).collect()
+    alternatives = M.missing_alternatives(result["blocks"], limit)
+    missing = alternatives.collect()
     optional = [r.state for r in result["optional"].collect()]
-    warnings = M.module_warnings(M.module_completion(requests, result["blocks"]), result["blocks"], result["issues"], result["facts"], limit).first().warnings
+    warnings = M.module_warnings(M.module_completion(requests, result["blocks"]), result["blocks"], result["issues"], result["facts"], alternatives).first().warnings
     return row, missing, optional, warnings
 
 
