@@ -18,7 +18,8 @@ Buckets with the same nodes (a group of copies shares most bands) are verified o
 
 Null and blank texts have no shingles, component_id = doc_id and no links; a text with fewer words than
 a shingle is one shingle. Rows with a null id are linked with nothing and get a null component_id.
-Rows that repeat a doc_id count as one document with the links of all of them. No rows give no rows.
+Rows that repeat a doc_id count as one document with the links of all of them: the different sets of one id are linked.
+``one_of_each`` drops by row instead: rows of one id with different texts are judged each by its own text. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.common import _series, empty_text, materialise, mix, shingle_sets
+from orthoflow.llm.common import _series, empty_text, materialise, mix, shingle_sets, unused
 
 HASHES = 128
 BAND_ROWS = 4
@@ -284,14 +285,41 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     links = (
         placed.join(known, "node").repartition("_band", "_low", "_high").sortWithinPartitions("_band", "_low", "_high")
         .mapInArrow(_verify(num, den, steps), "u long, v long"))
-    label = materialise(connected(links))
+    # the sets of one id are one document: their nodes are linked
+    several = full.groupBy("doc_id").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).filter("low <> high").select("doc_id")
+    owned = full.select("doc_id", "_key").join(several, "doc_id", "left_semi").join(named.select("_key", "node"), "_key")
+    same = owned.groupBy("doc_id").agg(F.min("node").alias("u")).join(owned.select("doc_id", F.col("node").alias("v")), "doc_id").select("u", "v").filter("u <> v")
+    label = materialise(connected(links.unionByName(same)))
     component = named.select("_key", "node").join(label, "node", "left").select("_key", "node", F.coalesce("label", "node").alias("label"))
     rows = sketch.join(component, "_key", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return rows.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, _text, _own) of the rows whose id repeats with different texts; ``_text`` is a digest.
+
+    Only these get new ids, above all others; equal rows share one.
+    """
+    text = F.md5(empty_text().cast("binary"))
+    hashed = docs.select("doc_id", text.alias("_text"))
+    several = hashed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high")).filter("low <> high")
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("top"))
+    texts = hashed.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    return materialise(texts.crossJoin(F.broadcast(top)).select("doc_id", "_text", (F.col("top") + 1 + F.monotonically_increasing_id()).alias("_own")))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` (a stored table: it is read more than once) whose document is the smallest of its component."""
-    gone = near_components(docs.select("doc_id", "text"), width, num, den).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` (a stored table: it is read more than once) whose document is the smallest of its component.
+
+    Rows of one id with different texts are documents of their own here, so no text goes of which no near copy stays.
+    """
+    new = _told_apart(docs)
+    if new.isEmpty():
+        gone = near_components(docs.select("doc_id", "text"), width, num, den).filter("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    text, own = unused(docs, "_text"), unused(docs, "_own")
+    keyed = docs.withColumn(text, F.md5(empty_text().cast("binary"))).join(
+        new.select("doc_id", F.col("_text").alias(text), F.col("_own").alias(own)), ["doc_id", text], "left").withColumn(own, F.coalesce(own, F.col("doc_id").cast("long")))
+    gone = near_components(keyed.select(F.col(own).alias("doc_id"), "text"), width, num, den).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return keyed.join(gone, own, "left_anti").select(docs.columns)
