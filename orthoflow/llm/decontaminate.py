@@ -2,11 +2,13 @@
 
 1. The corpus counts of the benchmark's words are taken over all documents.
 2. An item's *seeds* are its word ``n``-grams whose probability under those counts (words independent) is
-   below ``rare``, and at least its ``least_seeds`` rarest ones. Rarity comes from single words, so a
+   below ``rare``, its ``least_seeds`` rarest ones, and the rarest one of every 13 words in a row, so each verbatim
+   passage of that length holds a seed. Rarity comes from single words, so a
    passage that leaked into thousands of documents stays a seed.
 3. Documents that hold a seed get aligned with the item around the seed's diagonal: local alignment,
    match +2, mismatch -1, gap -1. A pair matches when the best score reaches ``ratio`` of the item's own
-   score, so edited, shortened and paraphrased copies count and chance overlaps do not.
+   score, so edited, shortened and paraphrased copies count and chance overlaps do not; or when it reaches
+   ``passage``, the score of 13 matching words, so a part of a long item counts however long the item is.
 
 The benchmark is a query set. It is taken in blocks of about ``block_bytes`` of text (a bounded
 broadcast); every block meets all documents in narrow passes without a shuffle of texts.
@@ -33,6 +35,7 @@ RARE = 1e-9
 LEAST_SEEDS = 8
 RATIO = 0.4
 MATCH, MISMATCH, GAP = 2, -1, 1
+PASSAGE = 13 * MATCH
 BLOCK_BYTES = 16 << 20
 FOUND = "doc_id long, item_id long, n_seeds long, score double, start_word long, end_word long"
 _SLOTS = 1 << 20
@@ -99,6 +102,8 @@ def seeds_of(words: np.ndarray, counts: dict[int, int], total: int, n: int, rare
     score = np.array([logs[k:k + width].sum() for k in range(len(ids))])
     rank = np.argsort(score, kind="stable")
     chosen = set(rank[:least].tolist()) | set(np.flatnonzero(score <= math.log10(rare)).tolist())
+    reach = max(1, PASSAGE // MATCH - width + 1)
+    chosen |= {k + int(score[k:k + reach].argmin()) for k in range(max(1, len(ids) - reach + 1))}
     return [(int(ids[k]), k) for k in sorted(chosen)]
 
 
@@ -134,7 +139,7 @@ def aligned(item: np.ndarray, words: np.ndarray, hits: list[tuple[int, int]]) ->
     return best
 
 
-def _search(block, n: int, ratio: float):
+def _search(block, n: int, ratio: float, passage: int):
     """Pairs of documents and items of a block; ``block``: items' words and their seeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, seeds = block.value
@@ -163,7 +168,7 @@ def _search(block, n: int, ratio: float):
                     item = items[item_id]
                     score, start, end = aligned(item, words[first[d]:first[d + 1]], found)
                     share = score / (MATCH * len(item))
-                    if share >= ratio:
+                    if share >= ratio or score >= passage:
                         out.append((docs[row + d].as_py(), item_id, len(found), share, start, end))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
@@ -172,7 +177,7 @@ def _search(block, n: int, ratio: float):
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, n: int = GRAM, rare: float = RARE, least_seeds: int = LEAST_SEEDS, ratio: float = RATIO,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, passage: int = PASSAGE,
 ) -> DataFrame:
     """One row per matching (document, item): n_seeds, score (share of the item's own), word span in the text."""
     spark = docs.sparkSession
@@ -195,7 +200,7 @@ def matches(
         keys = [key for key, _ in flat]
         seeds = {i: seeds_of(w, counts, total, n, rare, least_seeds) for i, w in named.items()}
         names = spark.createDataFrame(list(enumerate(keys)), "at long, item_id long")
-        pairs = docs.mapInArrow(_search(spark.sparkContext.broadcast((named, seeds)), n, ratio), FOUND)
+        pairs = docs.mapInArrow(_search(spark.sparkContext.broadcast((named, seeds)), n, ratio, passage), FOUND)
         found.append(pairs.withColumnRenamed("item_id", "at").join(F.broadcast(names), "at").select(
             "doc_id", "item_id", "n_seeds", "score", "start_word", "end_word"))
     if not found:
