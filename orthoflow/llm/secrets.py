@@ -3,8 +3,9 @@
 Base spans (leftmost, non-overlapping per kind): ``assign``, ``access`` and ``hex``; see ``PATTERNS``.
 The field tags words (``[^\\x20\\x09-\\x0D]+``) as begin, inside or outside of a secret. Its features are the
 shape and the hash of the word and its neighbours, and how the file is written (length, digits, signs).
-It learns from windows of words around base spans, around other words with digits, and from plain windows,
-at most ``WINDOWS`` of each kind, of the ``SAMPLE`` documents whose ids have the smallest hash. Training maximises the likelihood by
+It learns from windows of words: around base spans of any document of the corpus (found in a scan of all texts), and around other
+words with digits and plain ones of the ``SAMPLE`` documents whose ids have the smallest hash; at most ``WINDOWS`` of each kind, those
+with the smallest hash, and at most ``SPANS_OF_ONE`` spans of one document, chosen by hash. Training maximises the likelihood by
 forward-backward; tagging is Viterbi's best path over the whole text. Words whose score for *outside* beats
 the others by more than any transitions could make up are outside in every best path, so only the words
 between them are decoded (an exact shortcut). Added spans never overlap base spans.
@@ -41,6 +42,9 @@ TEMPLATES = 9
 WIDE = 16
 SAMPLE = 1 << 14
 WINDOWS = 1500
+SPANS_OF_ONE = 4
+#: Texts without a match have no base span; the test runs in the JVM before any text goes to Python.
+MAYBE = r"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
 CLIP = 4.0
 BIAS = 2.0  # windows show more secrets than whole texts do: nats against a begin
 TRIM = b"\"'`,;.!?()[]{}<>|"
@@ -220,8 +224,8 @@ def _char_to_byte(text: str, raw: bytes, places: list[int]) -> list[int]:
     return places if len(text) == len(raw) else [len(text[:p].encode()) for p in places]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows: kind 0 around base spans, 1 around other words with digits, 2 anywhere."""
+def _windows(batches: Iterator[pa.RecordBatch], secrets: bool) -> Iterator[pa.RecordBatch]:
+    """Training windows: kind 0 around base spans (``secrets``), or 1 around other words with digits and 2 anywhere."""
     for batch in batches:
         out, ids = [], batch.column("doc_id").to_pylist()
         for row, offsets, data in text_chunks(batch.column("text")):
@@ -245,9 +249,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         marked.append(p)
                 seed = mix(np.array([(ids[row + k] or 0) * 31 + 7], np.int64).view(np.uint64))[0]
                 other = np.flatnonzero((digits[finish + offsets[k]] > digits[begin + offsets[k]]) & (tags == 0))
-                places = [(0, p) for p in marked[:4]]
-                places += [(1, int(other[int(seed) % len(other)]))] if len(other) else []
-                places += [(2, int(seed >> np.uint64(20)) % (b - a))]
+                if secrets:
+                    rank = mix(np.array(marked, np.uint64) ^ seed)
+                    places = [(0, marked[k]) for k in np.argsort(rank, kind="stable")[:SPANS_OF_ONE]]
+                else:
+                    places = [(1, int(other[int(seed) % len(other)]))] if len(other) else []
+                    places += [(2, int(seed >> np.uint64(20)) % (b - a))]
                 for kind, p in places:
                     lo, hi = max(0, p - WIDE), min(b - a, p + WIDE + 1)
                     key = int(mix(np.array([seed ^ np.uint64(p * 3 + kind)], np.uint64)).view(np.int64)[0])
@@ -263,13 +270,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Field:
-    """Fit on windows of ``sample`` documents with the smallest id hash, ``windows`` of each kind at most."""
+    """Fit on windows around base spans of all documents and on other windows of ``sample`` documents, ``windows`` of each kind at most."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = _texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
-    found = materialise(texts.mapInArrow(_windows, "kind int, key long, columns binary, tags binary"))
+    plain = _texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
+    schema = "kind int, key long, columns binary, tags binary"
+    marked = _texts(docs).filter(F.col("text").rlike(MAYBE)).mapInArrow(lambda batches: _windows(batches, True), schema)
+    others = materialise(plain.mapInArrow(lambda batches: _windows(batches, False), schema))
     rows = []
-    for kind in (0, 1, 2):
-        rows += found.filter(F.col("kind") == kind).orderBy("key", "columns", "tags").limit(windows).collect()
+    for found in (marked, others.filter("kind = 1"), others.filter("kind = 2")):
+        rows += found.orderBy("key", "columns", "tags").limit(windows).collect()
     return fit([(np.frombuffer(r["columns"], np.int32).reshape(-1, TEMPLATES), np.frombuffer(r["tags"], np.int8).astype(np.int64)) for r in rows])
 
 
