@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.common import empty_text, fold_of, mix, text_chunks, word_hashes, word_spans
+from orthoflow.llm.common import empty_text, fold_of, mix, text_chunks, unused, word_hashes, word_spans
 
 BITS = 17
 DIM = 1 << BITS
@@ -166,11 +166,12 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability of quality 1 in ``column``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn(column, F.lit(0.0)).schema
-    with_text = docs.withColumn("_whole_text", empty_text())
+    whole = unused(docs.withColumn(column, F.lit(0.0)), "_whole_text")
+    with_text = docs.withColumn(whole, empty_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("_whole_text")
+            place = batch.schema.get_field_index(whole)
             scores = [held.value.score(c) for c in features(batch.column(place))]
             kept = [batch.column(i) for i in range(batch.num_columns) if i != place]
             names = [n for i, n in enumerate(batch.schema.names) if i != place]

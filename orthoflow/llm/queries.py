@@ -141,19 +141,23 @@ written AS (
     + len(regexp_extract_all(text, '<</?SYS>>|\[/?INST\]|</?s>|<<TURN |<</TURN>>'))
     + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
       ELSE 18 + length(role) + len(regexp_extract_all(role, '[\\>]')) END AS chars FROM turns),
+checked AS (
+  SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN CASE coalesce(lag(role) OVER w, '') WHEN '' THEN row_number() OVER w = 1 AND role IN ('system', 'user')
+      WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END ELSE false END AS valid
+  FROM written WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 spoken AS (SELECT * FROM turns WHERE role = 'assistant'),
 learned AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS t FROM spoken GROUP BY conv_id)
 SELECT w.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(length(any_value(t)), 0) AS BIGINT) AS loss_chars, sha256(coalesce(any_value(t), '')) AS loss_sha256,
-       CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM written w LEFT JOIN learned l USING (conv_id) GROUP BY w.conv_id
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (NOT valid) AS n_invalid
+FROM checked w LEFT JOIN learned l USING (conv_id) GROUP BY w.conv_id
 """)
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = read_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     segments = chat.format_turns(turns.unionByName(probe))
-    return chat.read_back(segments).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return chat.read_back(segments).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_invalid")
 
 
 def _edit_log(docs: DataFrame) -> DataFrame:
