@@ -127,6 +127,19 @@ def test_near_nulls_ties_empty(spark):
     assert near_dedup.near_components(frame(spark, [])).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    """The sets of one id are one document; the stage that drops judges each text by itself."""
+    a, b, c = " ".join("abcdefghij"), " ".join("klmnopqrst"), " ".join("uvwxyzabcd")
+    rows = [(3, b), (5, a), (5, b), (5, b), (8, a), (9, c), (9, a), (11, c)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_components(frame(spark, rows)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (8, 3, False), (9, 3, False), (11, 3, False)}
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(frame(spark, rows)).collect())
+    assert [t for _, t in kept if t == b] == [b] and kept[0] == (3, b)
+    assert sorted({t for _, t in kept}) == sorted({a, b, c}) and len(kept) == 3
+    alone = [(5, a), (5, b), (7, c)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(frame(spark, alone)).collect()) == sorted(alone)
+
+
 def test_bayesian_bounds_grow_with_matches():
     steps = near_dedup.least_matches(85, 100, 1e-6)
     assert steps[0][0] == near_dedup.BATCH and all(b[1] > a[1] for a, b in zip(steps, steps[1:]))

@@ -86,6 +86,29 @@ def test_field_finds_secrets_that_no_pattern_names(spark):
     assert hidden and caught >= 0.6 * len(hidden)
 
 
+def test_rare_secrets_are_learned_from_the_whole_corpus(spark):
+    """The only document with base spans lies outside the sample, and the field is still trained."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"plain words {i} and 77{i} more") for i in range(60)]
+    table = documents(spark, rows)
+    last = table.select("doc_id").orderBy(F.xxhash64("doc_id").desc()).first()[0]
+    secret = " ".join(f'line {k} password = "a1b2c3d4e5{k}" end' for k in range(9))
+    field = secrets.train(documents(spark, [(i, secret if i == last else t) for i, t in rows]), sample=5)
+    assert field.trained
+    assert not secrets.train(table, sample=5).trained
+
+
+def test_quality_columns_of_any_name(spark):
+    rows = [(i, ("good clean text " if i % 2 else "junk junk spam ") * 9 + str(i)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.train(documents(spark, rows), labels)
+    plain = {r["doc_id"]: r["score"] for r in quality.scored(documents(spark, rows).select("doc_id", "text"), model).collect()}
+    odd = documents(spark, rows).select("doc_id", "text").selectExpr("doc_id", "text", "1 as _whole_text", "2 as __whole_text")
+    got = quality.scored(odd, model).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == plain and {(r["_whole_text"], r["__whole_text"]) for r in got} == {(1, 2)}
+
+
 def test_viterbi_is_the_best_path_and_the_shortcut_is_exact():
     random_ = np.random.default_rng(3)
     for _ in range(60):
