@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,6 @@ from orthoflow.operators import coverage as V
 from orthoflow.operators import intake as K
 from orthoflow.operators import modules as M
 from orthoflow.operators import relations as R
-from orthoflow.session import CHECKPOINT_SETTING, ensure_checkpoint_dir
 from orthoflow.sinks import exports as X
 from orthoflow.sinks import tables as S
 from orthoflow.sources import fasta as FA
@@ -24,7 +22,7 @@ from orthoflow.workload.intake_queries import DIAGNOSTICS
 from orthoflow.workload.module_queries import _EVAL
 from orthoflow.workload.registry import query
 from orthoflow.workload.relation_queries import _COVER, _RANK_VIEWS, coverage_of, overlap_of
-from orthoflow.workload.views import INPUT_SQL, Inputs, digits, ko, sql_ko, sql_strip, union
+from orthoflow.workload.views import INPUT_SQL, Inputs, digits, ko, sql_ko, sql_strip, union, work_folder
 
 
 def sql_frame(spark, sf, body: str, *tables: str):
@@ -89,6 +87,24 @@ def quarantine_ragged_rows(spark, sf):
     return ragged.select("source_id", "line_no", "actual_columns", F.concat_ws("=", last["name"], last["value"]).alias("last_cell"))
 
 
+@query("scan_quoted_records", """
+SELECT doc_id, source, CAST(length(body) - length(replace(body, chr(10), '')) AS BIGINT) AS breaks, md5(body) AS text_md5 FROM (
+  SELECT doc_id, source, replace(coalesce(text, ''), chr(13), '') || chr(10) || 'said "' || lang || '", twice' AS body FROM documents) AS t""")
+def scan_quoted_records(spark, sf):
+    """The documents as quoted files with line breaks in cells, split between tasks, read back as numbered records."""
+    from orthoflow.sources import quoted
+
+    folder = f"{work_folder(spark, 'quoted')}/files"
+    body = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), F.lit("\nsaid \""), F.coalesce("lang", F.lit("")), F.lit('", twice'))
+    cell = F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce("source", F.lit("")), cell)
+    Inputs(spark, sf).table("documents").select(line.alias("value")).write.text(folder)
+    records = quoted.read_records(spark, folder)
+    cells = L.table_cells(records, ",")
+    return cells.select(F.col("cells")[0].cast("long").alias("doc_id"), F.col("cells")[1].alias("source"), (F.col("line_no") - F.col("first_line_no")).alias("breaks"),
+                        F.md5(F.col("cells")[2].cast("binary")).alias("text_md5"))
+
+
 @query("check_text", """
 SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'nul_character' ELSE 'field_too_long' END AS fault FROM documents WHERE doc_id % 7 = 0 OR length(text) > 5000""")
 def check_text(spark, sf):
@@ -201,10 +217,17 @@ def scan_map_graphics(spark, sf):
     return shapes_of(spark, sf).select("pathway_id", "entry_id", "kind", "x", "y", F.array_join("ko_ids", ";").alias("ko_ids"), "fault")
 
 
+#: Each sample asks for three maps.
+_ASKED_MAPS = f"SELECT 'S' || CAST(s_suppkey AS STRING) AS sample_id, 'ko' || {digits('1 + (s_suppkey * 7 + i * 13) % 50')} AS pathway_id FROM supplier CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) AS n"
+
+
 @query("overlay_graphics", """
-SELECT sample_id, pathway_id, kind, count(*) AS shapes, CAST(sum(k) AS BIGINT) AS ko_links FROM (SELECT sample_id, pathway_id, entry_id, kind, count(DISTINCT ko_id) AS k FROM v_shapes JOIN v_accepted ON ko_id = k1 OR ko_id = k2 WHERE fault IS NULL GROUP BY ALL) AS t GROUP BY ALL""", {"v_shapes": _SHAPES})
+SELECT sample_id, pathway_id, kind, count(*) AS shapes, CAST(sum(k) AS BIGINT) AS ko_links FROM (SELECT sample_id, pathway_id, entry_id, kind, count(DISTINCT ko_id) AS k FROM v_shapes JOIN v_accepted ON ko_id = k1 OR ko_id = k2
+  SEMI JOIN v_asked USING (sample_id, pathway_id) WHERE fault IS NULL GROUP BY ALL) AS t GROUP BY ALL""", {"v_shapes": _SHAPES, "v_asked": _ASKED_MAPS})
 def overlay_graphics(spark, sf):
-    found = G.overlay(shapes_of(spark, sf), Inputs(spark, sf).accepted())
+    data = Inputs(spark, sf)
+    asked = spark.sql(_ASKED_MAPS.replace("FROM supplier", "FROM {supplier}"), supplier=data.table("supplier"))
+    found = G.overlay(shapes_of(spark, sf), data.accepted(), requests=asked)
     return found.groupBy("sample_id", "pathway_id", "kind").agg(F.count("*").alias("shapes"), F.sum(F.size("accepted_kos")).alias("ko_links"))
 
 
@@ -352,13 +375,6 @@ def stream_rows(spark, sf):
         "threshold_text as threshold", "mark as annotate", "start_text as start", "end_text as end", "note")
 
 
-def work_folder(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_intake", "SELECT dataset_id, row_number, CAST(pos AS BIGINT) AS pos, ko_id, status FROM v_assign")
 def stream_intake(spark, sf):
     folder = work_folder(spark, "stream_intake")
@@ -370,15 +386,27 @@ def stream_intake(spark, sf):
 @query("stream_accepted_set", "SELECT DISTINCT sample_id, ko_id FROM v_assign WHERE status = 'accepted'")
 def stream_accepted_set(spark, sf):
     folder = work_folder(spark, "stream_accepted_set")
-    ST.append_to(ST.accepted_set(ST.stream_records(stream_rows(spark, sf))), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    log = ST.accepted_log(spark, f"{folder}/log")
+    ST.store_accepted(ST.stream_records(stream_rows(spark, sf)), log, f"{folder}/state").awaitTermination()
+    return log.read(ST.ACCEPTED)
 
 
 @query("stream_status_counts", "SELECT sample_id, status, count(*) AS n FROM v_assign GROUP BY 1, 2")
 def stream_status_counts(spark, sf):
     folder = work_folder(spark, "stream_status_counts")
-    ST.keep_latest(ST.status_counts(ST.stream_records(stream_rows(spark, sf))), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return ST.latest(spark.read.parquet(f"{folder}/out"))
+    log = ST.counts_log(spark, f"{folder}/log")
+    ST.store_counts(ST.stream_records(stream_rows(spark, sf)), log, f"{folder}/state").awaitTermination()
+    return log.read(ST.COUNTS)
+
+
+@query("stream_rank_pathways", "SELECT sample_id, target_id AS pathway_id, rank, detected_kos, relation_rows FROM v_ranked WHERE relationship = 'ko_to_pathway'", _RANK_VIEWS)
+def stream_rank_pathways(spark, sf):
+    """Rankings straight from the stream's log of accepted pairs."""
+    folder = work_folder(spark, "stream_rank_pathways")
+    log = ST.accepted_log(spark, f"{folder}/log")
+    ST.store_accepted(ST.stream_records(stream_rows(spark, sf)), log, f"{folder}/state").awaitTermination()
+    return ST.ranked_targets(log, Inputs(spark, sf).view("v_relations"), "ko_to_pathway").select(
+        "sample_id", F.col("target_id").alias("pathway_id"), F.col("rank").cast("bigint").alias("rank"), "detected_kos", "relation_rows")
 
 
 @query("stream_diagnostic_preview", f"""

@@ -7,11 +7,12 @@ the Spark side of those always goes through the library operators.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoflow.session import HUGE_METHOD_LIMIT, HUGE_METHOD_SETTING, SPREAD_SETTING
+from orthoflow.session import CHECKPOINT_SETTING, HUGE_METHOD_LIMIT, HUGE_METHOD_SETTING, SPREAD_SETTING, ensure_checkpoint_dir
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -361,3 +362,10 @@ class Inputs:
 
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
