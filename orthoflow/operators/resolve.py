@@ -86,24 +86,45 @@ def relation_edges(relations: DataFrame, relationship: str) -> DataFrame:
         "source is not null and target is not null").distinct()
 
 
-def genes_to_targets(candidates: DataFrame, relations: DataFrame, targets: tuple[str, ...]) -> DataFrame:
-    """(candidate_id, target_kind, target_id): gene -> KO -> module, reaction, enzyme; gene -> pathway."""
+def typed_edges(relations: DataFrame, relationships: list[str]) -> DataFrame:
+    """(relationship, source, target) of several relationships in one scan, ids normalized, distinct."""
+    def entity(side: int, column: str):
+        return F.coalesce(*[F.when(F.col("relationship") == name, I.normalize_pair_entity(I.RELATION_TYPES[name][side], F.col(column))) for name in relationships])
+
+    return relations.filter(F.col("relationship").isin(relationships)).select(
+        "relationship", entity(0, "source_id").alias("source"), entity(1, "target_id").alias("target")).filter(
+        "source is not null and target is not null").distinct()
+
+
+def gene_relationships(targets: tuple[str, ...]) -> list[str]:
+    """Relationships on the ways from a gene to the targets."""
+    direct = [f"gene_to_{t}" for t in ("ko", "pathway") if t in targets]
+    further = [f"ko_to_{t}" for t in targets if t not in ("gene", "ko", "pathway")]
+    return list(dict.fromkeys([*direct, *(["gene_to_ko"] if further else []), *further]))
+
+
+def genes_to_targets(candidates: DataFrame, relations: DataFrame, targets: tuple[str, ...], edges: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, target_kind, target_id): gene -> KO -> module, reaction, enzyme; gene -> pathway.
+
+    Two joins for all targets: genes with what they lead to directly, and their KOs with the rest. ``edges`` may be a
+    written table of ``typed_edges``; the relations are then not read.
+    """
     genes = candidates.select(F.col("candidate_id").alias("gene")).filter("gene is not null").distinct()
-    kos = genes.join(relation_edges(relations, "gene_to_ko"), F.col("gene") == F.col("source")).select("gene", F.col("target").alias("ko"))
     parts = []
-    for target in targets:
-        if target == "gene":
-            found = genes.select("gene", F.col("gene").alias("target_id"))
-        elif target == "ko":
-            found = kos.select("gene", F.col("ko").alias("target_id"))
-        elif target == "pathway":
-            edges = relation_edges(relations, "gene_to_pathway")
-            found = genes.join(edges, F.col("gene") == F.col("source")).select("gene", F.col("target").alias("target_id"))
-        else:
-            edges = relation_edges(relations, f"ko_to_{target}")
-            found = kos.join(edges, F.col("ko") == F.col("source")).select("gene", F.col("target").alias("target_id")).distinct()
-        parts.append(found.select(F.col("gene").alias("candidate_id"), F.lit(target).alias("target_kind"), "target_id"))
-    return reduce(DataFrame.unionByName, parts)
+    names = gene_relationships(targets)
+    if names:
+        edges = typed_edges(relations, names) if edges is None else edges
+        kind = lambda prefix: F.substring_index("relationship", prefix, -1)
+        first = genes.join(edges.filter(F.col("relationship").startswith("gene_to_")), F.col("gene") == F.col("source")).select(
+            "gene", kind("gene_to_").alias("target_kind"), F.col("target").alias("target_id"))
+        parts.append(first.filter(F.col("target_kind").isin(*targets)))
+        if any(name.startswith("ko_to_") for name in names):
+            kos = first.filter("target_kind = 'ko'").select("gene", F.col("target_id").alias("ko"))
+            parts.append(kos.join(edges.filter(F.col("relationship").startswith("ko_to_")), F.col("ko") == F.col("source")).select(
+                "gene", kind("ko_to_").alias("target_kind"), F.col("target").alias("target_id")).distinct())
+    if "gene" in targets:
+        parts.append(genes.select("gene", F.lit("gene").alias("target_kind"), F.col("gene").alias("target_id")))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("gene", "candidate_id")
 
 
 def substances_to_targets(candidates: DataFrame, relations: DataFrame, kind: str, targets: tuple[str, ...]) -> DataFrame:

@@ -11,7 +11,7 @@ from orthoflow.operators import search as Q
 from orthoflow.operators import snapshots as D
 from orthoflow.operators import trace as T
 from orthoflow.workload.registry import query
-from orthoflow.workload.views import Inputs, digits, union
+from orthoflow.workload.views import Inputs, digits, union, work_folder
 
 EDGE_TYPES = ("compound_to_reaction", "reaction_to_pathway", "pathway_to_module", "module_to_reaction")
 
@@ -433,6 +433,14 @@ def search_keyword(spark, sf):
     return Q.search_keyword(search_table(Inputs(spark, sf)), "module", "Red ring").select("identifier")
 
 
+@query("search_keyword_postings", "SELECT identifier FROM v_flat_text WHERE kind = 'module' AND lower(p_name || ' ' || p_type) LIKE '%ring%' AND lower(p_name || ' ' || p_type) LIKE '%red%'")
+def search_keyword_postings(spark, sf):
+    """The same search by the rarest letter triples of its words."""
+    table, folder = search_table(Inputs(spark, sf)), work_folder(spark, "postings")
+    Q.write_postings(table, folder)
+    return Q.search_postings(table, folder, "module", "Red ring").select("identifier")
+
+
 @query("search_formula", "SELECT identifier FROM v_flat_text WHERE kind IN ('compound', 'gene') AND 'C' || p_size || 'H2O' LIKE '%C12H2%'")
 def search_formula(spark, sf):
     return Q.search_formula(search_table(Inputs(spark, sf)), "compound", "C12H2").select("identifier")
@@ -445,6 +453,16 @@ def search_mass(spark, sf):
         Q.search_mass(table, "compound", "41.00").select("identifier", F.lit("value").alias("mode")))
 
 
+@query("search_mass_layout", "SELECT identifier, 'range' AS mode FROM v_flat_text WHERE kind IN ('compound', 'gene') AND p_size * 10.25 BETWEEN 100.5 AND 205 UNION ALL SELECT identifier, 'value' FROM v_flat_text WHERE kind IN ('compound', 'gene') AND p_size = 4")
+def search_mass_layout(spark, sf):
+    """The same searches over a table written in the order of masses."""
+    folder = work_folder(spark, "masses")
+    Q.write_by_mass(search_table(Inputs(spark, sf)), folder)
+    table = spark.read.parquet(folder)
+    return Q.search_mass(table, "compound", "100.5-205").select("identifier", F.lit("range").alias("mode")).unionByName(
+        Q.search_mass(table, "compound", "41.00").select("identifier", F.lit("value").alias("mode")))
+
+
 @query("candidate_limit", """
 SELECT kind AS database, identifier, candidate_no, observed, observed > 10 AS truncated FROM (SELECT kind, identifier, row_number() OVER (PARTITION BY kind ORDER BY position) AS candidate_no, count(*) OVER (PARTITION BY kind) AS observed FROM v_flat_text) AS t WHERE candidate_no <= 10""")
 def candidate_limit(spark, sf):
