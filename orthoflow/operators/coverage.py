@@ -85,10 +85,11 @@ def missing_kos(requests: DataFrame, accepted: DataFrame, kos: DataFrame, key: s
 def coverage(requests: DataFrame, accepted: DataFrame, kos: DataFrame, reference: DataFrame, key: str = "sample_id") -> DataFrame:
     """Coverage of every requested pair; an empty denominator gives a NULL ratio, never 0.
 
-    Hits start from the requests, so no pair of set and pathway that nobody asked for is formed.
+    Hits start from the accepted KOs: a denominator KO that a set has not accepted gives no row. They are counted
+    per set and pathway in the tasks before anything is shuffled by that pair; pathways nobody asked for are left out first.
     """
-    asked = requests.select(key, "pathway_id").distinct()
-    hits = detected_kos(asked, accepted, kos, key).groupBy(key, "pathway_id").agg(F.count("*").alias("detected_kos"))
+    asked = kos.join(requests.select("pathway_id").distinct(), "pathway_id", "left_semi")
+    hits = accepted.join(asked, "ko_id").groupBy(key, "pathway_id").agg(F.count("*").alias("detected_kos"))
     return (
         requests.join(reference, "pathway_id").join(hits, [key, "pathway_id"], "left")
         .na.fill(0, ["detected_kos"])

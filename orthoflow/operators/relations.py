@@ -98,30 +98,41 @@ def top_targets(ranked: DataFrame, n: int = DEFAULT_TOP_N, excluded: tuple[str,
     return kept.withColumn("selection", F.row_number().over(order)).filter(F.col("selection") <= n)
 
 
-def ko_degrees(accepted: DataFrame, normalized: DataFrame, key: str = "dataset_id") -> DataFrame:
-    """Distinct targets and raw rows of every selected KO; zero when it has none."""
-    edges = normalized.filter("ko_id is not null and target_id is not null").groupBy("ko_id", "target_id").agg(
-        F.count("*").alias("rows"))
-    degrees = edges.groupBy("ko_id").agg(F.count("*").alias("targets"), F.sum("rows").alias("raw_rows"))
-    return accepted.join(degrees, "ko_id", "left").na.fill(0, ["targets", "raw_rows"])
-
-
-def mapping_yield(degrees: DataFrame, key: str = "dataset_id") -> DataFrame:
-    mapped = F.count_if(F.col("targets") > 0)
-    return degrees.groupBy(key).agg(
-        F.count("*").alias("selected_kos"),
-        mapped.alias("mapped_kos"),
-        (F.count("*") - mapped).alias("unmapped_kos"),
-        F.try_divide(mapped, F.count("*")).alias("mapping_yield"),
-        F.sum("raw_rows").alias("raw_relation_rows"),
-        F.sum("targets").alias("unique_relations"),
-        F.count_if(F.col("targets") > 1).alias("one_to_many_kos"),
-    )
+def ko_degrees(accepted: DataFrame, relations: DataFrame, relationships: tuple[str, ...]) -> DataFrame:
+    """Distinct targets and raw rows of every accepted KO under each relationship, zero where it has none.
 
-
-def target_degree_distribution(degrees: DataFrame, key: str = "dataset_id") -> DataFrame:
-    return degrees.filter("targets > 0").groupBy(key, F.col("targets").alias("target_count")).agg(
-        F.count("*").alias("ko_count"))
+    The relations are read once for all relationships, reduced to one row per KO with a pair of columns for
+    each (``targets_i``, ``rows_i``), and joined once.
+    """
+    kept = relations.filter(F.col("relationship").isin(*relationships))
+    target = F.coalesce(*[F.when(F.col("relationship") == name, NORMALIZERS.get(name, plain_target)(F.col("target_id"))) for name in relationships])
+    edges = kept.select("relationship", I.normalize_ko(I.last_part(F.col("source_id"))).alias("ko_id"), target.alias("target")).filter(
+        "ko_id is not null and target is not null").groupBy("relationship", "ko_id", "target").agg(F.count("*").alias("rows"))
+    mine = [F.col("relationship") == name for name in relationships]
+    degrees = edges.groupBy("ko_id").agg(
+        *[F.count_if(m).alias(f"targets_{i}") for i, m in enumerate(mine)], *[F.sum(F.when(m, F.col("rows")).otherwise(0)).alias(f"rows_{i}") for i, m in enumerate(mine)])
+    return accepted.join(degrees, "ko_id", "left").na.fill(0, [c for c in degrees.columns if c != "ko_id"])
+
+
+def mapping_yield(degrees: DataFrame, relationships: tuple[str, ...], key: str = "dataset_id") -> DataFrame:
+    """One row per set and relationship, from one aggregate over the accepted KOs."""
+    parts = []
+    for i, _ in enumerate(relationships):
+        targets, rows = F.col(f"targets_{i}"), F.col(f"rows_{i}")
+        parts.append(F.struct(F.count_if(targets > 0).alias("mapped_kos"), F.sum(rows).alias("raw_relation_rows"), F.sum(targets).alias("unique_relations"),
+                              F.count_if(targets > 1).alias("one_to_many_kos")).alias(f"part_{i}"))
+    wide = degrees.groupBy(key).agg(F.count("*").alias("selected_kos"), *parts)
+    rows = F.array(*[F.struct(
+        F.lit(name).alias("relationship"), *[F.col(f"part_{i}.{c}").alias(c) for c in ("mapped_kos", "raw_relation_rows", "unique_relations", "one_to_many_kos")])
+        for i, name in enumerate(relationships)])
+    return wide.select(key, "selected_kos", F.inline(rows)).select(
+        "relationship", key, "selected_kos", "mapped_kos", (F.col("selected_kos") - F.col("mapped_kos")).alias("unmapped_kos"),
+        F.try_divide("mapped_kos", "selected_kos").alias("mapping_yield"), "raw_relation_rows", "unique_relations", "one_to_many_kos")
+
+
+def target_degree_distribution(degrees: DataFrame, relationships: tuple[str, ...], key: str = "dataset_id") -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(name).alias("relationship"), F.col(f"targets_{i}").alias("target_count")) for i, name in enumerate(relationships)])
+    return degrees.select(key, F.inline(rows)).filter("target_count > 0").groupBy("relationship", key, "target_count").agg(F.count("*").alias("ko_count"))
 
 
 def accepted_without_relation(accepted: DataFrame, relations: DataFrame, relationships: tuple[str, ...]) -> DataFrame:

@@ -19,11 +19,10 @@ def audit_annotation(records: DataFrame, relations: DataFrame, sources: DataFram
     relations = cut_lineage(relations.filter(F.col("relationship").isin(*audited)))
     parts = [accepted.groupBy("dataset_id").agg(F.count("*").alias("n")).select(
         F.lit("evidence").alias("section"), "dataset_id", F.lit("accepted_unique_kos").alias("item"), "n")]
-    for name in audited:
-        measured = R.mapping_yield(R.ko_degrees(accepted, R.normalized_relations(relations, name)))
-        parts.append(measured.selectExpr(
-            "'mapping' as section", "dataset_id",
-            f"stack(2, '{name}:mapped', mapped_kos, '{name}:unmapped', unmapped_kos) as (item, n)"))
+    measured = R.mapping_yield(R.ko_degrees(accepted, relations, audited), audited)
+    parts.append(measured.selectExpr(
+        "'mapping' as section", "dataset_id",
+        "stack(2, concat(relationship, ':mapped'), mapped_kos, concat(relationship, ':unmapped'), unmapped_kos) as (item, n)"))
     parts.append(A.source_warnings(sources).selectExpr("'warning' as section", "dataset_id", "code as item", "affected as n"))
     without = R.accepted_without_relation(accepted, relations, audited)
     parts.append(without.groupBy("dataset_id").agg(F.count("*").alias("n")).select(

@@ -103,16 +103,14 @@ SELECT relationship, dataset_id, count(*) AS selected_kos, count(*) FILTER (WHER
 def mapping_yield(spark, sf):
     data = Inputs(spark, sf)
     accepted = data.accepted("dataset_id")
-    return union(*[R.mapping_yield(R.ko_degrees(accepted, R.normalized_relations(data.view("v_relations"), name))).withColumn(
-        "relationship", F.lit(name)) for name in AUDITED])
+    return R.mapping_yield(R.ko_degrees(accepted, data.view("v_relations"), AUDITED), AUDITED)
 
 
 @query("target_degree_distribution", "SELECT relationship, dataset_id, targets AS target_count, count(*) AS ko_count FROM v_degrees WHERE targets > 0 GROUP BY ALL", {"v_degrees": _DEGREES})
 def target_degree_distribution(spark, sf):
     data = Inputs(spark, sf)
     accepted = data.accepted("dataset_id")
-    return union(*[R.target_degree_distribution(R.ko_degrees(accepted, R.normalized_relations(data.view("v_relations"), name))).withColumn(
-        "relationship", F.lit(name)) for name in AUDITED])
+    return R.target_degree_distribution(R.ko_degrees(accepted, data.view("v_relations"), AUDITED), AUDITED)
 
 
 @query("accepted_without_relation", """
