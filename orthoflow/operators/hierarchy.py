@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.functions.staging import computed
 from orthoflow.functions.text import strip
+from orthoflow.session import cut_lineage
 
 # Data lines, ids that look official.
 DATA_LINE = r"^[A-Z]"
@@ -69,8 +70,9 @@ def hierarchy_paths(nodes: DataFrame, levels: int | None = None, chunk: int = PA
     larger than a task should hold, so each chunk of lines finds its own ancestors and takes the ones
     from earlier chunks out of a table with at most one row per chunk and level. Run ``level_gaps``
     first: paths assume that a level grows by at most one. Without ``levels`` the deepest node says how
-    many there are (26 at most, one row to the driver).
+    many there are (26 at most, one row to the driver). The nodes are written once (checkpoint), so the lines are read once.
     """
+    nodes = cut_lineage(nodes)
     if levels is None:
         levels = (nodes.agg(F.max("depth").alias("d")).first()["d"] or 0) + 1
     node = F.struct("depth", "level", "node_id", "name")

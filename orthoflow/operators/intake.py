@@ -8,6 +8,7 @@ source row, never a window over a group of unknown size.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -243,8 +244,11 @@ def detailed_records(parsed: DataFrame, policy: P.Policy = P.POLICIES["marker_th
     )
 
 
-def parse_generic(rows: DataFrame, binding: Binding, policy: P.Policy) -> DataFrame:
-    """Generic table rows to one classified record each; ``skipped`` names the failing field."""
+def parse_generic(rows: DataFrame, binding: Binding, policy: P.Policy, longest_name: int | None = MAX_PROTEIN_NAME_CHARACTERS) -> DataFrame:
+    """Generic table rows to one classified record each; ``skipped`` names the failing field.
+
+    A protein name has at most ``longest_name`` characters (None: any number).
+    """
     require_columns(rows.columns, tuple(binding.columns.values()))
     src = binding.source
     probability = binding.score_type == "probability"
@@ -252,7 +256,7 @@ def parse_generic(rows: DataFrame, binding: Binding, policy: P.Policy) -> DataFr
     protein = blank_to_null(src("protein_name"))
     skipped = (
         F.when(~valid_label(src("sequence_id")), F.lit("sequence_id"))
-        .when(F.length(protein) > MAX_PROTEIN_NAME_CHARACTERS, F.lit("protein_name"))
+        .when(F.length(protein) > longest_name if longest_name is not None else F.lit(False), F.lit("protein_name"))
         .when(~valid_label(sample), F.lit("sample_id"))
     )
 
@@ -463,31 +467,29 @@ def skipped_duplicates(skipped: DataFrame) -> DataFrame:
     return duplicate_records(skipped, ("dataset_id", "evidence"), ("row_number",))
 
 
-def row_counts(parsed: DataFrame, policy: P.Policy = P.POLICIES["marker_threshold"]) -> DataFrame:
-    """Input, skipped and emitted rows and statuses of each dataset in one aggregate over the parsed rows.
-
-    Records are counted where they are exploded; the first record of a row, or its skip, also counts the row.
-    """
-    skipped = parsed.filter("skipped").select("dataset_id", F.lit(None).cast("string").alias("status"), F.lit(True).alias("first"))
-    emitted = detailed_records(parsed, policy).select("dataset_id", "status", (F.col("pos") <= 0).alias("first"))
-    return emitted.unionByName(skipped).groupBy("dataset_id").agg(
-        F.count_if(F.coalesce("first", F.lit(True))).alias("input_rows"), F.count("status").alias("emitted_records"),
+def row_counts(rows: DataFrame, records: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Input, emitted and skipped rows and statuses of each dataset, in one aggregate over all three."""
+    none = F.lit(None).cast("string").alias("status")
+    parts = (rows.select("dataset_id", F.lit("row").alias("part"), none), records.select("dataset_id", F.lit("record").alias("part"), "status"),
+             skipped.select("dataset_id", F.lit("skip").alias("part"), none))
+    return reduce(DataFrame.unionByName, parts).groupBy("dataset_id").agg(
+        F.count_if(F.col("part") == "row").alias("input_rows"), F.count_if(F.col("part") == "record").alias("emitted_records"),
         *[F.count_if(F.col("status") == status).alias(f"{status}_records") for status in P.STATUSES],
-        F.count_if(F.col("status").isNull()).alias("skipped_rows"))
+        F.count_if(F.col("part") == "skip").alias("skipped_rows"))
 
 
-def import_report(parsed: DataFrame, slot: Column, key: tuple[str, ...] = RECORD_KEY) -> DataFrame:
+def import_report(rows: DataFrame, records: DataFrame, skipped: DataFrame, slot: Column,
+                  key: tuple[str, ...] = RECORD_KEY) -> DataFrame:
     """One row per dataset: input, emitted, skipped, duplicate, conflict and status counts.
 
-    ``parsed`` is read several times: give a written (checkpointed) parse.
+    The parts read ``records`` several times: derive them from one checkpointed parse.
     """
-    records, skipped = detailed_records(parsed), parsed.filter("skipped")
     copies = duplicate_groups(records, key).select("dataset_id", "copies").unionByName(
         duplicate_groups(skipped, ("dataset_id", "evidence"), ("row_number",)).select("dataset_id", "copies"))
     duplicates = copies.groupBy("dataset_id").agg(F.sum(F.col("copies") - 1).alias("duplicate_count"))
     conflicts = conflict_keys(records, slot).groupBy("dataset_id").agg(
         F.sum("conflict_records").alias("conflict_count"))
-    report = row_counts(parsed)
+    report = row_counts(rows, records, skipped)
     for part in (duplicates, conflicts):
         report = report.join(part, "dataset_id", "left")
     return report.na.fill(0)

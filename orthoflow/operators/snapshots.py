@@ -43,7 +43,9 @@ def differing_entries(left: DataFrame, right: DataFrame) -> DataFrame:
     bits that do not depend on the order of the fields. Only these leave the tasks, combined by entry.
     """
     used = compared_fields(left)
-    one, two = (F.xxhash64(F.lit(seed), "field", "items") for seed in (1, 2))
+    # A hash passes over nulls, so where they stand is hashed as well.
+    nulls = F.transform("items", lambda x: x.isNull())
+    one, two = (F.xxhash64(F.lit(seed), "field", "items", F.col("items").isNull(), nulls) for seed in (1, 2))
     both = sided(left, right).select(*ENTRY, "is_left", F.when(used, one).alias("one"), F.when(used, F.pmod(two, F.lit(1 << 40))).alias("two"))
 
     def digest(is_left: bool) -> list[Column]:

@@ -13,7 +13,7 @@ ENTRY_SCHEMA = (
 )
 BOX_TYPES = ("rectangle", "roundrectangle")
 MAX_COORDINATE = 1_000_000
-COORDINATE = r"^[0-9]{1,7}$"
+COORDINATE = r"^[0-9]{1,300}$"
 
 
 def read_map_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -27,20 +27,23 @@ def parse_entry_texts(texts: DataFrame) -> DataFrame:
     return texts.select("pathway_id", F.from_xml("entry_xml", ENTRY_SCHEMA).alias("e")).select("pathway_id", "e.*")
 
 
-def _number(col: Column) -> Column:
+def _number(col: Column, largest: int | None) -> Column:
     value = F.when(col.rlike(COORDINATE), col.cast("double"))
-    return F.when(value <= MAX_COORDINATE, value)
+    return value if largest is None else F.when(value <= largest, value)
 
 
-def graphics(entries: DataFrame) -> DataFrame:
-    """One row per usable shape of a KO entry; ``fault`` marks malformed ones."""
+def graphics(entries: DataFrame, largest: int | None = MAX_COORDINATE) -> DataFrame:
+    """One row per usable shape of a KO entry; ``fault`` marks malformed ones.
+
+    A coordinate is at most ``largest`` (None: any whole number).
+    """
     tokens = F.filter(F.split("_name", r"\s+"), lambda t: t.rlike(r"^ko:K[0-9]{5}$"))
     ko_ids = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 4, 6))))
     with_kos = computed(entries, ko_ids=ko_ids).filter("size(ko_ids) > 0").select(
         "pathway_id", F.col("_id").try_cast("int").alias("entry_id"), "ko_ids", F.explode("graphics").alias("g"))
     shapes = with_kos.filter(F.col("g._type").isin("line", *BOX_TYPES)).withColumn(
         "kind", F.when(F.col("g._type") == "line", F.lit("polyline")).otherwise(F.lit("box")))
-    values = F.transform(F.split(F.coalesce("g._coords", F.lit("")), ","), _number)
+    values = F.transform(F.split(F.coalesce("g._coords", F.lit("")), ","), lambda c: _number(c, largest))
     points = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("values") / 2) - 1, F.lit(0)).cast("int")),
                          lambda i: F.struct(F.get("values", i * 2).alias("x"), F.get("values", i * 2 + 1).alias("y")))
     listed = computed(computed(shapes, values=values), points=points)
@@ -48,7 +51,7 @@ def graphics(entries: DataFrame) -> DataFrame:
         p["x"] - F.get("points", i)["x"], p["y"] - F.get("points", i)["y"]))
     length = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + F.coalesce(s, F.lit(0.0)))
     line = F.col("kind") == "polyline"
-    x, y, width, height = (_number(F.col(f"g._{name}")) for name in ("x", "y", "width", "height"))
+    x, y, width, height = (_number(F.col(f"g._{name}"), largest) for name in ("x", "y", "width", "height"))
     staged = computed(listed, x=F.when(~line, x), y=F.when(~line, y), width=F.when(~line, width), height=F.when(~line, height),
                       length=F.when(line, length))
     fault = (
