@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.common import empty_text, materialise, mix, text_chunks, word_hashes, word_spans
@@ -43,8 +43,6 @@ WIDE = 16
 SAMPLE = 1 << 14
 WINDOWS = 1500
 SPANS_OF_ONE = 4
-#: Texts without a match have no base span; the test runs in the JVM before any text goes to Python.
-MAYBE = r"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
 CLIP = 4.0
 BIAS = 2.0  # windows show more secrets than whole texts do: nats against a begin
 TRIM = b"\"'`,;.!?()[]{}<>|"
@@ -269,12 +267,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text().alias("text"))
 
 
+def may_hold_secrets(text: Column) -> Column:
+    """False only for texts without a base span; tested in the JVM before any text goes to Python."""
+    low = F.lower(text)
+    return low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key") | text.contains("AKIA") | text.rlike("[0-9a-f]{24}")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Field:
     """Fit on windows around base spans of all documents and on other windows of ``sample`` documents, ``windows`` of each kind at most."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     plain = _texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
     schema = "kind int, key long, columns binary, tags binary"
-    marked = _texts(docs).filter(F.col("text").rlike(MAYBE)).mapInArrow(lambda batches: _windows(batches, True), schema)
+    marked = _texts(docs).filter(may_hold_secrets(F.col("text"))).mapInArrow(lambda batches: _windows(batches, True), schema)
     others = materialise(plain.mapInArrow(lambda batches: _windows(batches, False), schema))
     rows = []
     for found in (marked, others.filter("kind = 1"), others.filter("kind = 2")):
