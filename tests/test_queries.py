@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = (
     "policy_marker_threshold", "row_diagnostics", "conflicting_assignments", "import_report", "rank_pathways", "pathway_coverage",
     "mapping_yield", "ko_partial_patterns", "hierarchy_paths", "trace_relations", "mapping_status", "snapshot_diff", "scan_flat_file",
-    "module_completion", "export_color",
+    "module_completion", "export_color", "missing_alternatives", "duplicate_records", "resolve_genes", "scan_quoted_records", "search_mass_layout",
 )
 
 
