@@ -34,8 +34,8 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their place in the mix by exact weights: slot, block and place; written in that order."""
-    return mixing.mix_by_weight(docs).orderBy("slot", "place")
+    """All rows with their place in the mix to the sources' weights: slot, block and place; written in that order."""
+    return mixing.mix_sources(docs).orderBy("slot", "place")
 
 
 STAGES = [
