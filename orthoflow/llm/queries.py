@@ -74,38 +74,55 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op8_mix_sources", r"""
-WITH RECURSIVE counts AS (
-  SELECT source AS key, CAST(ceil(count(*) / 8) AS BIGINT) AS b, sqrt(count(*)) AS w FROM documents GROUP BY source),
-parts AS (
-  SELECT key, b, greatest(1, CAST(floor(400 * w / sum(w) OVER () + 0.5) AS BIGINT)) AS p,
-         row_number() OVER (ORDER BY key) - 1 AS s FROM counts),
-sources AS (SELECT *, b // p AS c, b % p AS r FROM parts),
-firsts AS (SELECT DISTINCT unnest([0, c, c + 1]) AS f FROM sources),
-spans AS (SELECT f, lead(f) OVER (ORDER BY f) - f AS cycles FROM firsts),
+WITH RECURSIVE rated AS (
+  SELECT source AS key, CAST(ceil(count(*) / 4) AS HUGEINT) AS b, CAST(floor(sqrt(count(*)) * 1048576 + 0.5) AS HUGEINT) AS w
+  FROM documents GROUP BY source),
+sized AS (SELECT *, w * 400 < sum(w) OVER () AS small FROM rated),
+entries AS (
+  SELECT 1 AS o, key, b, w FROM sized WHERE NOT small
+  UNION ALL SELECT 0, '', sum(b), sum(w) FROM sized WHERE small HAVING count(*) > 0),
+listed AS (
+  SELECT *, sum(b) OVER u + ((sum(w) OVER () - sum(w) OVER u) * b + w - 1) // w AS d, row_number() OVER (ORDER BY o, key) - 1 AS s
+  FROM entries WINDOW u AS (ORDER BY CAST(b AS DOUBLE) / CAST(w AS DOUBLE), o, key)),
+cuts AS (
+  SELECT unnest(range(CAST((total + 399) // 400 AS BIGINT) + 1)) AS c, total FROM (SELECT sum(b) AS total FROM listed)),
+live AS (
+  SELECT c, least(CAST(c AS HUGEINT) * 400, total) AS t, l.*,
+         sum(CASE WHEN d <= least(CAST(c AS HUGEINT) * 400, total) THEN b ELSE 0 END) OVER (PARTITION BY c) AS gone,
+         greatest(sum(CASE WHEN d <= least(CAST(c AS HUGEINT) * 400, total) THEN 0 ELSE w END) OVER (PARTITION BY c), 1) AS live
+  FROM cuts, listed l),
+targets AS (
+  SELECT c, o, key, s, live, CASE WHEN d <= t THEN b ELSE w * (t - gone) // live END AS whole,
+         CASE WHEN d <= t THEN 0 ELSE w * (t - gone) % live END AS rest FROM live),
+ends AS (
+  SELECT c, o, key, s, whole + (2 * sum(rest) OVER p + live) // (2 * live) - (2 * (sum(rest) OVER p - rest) + live) // (2 * live) AS n
+  FROM targets WINDOW p AS (PARTITION BY c ORDER BY s)),
 quotas AS (
-  SELECT f, cycles, list(CASE WHEN f < c THEN p WHEN f = c THEN r ELSE 0 END ORDER BY s) AS q
-  FROM spans, sources WHERE cycles IS NOT NULL GROUP BY f, cycles),
-kinds AS (SELECT f, cycles, q, CAST(list_sum(q) AS BIGINT) AS size, len(q) AS n FROM quotas WHERE list_sum(q) > 0),
-starts AS (
-  SELECT *, CAST(coalesce(sum(cycles * size) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM kinds),
-edf(f, q, size, n, t, taken, s) AS (
-  SELECT f, q, size, n, CAST(-1 AS BIGINT), list_transform(q, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM starts
+  SELECT a.c, a.o, a.key, CAST(a.n AS BIGINT) AS first, CAST(z.n - a.n AS BIGINT) AS q,
+         row_number() OVER (PARTITION BY a.c ORDER BY a.s) - 1 AS k
+  FROM ends a JOIN ends z ON z.c = a.c + 1 AND z.s = a.s WHERE z.n > a.n),
+cycles AS (SELECT c, list(q ORDER BY k) AS q, CAST(sum(q) AS BIGINT) AS size, count(*) AS n FROM quotas GROUP BY c),
+edf(c, q, size, n, t, taken, k) AS (
+  SELECT c, q, size, n, CAST(-1 AS BIGINT), list_transform(q, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM cycles
   UNION ALL
-  SELECT f, q, size, n, t, list_transform(range(n), lambda k: taken[k + 1] + CASE WHEN k = s THEN 1 ELSE 0 END), s
-  FROM (SELECT f, q, size, n, t + 1 AS t, taken, list_min(list_transform(range(n), lambda k:
-          CASE WHEN taken[k + 1] < q[k + 1] AND taken[k + 1] * size // greatest(q[k + 1], 1) <= t + 1
-               THEN ((taken[k + 1] + 1) * size + q[k + 1] - 1) // greatest(q[k + 1], 1) * n + k END)) % n AS s
+  SELECT c, q, size, n, t, list_transform(range(n), lambda j: taken[j + 1] + CASE WHEN j = k THEN 1 ELSE 0 END), k
+  FROM (SELECT c, q, size, n, t + 1 AS t, taken, list_min(list_transform(range(n), lambda j:
+          CASE WHEN taken[j + 1] < q[j + 1] AND taken[j + 1] * size // q[j + 1] <= t + 1
+               THEN ((taken[j + 1] + 1) * size + q[j + 1] - 1) // q[j + 1] * n + j END)) % n AS k
         FROM edf WHERE t + 1 < size)),
-turns AS (SELECT f, s, t, row_number() OVER (PARTITION BY f, s ORDER BY t) - 1 AS turn FROM edf WHERE s IS NOT NULL),
+turns AS (
+  SELECT o, key, first + row_number() OVER (PARTITION BY e.c, e.k ORDER BY t) - 1 AS block, 400 * e.c + t AS slot
+  FROM edf e JOIN quotas u ON u.c = e.c AND u.k = e.k),
+pool AS (
+  SELECT key, block, row_number() OVER (ORDER BY CAST(2 * block + 1 AS DOUBLE) / CAST(w AS DOUBLE), key, block) - 1 AS turn
+  FROM (SELECT key, w, unnest(range(CAST(b AS BIGINT))) AS block FROM sized WHERE small)),
+slots AS (
+  SELECT key, block, slot FROM turns WHERE o = 1
+  UNION ALL SELECT p.key, p.block, t.slot FROM pool p JOIN turns t ON t.o = 0 AND t.block = p.turn),
 ranked AS (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents),
-blocks AS (
-  SELECT d.doc_id, d.source, d.k // 8 AS block, d.k % 8 AS place, x.s, x.p, least(d.k // 8 // x.p, x.c) AS cycle
-  FROM ranked d JOIN sources x ON d.source = x.key),
-cycles AS (SELECT *, block - cycle * p AS turn FROM blocks)
-SELECT c.doc_id, c.source, st.start + (c.cycle - st.f) * st.size + t.t AS slot, c.block, c.place
-FROM cycles c JOIN starts st ON c.cycle >= st.f AND c.cycle < st.f + st.cycles
-JOIN turns t ON t.f = st.f AND t.s = c.s AND t.turn = c.turn
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents)
+SELECT d.doc_id, d.source, CAST(s.slot AS BIGINT) AS slot, CAST(s.block AS BIGINT) AS block, d.k % 4 AS place
+FROM ranked d JOIN slots s ON s.key = d.source AND s.block = d.k // 4
 """)
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, folder, "documents", "doc_id", "source"))
