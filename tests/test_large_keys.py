@@ -14,6 +14,7 @@ QUERIES_HERE = (
     "export_color",
     "export_manifest",
     "export_violations",
+    "first_path_only",
 )
 
 
