@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orthoflow.functions import entries as E
+from orthoflow.functions.identifiers import RESERVED_ORGANISM_PREFIXES
 from orthoflow.operators import cards as C
 from orthoflow.sources import flatfile as S
 from orthoflow.workload.registry import query
@@ -193,8 +194,12 @@ def entry_preview(spark, sf):
     return C.entry_previews(entries_of(Inputs(spark, sf)), 40, "position").drop("identifier")
 
 
+#: Prefixes that are no organism codes.
+_RESERVED = ", ".join(f"'{prefix}'" for prefix in RESERVED_ORGANISM_PREFIXES)
+
+
 @query("organism_code_from_text", f"""
-SELECT c_custkey, {letters('c_custkey')} AS code FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_mktsegment = 'BUILDING'""")
+SELECT c_custkey, CASE WHEN {letters('c_custkey')} NOT IN ({_RESERVED}) THEN {letters('c_custkey')} END AS code FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def organism_code_from_text(spark, sf):
     text = Inputs(spark, sf).table("customer").selectExpr(
         "c_custkey", f"case when c_mktsegment = 'BUILDING' then c_name || ' text' else '  ' || {letters('c_custkey')} || '; ' || c_name end as matched")

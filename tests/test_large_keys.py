@@ -15,6 +15,7 @@ QUERIES_HERE = (
     "export_manifest",
     "export_violations",
     "first_path_only",
+    "organism_code_from_text",
 )
 
 
