@@ -16,6 +16,7 @@ QUERIES_HERE = (
     "export_violations",
     "first_path_only",
     "organism_code_from_text",
+    "match_entry_alias",
 )
 
 
