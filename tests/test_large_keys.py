@@ -17,6 +17,7 @@ QUERIES_HERE = (
     "first_path_only",
     "organism_code_from_text",
     "match_entry_alias",
+    "resolve_organisms",
 )
 
 
