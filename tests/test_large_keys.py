@@ -18,6 +18,7 @@ QUERIES_HERE = (
     "organism_code_from_text",
     "match_entry_alias",
     "resolve_organisms",
+    "select_bundle",
 )
 
 
