@@ -85,6 +85,12 @@ def array_added_removed(left: Column, right: Column) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(r, l)), F.array_sort(F.array_except(l, r))
 
 
+def merged_fields(fields: DataFrame) -> DataFrame:
+    """One row per entry and field: the distinct lists of its cards, sorted and joined; NULL where none has a list."""
+    joined = F.flatten(F.array_sort(F.collect_set("items")))
+    return fields.groupBy(*ENTRY, "field").agg(F.when(F.count("items") > 0, joined).alias("items"))
+
+
 def snapshot_diff(left: DataFrame, right: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS,
                   parser_compatible: bool = True, scopes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Changes between two long card tables (database, identifier, field, items).
@@ -94,6 +100,7 @@ def snapshot_diff(left: DataFrame, right: DataFrame, dimensions: tuple[str, ...]
     side, snapshots of different scopes are refused.
 
     Entries are compared by digests first (one scan a side); the items of entries that differ are read in a second one.
+    A field that several cards of one entry hold counts once, with their distinct lists joined in order.
     """
     if scopes is not None:
         check_scopes(*scopes)
@@ -105,7 +112,7 @@ def snapshot_diff(left: DataFrame, right: DataFrame, dimensions: tuple[str, ...]
     if not parser_compatible:
         return membership
     changed = differing.filter("in_left AND in_right").select(*ENTRY)
-    l, r = (side.filter(compared_fields(side)).join(changed, ENTRY, "left_semi").withColumnRenamed("items", name)
+    l, r = (merged_fields(side.filter(compared_fields(side)).join(changed, ENTRY, "left_semi")).withColumnRenamed("items", name)
             for side, name in ((left, "left_items"), (right, "right_items")))
     both = l.join(r, [*ENTRY, "field"], "full").filter(~F.col("left_items").eqNullSafe(F.col("right_items")))
     added, removed = array_added_removed(F.col("left_items"), F.col("right_items"))

@@ -19,6 +19,9 @@ QUERIES_HERE = (
     "match_entry_alias",
     "resolve_organisms",
     "select_bundle",
+    "snapshot_diff",
+    "array_added_removed",
+    "snapshot_dimension_counts",
 )
 
 
