@@ -139,9 +139,10 @@ def source_labels(batches: DataFrame) -> DataFrame:
 
 
 def source_summary(entries: DataFrame, missing: DataFrame, batches: DataFrame) -> DataFrame:
-    """Counts and times of each snapshot (all inputs carry ``snapshot_id``); its labels are rows of :func:`source_labels`.
+    """Counts, times and labels of each snapshot (all inputs carry ``snapshot_id``).
 
-    Labels appear here as counts and as the first and last of each kind, so no cell grows with them.
+    Labels of each kind are listed in order, with their number, the first and the last; as rows they are in :func:`source_labels`.
+    An entry of several cards counts once.
     """
     facts = batches.groupBy("snapshot_id").agg(
         F.count("*").alias("batches"), F.count("database_release").alias("labelled_batches"),
@@ -150,13 +151,16 @@ def source_summary(entries: DataFrame, missing: DataFrame, batches: DataFrame) -
         F.count_if("is_stale").alias("stale_batches"),
         F.min("retrieved_at").alias("first_retrieved"), F.max("retrieved_at").alias("last_retrieved"))
     labels = source_labels(batches).groupBy("snapshot_id").agg(*[
-        made for kind, plural in (("endpoint_class", "endpoint_classes"), ("endpoint_label", "endpoint_labels"), ("database_release", "releases"))
+        made for kind, plural, number in (
+            ("endpoint_class", "endpoint_classes", "endpoint_class_count"), ("endpoint_label", "endpoint_labels", "endpoint_label_count"),
+            ("database_release", "releases", "release_count"))
         for mine in (F.when(F.col("kind") == kind, F.col("label")),)
-        for made in (F.count(mine).alias(plural), F.min(mine).alias(f"first_{kind}"), F.max(mine).alias(f"last_{kind}"))])
+        for made in (F.nullif(F.sort_array(F.collect_list(mine)), F.array().cast("array<string>")).alias(plural), F.count(mine).alias(number),
+                     F.min(mine).alias(f"first_{kind}"), F.max(mine).alias(f"last_{kind}"))])
     entry_counts = entries.select("snapshot_id", *ENTRY).distinct().groupBy("snapshot_id").agg(F.count("*").alias("entries"))
     missing_counts = missing.groupBy("snapshot_id").agg(F.count("*").alias("missing_entries"))
     return facts.join(labels, "snapshot_id", "left").join(entry_counts, "snapshot_id", "left").join(missing_counts, "snapshot_id", "left").na.fill(
-        0, ["entries", "missing_entries", "endpoint_classes", "endpoint_labels", "releases"])
+        0, ["entries", "missing_entries", "endpoint_class_count", "endpoint_label_count", "release_count"])
 
 
 def release_status(batches: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ QUERIES_HERE = (
     "snapshot_diff",
     "array_added_removed",
     "snapshot_dimension_counts",
+    "snapshot_source_summary",
 )
 
 
