@@ -304,14 +304,16 @@ def rejected_kos(spark, sf):
     return E.rejected_kos(Inputs(spark, sf).records(), "sample_id")
 
 
-_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY row_number, pos) AS no FROM v_assign"
+# On large tables two source rows may have one row number: their records are told apart by sample, sequence and label.
+_RECORD_ORDER = ("row_number", "pos", "sample_id", "sequence_id", "raw_ko")
+_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {', '.join(_RECORD_ORDER)}) AS no FROM v_assign"
 
 
 @query("records_by_ko", """
 SELECT dataset_id, ko_id, CAST((no - 1) // 65536 AS BIGINT) AS list_no, string_agg(CAST(no AS VARCHAR), ';' ORDER BY no) AS record_nos, count(*) AS n
 FROM v_numbered WHERE ko_id IS NOT NULL GROUP BY 1, 2, 3""", {"v_numbered": _NUMBERED})
 def records_by_ko(spark, sf):
-    return E.records_by_ko(K.number_records(Inputs(spark, sf).records())).withColumn(
+    return E.records_by_ko(K.number_records(Inputs(spark, sf).records(), _RECORD_ORDER)).withColumn(
         "record_nos", F.array_join(F.col("record_nos").cast("array<string>"), ";"))
 
 
@@ -319,7 +321,7 @@ def records_by_ko(spark, sf):
 SELECT dataset_id, sample_id, sequence_id, CAST((no - 1) // 65536 AS BIGINT) AS list_no, string_agg(CAST(no AS VARCHAR), ';' ORDER BY no) AS record_nos, count(*) AS n
 FROM v_numbered GROUP BY 1, 2, 3, 4""", {"v_numbered": _NUMBERED})
 def records_by_sequence(spark, sf):
-    return E.records_by_sequence(K.number_records(Inputs(spark, sf).records())).withColumn(
+    return E.records_by_sequence(K.number_records(Inputs(spark, sf).records(), _RECORD_ORDER)).withColumn(
         "record_nos", F.array_join(F.col("record_nos").cast("array<string>"), ";"))
 
 

@@ -23,6 +23,8 @@ QUERIES_HERE = (
     "array_added_removed",
     "snapshot_dimension_counts",
     "snapshot_source_summary",
+    "records_by_ko",
+    "records_by_sequence",
 )
 
 
