@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orthoflow.functions.staging import bound
 from orthoflow.functions.text import strip, unique_items
 
 # Patterns inside entry text, fields each kind reads.
@@ -46,7 +47,7 @@ def field_lines(name: str, fields: Column | None = None) -> Column:
 
 def joined_field(name: str) -> Column:
     """Lines of a field joined by one space; NULL when there are none."""
-    return F.nullif(F.array_join(field_lines(name), " "), F.lit(""))
+    return bound(F.array_join(field_lines(name), " "), lambda text: F.nullif(text, F.lit("")))
 
 
 def names() -> Column:
@@ -64,16 +65,22 @@ def references(name: str, pattern: str) -> Column:
 
     A label is kept only for a line with exactly one id; the first occurrence of an id wins.
     """
-    def of_line(line: Column) -> Column:
-        tokens = F.filter(F.split(line, r"[\s,;+]+"), lambda t: t != "")
-        first_bad = F.array_position(F.transform(tokens, lambda t: ~t.rlike(pattern)), True)
-        ids = F.when(first_bad == 0, tokens).otherwise(F.slice(tokens, 1, F.greatest(first_bad - 1, F.lit(0)).cast("int")))
-        label = F.when(F.size(ids) == 1, F.nullif(strip(F.substr(line, F.length(ids[0]) + 1)), F.lit("")))
-        return F.transform(ids, lambda i: F.struct(i.alias("identifier"), label.alias("label")))
-
-    found = F.flatten(F.transform(field_lines(name), of_line))
-    identifiers = F.transform(found, lambda r: r["identifier"])
-    return F.filter(found, lambda r, i: F.array_position(identifiers, r["identifier"]) == i + 1)
+    def of_line(line: Column, tokens: Column) -> Column:
+        def upto(first_bad: Column) -> Column:
+            return F.when(first_bad == 0, tokens).otherwise(F.slice(tokens, 1, F.greatest(first_bad - 1, F.lit(0)).cast("int")))
+
+        def labelled(ids: Column) -> Column:
+            label = F.when(F.size(ids) == 1, bound(strip(F.substr(line, F.length(ids[0]) + 1)), lambda t: F.nullif(t, F.lit(""))))
+            return F.transform(ids, lambda i: F.struct(i.alias("identifier"), label.alias("label")))
+
+        return bound(bound(F.array_position(F.transform(tokens, lambda t: ~t.rlike(pattern)), True), upto), labelled)
+
+    def first_seen(found: Column) -> Column:
+        return bound(identifiers(found), lambda ids: F.filter(found, lambda r, i: F.array_position(ids, r["identifier"]) == i + 1))
+
+    cut = F.transform(field_lines(name), lambda line: F.struct(
+        line.alias("line"), F.filter(F.split(line, r"[\s,;+]+"), lambda t: t != "").alias("tokens")))
+    return bound(F.flatten(F.transform(cut, lambda c: of_line(c["line"], c["tokens"]))), first_seen)
 
 
 def identifiers(refs: Column) -> Column:
