@@ -94,10 +94,9 @@ UNION ALL SELECT position, 'PATHWAY', 'ko' || {digits('p_size + 1')}, 'Next' FRO
 UNION ALL SELECT position, 'REACTION', 'R' || {P}, NULL FROM v_flat_text UNION ALL SELECT position, 'REACTION', 'R' || {NEXT}, NULL FROM v_flat_text
 UNION ALL SELECT position, 'ORTHOLOGY', {ko('p_partkey')}, 'first [EC:1.1.1.1]' FROM v_flat_text""")
 def reference_list(spark, sf):
-    entries = entries_of(Inputs(spark, sf))
-    parts = [entries.select("position", F.lit(name).alias("field"), F.inline(E.references(name, pattern))) for name, pattern in (
-        ("PATHWAY", E.PATHWAY_REFERENCE), ("REACTION", C.REACTION), ("ORTHOLOGY", C.KO))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [F.transform(E.references(name, pattern), lambda r: F.struct(F.lit(name).alias("field"), r["identifier"].alias("identifier"), r["label"].alias("label")))
+             for name, pattern in (("PATHWAY", E.PATHWAY_REFERENCE), ("REACTION", C.REACTION), ("ORTHOLOGY", C.KO))]
+    return entries_of(Inputs(spark, sf)).select("position", F.inline(F.concat(*parts)))
 
 
 @query("cross_references", f"SELECT position, {DBLINKS} AS dblinks FROM v_flat_text")

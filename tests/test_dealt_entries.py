@@ -22,6 +22,10 @@ def as_split(spark):
     spark.conf.set(SPREAD_SETTING, spread)
 
 
+def scans(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+
+
 def test_entries_of_one_split_are_dealt_to_all_cores(as_split):
     entries = Inputs(as_split, SMALL).view("v_flat_text")
     assert entries.rdd.getNumPartitions() == PARTS_PER_CORE * as_split.sparkContext.defaultParallelism
@@ -41,3 +45,8 @@ def test_references_keep_the_first_label_and_stop_at_a_bad_token(spark):
     fields = F.array(F.struct(F.lit("ORTHOLOGY").alias("name"), F.lit(0).alias("indent"), F.array(*map(F.lit, lines)).alias("lines")))
     row = spark.range(1).select(fields.alias("fields")).select(E.references("ORTHOLOGY", C.KO).alias("r")).first()
     assert [tuple(r) for r in row["r"]] == [("K00001", "first"), ("K00002", None), ("K00003", None), ("K00004", "x K00005"), ("K00006", None)]
+
+
+@pytest.mark.parametrize("name", ["reference_list"])
+def test_the_table_is_read_once(as_split, name):
+    assert scans(QUERIES[name](as_split, SMALL)) == 1
