@@ -156,11 +156,16 @@ def card_relationships(cards: DataFrame) -> DataFrame:
 
 
 def literature_summary(cards: DataFrame) -> DataFrame:
-    """Entries, entries with literature and distinct literature ids."""
-    entries = cards.agg(F.count("*").alias("entries"), F.count_if(F.size("pubmed_ids") > 0).alias("referenced_entries"))
-    ids = cards.select(F.explode("pubmed_ids").alias("id")).distinct().agg(F.count("*").alias("pubmed_ids"))
-    one = F.lit(1).alias("one")
-    return entries.select("*", one).join(F.broadcast(ids.select("*", one)), "one").drop("one")
+    """Entries, entries with literature and distinct literature ids, in one pass over the cards.
+
+    A card is one row without an id and one row per id; the counts come from the group without an id.
+    """
+    none = F.array(F.lit(None).cast("string"))
+    marked = F.concat(none, F.array_compact(F.coalesce("pubmed_ids", F.array().cast("array<string>"))))
+    rows = cards.select(F.explode(marked).alias("id"), (F.size("pubmed_ids") > 0).alias("has"))
+    ids = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if("has").alias("referenced"))
+    of_cards = lambda name: F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col(name))), F.lit(0))
+    return ids.agg(of_cards("n").alias("entries"), of_cards("referenced").alias("referenced_entries"), F.count("id").alias("pubmed_ids"))
 
 
 def entry_previews(entries: DataFrame, limit: int, *keys: str) -> DataFrame:

@@ -40,6 +40,11 @@ def test_references_cut_each_line_once():
     assert str(E.references("PATHWAY", E.PATHWAY_REFERENCE)).count("split(") == 1
 
 
+@pytest.mark.parametrize("name", ["reference_list", "literature_summary"])
+def test_the_table_is_read_once(as_split, name):
+    assert scans(QUERIES[name](as_split, SMALL)) == 1
+
+
 def test_references_keep_the_first_label_and_stop_at_a_bad_token(spark):
     lines = ["K00001  first", "K00001  again", "K00002 K00003", "K00004 x K00005", "no id", "K00006"]
     fields = F.array(F.struct(F.lit("ORTHOLOGY").alias("name"), F.lit(0).alias("indent"), F.array(*map(F.lit, lines)).alias("lines")))
@@ -47,6 +52,7 @@ def test_references_keep_the_first_label_and_stop_at_a_bad_token(spark):
     assert [tuple(r) for r in row["r"]] == [("K00001", "first"), ("K00002", None), ("K00003", None), ("K00004", "x K00005"), ("K00006", None)]
 
 
-@pytest.mark.parametrize("name", ["reference_list"])
-def test_the_table_is_read_once(as_split, name):
-    assert scans(QUERIES[name](as_split, SMALL)) == 1
+def test_literature_of_cards_without_ids(spark):
+    cards = spark.createDataFrame([(["1", "2"],), (["2"],), ([],), (None,)], "pubmed_ids array<string>")
+    assert tuple(C.literature_summary(cards).first()) == (4, 2, 2)
+    assert tuple(C.literature_summary(cards.limit(0)).first()) == (0, 0, 0)
