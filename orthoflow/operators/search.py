@@ -48,7 +48,8 @@ def write_postings(entries: DataFrame, path: str) -> None:
     rows = entries.select("database", F.explode(grams_of(F.lower("text"))).alias("gram"), "identifier").distinct()
     order = ["gram", "database", "identifier"]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-    counts = rows.groupBy("database", "gram").agg(F.count("*").alias("n"))
+    written = entries.sparkSession.read.parquet(f"{path}/postings")  # distinct rows in the order of grams: not formed again
+    counts = written.groupBy("database", "gram").agg(F.count("*").alias("n"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
 
 
