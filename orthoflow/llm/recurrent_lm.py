@@ -30,6 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,13 +123,6 @@ class Vocabulary:
 
 # ---- the network ----------------------------------------------------------------------------------
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):  # exp may reach infinity: the value is 0 then
-        x = np.exp(-x)
-    x += 1
-    return np.divide(1, x, out=x)
-
-
 class Network:
     """A GRU with class-factored output. All weights live in one vector so that they can be averaged."""
 
@@ -136,7 +130,7 @@ class Network:
     def shapes(classes: int) -> dict[str, tuple]:
         return {
             "table": (classes * CLASS_SIZE + 1, 3 * STATE), "u": (STATE, 3 * STATE), "bias": (3 * STATE,),
-            "class_w": (STATE, classes + 1), "class_b": (classes + 1,), "word_w": (classes, STATE, CLASS_SIZE), "word_b": (classes, CLASS_SIZE)}
+            "class_w": (STATE + 1, classes + 1), "word_w": (classes, STATE + 1, CLASS_SIZE)}  # the last row of both is the bias
 
     def __init__(self, vector: np.ndarray, classes: int):
         self.vector, self.classes, at = vector, classes, 0
@@ -157,47 +151,54 @@ class Network:
         random = np.random.default_rng(seed)
         net.table[:] = random.normal(0, 0.3, net.table.shape)
         net.u[:] = random.normal(0, 1 / math.sqrt(STATE), net.u.shape)
-        net.class_w[:] = random.normal(0, 0.05, net.class_w.shape)
-        net.word_w[:] = random.normal(0, 0.05, net.word_w.shape)
+        net.class_w[:STATE] = random.normal(0, 0.05, (STATE, classes + 1))
+        net.word_w[:, :STATE] = random.normal(0, 0.05, (classes, STATE, CLASS_SIZE))
         own = np.full(named, SMOOTH)
         own[0] += vocabulary.ends
         listed = vocabulary.counts[:named - 1]
         own[1:len(listed) + 1] += listed
         groups = own.reshape(classes, CLASS_SIZE)
-        net.word_b[:] = np.log(groups / groups.sum(axis=1, keepdims=True))
+        net.word_w[:, STATE] = np.log(groups / groups.sum(axis=1, keepdims=True))
         rest = max(vocabulary.total - own.sum(), 0) + SMOOTH
         shares = np.append(groups.sum(axis=1), rest)
-        net.class_b[:] = np.log(shares / shares.sum())
+        net.class_w[STATE] = np.log(shares / shares.sum())
         return net
 
-    def run(self, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step of a window (steps x lanes); ``keep`` is 0 where a document starts."""
+    def run(self, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each step of a window (steps x lanes); ``keep`` is 0 where a document starts.
+
+        ``tape`` takes the states before each step, the two gates, the new parts and their recurrent inputs.
+        """
         s, states = STATE, np.empty((len(tokens), len(h), STATE), np.float32)
-        table, resets = self.table + self.bias, np.flatnonzero((keep == 0).any(axis=1)).tolist()
-        resets = set(resets)
-        for t in range(len(tokens)):
-            if t in resets:
-                h = h * keep[t][:, None]
-            x = table.take(tokens[t], axis=0)
-            a = h @ self.u
-            gates = _sigmoid(x[:, :2 * s] + a[:, :2 * s])
-            z, r = gates[:, :s], gates[:, s:]
-            n = r * a[:, 2 * s:]
-            n += x[:, 2 * s:]
-            np.tanh(n, out=n)
-            new = h - n
-            new *= z
-            new += n
-            if tape is not None:
-                tape.append((h, z, r, n, a[:, 2 * s:]))
-            states[t] = h = new
-        return states, h
+        table, resets = self.table + self.bias, set(np.flatnonzero((keep == 0).any(axis=1)).tolist())
+        a, gates, n = np.empty((len(h), 3 * s), np.float32), np.empty((len(h), 2 * s), np.float32), np.empty((len(h), s), np.float32)
+        with np.errstate(over="ignore"):  # exp may reach infinity: the gate is 0 then
+            for t in range(len(tokens)):
+                if t in resets:
+                    h = h * keep[t][:, None]
+                if tape is not None:
+                    before, all_gates, all_n, all_a = tape
+                    before[t], gates, n, a = h, all_gates[t], all_n[t], all_a[t]
+                x = table.take(tokens[t], axis=0)
+                np.matmul(h, self.u, out=a)
+                np.add(x[:, :2 * s], a[:, :2 * s], out=gates)
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.divide(1, gates, out=gates)
+                np.multiply(gates[:, s:], a[:, 2 * s:], out=n)
+                n += x[:, 2 * s:]
+                np.tanh(n, out=n)
+                new = np.subtract(h, n, out=states[t])
+                new *= gates[:, :s]
+                new += n
+                h = new
+        return states, h.copy()
 
     @staticmethod
-    def _softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, target: np.ndarray, scale: float | None):
+    def _softmax(w: np.ndarray, h: np.ndarray, target: np.ndarray, scale: float | None):
         """(log probability of each target, its gradient by the logits times ``scale``); one column per token."""
         e = w.T @ h
-        e += b[:, None]
         place = np.arange(len(target))
         chosen = e[target, place]
         np.minimum(e, 60, out=e)  # logits are far below; a bound in place of a row maximum
@@ -211,27 +212,26 @@ class Network:
         return out, e
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: Network | None = None, scale: float | None = None):
-        """Natural-log probability of each target; with ``grads`` also adds gradients and returns those of the states."""
+        """Natural-log probability of each target; with ``grads`` also sets the gradients of the output and returns those of the states."""
         group = np.minimum(targets // CLASS_SIZE, self.classes)
         order = np.argsort(group, kind="stable")
-        h, group, targets = np.ascontiguousarray(states[order].T), group[order], targets[order]
-        logs, d = self._softmax(self.class_w, self.class_b, h, group, scale)
+        h, group, targets = np.ones((STATE + 1, len(order)), states.dtype), group[order], targets[order]  # the last row is for the bias
+        h[:STATE] = states[order].T
+        logs, d = self._softmax(self.class_w, h, group, scale)
         back = None
         if grads is not None:
-            grads.class_w += h @ d.T
-            grads.class_b += d.sum(axis=1)
-            back = self.class_w @ d
+            np.matmul(h, d.T, out=grads.class_w)
+            back = self.class_w[:STATE] @ d
         cuts = np.searchsorted(group, np.arange(self.classes + 1))
         for c in range(self.classes):
             a, b = cuts[c], cuts[c + 1]
             if a == b:
                 continue
-            own, d = self._softmax(self.word_w[c], self.word_b[c], h[:, a:b], targets[a:b] - c * CLASS_SIZE, scale)
+            own, d = self._softmax(self.word_w[c], h[:, a:b], targets[a:b] - c * CLASS_SIZE, scale)
             logs[a:b] += own
             if grads is not None:
-                grads.word_w[c] += h[:, a:b] @ d.T
-                grads.word_b[c] += d.sum(axis=1)
-                back[:, a:b] += self.word_w[c] @ d
+                np.matmul(h[:, a:b], d.T, out=grads.word_w[c])
+                back[:, a:b] += self.word_w[c, :STATE] @ d
         out = np.empty(len(order), logs.dtype)
         out[order] = logs
         if grads is None:
@@ -242,7 +242,8 @@ class Network:
 
     def learn(self, tokens: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """One window of truncated backpropagation and an AdaGrad step; returns the state to carry on."""
-        s, tape = STATE, []
+        s, size = STATE, tokens.shape
+        tape = tuple(np.empty((*size, k * s), np.float32) for k in (1, 2, 1, 3))
         states, last = self.run(tokens, keep, h, tape)
         flat = np.flatnonzero(real.ravel())
         if not len(flat):
@@ -252,7 +253,8 @@ class Network:
         d_states = np.zeros((states.shape[0] * states.shape[1], s), states.dtype)
         d_states[flat] = back
         d_states = d_states.reshape(states.shape)
-        before, z, r, n, a_n = (np.stack([x[k] for x in tape]) for k in range(5))
+        before, gates, n, a_n = tape
+        z, r, a_n = gates[..., :s], gates[..., s:], a_n[..., 2 * s:]
         by_n = (1 - z) * (1 - n * n)
         by_z = (before - n) * z * (1 - z)
         by_r = by_n * a_n * r * (1 - r)
@@ -280,8 +282,12 @@ class Network:
         norm = float(np.sqrt(grads.vector @ grads.vector))
         if norm > 1:
             grads.vector /= norm
-        sums += grads.vector ** 2
-        self.vector += RATE * grads.vector / np.sqrt(sums)
+        step = np.square(grads.vector)
+        sums += step
+        np.sqrt(sums, out=step)
+        np.divide(grads.vector, step, out=step)
+        step *= RATE
+        self.vector += step
         return last
 
 
@@ -321,17 +327,18 @@ def packed(tokens: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.ascontiguousarray(x.T) for x in (inputs, targets, keep, doc))
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int]) -> Iterator[tuple[list, list[np.ndarray], list[list[bytes]]]]:
-    """Runs of documents of about BATCH_TOKENS words: (other cells, ids with the end, words); unknown words are -1."""
+def _token_batches(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int], unknown: bool = True) -> Iterator[tuple[list, list[np.ndarray], list[list[bytes]]]]:
+    """Runs of documents of about BATCH_TOKENS words: (other cells, ids, words of no id where asked for); unknown words are -1."""
     cells, ids, words, size = [], [], [], 0
     for batch in batches:
         others = [batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "text"]
         for row, text in enumerate(batch.column("text").cast(pa.binary())):
             own = doc_words(text)
-            found = np.fromiter((lookup.get(w, -1) for w in own), np.int32, len(own))
+            found = np.fromiter(map(lookup.get, own, repeat(-1)), np.int32, len(own))
             cells.append([o[row] for o in others])
             ids.append(found)
-            words.append([own[k] for k in np.flatnonzero(found < 0)])
+            if unknown:
+                words.append([own[k] for k in np.flatnonzero(found < 0).tolist()])
             size += len(own) + 1
             if size >= BATCH_TOKENS:
                 yield cells, ids, words
@@ -351,7 +358,7 @@ def _train(state):
         lookup = {w: i + 1 for i, w in enumerate(words)}
         net, seen = Network(vector.copy(), classes), 0
         sums = np.full(len(vector), 1e-3, np.float32)
-        for _, ids, _ in _token_batches(batches, lookup):
+        for _, ids, _ in _token_batches(batches, lookup, unknown=False):
             inputs, targets, keep, doc = packed([_named(x, classes * CLASS_SIZE) for x in ids], LANES)
             h = np.zeros((inputs.shape[1], STATE), np.float32)
             for a in range(0, len(inputs), STEPS):
