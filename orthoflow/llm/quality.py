@@ -17,6 +17,7 @@ no labels every score is that class's share (0.5 without labels). No rows give n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,19 +84,30 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float =
     return np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, costs: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+class Scaled:
+    """The ratios of each row's columns by its norm, formed at each visit: held for all rows they would take twice the room of the rows."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratio[self.rows[i]] / np.sqrt(max(1, len(self.rows[i])))
+
+
+def dual_descent(rows: list[np.ndarray], values: list[np.ndarray] | Scaled, signs: np.ndarray, costs: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """min |w|^2 / 2 + sum of cost * hinge over the dual, one variable at a time."""
     w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(rows))
-    squares = np.array([v @ v + 1.0 for v in values])
+    squares = np.array([v @ v + 1.0 for v in map(values.__getitem__, range(len(rows)))])
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            gradient = signs[i] * (w[rows[i]] @ values[i] + bias) - 1
+            own = values[i]
+            gradient = signs[i] * (w[rows[i]] @ own + bias) - 1
             new = min(max(alpha[i] - gradient / squares[i], 0.0), costs[i])
             step = (new - alpha[i]) * signs[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * own
                 bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -133,10 +145,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, rounds: i
     own = np.flatnonzero(~place)
     ratio = log_count_ratios([rows[i] for i in own], labels[own])
     train = [rows[i] for i in own]
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in train]
     signs = labels[own] * 2.0 - 1
     balance = np.where(signs > 0, 0.5 / (signs > 0).mean(), 0.5 / (signs < 0).mean())
-    w, bias = dual_descent(train, values, signs, cost * balance, rounds, seed)
+    w, bias = dual_descent(train, Scaled(train, ratio), signs, cost * balance, rounds, seed)
     weights = (w * ratio).astype(np.float32)
     check = np.flatnonzero(place) if place.any() else own
     margins = np.array([weights[rows[i]].sum() / np.sqrt(max(1, len(rows[i]))) + bias for i in check])
@@ -144,9 +155,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, rounds: i
     return Model(weights, bias, slope, offset)
 
 
+def pack(columns: np.ndarray) -> bytes:
+    """Sorted columns as compressed steps, about a third of their size: the driver receives all rows of the fit at once."""
+    return zlib.compress(np.diff(columns, prepend=0).astype(np.int32).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int32), dtype=np.int32)
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [c.astype(np.int32).tobytes() for c in features(batch.column("text"))]
+        columns = [pack(c) for c in features(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(columns, pa.binary())], ["doc_id", "y", "columns"])
 
 
@@ -159,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text().alias("text")).join(F.broadcast(chosen), "doc_id")
     found = texts.select("doc_id", "y", "text").mapInArrow(_columns, "doc_id long, y int, columns binary").collect()  # fit_rows rows
     found.sort(key=lambda r: (mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], r["columns"]))
-    return fit([np.frombuffer(r["columns"], np.int32) for r in found], np.array([r["y"] for r in found], np.int64))
+    return fit([unpack(r["columns"]) for r in found], np.array([r["y"] for r in found], np.int64))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
-from orthoflow.llm import recurrent_lm
+from orthoflow.llm import quality, recurrent_lm
+
+
+def test_columns_reach_the_driver_packed():
+    columns = np.unique(np.random.default_rng(1).integers(0, quality.DIM, 1500))
+    packed = quality.pack(columns)
+    assert len(packed) < 0.6 * 4 * len(columns) and (quality.unpack(packed) == columns).all()
+    assert len(quality.unpack(quality.pack(np.zeros(0, np.int64)))) == 0
+
+
+def test_fit_holds_no_second_copy_of_its_rows():
+    random = np.random.default_rng(2)
+    rows = [np.unique(random.integers(0, quality.DIM, 4000)).astype(np.int32) for _ in range(1000)]
+    labels = np.arange(1000) % 2
+    tracemalloc.start()
+    quality.fit(rows, labels, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(r.nbytes for r in rows)
 
 
 def test_training_lists_no_unknown_words():
