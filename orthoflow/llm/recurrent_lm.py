@@ -30,14 +30,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.common import empty_text, fold_of, materialise
+from orthoflow.llm.common import empty_text, fold_of, materialise, text_chunks
 
 FOLDS = 10
 SMOOTH = 0.1
@@ -52,30 +52,36 @@ ROUNDS = 2
 RATE = 0.08
 HEAD = 1 << 17
 HEAD_BYTES = 64
-FLUSH = 200_000
 PART = 4096
 BATCH_TOKENS = 1 << 22
+SCORE_TOKENS = 1 << 21
+RUN_BYTES = 1 << 21  # text cut into words at once
+COUNT_BYTES = 1 << 23
 
 
-def doc_words(text: pa.Scalar) -> list[bytes]:
-    return text.as_buffer().to_pybytes().lower().split()
+def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of ``texts`` one after the other, where each text's words start and, last, where they end)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    words, cuts = lists.values, np.asarray(lists.offsets)
+    solid = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty piece
+    if not solid.all():
+        words, cuts = words.filter(pa.array(solid)), np.concatenate([[0], np.cumsum(solid)])[cuts]
+    return words.cast(pa.large_binary()), cuts
 
 
-# ---- corpus counts ------------------------------------------------------------------------------
+def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches, of about ``limit`` bytes of text; copied, as Arrow 23 lower-cases a slice of large strings wrongly."""
+    for batch in batches:
+        for row, offsets, _ in text_chunks(batch.column("text"), limit):
+            yield batch.take(pa.array(np.arange(row, row + len(offsets) - 1)))
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
 
-    def flushed():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+# ---- corpus counts ------------------------------------------------------------------------------
 
-    for batch in batches:
-        for text in batch.column("text").cast(pa.binary()):
-            counts.update(doc_words(text))
-            if len(counts) >= FLUSH:
-                yield flushed()
-                counts.clear()
-    yield flushed()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches, COUNT_BYTES):
+        words, n = text_words(run.column("text"))[0].value_counts().flatten()
+        yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), n], ["word", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -314,33 +320,40 @@ def packed(tokens: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
     lengths = np.array([len(t) for t in tokens])
     dealt = lanes_of(lengths, int(min(lanes, max(16, lengths.sum() // lengths.max()))))
     steps = max(sum(len(tokens[d]) for d in lane) for lane in dealt)
-    shape = (len(dealt), steps)
+    shape = (steps, len(dealt))
     inputs, targets, keep, doc = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.ones(shape, np.float32), np.full(shape, -1, np.int32)
     for k, lane in enumerate(dealt):
         at = 0
         for d in lane:
             n = len(tokens[d])
-            targets[k, at:at + n] = tokens[d]
-            inputs[k, at + 1:at + n] = tokens[d][:-1]
-            keep[k, at], doc[k, at:at + n] = 0, d
+            targets[at:at + n, k] = tokens[d]
+            inputs[at + 1:at + n, k] = tokens[d][:-1]
+            keep[at, k], doc[at:at + n, k] = 0, d
             at += n
-    return tuple(np.ascontiguousarray(x.T) for x in (inputs, targets, keep, doc))
+    return inputs, targets, keep, doc
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int], unknown: bool = True) -> Iterator[tuple[list, list[np.ndarray], list[list[bytes]]]]:
-    """Runs of documents of about BATCH_TOKENS words: (other cells, ids, words of no id where asked for); unknown words are -1."""
+def _token_batches(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int], unknown: bool = True,
+                   tokens: int = BATCH_TOKENS) -> Iterator[tuple[list, list[np.ndarray], list[list[bytes]]]]:
+    """Runs of documents of about ``tokens`` words: (other cells, ids, words of no id where asked for); unknown words are -1."""
+    listed, numbers = pa.array(list(lookup), pa.large_binary()), np.array([*lookup.values(), -1], np.int32)
+    del lookup
     cells, ids, words, size = [], [], [], 0
-    for batch in batches:
+    for batch in _runs(batches, RUN_BYTES):
         others = [batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "text"]
-        for row, text in enumerate(batch.column("text").cast(pa.binary())):
-            own = doc_words(text)
-            found = np.fromiter(map(lookup.get, own, repeat(-1)), np.int32, len(own))
+        flat, cuts = text_words(batch.column("text"))
+        found = numbers[pc.fill_null(pc.index_in(flat, listed), -1).to_numpy(zero_copy_only=False)]
+        if unknown:
+            missed = np.flatnonzero(found < 0)
+            rest, ends = flat.take(pa.array(missed)).to_pylist(), np.searchsorted(missed, cuts)
+        for row in range(len(batch)):
+            own = found[cuts[row]:cuts[row + 1]]
             cells.append([o[row] for o in others])
-            ids.append(found)
+            ids.append(own)
             if unknown:
-                words.append([own[k] for k in np.flatnonzero(found < 0).tolist()])
+                words.append(rest[ends[row]:ends[row + 1]])
             size += len(own) + 1
-            if size >= BATCH_TOKENS:
+            if size >= tokens:
                 yield cells, ids, words
                 cells, ids, words, size = [], [], [], 0
     if cells:
@@ -355,10 +368,9 @@ def _named(ids: np.ndarray, named: int) -> np.ndarray:
 def _train(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vector, classes = state.value
-        lookup = {w: i + 1 for i, w in enumerate(words)}
         net, seen = Network(vector.copy(), classes), 0
         sums = np.full(len(vector), 1e-3, np.float32)
-        for _, ids, _ in _token_batches(batches, lookup, unknown=False):
+        for _, ids, _ in _token_batches(batches, {w: i + 1 for i, w in enumerate(words)}, unknown=False):
             inputs, targets, keep, doc = packed([_named(x, classes * CLASS_SIZE) for x in ids], LANES)
             h = np.zeros((inputs.shape[1], STATE), np.float32)
             for a in range(0, len(inputs), STEPS):
@@ -406,11 +418,11 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
 def _score(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, vector = state.value
-        lookup, base, named = vocabulary.lookup(), vocabulary.base(), vocabulary.named()
+        base, named = vocabulary.base(), vocabulary.named()
         net, norm = Network(vector, vocabulary.classes()), vocabulary.rest_norm()
         rest = base + vocabulary.base_norm() - norm  # listed words inside the class of the others
         known = np.concatenate([[vocabulary.ends], vocabulary.counts]) > 0
-        for cells, ids, words in _token_batches(batches, lookup):
+        for cells, ids, words in _token_batches(batches, vocabulary.lookup(), tokens=SCORE_TOKENS):
             inputs, targets, keep, doc = packed([_named(x, named) for x in ids], LANES)
             scores, h = np.zeros(len(ids)), np.zeros((inputs.shape[1], STATE), np.float32)
             for a in range(0, len(inputs), SCORE_STEPS):

@@ -35,3 +35,31 @@ def test_training_lists_no_unknown_words():
     assert [i.tolist() for i in ids] == [[1, 2, -1], [], [2, -1]] and words == []
     (_, _, words), = recurrent_lm._token_batches([batch], lookup)
     assert words == [[b"c"], [], [b"d"]]
+
+
+def test_words_are_cut_in_pieces_of_batches(monkeypatch):
+    """Words are those of bytes.lower().split(), wherever the pieces of a batch begin."""
+    monkeypatch.setattr(recurrent_lm, "RUN_BYTES", 40)
+    texts = ["", " A\tb\x0bC\x0c", "\u00c9t\u00c9 \u2003x \x1c\x85", "\n\n", "One two  THREE", "x" * 90, "\u00d8l Z\r"] * 9
+    wanted = [t.encode().lower().split() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind), pa.array(range(len(texts)))], ["text", "doc_id"])
+        (cells, ids, words), = recurrent_lm._token_batches([batch.slice(2, 50)], {b"b": 1})
+        assert [c for c, in cells] == list(range(2, 52)) and [len(i) for i in ids] == [len(w) for w in wanted[2:52]]
+        assert words == [[x for x in w if x != b"b"] for w in wanted[2:52]]
+        counted: dict = {}
+        for out in recurrent_lm._count(iter([batch.select(["text"])])):
+            for word, n in zip(*(c.to_pylist() for c in out.columns)):
+                counted[word] = counted.get(word, 0) + n
+        assert counted == {w: sum(x.count(w) for x in wanted) for w in {w for x in wanted for w in x}}
+
+
+def test_scoring_holds_less_than_its_lanes_twice():
+    """A task's documents are packed once, and no word is held as an object but the unknown ones."""
+    random = np.random.default_rng(4)
+    tokens = [random.integers(0, 1000, 4000).astype(np.int32) for _ in range(300)]
+    tracemalloc.start()
+    arrays = recurrent_lm.packed(tokens, recurrent_lm.LANES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * sum(a.nbytes for a in arrays)
