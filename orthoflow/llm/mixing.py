@@ -20,7 +20,8 @@ number of slots, however many there are. (With ``block_docs=1`` a piece cannot b
   weights until it is empty; inside it piece i has the virtual time (i + 1/2) / weight. So at most ``parts`` sources
   and the pool are in one row, however many sources there are.
 * No row is left out or repeated. A document's rank in its source comes from counts of small hash ranges plus a rank
-  inside the range, so a source with a third of all rows is spread over 4,096 groups.
+  inside the range, so a source with a third of all rows is spread over 4,096 groups. The slots of a range's pieces are
+  brought to the task that ranked it, so whole rows are shuffled once before they are written in order.
 
 Result: the columns of ``docs`` and ``slot`` (the piece's place in the mix, from 0), ``block`` (the piece's number in
 the source) and ``place`` (the row's place in the piece). Columns of these names are replaced.
@@ -39,6 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orthoflow.llm.common import materialise, unused
+from orthoflow.session import CO_PARTITION_SETTING
 
 BLOCK_DOCS = 8
 PARTS = 400
@@ -228,7 +230,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
     inside = W.partitionBy(key, ranged).orderBy(hashed, F.col("doc_id").asc_nulls_first(), *ties)
     starts = offsets.select(F.col("_key").alias(key), F.col("_range").alias(ranged), F.col("_first").alias(first))
     ranked = rows.withColumn(rank, F.row_number().over(inside) - 1).join(starts, [key, ranged]).withColumn(rank, F.col(rank) + F.col(first))
-    slots = _slots(offsets, ranges.groupBy("_key").agg(F.sum("_n").alias("_n")), weights, parts, piece).select(
-        F.col("_key").alias(key), F.col("_block").alias(block), F.col("_slot").alias(slot))
-    return ranked.withColumn(block, _floor_div(F.col(rank), F.lit(piece))).join(slots, [key, block]).select(
+    slots = _slots(offsets, ranges.groupBy("_key").agg(F.sum("_n").alias("_n")), weights, parts, piece)
+    pieces = F.sequence(_floor_div(F.col("_first"), F.lit(piece)), _floor_div(F.col("_first") + F.col("_n") - 1, F.lit(piece)))
+    held = offsets.select("_key", "_range", F.explode(pieces).alias("_block")).join(slots, ["_key", "_block"]).select(
+        F.col("_key").alias(key), F.col("_range").alias(ranged), F.col("_block").alias(block), F.col("_slot").alias(slot))
+    docs.sparkSession.conf.set(CO_PARTITION_SETTING, "false")  # the rows stay where their range was ranked
+    return ranked.withColumn(block, _floor_div(F.col(rank), F.lit(piece))).join(held.hint("shuffle_hash"), [key, ranged, block]).select(
         *columns, F.col(slot).alias("slot"), F.col(block).alias("block"), (F.col(rank) - F.col(block) * piece).cast("long").alias("place"))

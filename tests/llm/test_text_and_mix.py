@@ -328,3 +328,18 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     for _, run in corpus_pipeline.STAGES:
         empty = run(spark, empty, SMALL)
     assert empty.count() == 0
+
+
+def test_whole_rows_meet_their_slots_where_they_were_ranked(spark):
+    """No exchange between the ranks inside a range and the join with the slots, also where nothing is broadcast."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mix_sources(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        rows = mixed.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join, ranked = plan.index("ShuffledHashJoin"), plan.index("Window [row_number()")
+    assert join < ranked and "Exchange" not in plan[join:ranked]
+    assert sorted(r["doc_id"] for r in rows) == list(range(300)) and len({(r["slot"], r["place"]) for r in rows}) == 300
