@@ -11,7 +11,7 @@ from orthoflow.functions import provenance as V
 from orthoflow.functions import text as T
 from orthoflow.operators import evidence as E
 from orthoflow.operators import intake as K
-from orthoflow.session import cut_lineage
+from orthoflow.session import written
 from orthoflow.workload.registry import query
 from orthoflow.workload.views import Inputs, sql_ko, sql_number, sql_positive, sql_strip
 
@@ -340,14 +340,13 @@ LEFT JOIN (SELECT dataset_id, count(*) AS conflicts FROM (
   FROM (SELECT *, {_SLOT} AS slot FROM v_assign) AS u) AS t WHERE slot_first < row_number AND own_first = row_number GROUP BY 1) cc USING (dataset_id)"""
 
 
-def report_of(data: Inputs):
-    parsed = cut_lineage(data.parsed())
+def report_of(parsed):
     return K.import_report(parsed, K.detailed_records(parsed), parsed.filter("skipped"), K.sequence_or_domain_slot())
 
 
 @query("import_report", "SELECT * FROM v_report", {"v_report": _REPORT})
 def import_report(spark, sf):
-    return report_of(Inputs(spark, sf))
+    return report_of(written(Inputs(spark, sf).parsed()))
 
 
 @query("analysis_view_summary", f"""
@@ -372,4 +371,5 @@ JOIN (SELECT dataset_id, count(*) FILTER (WHERE ko_id IS NOT NULL) AS records_wi
   FROM v_assign GROUP BY 1) u USING (dataset_id) JOIN (SELECT dataset_id, count(*) AS source_count FROM v_sources GROUP BY 1) s USING (dataset_id)""", {"v_report": _REPORT})
 def evidence_audit(spark, sf):
     data = Inputs(spark, sf)
-    return E.evidence_audit(data.records(), data.view("v_sources"), report_of(data))
+    parsed = written(data.parsed())
+    return E.evidence_audit(K.detailed_records(parsed), data.view("v_sources"), report_of(parsed))
