@@ -9,7 +9,7 @@ from orthoflow.operators import coverage as V
 from orthoflow.operators import modules as M
 from orthoflow.operators import relations as R
 from orthoflow.operators.evidence import accepted_kos
-from orthoflow.session import cut_lineage
+from orthoflow.session import written
 
 
 def analyze_targets(records: DataFrame, relations: DataFrame, pathways: DataFrame, links: DataFrame, modules: DataFrame,
@@ -17,13 +17,14 @@ def analyze_targets(records: DataFrame, relations: DataFrame, pathways: DataFram
     """Accepted sets, rankings, and the coverage and completion of the ``top_n`` targets of every set.
 
     The accepted sets are written once: intake is the only part that reads annotation rows, and every
-    later step works on distinct (set, KO) pairs.
+    later step works on distinct (set, KO) pairs. The selected targets are written too, as several steps read them.
     """
-    accepted = cut_lineage(accepted_kos(records, key))
-    rankings = {name: R.rank_targets(R.target_overlap(accepted, R.normalized_relations(relations, name), key), key)
-                for name in ("ko_to_pathway", "ko_to_module")}
-    top_pathways = R.top_targets(rankings["ko_to_pathway"], top_n, R.BROAD_PATHWAYS, key).select(key, F.col("target_id").alias("pathway_id"))
-    top_modules = R.top_targets(rankings["ko_to_module"], top_n, key=key).select(key, F.col("target_id").alias("module_id"))
+    accepted = written(accepted_kos(records, key))
+    normalized = {name: R.normalized_relations(relations, name) for name in ("ko_to_pathway", "ko_to_module")}
+    rankings = {name: R.ranked_overlap(accepted, rows, key) for name, rows in normalized.items()}
+    counted = {name: R.ranked_overlap(accepted, rows, key, limit=0) for name, rows in normalized.items()}  # the selection needs no lists of KOs
+    top_pathways = written(R.top_targets(counted["ko_to_pathway"], top_n, R.BROAD_PATHWAYS, key).select(key, F.col("target_id").alias("pathway_id")))
+    top_modules = written(R.top_targets(counted["ko_to_module"], top_n, key=key).select(key, F.col("target_id").alias("module_id")))
     targets = V.link_targets(links)
     coverage = V.coverage(top_pathways, accepted, V.pathway_kos(targets), V.build_reference(pathways, targets), key)
     requests = top_modules.join(modules.select("module_id", "module_name"), "module_id")
