@@ -134,6 +134,15 @@ def compile_root(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([Compiler(modules).program(root)] if root in modules else [], schema=PROGRAM_TYPES)
 
 
+def folded(kos: list[str], levels: list[list[dict]], present: list[str]) -> list[int]:
+    """The truth of all values of a program where ``present`` are the KOs found."""
+    found = set(present)
+    truth = [TRUE if ko in found else FALSE for ko in kos] + [UNKNOWN, TRUE]
+    for level in levels:
+        truth += [(max if node["op"] == ONE_OF else min)(truth[k] for k in node["kids"]) for node in level]
+    return truth
+
+
 # --- minimal sets --------------------------------------------------------------------------------
 
 #: A part of the logic with so many alternatives at most is reduced to a list; larger ones are walked as a stream.

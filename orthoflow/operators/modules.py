@@ -7,7 +7,8 @@ accepted KOs are a bitmap by KO number. A (set, module) is then one row whose le
 levels are folded inside one expression, so neither nesting nor references add joins, shuffles or jobs per set.
 
 Minimal missing sets are rows. They are walked as bit masks by a stream per block, large blocks in
-several tasks, so no cell and no task holds all of them.
+several tasks, so no cell and no task holds all of them. They depend on a block and the KOs found in it alone, so
+sets that found the same KOs of a block share one walk.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from orthoflow.functions.bitmaps import PIECE, bit_is_set, piece_of
 from orthoflow.functions.definitions import NODE_SCHEMA, Limits, parser
-from orthoflow.functions.programs import FALSE, ONE_OF, PROGRAM, TRUE, UNKNOWN, Alternatives, TooMany, bits_of, compile_root
+from orthoflow.functions.programs import FALSE, ONE_OF, PROGRAM, TRUE, UNKNOWN, Alternatives, TooMany, bits_of, compile_root, folded
 from orthoflow.functions.staging import computed
-from orthoflow.session import cut_lineage
+from orthoflow.session import cut_lineage, written
 
 # Warning codes in order.
 WARNING_CODES = (
@@ -179,7 +180,7 @@ def folded_blocks(truths: DataFrame, key: str = "sample_id") -> DataFrame:
     return rows.select(
         key, "root_id", "b.block_index", F.col("truth")[F.col("b.node")].alias("truth"), F.col("b.required").alias("required"),
         F.array_sort(F.transform(found, lambda k: F.col("kos")[k])).alias("matched"),
-        F.struct("kos", "levels", F.col("truth").alias("values"), F.col("b.node").alias("node")).alias("logic"))
+        F.struct("kos", "levels", F.col("b.node").alias("node")).alias("logic"))
 
 
 def folded_optional(truths: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -203,8 +204,10 @@ def leaf_truth(nodes: DataFrame, requests: DataFrame, accepted: DataFrame, key:
 def evaluate(requests: DataFrame, definitions: DataFrame, accepted: DataFrame, key: str = "sample_id") -> dict[str, DataFrame]:
     """Evaluate every requested (set, module): blocks, optional parts, issues and facts per root.
 
-    The parsed definitions and the programs are written once (checkpoints); ``accepted`` is read once.
+    The parsed definitions and the programs are written once (checkpoints), and so are the requests, which several
+    steps read; ``accepted`` is read once.
     """
+    requests = written(requests.select(key, "module_id"))
     parsed = cut_lineage(parsed_definitions(definitions))
     nodes = module_nodes(parsed)
     validity = definition_validity(definitions, parsed)
@@ -271,7 +274,7 @@ def _walks(batches: Iterator[pa.RecordBatch], cap: int | None) -> Iterator[tuple
     for batch in batches:
         for row in batch.to_pylist():
             logic = row["logic"]
-            found = Alternatives(len(logic["kos"]), logic["levels"], logic["values"], cap)
+            found = Alternatives(len(logic["kos"]), logic["levels"], folded(logic["kos"], logic["levels"], row["matched"]), cap)
             try:
                 found.check(logic["node"])
             except TooMany:
@@ -287,7 +290,7 @@ def missing_rows(blocks: DataFrame, key: str = "sample_id", cap: int | None = No
     several walks meet are made distinct by Spark.
     """
     kind = blocks.schema[key].dataType.simpleString()
-    work = blocks.filter("state = 'incomplete'").select(key, "module_id", "block_index", "logic")
+    work = blocks.filter("state = 'incomplete'").select(key, "module_id", "block_index", "matched", "logic")
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,13 +323,23 @@ def missing_rows(blocks: DataFrame, key: str = "sample_id", cap: int | None = No
 
 
 def missing_alternatives(blocks: DataFrame, limit: int, key: str = "sample_id", cap: int | None = None) -> DataFrame:
-    """The ``limit`` smallest minimal KO sets of each incomplete block, and whether that is not all of them."""
-    group = [key, "module_id", "block_index"]
+    """The ``limit`` smallest minimal KO sets of each incomplete block, and whether that is not all of them.
+
+    Incomplete blocks are written once. Each distinct case (block and KOs found in it) is walked and ranked once,
+    however many sets share it; the answers are written too, so that Spark knows their size when it joins them.
+    """
+    case, group = ["module_id", "block_index", "matched"], ["case", "module_id", "block_index"]
+    lacking = written(blocks.filter("state = 'incomplete'").select(key, *case, "logic"))
+    cases = written(lacking.select(*case, "logic").distinct().withColumn("case", F.monotonically_increasing_id()))
     order = W.partitionBy(*group).orderBy(F.size("kos"), "kos")
-    ranked = missing_rows(blocks, key, cap).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit + 1)
+    rows = missing_rows(cases.withColumn("state", F.lit("incomplete")), "case", cap)
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit + 1)
     listed = F.array_sort(F.collect_list(F.when(~F.col("open") & (F.col("rank") <= limit), F.struct("rank", "kos"))))
-    return ranked.groupBy(*group).agg(
+    answers = ranked.groupBy(*group).agg(
         F.transform(listed, lambda s: s["kos"]).alias("alternatives"), F.bool_or(F.col("open") | (F.col("rank") > limit)).alias("truncated"))
+    known = written(answers.join(cases.drop("logic"), group).drop("case"))
+    asked = lacking.drop("logic").distinct()  # a block asked for twice is one row
+    return asked.join(known, case).select(key, "module_id", "block_index", "alternatives", "truncated")
 
 
 def module_warnings(completion: DataFrame, blocks: DataFrame, issues: DataFrame, facts: DataFrame, alternatives: DataFrame, key: str = "sample_id") -> DataFrame:

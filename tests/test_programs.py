@@ -91,3 +91,22 @@ def test_wide_and_deep_definitions(spark):
     states = {(r.sample_id, r.module_id): r.module_status for r in M.module_completion(requests, result["blocks"]).collect()}
     assert states == {("s", "M00001"): "complete", ("s", "M00002"): "complete", ("s", "M00003"): "complete", ("s", "M00004"): "partially_evaluable",
                       ("s", "M00005"): "not_evaluable", ("s", "M00006"): "partially_evaluable", ("s", "M00007"): "not_evaluable", ("none", "M00001"): "incomplete"}
+
+
+def test_sets_that_found_the_same_kos_share_one_walk(spark, monkeypatch):
+    """300 sets, of three cases each with its own answer, are walked as three; a request made twice is one row."""
+    walked, rows = [], M.missing_rows
+
+    def counted(blocks, *args, **kwargs):
+        walked.append(blocks.count())
+        return rows(blocks, *args, **kwargs)
+
+    monkeypatch.setattr(M, "missing_rows", counted)
+    definitions = spark.createDataFrame([("M00001", "(K00001,K00002)+K00003 K00009")], "module_id string, definition string")
+    requests = spark.createDataFrame([(f"s{k}", "M00001") for k in range(300)] + [("s0", "M00001")], "sample_id string, module_id string")
+    own = {0: ["K00009"], 1: ["K00001", "K00009"], 2: ["K00003", "K00009"]}
+    accepted = spark.createDataFrame([(f"s{k}", ko) for k in range(300) for ko in own[k % 3]], "sample_id string, ko_id string")
+    found = M.missing_alternatives(M.evaluate(requests, definitions, accepted)["blocks"], 64).collect()
+    answers = {0: [["K00001", "K00003"], ["K00002", "K00003"]], 1: [["K00003"]], 2: [["K00001"], ["K00002"]]}
+    assert walked == [3] and len(found) == 300
+    assert all(r.alternatives == answers[int(r.sample_id[1:]) % 3] and not r.truncated and r.block_index == 1 for r in found)
