@@ -57,6 +57,7 @@ BATCH_TOKENS = 1 << 22
 SCORE_TOKENS = 1 << 21
 RUN_BYTES = 1 << 21  # text cut into words at once
 COUNT_BYTES = 1 << 23
+BLOCK = 8  # tokens of one class that are multiplied at once
 
 
 def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -176,7 +177,11 @@ class Network:
         ``tape`` takes the states before each step, the two gates, the new parts and their recurrent inputs.
         """
         s, states = STATE, np.empty((len(tokens), len(h), STATE), np.float32)
-        table, resets = self.table + self.bias, set(np.flatnonzero((keep == 0).any(axis=1)).tolist())
+        resets = set(np.flatnonzero((keep == 0).any(axis=1)).tolist())
+        inputs, u = self.table.take(tokens, axis=0), self.u.copy()
+        inputs += self.bias
+        for part in (inputs[..., :2 * s], u[:, :2 * s]):  # exp takes the gates' negative sums
+            np.negative(part, out=part)
         a, gates, n = np.empty((len(h), 3 * s), np.float32), np.empty((len(h), 2 * s), np.float32), np.empty((len(h), s), np.float32)
         with np.errstate(over="ignore"):  # exp may reach infinity: the gate is 0 then
             for t in range(len(tokens)):
@@ -185,13 +190,12 @@ class Network:
                 if tape is not None:
                     before, all_gates, all_n, all_a = tape
                     before[t], gates, n, a = h, all_gates[t], all_n[t], all_a[t]
-                x = table.take(tokens[t], axis=0)
-                np.matmul(h, self.u, out=a)
+                x = inputs[t]
+                np.matmul(h, u, out=a)
                 np.add(x[:, :2 * s], a[:, :2 * s], out=gates)
-                np.negative(gates, out=gates)
                 np.exp(gates, out=gates)
                 gates += 1
-                np.divide(1, gates, out=gates)
+                np.reciprocal(gates, out=gates)
                 np.multiply(gates[:, s:], a[:, 2 * s:], out=n)
                 n += x[:, 2 * s:]
                 np.tanh(n, out=n)
@@ -202,98 +206,108 @@ class Network:
         return states, h.copy()
 
     @staticmethod
-    def _softmax(w: np.ndarray, h: np.ndarray, target: np.ndarray, scale: float | None):
-        """(log probability of each target, its gradient by the logits times ``scale``); one column per token."""
-        e = w.T @ h
-        place = np.arange(len(target))
-        chosen = e[target, place]
+    def _softmax(e: np.ndarray, chosen: tuple, axis: int, scale: np.ndarray | None) -> np.ndarray:
+        """Log probability of the chosen logits; with ``scale`` (by token) ``e`` becomes their gradient times it."""
+        logs = e[chosen]
         np.minimum(e, 60, out=e)  # logits are far below; a bound in place of a row maximum
         np.exp(e, out=e)
-        total = e.sum(axis=0)
-        out = chosen - np.log(total)
-        if scale is None:
-            return out, None
-        e *= -scale / total
-        e[target, place] += scale
-        return out, e
-
-    def output(self, states: np.ndarray, targets: np.ndarray, grads: Network | None = None, scale: float | None = None):
-        """Natural-log probability of each target; with ``grads`` also sets the gradients of the output and returns those of the states."""
+        total = e.sum(axis=axis)
+        logs -= np.log(total)[chosen[1 - axis]]
+        if scale is not None:
+            e *= np.expand_dims(-scale / total, axis)
+            e[chosen] += scale[chosen[1 - axis]]
+        return logs
+
+    def output(self, states: np.ndarray, targets: np.ndarray, scale: float | None = None):
+        """Natural-log probability of each target; with ``scale`` also the gradients times it.
+
+        These are those of the states, of ``class_w``, and of ``word_w`` for the classes that occur, with their numbers.
+        Tokens are put in order of class, each class in blocks of ``BLOCK`` places with its own weights, so that all blocks
+        are one product; places left over are empty and have no gradient.
+        """
         group = np.minimum(targets // CLASS_SIZE, self.classes)
         order = np.argsort(group, kind="stable")
-        h, group, targets = np.ones((STATE + 1, len(order)), states.dtype), group[order], targets[order]  # the last row is for the bias
-        h[:STATE] = states[order].T
-        logs, d = self._softmax(self.class_w, h, group, scale)
-        back = None
-        if grads is not None:
-            np.matmul(h, d.T, out=grads.class_w)
-            back = self.class_w[:STATE] @ d
-        cuts = np.searchsorted(group, np.arange(self.classes + 1))
-        for c in range(self.classes):
-            a, b = cuts[c], cuts[c + 1]
-            if a == b:
-                continue
-            own, d = self._softmax(self.word_w[c], h[:, a:b], targets[a:b] - c * CLASS_SIZE, scale)
-            logs[a:b] += own
-            if grads is not None:
-                np.matmul(h[:, a:b], d.T, out=grads.word_w[c])
-                back[:, a:b] += self.word_w[c, :STATE] @ d
+        x, group, targets = np.ones((len(order), STATE + 1), states.dtype), group[order], targets[order]  # the last column is for the bias
+        x[:, :STATE] = states[order]
+        e = self.class_w.T @ x.T
+        logs = self._softmax(e, (group, np.arange(len(order))), 0, None if scale is None else np.full(len(order), scale, e.dtype))
+        counts = np.bincount(group, minlength=self.classes + 1)[:self.classes]
+        blocks, n = -(-counts // BLOCK), int(counts.sum())
+        first = np.cumsum(blocks) - blocks
+        place = np.repeat(first * BLOCK - np.cumsum(counts) + counts, counts) + np.arange(n)
+        w = self.word_w.take(np.repeat(np.arange(self.classes), blocks), axis=0)
+        own = np.zeros((len(w), BLOCK, STATE + 1), states.dtype)
+        own.reshape(-1, STATE + 1)[place] = x[:n]
+        each = np.matmul(own, w)
+        flat = each.reshape(-1, CLASS_SIZE)
+        real = None
+        if scale is not None:
+            real = np.zeros(len(flat), flat.dtype)
+            real[place] = scale
+        logs[:n] += self._softmax(flat, (place, targets[:n] % CLASS_SIZE), 1, real)
         out = np.empty(len(order), logs.dtype)
         out[order] = logs
-        if grads is None:
+        if scale is None:
             return out
+        back = e.T @ self.class_w[:STATE].T
+        back[:n] += np.matmul(each, w[:, :STATE].transpose(0, 2, 1)).reshape(-1, STATE)[place]
         d_states = np.empty(states.shape, states.dtype)
-        d_states[order] = back.T
-        return out, d_states
+        d_states[order] = back
+        present = np.flatnonzero(blocks)
+        by_word = np.matmul(own.transpose(0, 2, 1), each)
+        return out, d_states, x.T @ e.T, present, np.add.reduceat(by_word, first[present], axis=0) if len(present) else by_word
+
+    def learn(self, tokens: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, sums: Network) -> np.ndarray:
+        """One window of truncated backpropagation and an AdaGrad step; returns the state to carry on.
 
-    def learn(self, tokens: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """One window of truncated backpropagation and an AdaGrad step; returns the state to carry on."""
+        Words and classes that do not occur in the window have no gradient, so only the others' weights are read.
+        """
         s, size = STATE, tokens.shape
         tape = tuple(np.empty((*size, k * s), np.float32) for k in (1, 2, 1, 3))
         states, last = self.run(tokens, keep, h, tape)
         flat = np.flatnonzero(real.ravel())
         if not len(flat):
             return last
-        grads = Network(np.zeros(len(self.vector), self.vector.dtype), self.classes)
-        _, back = self.output(states.reshape(-1, s)[flat], targets.ravel()[flat], grads, 1.0 / len(flat))
+        _, back, by_class, present, by_word = self.output(states.reshape(-1, s)[flat], targets.ravel()[flat], 1.0 / len(flat))
         d_states = np.zeros((states.shape[0] * states.shape[1], s), states.dtype)
         d_states[flat] = back
         d_states = d_states.reshape(states.shape)
         before, gates, n, a_n = tape
         z, r, a_n = gates[..., :s], gates[..., s:], a_n[..., 2 * s:]
         by_n = (1 - z) * (1 - n * n)
-        by_z = (before - n) * z * (1 - z)
-        by_r = by_n * a_n * r * (1 - r)
-        by_a = by_n * r
+        by = np.stack([(before - n) * z * (1 - z), by_n * a_n * r * (1 - r), by_n * r], axis=2)  # by the two gates and the recurrent input
         d_a = np.empty((*states.shape[:2], 3 * s), states.dtype)
+        parts, resets = d_a.reshape(by.shape), set(np.flatnonzero((keep == 0).any(axis=1)).tolist())
         d_all = np.empty_like(states)
         carried, back_u = np.zeros_like(last), np.ascontiguousarray(self.u.T)
         for t in range(len(tokens) - 1, -1, -1):
             d = np.add(d_states[t], carried, out=d_all[t])
-            np.multiply(d, by_z[t], out=d_a[t, :, :s])
-            np.multiply(d, by_r[t], out=d_a[t, :, s:2 * s])
-            np.multiply(d, by_a[t], out=d_a[t, :, 2 * s:])
+            np.multiply(d[:, None], by[t], out=parts[t])
             carried = d_a[t] @ back_u
             carried += d * z[t]
-            carried *= keep[t][:, None]
+            if t in resets:
+                carried *= keep[t][:, None]
         d_a = d_a.reshape(-1, 3 * s)
-        grads.u += before.reshape(-1, s).T @ d_a
+        by_u = before.reshape(-1, s).T @ d_a
         d_a[:, 2 * s:] = (d_all * by_n).reshape(-1, s)  # from here on: by the inputs
-        grads.bias += d_a.sum(axis=0)
         ids = tokens.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        grads.table[ids[first]] += np.add.reduceat(d_a[order], first, axis=0)
-        norm = float(np.sqrt(grads.vector @ grads.vector))
-        if norm > 1:
-            grads.vector /= norm
-        step = np.square(grads.vector)
-        sums += step
-        np.sqrt(sums, out=step)
-        np.divide(grads.vector, step, out=step)
-        step *= RATE
-        self.vector += step
+        every = slice(None)
+        grads = (("u", every, by_u), ("bias", every, d_a.sum(axis=0)), ("class_w", every, by_class),
+                 ("table", ids[first], np.add.reduceat(d_a[order], first, axis=0)), ("word_w", present, by_word))
+        norm = max(1.0, math.sqrt(sum(float(np.vdot(g, g)) for _, _, g in grads)))
+        for name, where, g in grads:
+            g /= norm
+            total, weights = getattr(sums, name), getattr(self, name)
+            step = np.square(g)
+            step += total[where]
+            total[where] = step
+            np.sqrt(step, out=step)
+            np.divide(g, step, out=step)
+            step *= RATE
+            weights[where] += step
         return last
 
 
@@ -369,7 +383,7 @@ def _train(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vector, classes = state.value
         net, seen = Network(vector.copy(), classes), 0
-        sums = np.full(len(vector), 1e-3, np.float32)
+        sums = Network(np.full(len(vector), 1e-3, np.float32), classes)
         for _, ids, _ in _token_batches(batches, {w: i + 1 for i, w in enumerate(words)}, unknown=False):
             inputs, targets, keep, doc = packed([_named(x, classes * CLASS_SIZE) for x in ids], LANES)
             h = np.zeros((inputs.shape[1], STATE), np.float32)
