@@ -79,9 +79,12 @@ def trace(seeds: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame
 
 
 def genome_to_taxonomy(genomes: DataFrame, relations: DataFrame) -> DataFrame:
-    """genome (T-number) -> taxonomy edges: the relation names the genome by its organism code."""
+    """genome (T-number) -> taxonomy edges: the relation names the genome by its organism code.
+
+    The genomes say which codes exist, also where a code is spelled like a reserved prefix (``pmid``).
+    """
     links = relations.filter("relationship = 'genome_to_taxonomy'").select(
-        I.normalize_pair_entity("organism", F.col("source_id")).alias("code"),
+        F.regexp_replace("source_id", "^(?:organism|gn|genome):", "").alias("code"),
         I.normalize_pair_entity("taxonomy", F.col("target_id")).alias("taxonomy_id"), "batch_index")
     return genomes.select("t_number", "code").join(links, "code").select("t_number", "taxonomy_id", "batch_index")
 
