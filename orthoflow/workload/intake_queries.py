@@ -205,7 +205,7 @@ def escape_formula(spark, sf):
 SELECT dataset_id, row_number, pos, 'record-' || lpad(CAST(no AS VARCHAR), CAST(greatest(6, length(CAST(no AS VARCHAR))) AS INT), '0') AS record_id FROM (
   SELECT dataset_id, row_number, CAST(pos AS BIGINT) AS pos, row_number() OVER (PARTITION BY dataset_id ORDER BY row_number, pos) AS no FROM v_assign) AS t""")
 def record_numbering(spark, sf):
-    return K.number_records(Inputs(spark, sf).records()).select(
+    return K.number_records(Inputs(spark, sf).records(), keep=("row_number", "pos")).select(
         "dataset_id", "row_number", F.col("pos").cast("bigint").alias("pos"), K.record_id(F.col("record_no")).alias("record_id"))
 
 
@@ -304,16 +304,14 @@ def rejected_kos(spark, sf):
     return E.rejected_kos(Inputs(spark, sf).records(), "sample_id")
 
 
-# On large tables two source rows may have one row number: their records are told apart by sample, sequence and label.
-_RECORD_ORDER = ("row_number", "pos", "sample_id", "sequence_id", "raw_ko")
-_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {', '.join(_RECORD_ORDER)}) AS no FROM v_assign"
+_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {', '.join(K.RECORD_ORDER)}) AS no FROM v_assign"
 
 
 @query("records_by_ko", """
 SELECT dataset_id, ko_id, CAST((no - 1) // 65536 AS BIGINT) AS list_no, string_agg(CAST(no AS VARCHAR), ';' ORDER BY no) AS record_nos, count(*) AS n
 FROM v_numbered WHERE ko_id IS NOT NULL GROUP BY 1, 2, 3""", {"v_numbered": _NUMBERED})
 def records_by_ko(spark, sf):
-    return E.records_by_ko(K.number_records(Inputs(spark, sf).records(), _RECORD_ORDER)).withColumn(
+    return E.records_by_ko(K.number_records(Inputs(spark, sf).records(), K.RECORD_ORDER, keep=("ko_id",))).withColumn(
         "record_nos", F.array_join(F.col("record_nos").cast("array<string>"), ";"))
 
 
@@ -321,7 +319,7 @@ def records_by_ko(spark, sf):
 SELECT dataset_id, sample_id, sequence_id, CAST((no - 1) // 65536 AS BIGINT) AS list_no, string_agg(CAST(no AS VARCHAR), ';' ORDER BY no) AS record_nos, count(*) AS n
 FROM v_numbered GROUP BY 1, 2, 3, 4""", {"v_numbered": _NUMBERED})
 def records_by_sequence(spark, sf):
-    return E.records_by_sequence(K.number_records(Inputs(spark, sf).records(), _RECORD_ORDER)).withColumn(
+    return E.records_by_sequence(K.number_records(Inputs(spark, sf).records(), K.RECORD_ORDER, keep=("sample_id", "sequence_id"))).withColumn(
         "record_nos", F.array_join(F.col("record_nos").cast("array<string>"), ";"))
 
 
