@@ -139,34 +139,44 @@ class Field:
         out[:, BEGIN] -= BIAS
         return out
 
-    def viterbi(self, scores: np.ndarray, before: int | None, after: int | None) -> list[int]:
-        """Best tags of a run of words between fixed tags (None at a text's end)."""
-        t = self.steps
-        best = scores[0] + (t[before] if before is not None else 0)
+    def paths(self, scores: np.ndarray, begin: np.ndarray, end: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """Tags of all words: Viterbi's best path in every run of words ``begin`` to ``end``, outside elsewhere.
+
+        The words around a run are outside, none where it ``opens`` or ``closes`` its text. The runs are walked side by side, the
+        longest first, so those that go on are always the first ones.
+        """
+        t, tags = self.steps, np.full(len(scores), OUT, np.int8)
+        order = np.argsort(begin - end, kind="stable")
+        begin, length, opens, closes = begin[order], (end - begin)[order], opens[order], closes[order]
+        best = scores[begin] + np.where(opens[:, None], 0.0, t[OUT])
+        going = [int(n) for n in np.searchsorted(-length, -np.arange(1, length[0]), "left")]  # runs of more than 1, 2, .. words
         back = []
-        for row in scores[1:]:
-            paths = best[:, None] + t
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + row
-        if after is not None:
-            best = best + t[:, after]
-        tags = [int(best.argmax())]
-        for pointers in reversed(back):
-            tags.append(int(pointers[tags[-1]]))
-        return tags[::-1]
+        for k, n in enumerate(going, 1):
+            paths = best[:n, :, None] + t
+            back.append(paths.argmax(axis=1))
+            best[:n] = paths.max(axis=1) + scores[begin[:n] + k]
+        tag = (best + np.where(closes[:, None], 0.0, t[:, OUT])).argmax(axis=1)
+        tags[begin + length - 1] = tag
+        for k, n in reversed(list(enumerate(going))):
+            tag[:n] = back[k][np.arange(n), tag[:n]]
+            tags[begin[:n] + k] = tag[:n]
+        return tags
 
     def tags(self, scores: np.ndarray) -> dict[int, int]:
-        """Words that are not outside, with their tags: Viterbi's best path of one text."""
-        sure = scores[:, OUT] - scores[:, 1:].max(axis=1) > self.gain()
-        doubt = np.flatnonzero(~sure)
-        found: dict[int, int] = {}
+        """Words of one text that are not outside, with their tags."""
+        tags = self.tags_of_texts(scores, np.array([0, len(scores)]))
+        return {int(word): int(tags[word]) for word in np.flatnonzero(tags != OUT)}
+
+    def tags_of_texts(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Tags of the words of several texts (the first word of each, and the end): Viterbi's best path of each text."""
+        doubt = np.flatnonzero(scores[:, OUT] - scores[:, 1:].max(axis=1) <= self.gain())
         if not len(doubt):
-            return found
-        for run in np.split(doubt, np.flatnonzero(np.diff(doubt) > 1) + 1):
-            a, b = int(run[0]), int(run[-1]) + 1
-            path = self.viterbi(scores[a:b], OUT if a else None, OUT if b < len(scores) else None)
-            found.update((a + i, tag) for i, tag in enumerate(path) if tag != OUT)
-        return found
+            return np.full(len(scores), OUT, np.int8)
+        edge = np.zeros(len(scores) + 1, bool)
+        edge[first] = True
+        starts = np.concatenate(([True], (np.diff(doubt) > 1) | edge[doubt[1:]]))
+        begin, end = doubt[starts], doubt[np.append(starts[1:], True)] + 1
+        return self.paths(scores, begin, end, edge[begin], edge[end])
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -294,28 +304,29 @@ def _scan(model):
             out = []
             for _, offsets, data in text_chunks(batch.column("text")):
                 starts, ends, first = word_spans(data, offsets)
-                scores = field.emissions(features(data, offsets, starts, ends, first)) if field.trained else None
+                tags = field.tags_of_texts(field.emissions(features(data, offsets, starts, ends, first)), first) if field.trained else np.zeros(len(starts), np.int8)
+                marked = np.flatnonzero(tags != OUT)
+                shown = np.searchsorted(marked, first)
                 for k in range(len(offsets) - 1):
                     raw = data[offsets[k]:offsets[k + 1]].tobytes()
                     text = raw.decode()
                     spans = [(s, n, e) for s, n, e, _ in base_spans(text, raw)]
-                    a, b = int(first[k]), int(first[k + 1])
-                    tags = field.tags(scores[a:b]) if field.trained and a < b else {}
-                    spans += _added(tags, raw, starts[a:b] - offsets[k], ends[a:b] - offsets[k], spans) if tags else []
+                    own = marked[shown[k]:shown[k + 1]]
+                    spans += _added(own, tags[own], raw, starts[own] - offsets[k], ends[own] - offsets[k], spans)
                     out.append([{"kind": KINDS[n], "start": s, "end": e} for s, n, e in sorted(spans)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
     return run
 
 
-def _added(tags: dict[int, int], raw: bytes, begin: np.ndarray, finish: np.ndarray, base: list) -> list[tuple[int, int, int]]:
+def _added(words: np.ndarray, tags: np.ndarray, raw: bytes, begin: np.ndarray, finish: np.ndarray, base: list) -> list[tuple[int, int, int]]:
     """Spans of tagged words in code points, without signs at their ends, that no base span overlaps."""
     runs: list[list[int]] = []
-    for place in sorted(tags):
-        if runs and tags[place] == IN and runs[-1][1] == place - 1:
-            runs[-1][1] = place
+    for i in range(len(words)):
+        if runs and tags[i] == IN and words[i - 1] == words[i] - 1:
+            runs[-1][1] = i
         else:
-            runs.append([place, place])
+            runs.append([i, i])
     out = []
     for p, q in runs:
         s, e = int(begin[p]), int(finish[q])
